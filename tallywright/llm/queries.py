@@ -6,14 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tallywright.llm.language_id import op9_language_id
 from tallywright.llm.line_dedup import OP10_SQL, op10_line_dedup
+from tallywright.llm.quality import op8_quality
+from tallywright.llm.topk import OP2_SQL, op2_exact_topk
 from tallywright.llm.url_filter import op6_url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_exact_topk": op2_exact_topk,
     "op6_url_filter": op6_url_filter,
+    "op8_quality": op8_quality,
+    "op9_language_id": op9_language_id,
     "op10_line_dedup": op10_line_dedup,
 }
 
 ORACLES: dict[str, str] = {
+    "op2_exact_topk": OP2_SQL,
     "op10_line_dedup": OP10_SQL,
 }
