@@ -36,6 +36,8 @@ LABELLERS = ("symbols", "capitals", "repeats", "cells", "shouts", "sentences", "
 NOTHING, BAD, GOOD = 0, 1, 2
 WINDOW = 1 << 20
 FIT_DOCS, BITS, SCALE = 3_000, 14, 60.0
+#: Trigrams added to each count, so that what a few words say weighs little.
+CALM = 64
 
 # Classes of bytes: white space, lower, upper, digit, closing mark, exclamation, symbol, others.
 _SPACE, _LOWER, _UPPER, _DIGIT, _CLOSE, _SHOUT, _SYMBOL, _OTHER = range(8)
@@ -174,7 +176,7 @@ class Scorer:
             slots, of = trigrams(raw, row, self.bits)
             total += np.bincount(of, self.weights[slots], minlength=n)
             size += np.bincount(of, minlength=n)
-        z = self.bias + SCALE * total / np.maximum(size, 1)
+        z = self.bias + SCALE * total / (size + CALM)
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
@@ -227,7 +229,7 @@ def train(docs: DataFrame, text_col: str = "text", fit_docs: int = FIT_DOCS, bit
                 some = np.flatnonzero(held)
                 cast = int((votes(own) @ POWERS)[0])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([cast]), pa.array([some.astype(np.int32).tobytes()]), pa.array([(held[some] / max(1, held.sum())).astype(np.float32).tobytes()])],
+                    [pa.array([cast]), pa.array([some.astype(np.int32).tobytes()]), pa.array([(held[some] / (held.sum() + CALM)).astype(np.float32).tobytes()])],
                     ["pattern", "slots", "shares"],
                 )
 
