@@ -32,11 +32,16 @@ def line_key(line: Column) -> Column:
     return lower_ascii(F.btrim(line, F.lit(MARGIN)))
 
 
-def line_hash(line: Column, min_chars: int) -> Column:
-    """128 bits for the line's key, null if the key is short."""
-    key = line_key(line)
-    hashed = F.struct(F.xxhash64(key).alias("a"), F.xxhash64(F.lit(0x11E5), key).alias("b"))
-    return F.when(F.length(key) >= min_chars, hashed)
+def line_hashes(text: Column, min_chars: int) -> Column:
+    """For each line 128 bits of its key, null if the key is short.
+
+    Short lines go first and keys come before hashes, so that a key is made once.
+    """
+    keys = F.transform(F.split(text, "\n"), lambda line: F.when(F.length(line) >= min_chars, line_key(line)))
+    return F.transform(
+        keys,
+        lambda key: F.when(F.length(key) >= min_chars, F.struct(F.xxhash64(key).alias("a"), F.xxhash64(F.lit(0x11E5), key).alias("b"))),
+    )
 
 
 def dedup_lines(
@@ -45,7 +50,7 @@ def dedup_lines(
 ) -> DataFrame:
     """``docs`` with the kept lines in ``text_col``, and ``n_lines`` (before) and ``n_dropped``."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    hashes = F.transform(F.split(text, "\n"), lambda line: line_hash(line, min_chars))
+    hashes = line_hashes(text, min_chars)
     long_enough = F.length(text) >= min_chars
     own = docs.where(long_enough).select(F.col(id_col).alias("_doc"), F.xxhash64(text).alias("_of"), hashes.alias("_hs"))
 
