@@ -6,15 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tallywright.llm.decontaminate import op3_decontamination
 from tallywright.llm.language_id import op9_language_id
 from tallywright.llm.line_dedup import OP10_SQL, op10_line_dedup
+from tallywright.llm.ngram_join import op7_ngram_join
+from tallywright.llm.pii import op5_pii
 from tallywright.llm.quality import op8_quality
 from tallywright.llm.topk import OP2_SQL, op2_exact_topk
 from tallywright.llm.url_filter import op6_url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_topk": op2_exact_topk,
+    "op3_decontamination": op3_decontamination,
+    "op5_pii": op5_pii,
     "op6_url_filter": op6_url_filter,
+    "op7_ngram_join": op7_ngram_join,
     "op8_quality": op8_quality,
     "op9_language_id": op9_language_id,
     "op10_line_dedup": op10_line_dedup,
