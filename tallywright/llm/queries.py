@@ -10,14 +10,18 @@ from tallywright.llm.decontaminate import op3_decontamination
 from tallywright.llm.language_id import op9_language_id
 from tallywright.llm.line_dedup import OP10_SQL, op10_line_dedup
 from tallywright.llm.ngram_join import op7_ngram_join
+from tallywright.llm.packing import op4_token_packing
 from tallywright.llm.pii import op5_pii
 from tallywright.llm.quality import op8_quality
+from tallywright.llm.sentencepiece_scan import op1_sentencepiece
 from tallywright.llm.topk import OP2_SQL, op2_exact_topk
 from tallywright.llm.url_filter import op6_url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sentencepiece": op1_sentencepiece,
     "op2_exact_topk": op2_exact_topk,
     "op3_decontamination": op3_decontamination,
+    "op4_token_packing": op4_token_packing,
     "op5_pii": op5_pii,
     "op6_url_filter": op6_url_filter,
     "op7_ngram_join": op7_ngram_join,
