@@ -7,19 +7,25 @@ of all documents; a hit fixes an alignment, along which document and item are
 compared word by word, and the alignment counts if its best stretch is long
 enough and enough of its words agree.  DataFrame functions only.
 
-* A document's seeds are made, looked up and mostly discarded within one
-  generated stage: they are never shuffled and words are never copied per seed.
-* Only the benchmark is broadcast.  Its seeds are counted first and sent in
-  blocks of at most ``BLOCK`` seeds, a pass over the documents for each block,
-  so what is broadcast stays bounded whatever the benchmark's size.
-* What leaves the stage is a row for each alignment of a hit, counted before it
-  is shuffled.
-
-Defined results: words are lower-cased runs of letters and digits; null and
-empty texts have none and never match; items shorter than ``MIN_WORDS`` count if all
-their length agrees to the same share, and items of fewer words than the
-shortest mask has never match; repeated items and documents match each by
-itself; a null id stays null; other columns pass through ``clean_documents``.
+* A document becomes one array of word hashes.  Its seeds are made from that
+  array, looked up and mostly discarded within one generated stage, which holds
+  the array once: neither texts nor words are copied per seed, and no text is
+  shuffled to be compared.
+* A hit whose predecessor, one word earlier in both texts, is a hit of the same
+  mask too says nothing new and goes, so an alignment is compared a few times
+  and not once a word.  What is compared is cut to the item's length.
+* Only the benchmark is broadcast.  Its seeds are counted first and items sent
+  in blocks of about ``BLOCK`` seeds, a pass over the documents for each block, so
+  what is broadcast stays bounded whatever the benchmark's size; one item is
+  never split.
+* What is shuffled is a row for each stretch that counts.
+
+Defined results: words are lower-cased runs of letters and digits, told apart by
+64-bit hashes; null and empty texts have none and never match; items shorter
+than ``MIN_WORDS`` count if all their length agrees to the same share, and items
+of fewer words than the shortest mask has never match; repeated items and
+documents match each by itself; a null id stays null; other columns pass through
+``clean_documents``.
 """
 
 from __future__ import annotations
@@ -37,54 +43,69 @@ MIN_WORDS, MIN_SHARE = 13, 0.8
 BLOCK = 1_000_000
 
 
-def _marks(mask: str) -> list[int]:
-    return [i for i, c in enumerate(mask) if c == "1"]
+def word_hashes(text: Column) -> Column:
+    return F.transform(words(text), lambda w: F.xxhash64(w))
 
 
-def _seed(array: Column, at: Column, masks: tuple[str, ...]) -> list[tuple[Column, Column]]:
-    """For each mask: does it fit at this place, and the hash of the words it marks."""
-    return [
-        (at + F.lit(len(mask)) <= F.size(array), F.xxhash64(F.lit(n), *[F.get(array, at + F.lit(i)) for i in _marks(mask)]))
-        for n, mask in enumerate(masks)
-    ]
+def _seed(hashes: Column, at: Column, n: int, mask: str) -> Column:
+    """The hash of what the mask marks at this place; null where the mask reaches over the end."""
+    marked = [F.get(hashes, at + F.lit(i)) for i, c in enumerate(mask) if c == "1"]
+    return F.when(at + F.lit(len(mask)) <= F.size(hashes), F.xxhash64(F.lit(n), *marked))
 
 
-def benchmark_seeds(items: DataFrame, id_col: str, text_col: str, masks: tuple[str, ...]) -> DataFrame:
-    """(seed, item, item_at, item_words); an item too short for every mask is not seeded here."""
-    placed = (
-        items.select(F.col(id_col).alias("item"), words(F.col(text_col)).alias("item_words"))
-        .where(F.size("item_words") > 0)
-        .select("item", "item_words", F.explode(F.sequence(F.lit(0), F.size("item_words") - 1)).alias("item_at"))
+def _seeds(hashes: Column, at: Column, masks: tuple[str, ...]) -> Column:
+    """A (seed, mask) struct for each mask."""
+    return F.array(*[F.struct(_seed(hashes, at, n, m).alias("seed"), F.lit(n).alias("mask")) for n, m in enumerate(masks)])
+
+
+def _places(hashed: DataFrame, hashes: str) -> DataFrame:
+    return hashed.select("*", F.posexplode(hashes).alias("at", "_word")).drop("_word")
+
+
+def benchmark_items(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(item, item_key, item_hashes); the key stands for id and text."""
+    return (
+        items.select(F.col(id_col).alias("item"), F.xxhash64(id_col, text_col).alias("item_key"), word_hashes(F.col(text_col)).alias("item_hashes"))
+        .where(F.size("item_hashes") > 0)
+        .dropDuplicates(["item", "item_key"])
     )
-    seeds = F.array(*[F.when(fits, seed) for fits, seed in _seed(F.col("item_words"), F.col("item_at"), masks)])
-    return placed.select(F.explode(seeds).alias("seed"), "item", "item_at", "item_words").where(F.col("seed").isNotNull())
 
 
-def best_stretch(doc_words: Column, item_words: Column, shift: Column) -> Column:
-    """The stretch along an alignment where agreement less three times disagreement is greatest.
+def benchmark_seeds(items: DataFrame, masks: tuple[str, ...]) -> DataFrame:
+    """(seed, mask, item_key, item_at, before): ``before`` is the same mask's seed one word earlier."""
+    placed = _places(items.select("item_key", "item_hashes"), "item_hashes")
+    made = placed.select("item_key", "item_hashes", F.col("at").alias("item_at"), F.explode(_seeds(F.col("item_hashes"), F.col("at"), masks)).alias("s"))
+    return made.where("s.seed IS NOT NULL").select("s.seed", "s.mask", "item_key", "item_at", _before(F.col("item_hashes"), F.col("item_at"), F.col("s.mask"), masks).alias("before"))
+
 
-    ``shift`` is the document's place of the item's first word.  A struct with
-    its start in the document, its length and how many of its words agree.
+def _before(hashes: Column, at: Column, mask: Column, masks: tuple[str, ...]) -> Column:
+    """The mask's seed one word earlier; null at the first word."""
+    found = F.lit(None).cast("long")
+    for n, m in enumerate(masks):
+        found = F.when(mask == n, _seed(hashes, at - 1, n, m)).otherwise(found)
+    return F.when(at > 0, found)
+
+
+def best_stretch(doc_part: Column, item_part: Column) -> Column:
+    """The stretch where agreement less three times disagreement is greatest, of two aligned arrays.
+
+    A struct with its start, its length and how many of its words agree.
     """
-    first = F.greatest(F.lit(0), -shift)
-    last = F.least(F.size(item_words), F.size(doc_words) - shift) - 1
 
     def step(state: Column, i: Column) -> Column:
-        same = F.get(doc_words, i + shift) == F.get(item_words, i)
-        run = F.when(state["run"] > 0, state["run"]).otherwise(F.lit(0)) + F.when(same, 1).otherwise(-3)
+        same = F.get(doc_part, i) == F.get(item_part, i)
+        run = F.greatest(state["run"], F.lit(0)) + F.when(same, 1).otherwise(-3)
         start = F.when(state["run"] > 0, state["start"]).otherwise(i)
         agreed = F.when(state["run"] > 0, state["agreed"]).otherwise(F.lit(0)) + F.when(same, 1).otherwise(0)
-        better = run > state["top"]
-        return F.struct(
-            run.alias("run"), start.alias("start"), agreed.alias("agreed"),
-            F.when(better, run).otherwise(state["top"]).alias("top"), F.when(better, start).otherwise(state["top_start"]).alias("top_start"),
-            F.when(better, i).otherwise(state["top_end"]).alias("top_end"), F.when(better, agreed).otherwise(state["top_agreed"]).alias("top_agreed"),
-        )
-
-    zero = F.struct(*[F.lit(0).alias(n) for n in ("run", "start", "agreed", "top", "top_start", "top_end", "top_agreed")])
+        now = F.struct(run.alias("run"), start.alias("start"), i.alias("end"), agreed.alias("agreed"))
+        best = F.when(run > state["best"]["run"], now).otherwise(state["best"])
+        return F.struct(run.alias("run"), start.alias("start"), agreed.alias("agreed"), best.alias("best"))
+
+    none = F.struct(*[F.lit(0).alias(n) for n in ("run", "start", "end", "agreed")])
+    zero = F.struct(*[F.lit(0).alias(n) for n in ("run", "start", "agreed")], none.alias("best"))
     return F.aggregate(
-        F.sequence(first, F.greatest(first, last)), zero, step,
-        lambda s: F.struct((s["top_start"] + shift).alias("doc_at"), (s["top_end"] - s["top_start"] + 1).alias("n_words"), s["top_agreed"].alias("n_same")),
+        F.sequence(F.lit(0), F.least(F.size(doc_part), F.size(item_part)) - 1), zero, step,
+        lambda s: F.struct(s["best"]["start"].alias("start"), (s["best"]["end"] - s["best"]["start"] + 1).alias("n_words"), s["best"]["agreed"].alias("n_same")),
     )
 
 
@@ -92,27 +113,31 @@ def overlaps(
     docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text",
     masks: tuple[str, ...] = MASKS, min_words: int = MIN_WORDS, min_share: float = MIN_SHARE, block: int = BLOCK,
 ) -> DataFrame:
-    """(doc, text_hash, item, doc_at, n_words, n_same): each alignment of a document with an item that counts."""
-    seeds = benchmark_seeds(items, item_id_col, item_text_col, masks)
+    """(doc, text_hash, item, doc_at, n_words, n_same): each stretch of a document that counts for an item."""
+    own = benchmark_items(items, item_id_col, item_text_col)
+    seeds = benchmark_seeds(own, masks)
     blocks = max(1, -(-seeds.count() // block))
-    placed = (
-        docs.select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("text_hash"), words(F.col(text_col)).alias("doc_words"))
-        .where(F.size("doc_words") > 0)
-        .select("doc", "text_hash", "doc_words", F.explode(F.sequence(F.lit(0), F.size("doc_words") - 1)).alias("at"))
-    )
-    made = F.array(*[F.when(fits, seed) for fits, seed in _seed(F.col("doc_words"), F.col("at"), masks)])
-    seeded = placed.select("doc", "text_hash", "doc_words", "at", F.explode(made).alias("seed")).where(F.col("seed").isNotNull())
-    parts = [
-        seeded.join(F.broadcast(seeds.where(F.pmod("seed", F.lit(blocks)) == n) if blocks > 1 else seeds), "seed")
-        for n in range(blocks)
-    ]
-    hits = reduce(DataFrame.unionAll, parts).withColumn("shift", F.col("at") - F.col("item_at"))
-    judged = hits.select(
-        "doc", "text_hash", "item", F.least(F.lit(min_words), F.size("item_words")).alias("enough"),
-        best_stretch(F.col("doc_words"), F.col("item_words"), F.col("shift")).alias("s"),
+
+    def dealt(df: DataFrame, n: int) -> DataFrame:
+        return F.broadcast(df.where(F.pmod("item_key", F.lit(blocks)) == n) if blocks > 1 else df)
+
+    hashed = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("text_hash"), word_hashes(F.col(text_col)).alias("hashes"))
+    placed = _places(hashed, "hashes")
+    seeded = placed.select("doc", "text_hash", "hashes", "at", F.explode(_seeds(F.col("hashes"), F.col("at"), masks)).alias("s"))
+    seeded = seeded.select("doc", "text_hash", "hashes", "at", "s.seed").where("seed IS NOT NULL")
+    first = ~F.coalesce(F.col("before") == _before(F.col("hashes"), F.col("at"), F.col("mask"), masks), F.lit(False))
+    parts = [seeded.join(dealt(seeds, n), "seed").where(first).join(dealt(own, n), "item_key") for n in range(blocks)]
+
+    shift = F.col("at") - F.col("item_at")
+    doc_from, item_from = F.greatest(F.lit(0), shift), F.greatest(F.lit(0), -shift)
+    length = F.least(F.size("hashes") - doc_from, F.size("item_hashes") - item_from)
+    judged = reduce(DataFrame.unionAll, parts).select(
+        "doc", "text_hash", "item", doc_from.alias("doc_from"), F.least(F.lit(min_words), F.size("item_hashes")).alias("enough"),
+        F.slice("hashes", doc_from + 1, length).alias("doc_part"), F.slice("item_hashes", item_from + 1, length).alias("item_part"),
     )
+    judged = judged.withColumn("s", best_stretch(F.col("doc_part"), F.col("item_part")))
     return (
-        judged.select("doc", "text_hash", "item", "enough", "s.doc_at", "s.n_words", "s.n_same")
+        judged.select("doc", "text_hash", "item", "enough", (F.col("doc_from") + F.col("s.start")).alias("doc_at"), "s.n_words", "s.n_same")
         .where((F.col("n_words") >= F.col("enough")) & (F.col("n_same") >= min_share * F.col("n_words")))
         .groupBy("doc", "text_hash", "item", "doc_at", "n_words")
         .agg(F.max("n_same").alias("n_same"))
