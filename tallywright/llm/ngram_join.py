@@ -124,22 +124,27 @@ def join_classes(
     draw = np.random.default_rng(20240229)
     a = draw.integers(1, 2**63, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     b = draw.integers(0, 2**63, bands * rows, dtype=np.uint64)
-    hashed = docs.select(F.col(id_col).alias("id"), F.transform(words(F.col(text_col)), lambda w: F.xxhash64(w)).alias("hs"))
-    noded = hashed.select("id", "hs", F.when(F.size("hs") > 0, F.xxhash64("hs")).alias("node"))
-    members = stored(noded.where("id IS NOT NULL").select("id", "node"), "members")
-    nodes = members.where("node IS NOT NULL").groupBy("node").agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("first"))
-    nodes = cut(nodes)
+    named = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    key_type = named.schema["id"].dataType.simpleString()
+
+    def noded(df: DataFrame) -> DataFrame:
+        hashed = df.withColumn("hs", F.transform(words(F.col("text")), lambda w: F.xxhash64(w))).drop("text")
+        return hashed.withColumn("key", F.when(F.size("hs") > 0, F.xxhash64("hs")))
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            made = [buckets(gram_set(h, n), a, b, bands) for h in batch["hs"]]
-            if made:
-                yield pd.DataFrame({"node": np.repeat(batch["node"].to_numpy(np.int64), bands), "bucket": np.concatenate(made)})
-
-    once = noded.where("id IS NOT NULL AND node IS NOT NULL").join(nodes.select("node", F.col("first").alias("id")), ["node", "id"])
-    met = cut(once.select("node", "hs").mapInPandas(sign, "node long, bucket long"))
+            made = [buckets(gram_set(h, n), a, b, bands) if len(h) else np.empty(0, dtype=np.int64) for h in batch["hs"]]
+            yield batch[["id"]].assign(node=batch["key"].astype("Int64"), buckets=made)
+
+    # The one pass over all texts; whatever follows starts from ids and bucket numbers.
+    signed = stored(noded(named).mapInPandas(sign, f"id {key_type}, node long, buckets array<long>"), "signed")
+    members = signed.select("id", "node")
+    nodes = signed.where("node IS NOT NULL").groupBy("node").agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("first"), F.first("buckets").alias("buckets"))
+    nodes = stored(nodes, "nodes")
+    met = nodes.select("node", F.explode("buckets").alias("bucket"))
+    nodes = nodes.drop("buckets")
     full = met.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("bucket")
-    met = cut(met.join(full, "bucket").distinct())
+    met = cut(met.join(full, "bucket"))
     labels = components(met)
     sizes = labels.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
     placed = cut(labels.join(sizes, "label").join(nodes, "node"))
@@ -148,9 +153,11 @@ def join_classes(
         for batch in batches:
             yield batch.drop(columns="hs").assign(grams=[gram_set(h, n).tobytes() for h in batch["hs"]])
 
+    # Texts and not their hashes are shuffled: they take less room.
+    wanted = placed.select(F.col("first").alias("id"), "node", "label", "copies", F.ceil(F.col("size") / block).alias("parts"))
     dealt = (
-        noded.where("id IS NOT NULL AND node IS NOT NULL")
-        .join(placed.select("node", F.col("first").alias("id"), "label", "copies", F.ceil(F.col("size") / block).alias("parts")), ["node", "id"])
+        noded(named.join(wanted, "id"))
+        .where("key = node")
         .select("node", "label", "copies", "parts", "hs")
         .mapInPandas(sets, "node long, label long, copies long, parts long, grams binary")
         .withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")))
