@@ -44,23 +44,34 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def gram_set(hashes: np.ndarray, n: int) -> np.ndarray:
-    """Sorted distinct n-gram hashes of a text's word hashes."""
+def grams_of(hashes: np.ndarray, n: int) -> np.ndarray:
+    """N-gram hashes of a text's word hashes, in order and with repeats."""
     h = np.asarray(hashes, dtype=np.int64).view(np.uint64)
     span = min(n, len(h))
     out = np.zeros(len(h) - span + 1, dtype=np.uint64)
     for j in range(span):
         out = _mixed(out + h[j : j + len(out)] + np.uint64(j + 1))
-    return np.unique(out)
+    return out
+
+
+def gram_set(hashes: np.ndarray, n: int) -> np.ndarray:
+    """Sorted distinct n-gram hashes of a text's word hashes."""
+    return np.unique(grams_of(hashes, n))
 
 
 def buckets(grams: np.ndarray, a: np.ndarray, b: np.ndarray, bands: int) -> np.ndarray:
-    """One bucket number a band."""
-    least = np.full(len(a), np.iinfo(np.uint64).max, dtype=np.uint64)
-    for at in range(0, len(grams), 2048):
-        least = np.minimum(least, (grams[at : at + 2048, None] * a + b).min(axis=0))
+    """One bucket number a band; repeated n-grams change nothing.
+
+    Minima are of 32-bit hashes, which vectorise well, in runs that fit a core's cache.
+    """
+    x = (grams >> np.uint64(32)).astype(np.uint32)
+    least = np.full(len(a), np.iinfo(np.uint32).max, dtype=np.uint32)
+    for at in range(0, len(x), 128):
+        hashed = x[at : at + 128, None] * a
+        hashed += b
+        np.minimum(least, hashed.min(axis=0), out=least)
     out = np.arange(1, bands + 1, dtype=np.uint64)
-    for column in least.reshape(bands, -1).T:
+    for column in least.astype(np.uint64).reshape(bands, -1).T:
         out = _mixed(out + column)
     return out.view(np.int64)
 
@@ -122,8 +133,8 @@ def join_classes(
     """(id, class_id, n_links): the smallest id of the connected group, and how many rows it links to."""
     bands = bands_for(threshold, recall, rows)
     draw = np.random.default_rng(20240229)
-    a = draw.integers(1, 2**63, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    b = draw.integers(0, 2**63, bands * rows, dtype=np.uint64)
+    a = draw.integers(0, 2**31, bands * rows, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+    b = draw.integers(0, 2**32, bands * rows, dtype=np.uint32)
     named = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     key_type = named.schema["id"].dataType.simpleString()
 
@@ -133,7 +144,7 @@ def join_classes(
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            made = [buckets(gram_set(h, n), a, b, bands) if len(h) else np.empty(0, dtype=np.int64) for h in batch["hs"]]
+            made = [buckets(grams_of(h, n), a, b, bands) if len(h) else np.empty(0, dtype=np.int64) for h in batch["hs"]]
             yield batch[["id"]].assign(node=batch["key"].astype("Int64"), buckets=made)
 
     # The one pass over all texts; whatever follows starts from ids and bucket numbers.
