@@ -140,15 +140,16 @@ def join_classes(
 
     def noded(df: DataFrame) -> DataFrame:
         hashed = df.withColumn("hs", F.transform(words(F.col("text")), lambda w: F.xxhash64(w))).drop("text")
-        return hashed.withColumn("key", F.when(F.size("hs") > 0, F.xxhash64("hs")))
+        return hashed.withColumn("key", F.xxhash64("hs"))
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             made = [buckets(grams_of(h, n), a, b, bands) if len(h) else np.empty(0, dtype=np.int64) for h in batch["hs"]]
-            yield batch[["id"]].assign(node=batch["key"].astype("Int64"), buckets=made)
+            yield batch[["id", "key"]].assign(buckets=made)
 
     # The one pass over all texts; whatever follows starts from ids and bucket numbers.
-    signed = stored(noded(named).mapInPandas(sign, f"id {key_type}, node long, buckets array<long>"), "signed")
+    signed = noded(named).mapInPandas(sign, f"id {key_type}, key long, buckets array<long>")
+    signed = stored(signed.select("id", F.when(F.size("buckets") > 0, F.col("key")).alias("node"), "buckets"), "signed")
     members = signed.select("id", "node")
     nodes = signed.where("node IS NOT NULL").groupBy("node").agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("first"), F.first("buckets").alias("buckets"))
     nodes = stored(nodes, "nodes")
