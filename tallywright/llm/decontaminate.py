@@ -4,7 +4,7 @@ A seed is a mask over a run of words: positions marked 1 are hashed, those
 marked 0 are ignored, so two passages meet on a seed though words under its
 zeros were replaced.  All seeds of all benchmark items are joined to all seeds
 of all documents; a hit fixes an alignment, along which document and item are
-compared word by word, and the alignment counts if its best stretch is long
+compared word by word, and the alignment counts if any stretch of it is long
 enough and enough of its words agree.  DataFrame functions only.
 
 * A document becomes one array of word hashes.  Its seeds are made from that
@@ -30,6 +30,7 @@ documents match each by itself; a null id stays null; other columns pass through
 
 from __future__ import annotations
 
+from fractions import Fraction
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -86,27 +87,41 @@ def _before(hashes: Column, at: Column, mask: Column, masks: tuple[str, ...]) ->
     return F.when(at > 0, found)
 
 
-def best_stretch(doc_part: Column, item_part: Column) -> Column:
-    """The stretch where agreement less three times disagreement is greatest, of two aligned arrays.
+def best_stretch(doc_part: Column, item_part: Column, enough: Column, min_share: float) -> Column:
+    """The stretch of at least ``enough`` words that is most above the share, of two aligned arrays.
 
-    A struct with its start, its length and how many of its words agree.
+    A word that agrees counts ``whole - share``, another ``-share``, both whole numbers,
+    so a stretch reaches the share if its sum is not negative, and some stretch that is
+    long enough reaches it if the greatest sum is not negative.  Of equal sums the
+    longer one, then the first.  A struct with its start, its length, how many of its
+    words agree and its sum; null where the arrays are shorter than ``enough``.
     """
-
-    def step(state: Column, i: Column) -> Column:
-        same = F.get(doc_part, i) == F.get(item_part, i)
-        run = F.greatest(state["run"], F.lit(0)) + F.when(same, 1).otherwise(-3)
-        start = F.when(state["run"] > 0, state["start"]).otherwise(i)
-        agreed = F.when(state["run"] > 0, state["agreed"]).otherwise(F.lit(0)) + F.when(same, 1).otherwise(0)
-        now = F.struct(run.alias("run"), start.alias("start"), i.alias("end"), agreed.alias("agreed"))
-        best = F.when(run > state["best"]["run"], now).otherwise(state["best"])
-        return F.struct(run.alias("run"), start.alias("start"), agreed.alias("agreed"), best.alias("best"))
-
-    none = F.struct(*[F.lit(0).alias(n) for n in ("run", "start", "end", "agreed")])
-    zero = F.struct(*[F.lit(0).alias(n) for n in ("run", "start", "agreed")], none.alias("best"))
-    return F.aggregate(
-        F.sequence(F.lit(0), F.least(F.size(doc_part), F.size(item_part)) - 1), zero, step,
-        lambda s: F.struct(s["best"]["start"].alias("start"), (s["best"]["end"] - s["best"]["start"] + 1).alias("n_words"), s["best"]["agreed"].alias("n_same")),
-    )
+    share = Fraction(str(min_share))
+
+    def step(s: Column, i: Column) -> Column:
+        same = F.when(F.get(doc_part, i) == F.get(item_part, i), 1).otherwise(0)
+        total, agreed = s["total"] + share.denominator * same - share.numerator, s["agreed"] + same
+        # Sums up to the last start that leaves enough words, and the least of them.
+        at = i + 1 - enough
+        late = F.when(at > 0, F.when(F.get(doc_part, at - 1) == F.get(item_part, at - 1), 1).otherwise(0))
+        low_total = F.when(at > 0, s["low_total"] + share.denominator * late - share.numerator).otherwise(0)
+        low_agreed = F.when(at > 0, s["low_agreed"] + late).otherwise(0)
+        here = F.struct(low_total.alias("total"), at.alias("start"), low_agreed.alias("agreed"))
+        least = F.when((at == 0) | ((at > 0) & (low_total < s["least"]["total"])), here).otherwise(s["least"])
+        length, points = i + 1 - least["start"], total - least["total"]
+        now = F.struct(points.alias("sum"), length.alias("n_words"), least["start"].alias("start"), (agreed - least["agreed"]).alias("n_same"))
+        better = s["best"].isNull() | (points > s["best"]["sum"]) | ((points == s["best"]["sum"]) & (length > s["best"]["n_words"]))
+        best = F.when((at >= 0) & better, now).otherwise(s["best"])
+        return F.struct(
+            total.alias("total"), agreed.alias("agreed"), low_total.alias("low_total"), low_agreed.alias("low_agreed"), least.alias("least"), best.alias("best")
+        ).cast(state)
+
+    state = (
+        "struct<total:int,agreed:int,low_total:int,low_agreed:int,least:struct<total:int,start:int,agreed:int>,"
+        "best:struct<sum:int,n_words:int,start:int,n_same:int>>"
+    )
+    zero = F.struct(*[F.lit(0)] * 4, F.struct(*[F.lit(0)] * 3), F.lit(None)).cast(state)
+    return F.aggregate(F.sequence(F.lit(0), F.least(F.size(doc_part), F.size(item_part)) - 1), zero, step, lambda s: s["best"])
 
 
 def overlaps(
@@ -135,10 +150,11 @@ def overlaps(
         "doc", "text_hash", "item", doc_from.alias("doc_from"), F.least(F.lit(min_words), F.size("item_hashes")).alias("enough"),
         F.slice("hashes", doc_from + 1, length).alias("doc_part"), F.slice("item_hashes", item_from + 1, length).alias("item_part"),
     )
-    judged = judged.withColumn("s", best_stretch(F.col("doc_part"), F.col("item_part")))
+    long_enough = judged.where(F.size("doc_part") >= F.col("enough"))
+    best = long_enough.withColumn("s", best_stretch(F.col("doc_part"), F.col("item_part"), F.col("enough"), min_share))
     return (
-        judged.select("doc", "text_hash", "item", "enough", (F.col("doc_from") + F.col("s.start")).alias("doc_at"), "s.n_words", "s.n_same")
-        .where((F.col("n_words") >= F.col("enough")) & (F.col("n_same") >= min_share * F.col("n_words")))
+        best.where("s.sum >= 0")
+        .select("doc", "text_hash", "item", (F.col("doc_from") + F.col("s.start")).alias("doc_at"), "s.n_words", "s.n_same")
         .groupBy("doc", "text_hash", "item", "doc_at", "n_words")
         .agg(F.max("n_same").alias("n_same"))
     )
