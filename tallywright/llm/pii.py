@@ -2,8 +2,9 @@
 
 Base entities (email, ip, card, phone) come from patterns.  For the method, each
 occurrence of an entity is a context of the ``WINDOW`` words on either side; over
-all contexts of the corpus a term's pointwise mutual information with an entity
-is set against the entity's own information content.  A term whose share reaches
+all contexts of the corpus a term's pointwise mutual information with an entity,
+the entity's share of the term's documents smoothed towards its share of all, is
+set against the entity's own information content.  A term whose share reaches
 ``DISCLOSURE`` makes the entity nearly certain, and where it stands beside that
 entity it is a span of its own: generalised to its kind if it is a number, else
 removed.  DataFrame functions only.
@@ -37,7 +38,9 @@ PATTERNS = {
 }
 _BYTE = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{0,2})"
 IP_PARTS = rf"^{_BYTE}(?:\.{_BYTE}){{3}}$"
-WINDOW, DISCLOSURE, MIN_DOCS = 4, 0.9, 3
+WINDOW, DISCLOSURE = 4, 0.9
+#: Documents' worth of the entity's own frequency that a term's documents are smoothed by: rare pairs are judged, and by more the less is known without them.
+PRIOR = 1.0
 SIDE = 200  # code points on either side that are searched for the window's words
 
 
@@ -123,7 +126,7 @@ def _contexts(found: DataFrame, id_col: str, text_col: str, window: int) -> Data
     return rows.where(clear).select("doc", "of", "entity", F.lower("p.term").alias("term"), F.col("p.start").alias("start"), end.alias("end"))
 
 
-def disclosing(contexts: DataFrame, disclosure: float = DISCLOSURE, min_docs: int = MIN_DOCS) -> DataFrame:
+def disclosing(contexts: DataFrame, disclosure: float = DISCLOSURE, prior: float = PRIOR) -> DataFrame:
     """(entity, term) where the term's information on the entity reaches that share of all there is."""
     once = contexts.select("doc", "of", "entity", F.xxhash64("term").alias("term")).distinct()
     both = once.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both"))
@@ -131,18 +134,19 @@ def disclosing(contexts: DataFrame, disclosure: float = DISCLOSURE, min_docs: in
     pairs = once.select("doc", "of", "entity").distinct()
     of_entity = pairs.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
     total = pairs.agg(F.count(F.lit(1)).alias("n"))
-    pmi = F.log(F.col("n_both") * F.col("n") / (F.col("n_term") * F.col("n_entity")))
-    content = F.log(F.col("n") / F.col("n_entity"))
-    kept = both.where(F.col("n_both") >= min_docs).join(of_term, "term").join(of_entity, "entity").join(F.broadcast(total))  # one row
+    share = F.col("n_entity") / F.col("n")
+    pmi = F.log((F.col("n_both") + prior * share) / (F.col("n_term") + prior) / share)
+    content = -F.log(share)
+    kept = both.join(of_term, "term").join(of_entity, "entity").join(F.broadcast(total))  # one row
     return kept.where((content > 0) & (pmi >= disclosure * content)).select("entity", F.col("term").alias("term_hash"))
 
 
-def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, disclosure: float = DISCLOSURE, min_docs: int = MIN_DOCS) -> DataFrame:
+def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, disclosure: float = DISCLOSURE, prior: float = PRIOR) -> DataFrame:
     """``docs`` with ``base`` and ``added`` spans and the sanitised text ``clean``."""
     docs = docs.drop("base", "added", "clean").withColumn(text_col, F.coalesce(F.col(text_col), F.lit("")))
     found = stored(base_spans(docs, text_col), "spans")  # patterns run once, whatever reads the spans
     contexts = stored(_contexts(found.where(F.size("base") > 0), id_col, text_col, window), "contexts")
-    hits = contexts.withColumn("term_hash", F.xxhash64("term")).join(disclosing(contexts, disclosure, min_docs), ["entity", "term_hash"])
+    hits = contexts.withColumn("term_hash", F.xxhash64("term")).join(disclosing(contexts, disclosure, prior), ["entity", "term_hash"])
     kind = F.when(F.col("term").rlike(r"^\p{N}+$"), "number").otherwise("term")
     added = hits.select("doc", "of", kind.alias("kind"), "start", "end", F.col("term").alias("value")).distinct()
     added = added.groupBy("doc", "of").agg(F.sort_array(F.collect_list(F.struct("kind", "start", "end", "value"))).alias("added"))

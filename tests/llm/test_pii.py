@@ -62,3 +62,11 @@ def test_disclosing_terms(spark):
 
 def test_empty(spark):
     assert sanitise(spark.createDataFrame([], "doc_id long, text string, base int")).collect() == []
+
+
+def test_rare_entities_are_judged(spark):
+    """A name that stands once, beside an email that stands once, is told by the size of the corpus alone."""
+    rows = [(0, "the agent zorro wrote ann@x.org for us")]
+    rows += [(i, f"the agent wrote user{i}@x.org for us") for i in range(1, 1500)]
+    got = sanitise(spark.createDataFrame(rows, "doc_id long, text string")).where("size(added) > 0").collect()
+    assert [(r.doc_id, [s.value for s in r.added], r.clean) for r in got] == [(0, ["zorro"], "the agent  wrote [EMAIL] for us")]
