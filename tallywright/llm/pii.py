@@ -1,22 +1,21 @@
 """Personal data: patterns find entities, co-occurrence finds what gives them away.
 
-Base entities (email, ip, card, phone) come from patterns.  For the method, each
-occurrence of an entity is a context of the ``WINDOW`` words on either side; over
-all contexts of the corpus a term's pointwise mutual information with an entity,
-the entity's share of the term's documents smoothed towards its share of all, is
-set against the entity's own information content.  A term whose share reaches
-``DISCLOSURE`` makes the entity nearly certain, and where it stands beside that
-entity it is a span of its own: generalised to its kind if it is a number, else
-removed.  DataFrame functions only.
+Base entities (email, ip, card, phone) come from patterns.  For the method, a
+term is a word outside them, and the documents of the corpus are its contexts:
+over all of them a term's pointwise mutual information with an entity, the
+entity's share of the term's documents smoothed towards its share of all, is set
+against the entity's own information content.  A term whose share reaches
+``DISCLOSURE`` makes the entity nearly certain, and wherever it stands in a
+document that holds that entity it is a span of its own: generalised to its kind
+if it is a number, else removed.  DataFrame functions only.
 
 * Patterns are written so that no start is tried twice within a run, and only on
-  texts that hold a character they need; texts stay where they are.
-* An occurrence gives at most ``2 * WINDOW`` terms, so contexts grow with the
-  entities found.  Terms and entities are counted as hashes, before the shuffle.
+  texts that hold a character they need; texts without entities stay where they are.
+* Terms and entities are counted as hashes, before the shuffle.  A term in more
+  documents than can disclose an entity of its document is not paired with it.
 
 Defined results: a null text is empty; an empty text has no spans; a repeated
-row is judged by itself, though its contexts count once for each ``doc_id`` and
-text; a null ``doc_id`` is a document; the method's spans never overlap base
+row is judged by itself, though it counts once for each ``doc_id`` and text; a null ``doc_id`` is a document; the method's spans never overlap base
 ones; entities of two kinds may overlap; other columns pass through, and the
 columns ``base``, ``added`` and ``clean`` replace those of that name.
 """
@@ -38,10 +37,10 @@ PATTERNS = {
 }
 _BYTE = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{0,2})"
 IP_PARTS = rf"^{_BYTE}(?:\.{_BYTE}){{3}}$"
-WINDOW, DISCLOSURE = 4, 0.9
+WORD = r"[\p{L}\p{N}]++"
+DISCLOSURE = 0.9
 #: Documents' worth of the entity's own frequency that a term's documents are smoothed by: rare pairs are judged, and by more the less is known without them.
 PRIOR = 1.0
-SIDE = 200  # code points on either side that are searched for the window's words
 
 
 def luhn(digits: Column) -> Column:
@@ -94,65 +93,103 @@ def base_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.withColumn("base", F.concat(*[_spans(k, text) for k in KINDS]))
 
 
-def _contexts(found: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
-    """(doc, of, entity, term, start, end): the words beside each occurrence of an entity."""
-    word, gap = r"[\p{L}\p{N}]++", r"[^\p{L}\p{N}]++"
-    one = found.select(
-        F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("of"), F.col(text_col).alias("t"), F.col("base"), F.explode("base").alias("e")
-    )
-    lo = F.greatest(F.lit(0), F.col("e.start") - SIDE)
-    sides = F.array(
-        F.struct(lo.alias("from"), F.col("t").substr(lo + 1, F.col("e.start") - lo).alias("s"), F.lit(True).alias("before")),
-        F.struct(F.col("e.end").alias("from"), F.col("t").substr(F.col("e.end") + 1, F.lit(SIDE)).alias("s"), F.lit(False).alias("before")),
-    )
-    entity = F.xxhash64(F.col("e.kind"), lower_ascii(F.col("e.value")))
-    side = one.select("doc", "of", "base", entity.alias("entity"), F.explode(sides).alias("side")).select("doc", "of", "base", "entity", "side.*")
-    terms = F.regexp_extract_all("s", F.lit(word), F.lit(0))
-    # A word that the search window may have cut at its far edge is not a term.
-    parts = side.select("doc", "of", "base", "entity", "from", "before", "s", terms.alias("ws"), F.transform(F.split("s", word, -1), F.length).alias("gs"))
-    places = F.transform(
-        "ws",
-        lambda w, i: F.struct(
-            w.alias("term"),
-            (F.col("from") + F.aggregate(F.slice("gs", 1, i + 1), F.lit(0), lambda a, x: a + x)
-             + F.aggregate(F.slice("ws", 1, i), F.lit(0), lambda a, x: a + F.length(x))).alias("start"),
-        ),
-    )
-    whole = F.filter(places, lambda p: F.when(F.col("before"), (p["start"] > F.col("from")) | (F.col("from") == 0)).otherwise(p["start"] + F.length(p["term"]) < F.col("from") + SIDE))
-    near = F.when(F.col("before"), F.reverse(F.slice(F.reverse(whole), 1, window))).otherwise(F.slice(whole, 1, window))
-    rows = parts.select("doc", "of", "base", "entity", F.explode(near).alias("p"))
-    end = F.col("p.start") + F.length("p.term")
-    clear = ~F.exists("base", lambda x: (x["start"] < end) & (x["end"] > F.col("p.start")))
-    return rows.where(clear).select("doc", "of", "entity", F.lower("p.term").alias("term"), F.col("p.start").alias("start"), end.alias("end"))
-
-
-def disclosing(contexts: DataFrame, disclosure: float = DISCLOSURE, prior: float = PRIOR) -> DataFrame:
-    """(entity, term) where the term's information on the entity reaches that share of all there is."""
-    once = contexts.select("doc", "of", "entity", F.xxhash64("term").alias("term")).distinct()
-    both = once.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both"))
-    of_term = once.groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-    pairs = once.select("doc", "of", "entity").distinct()
-    of_entity = pairs.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
-    total = pairs.agg(F.count(F.lit(1)).alias("n"))
+def _masked(text: Column, base: Column) -> Column:
+    """The text with blanks for what its base spans cover, of the same length."""
+    state = "struct<at:int,out:string>"
+    order = F.array_sort(F.transform(base, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
+
+    def blank(s: Column, p: Column) -> Column:
+        before = text.substr(s["at"] + 1, F.greatest(F.lit(0), p["start"] - s["at"]))
+        blanks = F.repeat(F.lit(" "), F.greatest(F.lit(0), p["end"] - F.greatest(s["at"], p["start"])))
+        return F.struct(F.greatest(s["at"], p["end"]).alias("at"), F.concat(s["out"], before, blanks).alias("out")).cast(state)
+
+    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out")).cast(state)
+    whole = F.aggregate(order, zero, blank, lambda s: F.concat(s["out"], text.substr(s["at"] + 1, F.length(text))))
+    return F.when(F.size(base) == 0, text).otherwise(whole)
+
+
+def _term(word: Column) -> Column:
+    return F.xxhash64(F.lower(word))
+
+
+def _terms(masked: Column) -> Column:
+    """The hashes of a text's different terms."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(masked, F.lit(WORD), F.lit(0)), _term))
+
+
+def _entities(base: Column) -> Column:
+    """The hashes of a text's different entities."""
+    return F.array_distinct(F.transform(base, lambda e: F.xxhash64(e["kind"], lower_ascii(e["value"]))))
+
+
+def disclosed(found: DataFrame, id_col: str, text_col: str, disclosure: float = DISCLOSURE, prior: float = PRIOR) -> DataFrame:
+    """(row, terms): the hashes of the terms that disclose an entity of that row of ``found``.
+
+    A term's information on the entity reaches that share of all there is.
+    """
+    text = F.col(text_col)
+    placed = found.select(F.col(id_col).alias("doc"), F.xxhash64(text).alias("of"), F.col("_row").alias("row"))
+    keys = placed.groupBy("doc", "of").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("rows"))
+    total = keys.agg(F.count(F.lit(1)).alias("n"))
+    again = keys.where("rows > 1").select(F.col("doc").alias("_doc"), F.col("of").alias("_of"), "first")
+    repeats = placed.join(again, F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("of") == F.col("_of")) & (F.col("row") != F.col("first"))).select("row")
+    repeats = stored(repeats, "repeats")
+
+    masked = found.select(F.col("_row").alias("row"), "base", _masked(text, F.col("base")).alias("masked"))
+    of_term = masked.join(repeats, "row", "left_anti").select(F.explode(_terms(F.col("masked"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
+
+    holding = masked.where(F.size("base") > 0)
+    entities = holding.select("row", F.explode(_entities(F.col("base"))).alias("entity"))
+    of_entity = entities.join(repeats, "row", "left_anti").groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
+    # The documents that a term can have if each that holds the entity holds it too: nothing that could be a span goes.
     share = F.col("n_entity") / F.col("n")
+    most = F.col("n_entity") * (1 + prior / F.col("n")) * F.pow(share, F.lit(disclosure - 1)) - prior + 1e-6
+    judged = stored(entities.join(of_entity, "entity").crossJoin(F.broadcast(total)).withColumn("most", most), "entities")  # one row
+    limit = judged.groupBy("row").agg(F.max("most").alias("limit"))
+    own = holding.select("row", F.explode(_terms(F.col("masked"))).alias("term"))
+    rare = of_term.crossJoin(F.broadcast(judged.agg(F.max("most").alias("highest")))).where("n_term <= highest").drop("highest")  # one row
+    pairs = own.join(rare, "term").join(limit, "row").where("n_term <= limit").join(judged, "row").where("n_term <= most")
+    pairs = stored(pairs.select("row", "entity", "term", "n_term", "n_entity", "n"), "pairs")
+
+    both = pairs.join(repeats, "row", "left_anti").groupBy("entity", "term").agg(
+        F.count(F.lit(1)).alias("n_both"), *[F.first(c).alias(c) for c in ("n_term", "n_entity", "n")]
+    )
     pmi = F.log((F.col("n_both") + prior * share) / (F.col("n_term") + prior) / share)
     content = -F.log(share)
-    kept = both.join(of_term, "term").join(of_entity, "entity").join(F.broadcast(total))  # one row
-    return kept.where((content > 0) & (pmi >= disclosure * content)).select("entity", F.col("term").alias("term_hash"))
+    kept = both.where((content > 0) & (pmi >= disclosure * content)).select("entity", "term")
+    return pairs.join(kept, ["entity", "term"]).groupBy("row").agg(F.collect_set("term").alias("terms"))
+
+
+def _added(masked: Column, terms: Column) -> Column:
+    """The spans of these terms, wherever they stand: kinds by name, then by start."""
+    words = F.regexp_extract_all(masked, F.lit(WORD), F.lit(0))
+    pieces = F.arrays_zip(words.alias("w"), F.transform(F.split(masked, WORD, -1), F.length).alias("g"))
+    spans = "array<struct<kind:string,start:int,end:int,value:string>>"
+    state = f"struct<at:int,out:{spans}>"
+
+    def step(s: Column, p: Column) -> Column:
+        start, term = s["at"] + p["g"], F.lower(p["w"])
+        end = start + F.length(p["w"])
+        kind = F.when(term.rlike(r"^\p{N}+$"), "number").otherwise("term")
+        one = F.array(F.struct(kind.alias("kind"), start.alias("start"), end.alias("end"), term.alias("value")))
+        out = F.when(p["w"].isNotNull() & F.array_contains(terms, _term(p["w"])), F.concat(s["out"], one)).otherwise(s["out"])
+        return F.struct(F.coalesce(end, start).alias("at"), out.alias("out")).cast(state)
+
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast(spans).alias("out")).cast(state)
+    return F.sort_array(F.aggregate(pieces, zero, step)["out"])
 
 
-def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, disclosure: float = DISCLOSURE, prior: float = PRIOR) -> DataFrame:
+def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", disclosure: float = DISCLOSURE, prior: float = PRIOR) -> DataFrame:
     """``docs`` with ``base`` and ``added`` spans and the sanitised text ``clean``."""
     docs = docs.drop("base", "added", "clean").withColumn(text_col, F.coalesce(F.col(text_col), F.lit("")))
-    found = stored(base_spans(docs, text_col), "spans")  # patterns run once, whatever reads the spans
-    contexts = stored(_contexts(found.where(F.size("base") > 0), id_col, text_col, window), "contexts")
-    hits = contexts.withColumn("term_hash", F.xxhash64("term")).join(disclosing(contexts, disclosure, prior), ["entity", "term_hash"])
-    kind = F.when(F.col("term").rlike(r"^\p{N}+$"), "number").otherwise("term")
-    added = hits.select("doc", "of", kind.alias("kind"), "start", "end", F.col("term").alias("value")).distinct()
-    added = added.groupBy("doc", "of").agg(F.sort_array(F.collect_list(F.struct("kind", "start", "end", "value"))).alias("added"))
-    joined = found.join(added, found[id_col].eqNullSafe(added["doc"]) & (F.xxhash64(found[text_col]) == added["of"]), "left").drop("doc", "of")
+    # Patterns run once, whatever reads the spans.
+    found = stored(base_spans(docs, text_col).withColumn("_row", F.monotonically_increasing_id()), "spans")
+    hits = stored(disclosed(found, id_col, text_col, disclosure, prior), "terms")
     none = F.array().cast("array<struct<kind:string,start:int,end:int,value:string>>")
-    joined = joined.withColumn("added", F.coalesce("added", none))
+    # Only texts that hold an entity are joined.
+    marked = found.where(F.size("base") > 0).join(hits, F.col("_row") == F.col("row"), "left").drop("row")
+    added = F.when(F.col("terms").isNotNull(), _added(_masked(F.col(text_col), F.col("base")), F.col("terms"))).otherwise(none)
+    joined = marked.withColumn("added", added).drop("terms").unionByName(found.where(F.size("base") == 0).withColumn("added", none)).drop("_row")
     order = F.array_sort(F.transform(F.concat("base", "added"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
     text = F.col(text_col)
     state = "struct<at:int,out:string>"

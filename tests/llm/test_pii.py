@@ -70,3 +70,43 @@ def test_rare_entities_are_judged(spark):
     rows += [(i, f"the agent wrote user{i}@x.org for us") for i in range(1, 1500)]
     got = sanitise(spark.createDataFrame(rows, "doc_id long, text string")).where("size(added) > 0").collect()
     assert [(r.doc_id, [s.value for s in r.added], r.clean) for r in got] == [(0, ["zorro"], "the agent  wrote [EMAIL] for us")]
+
+
+def test_terms_count_over_whole_texts_and_are_marked_everywhere(spark):
+    """Far from the entity a term is a span too; one that is frequent away from all entities is none."""
+    far = " ".join(["far"] * 60)
+    rows = [(i, f"Zorro {far} often wrote ann@x.org, {far} zorro.") for i in range(5)]
+    rows += [(i, f"the agent wrote user{i}@x.org for us") for i in range(10, 40)]
+    rows += [(i, f"far away they often talk of {i}") for i in range(40, 400)]
+    docs = spark.createDataFrame(rows + rows[:1] * 9, "doc_id long, text string")
+    got = sanitise(docs).where("size(added) > 0").collect()
+    assert sorted(r.doc_id for r in got) == [0] * 10 + [1, 2, 3, 4]
+    for r in got:
+        assert [(s.value, s.start, s.end) for s in r.added] == [("zorro", m.start(), m.end()) for m in re.finditer("(?i)zorro", r.text)]
+        assert r.clean == f" {far} often wrote [EMAIL], {far} ."
+
+
+def test_terms_against_brute_force(spark):
+    import math
+    import random
+
+    rng = random.Random(5)
+    texts = []
+    for _ in range(1500):
+        k, holds = rng.randrange(100), rng.random() < 0.5
+        told = f"x{k}" if holds and rng.random() < 0.7 else f"x{rng.randrange(2000)}"
+        texts.append(" ".join([told, *(f"w{rng.randrange(300)}" for _ in range(9)), f"m{k}@x.org" if holds else "w"]))
+    words = [set(re.findall(r"[^\W_]+", re.sub(r"\S+@\S+", " ", t))) for t in texts]
+    mails = [set(re.findall(r"\S+@\S+", t)) for t in texts]
+    want = {}
+    for mail in set().union(*mails):
+        with_it = [i for i, m in enumerate(mails) if mail in m]
+        share = len(with_it) / len(texts)
+        for w in set().union(*(words[i] for i in with_it)):
+            n_both, n_term = sum(w in words[i] for i in with_it), sum(w in x for x in words)
+            if math.log((n_both + share) / (n_term + 1) / share) >= -0.9 * math.log(share):
+                for i in with_it:
+                    want.setdefault(i, set()).update({w} & words[i])
+    assert want
+    got = sanitise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).where("size(added) > 0").collect()
+    assert {r.doc_id: {s.value for s in r.added} for r in got} == {i: w for i, w in want.items() if w}
