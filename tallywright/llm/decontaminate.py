@@ -23,13 +23,14 @@ enough and enough of its words agree.  DataFrame functions only.
 Defined results: words are lower-cased runs of letters and digits, told apart by
 64-bit hashes; null and empty texts have none and never match; items shorter
 than ``MIN_WORDS`` count if all their length agrees to the same share, and items
-of fewer words than the shortest mask has never match; repeated items and
+of one or two words never match; repeated items and
 documents match each by itself; a null id stays null; other columns pass through
 ``clean_documents``.
 """
 
 from __future__ import annotations
 
+from collections.abc import Collection
 from fractions import Fraction
 from functools import reduce
 
@@ -38,8 +39,9 @@ from pyspark.sql import functions as F
 
 from tallywright.llm.common import table, words
 
-#: Each finds a run of its own span with no more than what its zeros cover replaced.
-MASKS = ("11011011", "1110010111", "1101000110011")
+#: One of them fits between the replaced words of any 7 to 25 of which four in five agree; a longer
+#: stretch of that share holds such a one of 13 to 25 words.  Items of 3 to 6 words have masks of their own.
+MASKS, SHORT_MASKS, SHORT = ("1111", "11101"), ("111", "1101"), 7
 MIN_WORDS, MIN_SHARE = 13, 0.8
 BLOCK = 1_000_000
 
@@ -54,9 +56,10 @@ def _seed(hashes: Column, at: Column, n: int, mask: str) -> Column:
     return F.when(at + F.lit(len(mask)) <= F.size(hashes), F.xxhash64(F.lit(n), *marked))
 
 
-def _seeds(hashes: Column, at: Column, masks: tuple[str, ...]) -> Column:
-    """A (seed, mask) struct for each mask."""
-    return F.array(*[F.struct(_seed(hashes, at, n, m).alias("seed"), F.lit(n).alias("mask")) for n, m in enumerate(masks)])
+def _seeds(hashes: Column, at: Column, masks: tuple[str, ...], used: Collection[int] | None = None) -> Column:
+    """A (seed, mask) struct for each mask, or each that is used."""
+    made = [F.struct(_seed(hashes, at, n, m).alias("seed"), F.lit(n).alias("mask")) for n, m in enumerate(masks) if used is None or n in used]
+    return F.array(*made)
 
 
 def _places(hashed: DataFrame, hashes: str) -> DataFrame:
@@ -72,11 +75,16 @@ def benchmark_items(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
-def benchmark_seeds(items: DataFrame, masks: tuple[str, ...]) -> DataFrame:
-    """(seed, mask, item_key, item_at, before): ``before`` is the same mask's seed one word earlier."""
+def benchmark_seeds(items: DataFrame, masks: tuple[str, ...], short_masks: tuple[str, ...] = ()) -> DataFrame:
+    """(seed, mask, item_key, item_at, before): ``before`` is the same mask's seed one word earlier.
+
+    Items of fewer than ``SHORT`` words have seeds of the short masks, which are numbered after the others.
+    """
+    n_long, masks = len(masks), masks + short_masks
     placed = _places(items.select("item_key", "item_hashes"), "item_hashes")
     made = placed.select("item_key", "item_hashes", F.col("at").alias("item_at"), F.explode(_seeds(F.col("item_hashes"), F.col("at"), masks)).alias("s"))
-    return made.where("s.seed IS NOT NULL").select("s.seed", "s.mask", "item_key", "item_at", _before(F.col("item_hashes"), F.col("item_at"), F.col("s.mask"), masks).alias("before"))
+    own = (F.col("s.mask") >= n_long) == (F.size("item_hashes") < SHORT) if short_masks else F.lit(True)
+    return made.where(F.col("s.seed").isNotNull() & own).select("s.seed", "s.mask", "item_key", "item_at", _before(F.col("item_hashes"), F.col("item_at"), F.col("s.mask"), masks).alias("before"))
 
 
 def _before(hashes: Column, at: Column, mask: Column, masks: tuple[str, ...]) -> Column:
@@ -126,19 +134,20 @@ def best_stretch(doc_part: Column, item_part: Column, enough: Column, min_share:
 
 def overlaps(
     docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text",
-    masks: tuple[str, ...] = MASKS, min_words: int = MIN_WORDS, min_share: float = MIN_SHARE, block: int = BLOCK,
+    masks: tuple[str, ...] = MASKS, short_masks: tuple[str, ...] = SHORT_MASKS, min_words: int = MIN_WORDS, min_share: float = MIN_SHARE, block: int = BLOCK,
 ) -> DataFrame:
     """(doc, text_hash, item, doc_at, n_words, n_same): each stretch of a document that counts for an item."""
     own = benchmark_items(items, item_id_col, item_text_col)
-    seeds = benchmark_seeds(own, masks)
-    blocks = max(1, -(-seeds.count() // block))
+    seeds = benchmark_seeds(own, masks, short_masks)
+    used = {r["mask"]: r["count"] for r in seeds.groupBy("mask").count().collect()}  # a row for each mask
+    blocks, masks = max(1, -(-sum(used.values()) // block)), masks + short_masks
 
     def dealt(df: DataFrame, n: int) -> DataFrame:
         return F.broadcast(df.where(F.pmod("item_key", F.lit(blocks)) == n) if blocks > 1 else df)
 
     hashed = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("text_hash"), word_hashes(F.col(text_col)).alias("hashes"))
     placed = _places(hashed, "hashes")
-    seeded = placed.select("doc", "text_hash", "hashes", "at", F.explode(_seeds(F.col("hashes"), F.col("at"), masks)).alias("s"))
+    seeded = placed.select("doc", "text_hash", "hashes", "at", F.explode(_seeds(F.col("hashes"), F.col("at"), masks, used or {0})).alias("s"))
     seeded = seeded.select("doc", "text_hash", "hashes", "at", "s.seed").where("seed IS NOT NULL")
     first = ~F.coalesce(F.col("before") == _before(F.col("hashes"), F.col("at"), F.col("mask"), masks), F.lit(False))
     parts = [seeded.join(dealt(seeds, n), "seed").where(first).join(dealt(own, n), "item_key") for n in range(blocks)]

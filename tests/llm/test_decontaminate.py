@@ -4,7 +4,7 @@ from itertools import combinations
 
 from pyspark.sql import functions as F
 
-from tallywright.llm.decontaminate import MIN_SHARE, MIN_WORDS, best_stretch, clean_documents
+from tallywright.llm.decontaminate import MASKS, MIN_SHARE, MIN_WORDS, SHORT, SHORT_MASKS, best_stretch, clean_documents, overlaps
 
 
 def counts(same, enough):
@@ -34,3 +34,26 @@ def test_a_word_replaced_near_an_end(spark):
     docs = spark.createDataFrame([*rows, (99, "a b c")], "doc_id long, text string")
     items = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
     assert [r.doc_id for r in clean_documents(docs, items).collect()] == [99]
+
+
+def test_masks_reach_every_placing():
+    """Some mask fits between the replaced words, wherever they are: 3 to 25 words, as many replaced as the share admits."""
+    for n in range(3, 26):
+        masks = SHORT_MASKS if n < SHORT else MASKS
+        places = [sum(1 << (at + i) for i, c in enumerate(m) if c == "1") for m in masks for at in range(n - len(m) + 1)]
+        for gone in combinations(range(n), n // 5):
+            replaced = sum(1 << i for i in gone)
+            assert any(not place & replaced for place in places), (n, gone)
+
+
+def test_short_items(spark):
+    """Every length from 3 words, evenly replaced as far as the share admits; one more is too many."""
+    items = [(n, [f"i{n}w{i}" for i in range(n)]) for n in range(3, 26)]
+    rows = []
+    for n, item in items:
+        for more in (0, 1):
+            k = n // 5 + more
+            gone = {(i + 1) * n // (k + 1) for i in range(k)} if n < 13 or not more else set(range(1, n, 3))
+            rows.append((2 * n + more, " ".join(["a", *("other" if i in gone else w for i, w in enumerate(item)), "b"])))
+    found = overlaps(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(n, " ".join(i)) for n, i in items], "item_id long, text string"))
+    assert sorted({(r.doc, r.item) for r in found.collect()}) == [(2 * n, n) for n, _ in items]
