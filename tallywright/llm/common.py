@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,7 +20,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, local mode) is one made here.
+    Where the session names none, one is made on this machine, which only local mode can use.
     """
     context = spark.sparkContext
     named = context.getConf().get("spark.checkpoint.dir")
@@ -27,6 +28,8 @@ def shared_dir(spark: SparkSession) -> str:
         return named
     current = context._jsc.sc().getCheckpointDir()
     if current.isEmpty():
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="tallywright-checkpoint-"))
         current = context._jsc.sc().getCheckpointDir()
     return current.get()
@@ -38,24 +41,40 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def _store(spark: SparkSession) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/stored-{spark.sparkContext.applicationId}"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it again."""
+    """Write ``df`` as Parquet to the shared folder and read it again; see ``clear_stored``."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/stored/{name}-{uuid.uuid4().hex}"
+    path = f"{_store(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear_stored(spark: SparkSession) -> None:
+    """Remove what this application stored, once nothing that reads it is needed any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_store(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def fresh(taken: Iterable[str], *names: str) -> list[str]:
+    """The names, each with as many underscores in front as keep it from clashing with a caller's."""
+    used, out = {t.lower() for t in taken}, []
+    for name in names:
+        while name.lower() in used:
+            name = "_" + name
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
 def words(text: Column) -> Column:
     """Lower-cased words of a text; a null or empty text has none."""
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), NOT_WORD), lambda w: w != "")
 
 
-def hash128(value: Column) -> list[Column]:
-    """Two 64-bit hashes with different seeds; together they stand for the value."""
-    return [F.xxhash64(value), F.xxhash64(F.lit(0x5EED), value)]
-
-
 def lower_ascii(text: Column) -> Column:
     """A-Z to a-z and nothing else; ``lower`` does just that where all is ASCII."""
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"

@@ -8,9 +8,9 @@ the nearest profile names the language.
 
 * Profiles are learned from a bounded sample: about ``per_lang`` documents of a
   language, chosen by a hash of ``doc_id`` with a share that follows from the
-  language's own count.  Everything that is learned from is then bounded, and
-  the profiles are a few thousand numbers that every task can hold.
-* Predicting shuffles nothing; each text is read whole where it lies.
+  language's own count.  The driver and tasks hold ``top`` numbers a language.
+* Predicting shuffles nothing.  Only texts go to Python; each is read whole, in
+  windows cut between words, so a task holds a window's n-grams at a time.
 
 Defined results: ``und`` with score 0 if the text is null or has no letter, or
 if nothing could be learned; equal distances go to the smaller language name;
@@ -21,22 +21,22 @@ is not held out; repeated rows are each judged; other columns pass through and
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql import Window
 
-from tallywright.llm.common import table
+from tallywright.llm.common import fresh, stored, table
 
 UNKNOWN = "und"
 TOP = 300
 PER_LANG = 2_000
-MAX_LANGS = 500
+WINDOW = 1 << 17
+BROADCAST_LANGS = 100_000
 BLANK = 32
 
 _letters: np.ndarray | None = None
@@ -50,9 +50,20 @@ def letters() -> np.ndarray:
     return _letters
 
 
-def grams(text: str | None) -> np.ndarray:
+def windows(text: str) -> Iterator[str]:
+    """Parts of about ``WINDOW`` code points, cut only where a letter does not meet a letter."""
+    at = 0
+    while at < len(text):
+        end = at + WINDOW
+        while end < len(text) and text[end - 1].isalpha() and text[end].isalpha():
+            end += 1
+        yield text[at:end]
+        at = end
+
+
+def grams(text: str) -> np.ndarray:
     """All one- to three-letter n-grams of the text's words as numbers, 21 bits a letter."""
-    points = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
+    points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
     is_letter = letters()[points]
     if not is_letter.any():
         return np.empty(0, dtype=np.int64)
@@ -64,6 +75,19 @@ def grams(text: str | None) -> np.ndarray:
     return np.concatenate((points[points != BLANK], two, three[points[1:-1] != BLANK]))
 
 
+def summed(parts: Iterable[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """One table of values and counts from several."""
+    values, counts = (np.concatenate(x) for x in zip(*parts))
+    known, place = np.unique(values, return_inverse=True)
+    return known, np.bincount(place, counts, minlength=len(known)).astype(np.int64)
+
+
+def counted(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """The different n-grams of a whole text, ascending, and how often each occurs."""
+    parts = [np.unique(grams(part), return_counts=True) for part in windows(text or "")]
+    return summed(parts) if len(parts) > 1 else parts[0] if parts else (np.empty(0, dtype=np.int64),) * 2
+
+
 def ranked(values: np.ndarray, counts: np.ndarray, top: int) -> np.ndarray:
     """The most frequent first; of equal counts the smaller number."""
     return values[np.lexsort((values, -counts))[:top]]
@@ -71,81 +95,93 @@ def ranked(values: np.ndarray, counts: np.ndarray, top: int) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Profiles:
+    """Rankings by n-gram: ``lang`` and ``rank`` from ``start[i]`` to ``start[i + 1]`` are those of ``known[i]``."""
+
     names: tuple[str, ...]
-    known: np.ndarray  # n-grams of any profile, ascending
-    rank: np.ndarray  # rank[n-gram, language]; top where it is missing
+    known: np.ndarray
+    start: np.ndarray
+    lang: np.ndarray
+    rank: np.ndarray
     top: int
 
     @staticmethod
     def of(rankings: dict[str, list[int]], top: int) -> Profiles:
         names = tuple(sorted(rankings))
-        known = np.unique(np.array([g for n in names for g in rankings[n]], dtype=np.int64))
-        rank = np.full((len(known), len(names)), top, dtype=np.int64)
-        for j, name in enumerate(names):
-            rank[np.searchsorted(known, rankings[name]), j] = np.arange(len(rankings[name]))
-        return Profiles(names, known, rank, top)
+        lang = np.repeat(np.arange(len(names)), [len(rankings[n]) for n in names])
+        rank = np.array([i for n in names for i in range(len(rankings[n]))], dtype=np.int64)
+        gram = np.array([g for n in names for g in rankings[n]], dtype=np.int64)
+        order = np.argsort(gram, kind="stable")
+        known, start = np.unique(gram[order], return_index=True)
+        return Profiles(names, known, np.append(start, len(gram)), lang[order], rank[order], top)
 
     def nearest(self, text: str | None) -> tuple[str, float]:
-        found = grams(text)
-        if not len(found) or not self.names or not len(self.known):
+        own = ranked(*counted(text), self.top)
+        if not len(own) or not len(self.known):
             return UNKNOWN, 0.0
-        own = ranked(*np.unique(found, return_counts=True), self.top)
         at = np.minimum(np.searchsorted(self.known, own), len(self.known) - 1)
-        rank = np.where((self.known[at] == own)[:, None], self.rank[at], self.top)
-        apart = np.where(rank == self.top, self.top, np.abs(rank - np.arange(len(own))[:, None])).sum(axis=0)
+        place = np.flatnonzero(self.known[at] == own)
+        at = at[place]
+        many = self.start[at + 1] - self.start[at]
+        entry = np.repeat(self.start[at] - np.cumsum(many) + many, many) + np.arange(many.sum())
+        # Every n-gram is out of place by ``top`` until a profile says by how much less.
+        less = self.top - np.abs(self.rank[entry] - np.repeat(place, many))
+        apart = len(own) * self.top - np.bincount(self.lang[entry], less, minlength=len(self.names))
         best = int(apart.argmin())
         return self.names[best], float(1 - apart[best] / (len(own) * self.top))
 
 
 def learn(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, top: int = TOP, per_lang: int = PER_LANG) -> Profiles:
-    """Profiles from a bounded sample of the labelled rows."""
-    labelled = labelled.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull())
-    sizes = labelled.groupBy(lang_col).count().limit(MAX_LANGS + 1).collect()
-    if len(sizes) > MAX_LANGS:
-        raise ValueError(f"over {MAX_LANGS} languages")
-    if not sizes:
-        return Profiles.of({}, top)
-    share = F.lit(0)
-    for row in sizes:
-        share = F.when(F.col(lang_col) == row[0], min(1_000_000, -(-per_lang * 1_000_000 // row[1]))).otherwise(share)
-    sample = labelled.where(F.pmod(F.xxhash64(F.col(id_col)), F.lit(1_000_000)) < share)
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for lang, own in batch.groupby("lang"):
-                got = [g for g in map(grams, own["text"]) if len(g)]
-                if got:
-                    values, counts = np.unique(np.concatenate(got), return_counts=True)
-                    yield pd.DataFrame({"lang": lang, "gram": values, "n": counts})
-
-    counted = (
-        sample.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-        .mapInPandas(count, "lang string, gram long, n long")
-        .groupBy("lang", "gram")
-        .agg(F.sum("n").alias("n"))
+    """Profiles from a bounded sample of each language's rows."""
+    rows = labelled.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull()).select(
+        F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), F.col(text_col).alias("text")
     )
+    sizes = stored(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")), "languages")
+    few = sizes.count() <= BROADCAST_LANGS  # else texts are shuffled to meet them
+    sample = rows.join(F.broadcast(sizes) if few else sizes, "lang").where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < F.ceil(F.lit(per_lang * 1_000_000) / F.col("rows")))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            tables = {lang: summed(parts) for lang, parts in held.items()}
+            lang = [name for name, (values, _) in tables.items() for _ in range(len(values))]
+            columns = [np.concatenate([t[i] for t in tables.values()]) for i in (0, 1)]
+            return pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), *map(pa.array, columns)], ["lang", "gram", "n"])
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                values, counts = counted(batch.column(1)[i].as_py())
+                held.setdefault(batch.column(0)[i].as_py(), []).append((values, counts))
+                size += len(values)
+                if size > 500_000:
+                    yield flush()
+                    held, size = {}, 0
+        if held:
+            yield flush()
+
+    sums = sample.select("lang", "text").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
-    best = counted.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    best = sums.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
     rankings: dict[str, list[int]] = {}
-    for row in best.orderBy("lang", "rank").collect():
+    for row in best.orderBy("lang", "rank").collect():  # ``top`` rows a language
         rankings.setdefault(row["lang"], []).append(row["gram"])
     return Profiles.of(rankings, top)
 
 
 def identify(docs: DataFrame, profiles: Profiles, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score``; of a row only the text is looked at."""
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    schema = T.StructType(
-        [docs.schema[c] for c in kept] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
-    )
+    """``docs`` with ``lang_pred`` and ``score``; only the text goes to Python, whole and once."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            judged = [profiles.nearest(t if isinstance(t, str) else None) for t in batch["_text"]]
-            named = pd.DataFrame(judged, columns=["lang_pred", "score"], index=batch.index)
-            yield pd.concat([batch[kept], named], axis=1)
+    @F.arrow_udf("lang_pred string, score double")
+    def judge(texts: pa.Array) -> pa.Array:
+        judged = [profiles.nearest(texts[i].as_py()) for i in range(len(texts))]
+        names, scores = zip(*judged) if judged else ((), ())
+        return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])
 
-    return docs.select(*[docs[c] for c in kept], docs[text_col].alias("_text")).mapInPandas(run, schema)
+    (found,) = fresh(docs.columns, "found")
+    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    judged = docs.withColumn(found, judge(docs[text_col].cast("string")))
+    return judged.select(*kept, F.col(found)["lang_pred"].alias("lang_pred"), F.col(found)["score"].alias("score"))
 
 
 def held_out(id_col: str = "doc_id") -> Column:
