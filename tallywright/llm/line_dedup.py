@@ -9,11 +9,14 @@ has to lose.  DataFrame functions only.
 * A text moves once, to meet the positions that it loses; looking those up is
   linear in its lines however many they are.
 
+* Frequent lines are looked up by a broadcast of at most ``BROADCAST_LINES`` of them,
+  24 bytes each; more of them are joined, every line spread over ``SALTS`` tasks.
+
 Defined results: a null or empty text is one empty line; a line twice in one
-document counts once; every row is a document of its own, and of rows with one
-``doc_id`` all keep the line if it is the largest; a null ``doc_id`` counts but
-is largest only where all are null.  Other columns pass through; ``n_lines`` and
-``n_dropped`` replace columns of that name.
+document counts once; rows of one ``doc_id`` are one document, and all of them
+keep the line if it is the largest; a null ``doc_id`` is a document too, but
+the largest only where all are null.  Other columns pass through, in their order;
+``n_lines`` and ``n_dropped`` replace columns of those names.
 """
 
 from __future__ import annotations
@@ -21,11 +24,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywright.llm.common import lower_ascii, table
+from tallywright.llm.common import fresh, lower_ascii, stored, table
 
 #: What a key loses at both ends: blank and \x09-\x0D.
 MARGIN = " \t\n\x0b\x0c\r"
 MIN_CHARS, MIN_DOCS = 40, 5
+BROADCAST_LINES, SALTS = 500_000, 8
 
 
 def line_key(line: Column) -> Column:
@@ -50,39 +54,40 @@ def dedup_lines(
 ) -> DataFrame:
     """``docs`` with the kept lines in ``text_col``, and ``n_lines`` (before) and ``n_dropped``."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    hashes = line_hashes(text, min_chars)
-    long_enough = F.length(text) >= min_chars
-    own = docs.where(long_enough).select(F.col(id_col).alias("_doc"), F.xxhash64(text).alias("_of"), hashes.alias("_hs"))
-
-    counted = (
-        own.select("_doc", F.explode(F.array_distinct("_hs")).alias("_h"))
-        .where(F.col("_h").isNotNull())
-        .groupBy(F.col("_h.a").alias("_a"), F.col("_h.b").alias("_b"))
-        .agg(F.count(F.lit(1)).alias("_n"), F.max("_doc").alias("_last"))
-        .where(F.col("_n") >= min_docs)
-    )
-    placed = (
-        own.select("_doc", "_of", F.posexplode("_hs").alias("_at", "_h"))
-        .where(F.col("_h").isNotNull())
-        .select("_doc", "_of", "_at", F.col("_h.a").alias("_a"), F.col("_h.b").alias("_b"))
-    )
-    lost = (
-        placed.join(counted, ["_a", "_b"])
-        .where(~F.col("_doc").eqNullSafe(F.col("_last")))
-        .groupBy("_doc", "_of")
-        .agg(F.collect_list("_at").alias("_lost"))
-    )
-
+    own = docs.where(F.length(text) >= min_chars).select(F.col(id_col).alias("doc"), F.xxhash64(text).alias("of"), line_hashes(text, min_chars).alias("hs"))
+
+    def lines_of(rows: DataFrame) -> DataFrame:
+        """A row for each different key of a row."""
+        return rows.select("doc", F.explode(F.array_distinct("hs")).alias("h")).where("h IS NOT NULL").select("doc", "h.a", "h.b")
+
+    by_row = lines_of(own).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.max("doc").alias("last"))
+    # A document of several rows counts once; ids that stand in one row, mostly all of them, need no look at their lines.
+    again = stored(docs.groupBy(F.col(id_col).alias("doc")).agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("doc"), "repeated_ids")
+    if not again.isEmpty():
+        both = own.join(again.withColumnRenamed("doc", "id"), F.col("doc").eqNullSafe(F.col("id")), "left_semi")
+        of_doc = lines_of(both).groupBy("doc", "a", "b").agg((1 - F.count(F.lit(1))).alias("n"))
+        extra = of_doc.where("n < 0").groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("doc").alias("last"))
+        by_row = by_row.unionByName(extra).groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("last").alias("last"))
+    counted = stored(by_row.where(F.col("n") >= min_docs).select("a", "b", "last"), "frequent_lines")
+
+    placed = own.select("doc", "of", F.posexplode("hs").alias("at", "h")).where("h IS NOT NULL").select("doc", "of", "at", "h.a", "h.b")
+    if counted.count() <= BROADCAST_LINES:
+        met = placed.join(F.broadcast(counted), ["a", "b"])
+    else:  # a line of a third of all documents is ``SALTS`` tasks' work
+        salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+        met = placed.withColumn("salt", F.pmod(F.xxhash64("doc", "at"), F.lit(SALTS)).cast("int")).join(counted.select("*", salts), ["a", "b", "salt"])
+    lost = met.where(~F.col("doc").eqNullSafe(F.col("last"))).groupBy("doc", "of").agg(F.collect_set("at").alias("lost"))
+
+    doc, of, gone = fresh(docs.columns + ["n_lines", "n_dropped"], "doc", "of", "lost")
+    lost = lost.select(F.col("doc").alias(doc), F.col("of").alias(of), F.col("lost").alias(gone))
     lines = F.split(text, "\n")
-    here = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_lost"))
-    kept = F.when(F.col("_lost").isNull(), text).otherwise(
-        F.array_join(F.transform(here, lambda at: F.get(lines, at)), "\n")
-    )
+    here = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone))
+    kept = F.when(F.col(gone).isNull(), text).otherwise(F.array_join(F.transform(here, lambda at: F.get(lines, at)), "\n"))
     n_lines = F.size(lines).cast("long")
-    n_kept = F.when(F.col("_lost").isNull(), n_lines).otherwise(F.size(here).cast("long"))
-    joined = docs.join(lost, docs[id_col].eqNullSafe(lost["_doc"]) & (F.xxhash64(text) == lost["_of"]), "left")
-    rest = [docs[c] for c in docs.columns if c not in (text_col, "n_lines", "n_dropped")]
-    return joined.select(*rest, kept.alias(text_col), n_lines.alias("n_lines"), (n_lines - n_kept).alias("n_dropped"))
+    n_kept = F.when(F.col(gone).isNull(), n_lines).otherwise(F.size(here).cast("long"))
+    joined = docs.join(lost, docs[id_col].eqNullSafe(F.col(doc)) & (F.xxhash64(text) == F.col(of)), "left")
+    rest = [kept.alias(c) if c == text_col else docs[c] for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    return joined.select(*rest, n_lines.alias("n_lines"), (n_lines - n_kept).alias("n_dropped"))
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
