@@ -11,8 +11,9 @@ a run of marks begins: between those places best segmentations are independent,
 and kept for words met before.  The matrix of a chunk with such a place is a
 column plus a row.
 
-* Documents of up to ``GIANT`` code points are one chunk in one task.  Longer ones
-  are exploded into chunks over all tasks; only the matrices of a document meet.
+* Documents of up to ``GIANT`` code points are one chunk in one task, where they
+  lie.  Longer ones are exploded into chunks over all tasks; only matrices meet,
+  ``GROUP`` of them at a time, and then the groups' products.
 * The model's file is read by the driver; tasks get its pieces.
 
 Scores are whole numbers, so sums are exact; of equal segmentations the one wins
@@ -20,28 +21,32 @@ whose last piece, going back from the end, is longest.  A code point in no piece
 costs ``UNKNOWN`` and becomes its UTF-8 bytes.
 
 Defined results: null and empty texts have no ids; ids of any text decode to just
-that text; repeated rows are each encoded; a null id is carried; other columns
-pass through ``encode`` and ``ids`` replaces one of that name.
+that text, and do not depend on how it is cut into chunks; repeated rows are each
+encoded; a null id is carried; other columns pass through ``encode``, and ``part``
+and ``ids`` replace columns of those names.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tallywright.llm.common import table
+from tallywright.llm.common import fresh, stored, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 LITERAL = "\ud800"  # stands for a mark in the text itself; no valid text has it
 GIANT, CHUNK, UNKNOWN = 32_768, 16_384, -100_000
-KEPT = 200_000  # words whose segmentation a task remembers
+GROUP = 256  # parts whose matrices are combined at once; as many groups again hold any text that fits a row
+KEPT = 2_000_000  # ids of words that a task remembers
 NEVER = -(1 << 60)
 
 
@@ -55,7 +60,9 @@ class Pieces:
     scores: dict[str, int]
     bytes_from: int  # id of byte 0
     longest: int
-    seen: dict[str, tuple[int, list[int]]] = field(default_factory=dict)
+    starts: dict[str, int]  # scores of pieces; what only begins one has none worth taking, a lone code point ``UNKNOWN``
+    seen: dict[str, tuple[int, Sequence[int]]] = field(default_factory=dict)
+    held: int = 0
 
     @staticmethod
     def load(path: str) -> Pieces:
@@ -70,7 +77,8 @@ class Pieces:
         scores = {p: s if s > -1_000_000 else last for p, s in scores.items()}
         if any(MARK in p.lstrip(MARK) for p in scores):
             raise ValueError("a piece holds a mark after other characters")
-        return Pieces(ids, scores, model.piece_to_id("<0x00>"), max(map(len, scores)))
+        starts = {p[:n]: UNKNOWN if n == 1 else 2 * NEVER for p in scores for n in range(1, len(p))} | scores
+        return Pieces(ids, scores, model.piece_to_id("<0x00>"), max(map(len, scores)), starts)
 
     def forward(self, text: str, start: list[int], stop: int) -> tuple[list[int], list[int]]:
         """Best scores and last piece lengths at every place up to ``stop`` + longest - 1.
@@ -81,19 +89,21 @@ class Pieces:
         end = min(len(text), stop + self.longest - 1)
         best, back = [NEVER] * (end + 1), [0] * (end + 1)
         best[: len(start)] = start[: end + 1]
-        scores, longest = self.scores, self.longest
+        score_of = self.starts.get
         for i in range(stop):
             base = best[i]
             if base <= NEVER:
                 continue
-            for j in range(i + 1, min(end, i + longest) + 1):
-                score = scores.get(text[i:j])
-                if score is None:
-                    if j > i + 1:
-                        continue
-                    score = UNKNOWN
-                if base + score > best[j]:
-                    best[j], back[j] = base + score, j - i
+            j = i + 1
+            score = score_of(text[i], UNKNOWN)
+            while score is not None:
+                score += base
+                if score > best[j]:
+                    best[j], back[j] = score, j - i
+                j += 1
+                if j > end:
+                    break
+                score = score_of(text[i:j])
         return best, back
 
     def trace(self, text: str, back: list[int], end: int) -> list[int]:
@@ -109,16 +119,18 @@ class Pieces:
             end -= back[end]
         return out[::-1]
 
-    def word(self, text: str) -> tuple[int, list[int]]:
+    def word(self, text: str) -> tuple[int, Sequence[int]]:
         """Score and ids of a text that pieces neither enter nor leave."""
         found = self.seen.get(text)
         if found is None:
             best, back = self.forward(text, [0], len(text))
             found = best[len(text)], self.trace(text, back, len(text))
             if len(text) <= 64:
-                if len(self.seen) >= KEPT:
+                self.held += 16 + len(found[1])
+                if self.held > KEPT:
                     self.seen.clear()
-                self.seen[text] = found
+                    self.held = 0
+                self.seen[text] = found[0], array("i", found[1])
         return found
 
 
@@ -132,50 +144,109 @@ def cuts(text: str, stop: int) -> list[int]:
     return out
 
 
-def chunk_matrix(pieces: Pieces, text: str, stop: int) -> np.ndarray:
-    """Best scores from hanging over by i at the front to hanging over by j past ``stop``.
+@dataclass
+class Matrix:
+    """From hanging over by i at the front (rows) to hanging over by j at the end (columns).
 
-    ``text`` goes on past ``stop`` by what a piece may hang over.
+    ``score`` is the best path's.  ``order`` ranks, within each column, the best
+    paths of all rows by their pieces from the end backwards: longer ones first.
+    So of equal scores the path of lower order is the one that the text traced as
+    a whole takes, however it was cut into chunks.
     """
-    width = pieces.longest
-    out = np.full((width, width), NEVER, dtype=np.int64)
-
-    def leave(part: str, start: list[int], own: int) -> list[int]:
-        best, _ = pieces.forward(part, start, own)
-        tail = best[own : own + width]
-        return tail + [NEVER] * (width - len(tail))
 
-    at = cuts(text, stop)
-    if not at:
-        for i in range(min(width, len(text) + 1)):
-            out[i] = leave(text, [NEVER] * i + [0], stop)
-        return out
-    middle = sum(pieces.word(text[a:b])[0] for a, b in zip(at, at[1:]))
-    exits = np.array(leave(text[at[-1] :], [0], stop - at[-1]), dtype=np.int64)
-    for i in range(min(width, at[0] + 1)):
-        best, _ = pieces.forward(text[: at[0]], [NEVER] * i + [0], at[0])
-        if best[at[0]] > NEVER:
-            out[i] = np.where(exits > NEVER, best[at[0]] + middle + exits, NEVER)
-    return out
+    score: np.ndarray
+    order: np.ndarray
 
+    def pack(self) -> bytes:
+        return self.score.astype("<i8").tobytes() + self.order.astype("<i2").tobytes()
 
-def combine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The (max, +) product; associative."""
-    return np.maximum((a[:, :, None] + b[None, :, :]).max(axis=1), NEVER)
+    @staticmethod
+    def unpack(raw: bytes, width: int) -> Matrix:
+        split = width * width * 8
+        return Matrix(*(np.frombuffer(part, kind).astype(np.int64).reshape(width, width) for part, kind in ((raw[:split], "<i8"), (raw[split:], "<i2"))))
 
 
-def _tie(scores: np.ndarray) -> int:
-    return int(np.flatnonzero(scores == scores.max())[0])
+def ranks_of(keys: list) -> np.ndarray:
+    """Each key's place among the different keys in order."""
+    place = {k: n for n, k in enumerate(sorted(set(keys)))}
+    return np.array([place[k] for k in keys], dtype=np.int64)
 
 
-def boundary_states(matrices: list[np.ndarray]) -> list[int]:
-    """States at all boundaries of the best path, from 0 to 0."""
-    forward = [np.where(np.arange(len(matrices[0])) == 0, 0, NEVER)]
-    for m in matrices:
-        forward.append(np.maximum((forward[-1][:, None] + m).max(axis=0), NEVER))
-    states = [0]
-    for m, f in zip(reversed(matrices), reversed(forward[:-1])):
-        states.append(_tie(f + m[:, states[-1]]))
+def chunk_matrix(pieces: Pieces, text: str, stop: int) -> Matrix:
+    """The matrix of a chunk; ``text`` goes on past ``stop`` by what a piece may hang over."""
+    width = pieces.longest
+    score = np.full((width, width), NEVER, dtype=np.int64)
+    order = np.full((width, width), width, dtype=np.int64)
+    at = cuts(text, stop)
+    if not at:
+        runs = [pieces.forward(text, [NEVER] * i + [0], stop) for i in range(min(width, len(text) + 1))]
+        for j in range(min(width, len(text) - stop + 1)):
+            seen = [i for i, (best, _) in enumerate(runs) if best[stop + j] > NEVER]
+            if seen:
+                score[seen, j] = [runs[i][0][stop + j] for i in seen]
+                order[seen, j] = ranks_of([tuple(ends(runs[i][1], stop + j)) for i in seen])
+        return Matrix(score, order)
+    # Every path goes through the first cut: what follows it is the same for all rows.
+    middle = sum(pieces.word(text[a:b])[0] for a, b in zip(at, at[1:]))
+    best, _ = pieces.forward(text[at[-1] :], [0], stop - at[-1])
+    tail = best[stop - at[-1] :][:width]
+    exits = np.array(tail + [NEVER] * (width - len(tail)), dtype=np.int64)
+    heads = {}
+    for i in range(min(width, at[0] + 1)):
+        best, back = pieces.forward(text[: at[0]], [NEVER] * i + [0], at[0])
+        if best[at[0]] > NEVER:
+            heads[i] = best[at[0]], tuple(ends(back, at[0]))
+    for i, rank in zip(heads, ranks_of([path for _, path in heads.values()])):
+        score[i] = np.where(exits > NEVER, heads[i][0] + middle + exits, NEVER)
+        order[i] = np.where(exits > NEVER, rank, width)
+    return Matrix(score, order)
+
+
+def ends(back: list[int], end: int) -> Iterator[int]:
+    """Where the pieces of a path begin, from its end backwards."""
+    while back[end]:
+        end -= back[end]
+        yield end
+
+
+def _choose(score: np.ndarray, order: np.ndarray) -> int:
+    """Of the greatest scores the one of lowest order."""
+    best = np.flatnonzero(score == score.max())
+    return int(best[order[best].argmin()])
+
+
+def combine(a: Matrix, b: Matrix) -> Matrix:
+    """The (max, +) product of two neighbours; associative."""
+    width = len(a.score)
+    both = np.maximum(a.score[:, :, None] + b.score[None, :, :], NEVER)
+    top = both.max(axis=1, keepdims=True)
+    # Later pieces decide first: the second matrix's order, then the first's.
+    by_end = np.where(both == top, b.order[None, :, :], width + 1)
+    via = by_end.argmin(axis=1)
+    score = np.where(top[:, 0, :] > NEVER // 2, top[:, 0, :], NEVER)
+    keys = np.take_along_axis(b.order, via, axis=0) * (width + 1) + np.take_along_axis(a.order, via, axis=1)
+    order = np.full((width, width), width, dtype=np.int64)
+    for j in range(width):
+        live = np.flatnonzero(score[:, j] > NEVER)
+        order[live, j] = ranks_of(keys[live, j].tolist())
+    return Matrix(score, order)
+
+
+def product(matrices: list[Matrix]) -> Matrix:
+    """All of them combined, as a tree."""
+    while len(matrices) > 1:
+        matrices = [combine(*pair) if len(pair) == 2 else pair[0] for pair in (matrices[i : i + 2] for i in range(0, len(matrices), 2))]
+    return matrices[0]
+
+
+def boundary_states(matrices: list[Matrix], enter: int = 0, leave: int = 0) -> list[int]:
+    """States at all boundaries of the best path between two states."""
+    forward = [np.where(np.arange(len(matrices[0].score)) == enter, 0, NEVER)]
+    for m in matrices[:-1]:
+        forward.append(np.maximum((forward[-1][:, None] + m.score).max(axis=0), NEVER))
+    states = [leave]
+    for m, f in zip(reversed(matrices), reversed(forward)):
+        states.append(_choose(f + m.score[:, states[-1]], m.order[:, states[-1]]))
     return states[::-1]
 
 
@@ -184,10 +255,9 @@ def chunk_ids(pieces: Pieces, text: str, stop: int, enter: int, leave: int) -> l
     end = stop + leave
     at = [a for a in cuts(text, stop) if a >= enter]
     if not at:
-        best, back = pieces.forward(text, [NEVER] * enter + [0], stop)
+        _, back = pieces.forward(text, [NEVER] * enter + [0], stop)
         return pieces.trace(text, back, end)
-    out = pieces.word(text[enter : at[0]])[1] if at[0] > enter else []
-    out = list(out)
+    out = list(pieces.word(text[enter : at[0]])[1]) if at[0] > enter else []
     for a, b in zip(at, at[1:]):
         out += pieces.word(text[a:b])[1]
     tail = text[at[-1] :]
@@ -210,83 +280,141 @@ def encode_scan(pieces: Pieces, text: str, chunk: int) -> list[int]:
     return [i for p, a, b in zip(parts, states, states[1:]) for i in chunk_ids(pieces, *p, a, b)]
 
 
-def decode_ids(names: dict[int, str], bytes_from: int, ids: list[int]) -> str:
-    raw = bytearray()
-    for i in ids:
-        raw += bytes([i - bytes_from]) if bytes_from <= i < bytes_from + 256 else names[i].replace(MARK, " ").encode("utf-8")
-    return raw.decode("utf-8")
+def raw_pieces(pieces: Pieces) -> dict[int, bytes]:
+    """What each id stands for, as bytes."""
+    found = {i: p.replace(MARK, " ").encode("utf-8") for p, i in pieces.ids.items()}
+    return found | {pieces.bytes_from + b: bytes([b]) for b in range(256)}
+
+
+def decode_ids(raw: dict[int, bytes], ids: Iterable[int]) -> str:
+    return b"".join(map(raw.__getitem__, ids)).decode("utf-8")
+
 
+def _ints(ids: list[list[int]]) -> pa.Array:
+    """Lists of ids as one Arrow column, without a Python number each."""
+    offsets = np.zeros(len(ids) + 1, dtype=np.int32)
+    np.cumsum([len(i) for i in ids], out=offsets[1:])
+    flat = np.fromiter(chain.from_iterable(ids), dtype=np.int32, count=int(offsets[-1]))
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
 
-def encode(docs: DataFrame, text_col: str = "text", model: str = MODEL, giant: int = GIANT, chunk: int = CHUNK) -> DataFrame:
+
+def _slices(column: pa.Array, rows: int = 64) -> Iterator[list]:
+    for at in range(0, len(column), rows):
+        yield column.slice(at, rows).to_pylist()
+
+
+def encode(docs: DataFrame, text_col: str = "text", model: str = MODEL, giant: int = GIANT, chunk: int = CHUNK, group: int = GROUP) -> DataFrame:
     """``docs`` with ``part`` and ``ids``: one row for a text, or for each chunk of a giant one, in order of ``part``.
 
-    Rows of a giant text carry the same ``text_hash``, and all other columns, and
-    the chunk's own text in ``text_col``.
+    The text column holds what a row's ids stand for: the parts of a giant text,
+    cut between pieces, follow each other without gap or overlap.
     """
+    spark = docs.sparkSession
     pieces = Pieces.load(model)
-    shared = docs.sparkSession.sparkContext.broadcast(pieces)
-    width = pieces.longest
+    shared, width = spark.sparkContext.broadcast(pieces), pieces.longest
     docs = docs.drop("ids", "part")
-    rest = [c for c in docs.columns if c != text_col]
-    long_text = F.length(F.coalesce(F.col(text_col), F.lit(""))) > giant
-    schema = docs.select(*rest, text_col).schema.add("part", T.IntegerType()).add("ids", T.ArrayType(T.IntegerType()))
+    key, of, window, enter, leave, made = fresh(docs.columns + ["part", "ids"], "key", "of", "window", "enter", "leave", "made")
+    long_text = F.coalesce(F.length(text_col) > giant, F.lit(False))
 
-    def short(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield batch.assign(part=np.int32(0), ids=[encode_text(shared.value, t if isinstance(t, str) else None) for t in batch[text_col]])
-
-    whole = docs.where(~long_text).select(*rest, text_col).mapInPandas(short, schema)
-
-    count = F.ceil(F.length(text_col) / chunk).cast("int")
-    many = docs.where(long_text).withColumn("_key", F.sha2(text_col, 256)).withColumn("part", F.explode(F.sequence(F.lit(0), count - 1)))
-    many = many.withColumn("_go", F.col(text_col).substr(F.col("part") * chunk + 1, F.lit(chunk + width - 1)))
-    many = many.select(*rest, "_key", "part", "_go")
-
-    def matrices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            made = [chunk_matrix(shared.value, marked(t), min(chunk, len(t))).tobytes() for t in batch["_go"]]
-            yield batch[["_key", "part"]].assign(m=made)
+    @F.arrow_udf("array<int>")
+    def whole_ids(texts: pa.Array) -> pa.Array:
+        return pa.concat_arrays([_ints([encode_text(shared.value, t) for t in own]) for own in _slices(texts)] or [_ints([])])
 
-    def states(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        group = group.drop_duplicates("part").sort_values("part")
-        found = boundary_states([np.frombuffer(m, dtype=np.int64).reshape(width, width) for m in group["m"]])
-        return pd.DataFrame({"_key": key[0], "part": group["part"].to_numpy(np.int32), "_in": np.array(found[:-1], dtype=np.int32), "_out": np.array(found[1:], dtype=np.int32)})
+    columns = docs.columns
+    whole = docs.where(~long_text).select(*columns, F.lit(0).alias("part"), whole_ids(docs[text_col].cast("string")).alias("ids"))
 
-    # Copies of a giant text share their matrices.
-    once = many.select("_key", "part", "_go").dropDuplicates(["_key", "part"])
-    known = once.mapInPandas(matrices, "_key string, part int, m binary").groupBy("_key").applyInPandas(states, "_key string, part int, _in int, _out int")
+    # A chunk and what its last piece may hang over by.
+    cut_at = F.sequence(F.lit(0), F.ceil(F.length(text_col) / chunk).cast("int") - 1)
+    many = docs.where(long_text).withColumn(key, F.sha2(text_col, 256)).withColumn("part", F.explode(cut_at))
+    many = many.withColumn(window, F.col(text_col).substr(F.col("part") * chunk + 1, F.lit(chunk + width - 1)))
 
-    def traced(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = [chunk_ids(shared.value, marked(t), min(chunk, len(t)), a, b) for t, a, b in zip(batch["_go"], batch["_in"], batch["_out"])]
-            out = batch[rest].assign(**{text_col: [t[:chunk] for t in batch["_go"]]})
-            yield out.assign(part=batch["part"], ids=ids)
-
-    parts = many.join(known, ["_key", "part"]).mapInPandas(traced, schema)
+            for at in range(0, batch.num_rows, 64):
+                own = batch.slice(at, 64)
+                packed = [chunk_matrix(shared.value, marked(t), min(chunk, len(t))).pack() for t in own.column(2).to_pylist()]
+                yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array(packed, pa.binary())], ["key", "part", "m"])
+
+    def unpacked(rows: pd.DataFrame) -> list[Matrix]:
+        return [Matrix.unpack(m, width) for m in rows["m"]]
+
+    def combined(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("part")
+        return pd.DataFrame({"key": [key[0]], "part": [key[1]], "m": [product(unpacked(rows)).pack()]})
+
+    def states(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("part")
+        first, last = (int(rows[c].iloc[0]) for c in ("first", "last"))
+        found = np.array(boundary_states(unpacked(rows), first, last), dtype=np.int32)
+        return pd.DataFrame({"key": key[0], "part": rows["part"].to_numpy(np.int32), "enter": found[:-1], "leave": found[1:]})
+
+    # Copies of a giant text share their matrices.  Groups of parts are combined, the groups' states
+    # follow from the groups' matrices, and then each group's inner states from its own.
+    leaves = many.select(F.col(key).alias("key"), "part", F.col(window).alias("window")).dropDuplicates(["key", "part"])
+    leaves = stored(leaves.mapInArrow(matrices, "key string, part int, m binary"), "matrices")
+    above = F.floor(F.col("part") / group).cast("int")
+    groups = leaves.groupBy("key", above.alias("part")).applyInPandas(combined, "key string, part int, m binary")
+    found = "key string, part int, enter int, leave int"
+    of_groups = groups.withColumns({"first": F.lit(0), "last": F.lit(0)}).groupBy("key").applyInPandas(states, found)
+    within = leaves.withColumn("of", above).join(of_groups.select("key", F.col("part").alias("of"), F.col("enter").alias("first"), F.col("leave").alias("last")), ["key", "of"])
+    known = within.groupBy("key", "of").applyInPandas(states, found)
+    known = known.select(F.col("key").alias(key), F.col("part").alias(of), F.col("enter").alias(enter), F.col("leave").alias(leave))
+
+    @F.arrow_udf("text string, ids array<int>")
+    def traced(windows: pa.Array, first: pa.Array, last: pa.Array) -> pa.Array:
+        texts, ids = [], []
+        for i in range(len(windows)):
+            own, a, b = windows[i].as_py(), first[i].as_py(), last[i].as_py()
+            stop = min(chunk, len(own))
+            texts.append(own[a : stop + b])
+            ids.append(chunk_ids(shared.value, marked(own), stop, a, b))
+        return pa.StructArray.from_arrays([pa.array(texts, pa.string()), _ints(ids)], ["text", "ids"])
+
+    parts = many.join(known, (many[key] == known[key]) & (many["part"] == known[of])).withColumn(made, traced(window, enter, leave))
+    parts = parts.select(*[F.col(made)["text"].alias(c) if c == text_col else docs[c] for c in columns], "part", F.col(made)["ids"].alias("ids"))
     return whole.unionByName(parts)
 
 
 def decode(encoded: DataFrame, model: str = MODEL, into: str = "decoded") -> DataFrame:
-    """Adds the bytes of each row's ids: those of one text, in order of ``part``, are its UTF-8."""
+    """Adds the text of each row's ids; those of one text's parts, in order of ``part``, make the whole."""
     pieces = Pieces.load(model)
-    shared = encoded.sparkSession.sparkContext.broadcast(({i: p for p, i in pieces.ids.items()}, pieces.bytes_from))
-    schema = T.StructType(encoded.schema.fields + [T.StructField(into, T.BinaryType())])
+    shared = encoded.sparkSession.sparkContext.broadcast(raw_pieces(pieces))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names, first = shared.value
-        for batch in batches:
-            yield batch.assign(**{into: [decode_ids(names, first, ids).encode("utf-8") for ids in batch["ids"]]})
+    @F.arrow_udf("string")
+    def texts(ids: pa.Array) -> pa.Array:
+        return pa.concat_arrays([pa.array([decode_ids(shared.value, i or []) for i in own], pa.string()) for own in _slices(ids)] or [pa.array([], pa.string())])
 
-    return encoded.mapInPandas(run, schema)
+    # An expression of the JVM between two functions of Python keeps the ids from being made once for each.
+    return encoded.withColumn(into, texts(F.coalesce("ids", F.array().cast("array<int>"))))
 
 
-def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row a document: ids of its parts, digests by part, and whether they decode to the text."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    rows = decode(encode(docs))
-    part = F.struct("part", F.size("ids").alias("n"), F.sha2(F.array_join("ids", ","), 256).alias("ids"), F.sha2("decoded", 256).alias("out"), F.octet_length("decoded").alias("size"))
-    by_doc = rows.select("doc_id", "text_hash", part.alias("p")).groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_list("p")).alias("ps"))
-    return by_doc.select(
-        "doc_id", F.aggregate("ps", F.lit(0).cast("long"), lambda a, p: a + p["n"]).alias("n_tokens"), F.size("ps").alias("n_parts"),
-        F.sha2(F.array_join(F.col("ps.ids"), ","), 256).alias("ids_sha256"), F.aggregate("ps", F.lit(0).cast("long"), lambda a, p: a + p["size"]).alias("n_bytes"),
+def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row for each row of ``docs``: numbers of ids, parts and bytes, a digest of the ids and whether they decode to the text.
+
+    Texts of one part are judged where they lie; only parts of giant ones meet,
+    and of repeated rows each gets its own.
+    """
+    named = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(F.length(text_col) > GIANT, F.lit(False)).alias("giant"), F.xxhash64(text_col).alias("of"))
+    coded = decode(encode(named))
+    part = F.struct(
+        "part", F.size("ids").cast("long").alias("n"), F.sha2(F.array_join("ids", ","), 256).alias("ids"),
+        F.octet_length("decoded").cast("long").alias("bytes"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("same"),
     )
+    coded = coded.select("id", "of", "giant", part.alias("p"))
+    met = coded.where("giant").groupBy("id", "of").agg(F.sort_array(F.collect_set("p")).alias("ps"), F.sum((F.col("p.part") == 0).cast("int")).alias("rows"))
+    # A row for each repeat.
+    met = met.withColumn("repeat", F.explode(F.sequence(F.lit(1), F.col("rows")))).select("id", "ps")
+    rows = coded.where("NOT giant").select("id", F.array("p").alias("ps")).unionByName(met)
+
+    def total(name: str) -> Column:
+        return F.aggregate("ps", F.lit(0).cast("long"), lambda a, p: a + p[name])
+
+    return rows.select(
+        F.col("id").alias(id_col), total("n").alias("n_tokens"), F.size("ps").alias("n_parts"), F.sha2(F.array_join(F.col("ps.ids"), ","), 256).alias("ids_sha256"),
+        total("bytes").alias("n_bytes"), F.forall("ps", lambda p: p["same"]).alias("round_trip"),
+    )
+
+
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a document: how many ids and parts, a digest of the ids, and whether they decode to the text."""
+    return digests(table(spark, sf_dir, "documents").select("doc_id", "text"))

@@ -31,36 +31,80 @@ def score(pieces, ids, text):
     return known + sp.UNKNOWN * sum(c not in pieces.scores for c in sp.marked(text))
 
 
-TEXTS = ["", " ", "a", "Hello  the world\n\n of   pieces ", "▁x ▁", "naïve 😀 日本語", "internationalisation" * 9, "    " * 20, "x" * 300]
+TEXTS = ["", " ", "a", "Hello  the world\n\n of   pieces ", "▁x ▁", "naïve 😀 日本語", "internationalisation" * 9, "    " * 20, "x" * 300, " " * 40 + "a" * 50]
+
+
+def by_chunks(pieces, text, chunk, group):
+    """The ids by way of matrices of chunks and of groups of chunks."""
+    text = sp.marked(text)
+    parts = [(text[a : a + chunk + pieces.longest - 1], min(chunk, len(text) - a)) for a in range(0, len(text), chunk)]
+    if not parts:
+        return []
+    made = [sp.chunk_matrix(pieces, *p) for p in parts]
+    made = [sp.Matrix.unpack(m.pack(), pieces.longest) for m in made]
+    groups = [made[i : i + group] for i in range(0, len(made), group)]
+    outer = sp.boundary_states([sp.product(g) for g in groups])
+    ids = []
+    for n, (g, a, b) in enumerate(zip(groups, outer, outer[1:])):
+        inner = sp.boundary_states(g, a, b)
+        for p, x, y in zip(parts[n * group :], inner, inner[1:]):
+            ids += sp.chunk_ids(pieces, *p, x, y)
+    return ids
 
 
 @pytest.mark.parametrize("text", TEXTS)
 def test_scan_is_best_and_round_trips(pieces, text):
     whole = sp.encode_text(pieces, text)
-    names = {i: p for p, i in pieces.ids.items()}
     assert score(pieces, whole, text) == brute(pieces, text)
-    assert sp.decode_ids(names, pieces.bytes_from, whole) == text
-    for chunk in (16, 23, 64):
-        ids = sp.encode_scan(pieces, text, chunk)
-        assert score(pieces, ids, text) == brute(pieces, text)
-        assert sp.decode_ids(names, pieces.bytes_from, ids) == text
+    assert sp.decode_ids(sp.raw_pieces(pieces), whole) == text
+
+
+def test_ids_do_not_depend_on_chunks(pieces):
+    rng = random.Random(5)
+    texts = TEXTS + ["".join(rng.choice(["    ", "a", "aa", "ing", " the", "\n", "é", "xyz", "    a"]) for _ in range(rng.randint(5, 60))) for _ in range(60)]
+    for text in texts:
+        whole = list(sp.encode_text(pieces, text))
+        for chunk, group in ((16, 1), (17, 3), (23, 2), (64, 4)):
+            assert by_chunks(pieces, text, chunk, group) == whole
 
 
 def test_combining_is_associative(pieces):
-    text = sp.marked("some wordsandmorewordsthatgoon " * 8)
-    a, b, c = (sp.chunk_matrix(pieces, text[i : i + 20 + pieces.longest - 1], 20) for i in (0, 20, 40))
-    left, right = sp.combine(sp.combine(a, b), c), sp.combine(a, sp.combine(b, c))
-    assert (left[left > sp.NEVER // 2] == right[right > sp.NEVER // 2]).all()
+    for text in ("some wordsandmorewordsthatgoon " * 8, " " * 200, "aaaa" * 50):
+        text = sp.marked(text)
+        a, b, c = (sp.chunk_matrix(pieces, text[i : i + 20 + pieces.longest - 1], 20) for i in (0, 20, 40))
+        left, right = sp.combine(sp.combine(a, b), c), sp.combine(a, sp.combine(b, c))
+        live = left.score > sp.NEVER
+        assert (left.score == right.score).all() and (left.order[live] == right.order[live]).all()
 
 
 def test_encode_table(spark, pieces):
     rng = random.Random(1)
     rows = [(i, t) for i, t in enumerate([None, *TEXTS])] + [(99, " ".join(rng.choice(TEXTS[3].split()) for _ in range(300)))] * 2
+    docs = spark.createDataFrame([(i, t, "k", "w") for i, t in rows], "doc_id long, text string, key string, window string")
+    coded = sp.decode(sp.encode(docs, giant=100, chunk=64, group=2))
+    assert coded.columns == [*docs.columns, "part", "ids", "decoded"]
+    got = coded.collect()
+    assert all(r.decoded == (r.text or "") and (r.key, r.window) == ("k", "w") for r in got)
+    for i, text in rows:
+        own = sorted((r.part, r.decoded, tuple(r.ids)) for r in got if r.doc_id == i)
+        copies = rows.count((i, text))
+        assert len(own) == copies * len(set(own))
+        own = sorted(set(own))
+        assert "".join(d for _, d, _ in own) == (text or "")
+        assert [x for _, _, ids in own for x in ids] == list(sp.encode_text(pieces, text))
+    assert sp.encode(docs.limit(0)).count() == 0
+
+
+def test_digests_give_each_row(spark, pieces):
+    long = "one two  three " * 4000
+    rows = [(1, "hello world"), (1, "hello world"), (None, "hello world"), (2, None), (3, ""), (4, long), (4, long), (4, long + "x"), (None, long), (None, long)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = sp.decode(sp.encode(docs, giant=100, chunk=64)).collect()
+    got = sorted(((r.doc_id, r.n_tokens, r.n_bytes, r.n_parts, r.round_trip) for r in sp.digests(docs).collect()), key=str)
+    want = []
     for i, text in rows:
-        own = sorted({(r.part, bytes(r.decoded)) for r in got if r.doc_id == i})
-        assert b"".join(d for _, d in own).decode() == (text or "")
+        text = text or ""
+        want.append((i, len(sp.encode_text(pieces, text)), len(text.encode()), -(-len(text) // sp.CHUNK) if len(text) > sp.GIANT else 1, True))
+    assert got == sorted(want, key=str)
 
 
 def test_packing(spark):
