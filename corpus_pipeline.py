@@ -14,7 +14,7 @@ from tallywright.llm.decontaminate import clean_documents
 from tallywright.llm.language_id import UNKNOWN, identify, learned_from
 from tallywright.llm.line_dedup import dedup_lines
 from tallywright.llm.ngram_join import join_classes
-from tallywright.llm.sentencepiece_scan import decode, encode
+from tallywright.llm.sentencepiece_scan import digests
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,15 +42,8 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Encodes and decodes; ``n_bytes`` is what the ids decode to."""
-    rows = decode(encode(docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))))
-    part = F.struct("part", F.size("ids").alias("n"), F.sha2(F.array_join("ids", ","), 256).alias("ids"), F.octet_length("decoded").alias("size"))
-    by_doc = rows.select("doc_id", "text_hash", part.alias("p")).groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_list("p")).alias("ps"))
-    return by_doc.select(
-        "doc_id", F.aggregate("ps", F.lit(0).cast("long"), lambda a, p: a + p["n"]).alias("n_tokens"),
-        F.sha2(F.array_join("ps.ids", ","), 256).alias("ids_sha256"),
-        F.aggregate("ps", F.lit(0).cast("long"), lambda a, p: a + p["size"]).alias("n_bytes"),
-    )
+    """Encodes and decodes every text; ``round_trip`` says whether its ids give it back."""
+    return digests(docs)
 
 
 STAGES = [
