@@ -37,7 +37,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywright.llm.common import table, words
+from tallywright.llm.common import spread, table, words
 
 #: One of them fits between the replaced words of any 7 to 25 of which four in five agree; a longer
 #: stretch of that share holds such a one of 13 to 25 words.  Items of 3 to 6 words have masks of their own.
@@ -177,7 +177,7 @@ def clean_documents(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", t
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each document and item that overlap: the longest stretch, of equal ones the first."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     found = overlaps(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
     best = F.max(F.struct("n_words", "n_same", (-F.col("doc_at")).alias("at"))).alias("b")
     return (

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from tallywright.llm.common import fresh, stored, table
+from tallywright.llm.common import fresh, spread, stored, table
 
 UNKNOWN = "und"
 TOP = 300
@@ -194,5 +194,5 @@ def learned_from(docs: DataFrame) -> Profiles:
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    judged = identify(docs.select("doc_id", "text"), learned_from(docs.select("doc_id", "text", "lang")))
+    judged = identify(spread(docs.select("doc_id", "text")), learned_from(docs.select("doc_id", "text", "lang")))
     return judged.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywright.llm.common import fresh, lower_ascii, stored, table
+from tallywright.llm.common import fresh, lower_ascii, spread, stored, table
 
 #: What a key loses at both ends: blank and \x09-\x0D.
 MARGIN = " \t\n\x0b\x0c\r"
@@ -91,7 +91,7 @@ def dedup_lines(
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 

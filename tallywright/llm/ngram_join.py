@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywright.llm.common import cut, stored, table, words
+from tallywright.llm.common import cut, spread, stored, table, words
 
 N, THRESHOLD, RECALL, ROWS, BLOCK = 5, 0.8, 0.999, 7, 1024
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -201,4 +201,4 @@ def join_classes(
 
 
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return join_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return join_classes(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywright.llm.common import table
+from tallywright.llm.common import spread, table
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: how this vocabulary cuts a text into words.
@@ -154,7 +154,7 @@ def write(rows: DataFrame, path: str) -> None:
 
 def op4_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row a packed row: whose pieces it holds, their bounds, and digests of ids and positions."""
-    rows = packed(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    rows = packed(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
     return rows.select(
         "part", "lot", "row", "n_tokens", "doc_ids", "pieces", "cu_seqlens", F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2(F.array_join("positions", ","), 256).alias("positions_sha256"),

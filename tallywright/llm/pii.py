@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywright.llm.common import lower_ascii, stored, table
+from tallywright.llm.common import lower_ascii, spread, stored, table
 
 KINDS = ("email", "ip", "card", "phone")
 #: The patterns asked for, with possessive runs; a start inside a run that failed is not tried again.
@@ -212,7 +212,7 @@ def _listed(spans: Column) -> Column:
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = sanitise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    judged = sanitise(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
     kinds = F.transform("base", lambda s: s["kind"])
     counts = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in KINDS]
     both = F.concat("base", "added")

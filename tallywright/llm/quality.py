@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallywright.llm.common import table
+from tallywright.llm.common import spread, table
 
 # All but the last detect one kind of junk each and never vote good; the last judges any text and overlaps them.
 LABELLERS = ("symbols", "capitals", "repeats", "cells", "shouts", "sentences", "plain_words")
@@ -255,6 +255,6 @@ def judge(docs: DataFrame, labels: LabelModel, scorer: Scorer, text_col: str = "
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     judged = judge(docs, *train(docs))
     return judged.select("doc_id", "n_good", "n_bad", "posterior", "score", "keep")

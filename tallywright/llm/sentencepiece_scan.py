@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywright.llm.common import fresh, stored, table
+from tallywright.llm.common import fresh, spread, stored, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -417,4 +417,4 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row a document: how many ids and parts, a digest of the ids, and whether they decode to the text."""
-    return digests(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return digests(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
