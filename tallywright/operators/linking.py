@@ -1,44 +1,149 @@
-"""Linking documents by identifiers that survive OCR, and comparing what is linked."""
+"""Linking documents: duplicates, weighted evidence, unreferenced postings.
+
+A document is a row of facts: document_id, document_type, source_name,
+identifiers (array), amount, currency, date, entity, category, entry_type,
+low_confidence.  No step compares all documents with all: pairs come from equal
+identifier keys, equal amount buckets or equal date buckets.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Letters that recognition confuses with digits, and those digits.
-OCR_LETTERS, OCR_DIGITS = "OQDILZSB", "00011258"
+from tallywright.functions import compare, normalize, similarity
+
+PARTNERS = ("PURCHASE_ORDER", "PAYMENT", "LEDGER")
+EXPENSE_WORDS = ("expense", "cost", "debit", "payable")
+REVENUE_WORDS = ("revenue", "income", "credit", "sale", "receivable")
+
+
+@dataclass(frozen=True)
+class LinkingConfig:
+    identifier_weight: float = 0.60
+    entity_weight: float = 0.20
+    amount_weight: float = 0.15
+    date_weight: float = 0.05
+    linked: float = 0.38
+    ambiguous: float = 0.35
+    date_window: int = 90
+    amount_tolerance: float = 2.0
+
+    def __post_init__(self) -> None:
+        weights = (self.identifier_weight, self.entity_weight, self.amount_weight, self.date_weight)
+        if min(weights) < 0 or abs(sum(weights) - 1) > 1e-9:
+            raise ValueError("weights must be non-negative and add up to one")
+        if not 0 <= self.ambiguous <= self.linked <= 1 or self.date_window <= 0:
+            raise ValueError("thresholds must be in order within 0 and 1, and the window positive")
+        if self.entity_weight + self.date_weight >= self.ambiguous or self.amount_tolerance > 2:
+            # Pairs that blocking by identifier or by amount and entity would miss could then count.
+            raise ValueError("entity and date alone must stay under the ambiguous threshold, and amounts within 2 percent")
+
+
+def keys(facts: DataFrame) -> DataFrame:
+    """(document_id, document_type, identifier, key): identifiers that have a key; others match nothing."""
+    own = facts.select("document_id", "document_type", F.explode("identifiers").alias("identifier"))
+    return own.withColumn("key", normalize.match_key(F.col("identifier"))).where("key IS NOT NULL")
+
 
+def sides(pairs: DataFrame, facts: DataFrame) -> DataFrame:
+    """Pairs with the facts of both, as structs ``l`` and ``r``; the smaller id is the left."""
+    row = F.struct(*facts.columns)
+    left = facts.select(F.col("document_id").alias("left_id"), row.alias("l"))
+    right = facts.select(F.col("document_id").alias("right_id"), row.alias("r"))
+    return pairs.join(left, "left_id").join(right, "right_id")
 
-def match_key(identifier: Column) -> Column:
-    """Letters and digits in upper case with the confusable letters as digits; null if none is left."""
-    key = F.translate(F.upper(F.regexp_replace(identifier, r"[^A-Za-z0-9]", "")), OCR_LETTERS, OCR_DIGITS)
-    return F.when(key != "", key)
 
+def duplicates(facts: DataFrame) -> DataFrame:
+    """(left_id, right_id, shared): documents of one type with a key in common, and the left's spellings of it."""
+    own = keys(facts).where("document_type <> 'UNKNOWN'")
+    right = own.select(F.col("document_id").alias("right_id"), "document_type", "key").distinct()
+    met = own.withColumnRenamed("document_id", "left_id").join(right, ["document_type", "key"]).where("left_id < right_id")
+    return met.groupBy("left_id", "right_id").agg(F.sort_array(F.collect_set("identifier")).alias("shared"))
 
-def duplicate_entries(docs: DataFrame) -> DataFrame:
-    """Pairs of documents of one type that share an identifier key, smaller id first."""
-    keyed = docs.select("document_id", "document_type", match_key(F.col("identifier")).alias("k"), "identifier").where("k IS NOT NULL")
-    left = keyed.select(F.col("document_id").alias("left_id"), "document_type", "k", "identifier")
-    right = keyed.select(F.col("document_id").alias("right_id"), "document_type", "k")
-    return left.join(right, ["document_type", "k"]).where("left_id < right_id").select("document_type", "left_id", "right_id", "identifier").distinct()
 
+def _ordered(a: Column, b: Column) -> list[Column]:
+    return [F.least(a, b).alias("left_id"), F.greatest(a, b).alias("right_id")]
 
-def pair_compare(left: DataFrame, right: DataFrame, amount_tolerance: str = "2.00", date_tolerance: int = 7) -> DataFrame:
-    """Pairs by identifier key with the difference in amount (percent of the right) and days, and a status."""
-    a = left.select(F.col("document_id").alias("left_id"), match_key(F.col("identifier")).alias("k"), F.col("amount").alias("la"), F.col("date").alias("ld"))
-    b = right.select(F.col("document_id").alias("right_id"), match_key(F.col("identifier")).alias("k"), F.col("amount").alias("ra"), F.col("date").alias("rd"))
-    pct = F.round(100 * F.abs(F.col("la") - F.col("ra")).cast("double") / F.abs("ra").cast("double"), 4)
-    days = F.abs(F.datediff("ld", "rd"))
-    status = (
-        F.when((F.col("pct") == 0) & (F.col("days") == 0), "MATCHED")
-        .when((F.col("pct") <= float(amount_tolerance)) & (F.col("days") <= date_tolerance), "AUTO_RESOLVED")
-        .otherwise("ESCALATED")
+
+def candidates(facts: DataFrame) -> DataFrame:
+    """(left_id, right_id): every pair of an invoice and a partner that can reach a threshold.
+
+    Without a common identifier that takes amounts within 2 percent and names, so
+    other pairs meet in neighbouring buckets of the amounts' logarithm.
+    """
+    own = keys(facts)
+    invoice = own.where("document_type = 'INVOICE'").select(F.col("document_id").alias("a"), "key")
+    partner = own.where(F.col("document_type").isin(*PARTNERS)).select(F.col("document_id").alias("b"), "key")
+    by_key = invoice.join(partner, "key").select(*_ordered(F.col("a"), F.col("b")))
+    priced = facts.where("entity IS NOT NULL AND amount IS NOT NULL").withColumn(
+        "bucket", F.floor(F.log(F.greatest(F.abs("amount"), F.lit(1)).cast("double")) / F.log(F.lit(1 / 0.98))).cast("long")
     )
-    joined = a.join(b, "k").select("left_id", "right_id", pct.alias("pct"), days.alias("days"))
-    return joined.withColumn("status", status)
+    invoice = priced.where("document_type = 'INVOICE'").select(F.col("document_id").alias("a"), F.col("amount").alias("x"), F.explode(F.array(F.col("bucket") - 1, "bucket", F.col("bucket") + 1)).alias("bucket"))
+    partner = priced.where(F.col("document_type").isin(*PARTNERS)).select(F.col("document_id").alias("b"), F.col("amount").alias("y"), "bucket")
+    near = F.abs(F.col("x") - F.col("y")) <= F.greatest(F.abs("x"), F.abs("y"), F.lit(1)) * 0.0200001
+    by_amount = invoice.join(partner, "bucket").where(near).select(*_ordered(F.col("a"), F.col("b")))
+    return by_key.union(by_amount).distinct()
+
+
+def link_evidence(facts: DataFrame, config: LinkingConfig = LinkingConfig(), with_entities: bool = True) -> DataFrame:
+    """Evidence, score and status of every candidate pair that is at least ambiguous."""
+    both = sides(candidates(facts), facts)
+    shared = F.arrays_overlap(*[F.transform(F.col(f"{s}.identifiers"), normalize.match_key) for s in "lr"])
+    difference = F.abs(F.col("l.amount") - F.col("r.amount")).cast("double")
+    percent = difference / F.greatest(F.abs("l.amount"), F.abs("r.amount"), F.lit(1)).cast("double") * 100
+    compatible = F.col("l.currency").isNull() | F.col("r.currency").isNull() | (F.col("l.currency") == F.col("r.currency"))
+    known = F.col("l.amount").isNotNull() & F.col("r.amount").isNotNull()
+    if with_entities:  # names are scored once for each distinct pair
+        names = both.select(F.col("l.entity").alias("x"), F.col("r.entity").alias("y")).where("x IS NOT NULL AND y IS NOT NULL").distinct()
+        names = names.withColumn("e", similarity.resolve(F.col("x"), F.col("y")))
+        both = both.join(names, (F.col("l.entity") == F.col("x")) & (F.col("r.entity") == F.col("y")), "left")
+        entity_score, entity_match = F.col("e.score"), F.coalesce(F.col("e.status") == "RESOLVED", F.lit(False))
+    else:
+        entity_score, entity_match = F.lit(None).cast("double"), F.lit(False)
+    days = F.abs(F.datediff("l.date", "r.date"))
+    relationship = F.concat(F.lit("INVOICE_"), F.when(F.col("l.document_type") == "INVOICE", F.col("r.document_type")).otherwise(F.col("l.document_type")))
+    rows = both.select(
+        "left_id", "right_id", relationship.alias("relationship"), F.coalesce(shared, F.lit(False)).alias("identifier_match"), entity_match.alias("entity_match"),
+        entity_score.alias("entity_score"), days.alias("days"), F.when(known & compatible, difference).alias("amount_difference"), F.when(known & compatible, percent).alias("amount_percent"),
+        F.when(known, compatible & (percent <= config.amount_tolerance)).alias("amount_compatible"),
+    )
+    score = (
+        config.identifier_weight * F.col("identifier_match").cast("int") + config.entity_weight * F.coalesce("entity_score", F.lit(0.0))
+        + config.amount_weight * F.coalesce(F.col("amount_compatible"), F.lit(False)).cast("int")
+        + config.date_weight * F.coalesce(F.greatest(F.lit(0.0), 1 - F.col("days") / config.date_window), F.lit(0.0))
+    )
+    status = F.when(score >= config.linked, "LINKED").when(score >= config.ambiguous, "AMBIGUOUS")
+    return rows.withColumn("status", status).where("status IS NOT NULL").withColumn("score", F.round(score, 6))
+
+
+def competition(links: DataFrame) -> DataFrame:
+    """Of a left document with several links all become ambiguous."""
+    n = F.sum((F.col("status") == "LINKED").cast("int")).over(Window.partitionBy("left_id"))
+    return links.withColumn("n", n).withColumn("status", F.when((F.col("status") == "LINKED") & (F.col("n") > 1), "AMBIGUOUS").otherwise(F.col("status"))).drop("n")
+
+
+def entry_kind(entry_type: Column) -> Column:
+    """Expense or revenue from what an entry's type says; null if it says neither."""
+    text = F.lower(entry_type)
+    return F.when(text.rlike("|".join(EXPENSE_WORDS)), "expense").when(text.rlike("|".join(REVENUE_WORDS)), "revenue")
+
 
+def unreferenced(facts: DataFrame, links: DataFrame, window: float = 0.25, days: int = compare.DATE_TOLERANCE) -> DataFrame:
+    """(left_id, right_id): invoices and revenue postings without identifiers that are each other's only candidate.
 
-def missing(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Documents of ``left`` without a counterpart in ``right``; null keys never match."""
-    keys = right.select(match_key(F.col("identifier")).alias("k"))
-    return left.withColumn("k", match_key(F.col("identifier"))).join(keys, "k", "left_anti").drop("k")
+    They meet in date buckets of ``days``; documents that have a link to a ledger or an ambiguous one are left out.
+    """
+    ledger = links.where("relationship = 'INVOICE_LEDGER' AND status = 'LINKED' OR status = 'AMBIGUOUS'")
+    taken = ledger.select(F.explode(F.array("left_id", "right_id")).alias("document_id")).distinct()
+    own = facts.where("amount IS NOT NULL AND date IS NOT NULL").join(taken, "document_id", "left_anti").withColumn("bucket", F.floor(F.unix_date("date") / days))
+    invoice = own.where("document_type = 'INVOICE'").select(F.col("document_id").alias("a"), F.col("amount").alias("x"), F.col("date").alias("d"), F.explode(F.array(F.col("bucket") - 1, "bucket", F.col("bucket") + 1)).alias("bucket"))
+    posting = own.where((F.col("document_type") == "LEDGER") & (F.size("identifiers") == 0) & (F.coalesce(entry_kind(F.col("entry_type")), F.lit("revenue")) == "revenue"))
+    posting = posting.select(F.col("document_id").alias("b"), F.col("amount").alias("y"), F.col("date").alias("e"), "bucket")
+    close = (F.abs(F.datediff("d", "e")) <= days) & (F.abs(F.col("x") - F.col("y")).cast("double") / F.greatest(F.abs("x"), F.lit(1)).cast("double") <= window)
+    met = invoice.join(posting, "bucket").where(close).select("a", "b")
+    count = F.count(F.lit(1))
+    alone = met.withColumn("n", count.over(Window.partitionBy("a"))).withColumn("m", count.over(Window.partitionBy("b"))).where("n = 1 AND m = 1")
+    return alone.select(*_ordered(F.col("a"), F.col("b")))
