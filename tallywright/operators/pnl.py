@@ -11,15 +11,19 @@ def _sum(kind: str) -> Column:
 
 
 def monthly(txn: DataFrame) -> DataFrame:
-    """Every month from the first to the last, empty ones as zero; decimals rounded to cents."""
-    sums = txn.where("date IS NOT NULL").groupBy(F.trunc("date", "month").alias("start")).agg(_sum("revenue").alias("revenue"), _sum("expense").alias("expenses"))
-    span = sums.agg(F.min("start").alias("lo"), F.max("start").alias("hi")).where("lo IS NOT NULL")
-    calendar = span.select(F.explode(F.expr("sequence(lo, hi, interval 1 month)")).alias("start"))
-    zero = F.lit(0).cast("decimal(38,2)")
-    return calendar.join(sums, "start", "left").select(
+    """Every month from the first to the last, empty ones as zero; decimals rounded to cents.
+
+    One aggregate: each month is filled up to the next one that has rows.
+    """
+    sums = txn.where("date IS NOT NULL").groupBy(F.trunc("date", "month").alias("own")).agg(_sum("revenue").alias("revenue"), _sum("expense").alias("expenses"))
+    following = F.lead("own").over(Window.orderBy("own"))  # a row a month
+    until = F.coalesce(F.add_months(following, -1), F.col("own"))
+    filled = sums.withColumn("until", until).select("own", "revenue", "expenses", F.explode(F.expr("sequence(own, until, interval 1 month)")).alias("start"))
+    here, zero = F.col("start") == F.col("own"), F.lit(0).cast("decimal(38,2)")
+    return filled.select(
         "start", F.date_format("start", "yyyy-MM").alias("month"),
-        F.coalesce("revenue", zero).cast("decimal(38,2)").alias("revenue"),
-        F.coalesce("expenses", zero).cast("decimal(38,2)").alias("expenses"),
+        F.coalesce(F.when(here, F.col("revenue")), zero).cast("decimal(38,2)").alias("revenue"),
+        F.coalesce(F.when(here, F.col("expenses")), zero).cast("decimal(38,2)").alias("expenses"),
     ).withColumn("profit", F.col("revenue") - F.col("expenses"))
 
 
@@ -36,20 +40,15 @@ def breakdown(txn: DataFrame, key: str, kind: str, top: int = 8) -> DataFrame:
     """Largest labels of a kind with their share of all of it; ties go to the smaller label."""
     label = F.coalesce(F.when(F.col(key) != "", F.col(key)), F.lit("Unspecified"))
     summed = txn.where(F.col("kind") == kind).groupBy(label.alias("label")).agg(F.sum("amount").alias("exact"), F.count(F.lit(1)).alias("n"))
-    whole = summed.agg(F.sum("exact").alias("whole"))
-    return (
-        summed.join(F.broadcast(whole))  # one row
-        .select("label", F.round("exact", 2).cast("double").alias("amount"), "n", F.round(100 * F.col("exact").cast("double") / F.col("whole").cast("double"), 4).alias("share"))
-        .orderBy(F.desc("amount"), "label")
-        .limit(top)
-    )
+    share = F.round(100 * F.col("exact").cast("double") / F.sum("exact").over(Window.partitionBy()).cast("double"), 4)  # over labels, not rows
+    return summed.select("label", F.round("exact", 2).cast("double").alias("amount"), "n", share.alias("share")).orderBy(F.desc("amount"), "label").limit(top)
 
 
 def cash_history(months: DataFrame, cash: float, anchor: str | None = None) -> DataFrame:
-    """Balance at each month's end, given what it is at the anchor's (the last month's)."""
+    """Balance at each month's end, given what it is at the anchor's, or at the last month's if there is none such."""
     order = Window.orderBy("start").rowsBetween(Window.unboundedPreceding, 0)  # a row a month
     run = months.withColumn("cum", F.sum("profit").over(order))
-    at = F.max_by("cum", "start") if anchor is None else F.max(F.when(F.col("month") == anchor, F.col("cum")))
+    at = F.coalesce(F.max(F.when(F.col("month") == F.lit(anchor), F.col("cum"))), F.max_by("cum", "start"))
     return run.join(F.broadcast(run.agg(at.alias("at")))).select(
         "month", "profit", (F.lit(cash).cast("decimal(18,2)") + F.col("cum") - F.col("at")).cast("decimal(38,2)").alias("balance")
     )
@@ -61,7 +60,7 @@ def growth(txn: DataFrame, months: DataFrame, key: str, kind: str, top: int = 15
         return F.concat(F.year(d), F.lit("-Q"), F.quarter(d))
 
     complete = quarterly(months).where("complete").orderBy(F.desc("quarter")).limit(2)
-    both = complete.agg(F.max("quarter").alias("latest"), F.min("quarter").alias("prior"))
+    both = complete.agg(F.max("quarter").alias("latest"), F.min("quarter").alias("prior")).where("latest <> prior")  # two are needed
     label = F.coalesce(F.when(F.col(key) != "", F.col(key)), F.lit("Unspecified"))
     own = txn.where(F.col("kind") == kind).select(label.alias("label"), "amount", quarter(F.col("date")).alias("q")).join(F.broadcast(both))
 
@@ -77,13 +76,45 @@ def growth(txn: DataFrame, months: DataFrame, key: str, kind: str, top: int = 15
     )
 
 
-def budget_consumption(txn: DataFrame) -> DataFrame:
-    """Expenses of the latest year to date by category, against the same months a year before plus 5 %."""
-    last = txn.where("kind = 'expense'").agg(F.max(F.trunc("date", "month")).alias("hi"))
-    own = txn.where("kind = 'expense'").join(F.broadcast(last))
-    month, year = F.month("date"), F.year("date")
-    within = month <= F.month("hi")
-    spent = F.sum(F.when((year == F.year("hi")) & within, F.col("amount")))
-    prior = F.sum(F.when((year == F.year("hi") - 1) & within, F.col("amount")))
-    out = own.groupBy("category").agg(F.round(F.coalesce(spent, F.lit(0)), 2).alias("spent"), F.round(F.coalesce(prior, F.lit(0)) * F.lit("1.05").cast("decimal(3,2)"), 2).alias("budget"))
-    return out.where("spent <> 0 OR budget <> 0").select("category", F.col("spent").cast("double").alias("spent"), F.col("budget").cast("double").alias("budget"))
+def budget_consumption(txn: DataFrame, budgets: dict[str, float] | None = None) -> DataFrame:
+    """Expenses of the latest year to date by category, against a configured budget or the same months a year before plus 5 %."""
+    own = txn.where("kind = 'expense' AND date IS NOT NULL")
+    # Sums by category and month come first, so that the rows are read once.
+    by_month = own.groupBy("category", F.trunc("date", "month").alias("m")).agg(F.sum("amount").alias("a"))
+    last = F.max("m").over(Window.partitionBy())
+    by_month = by_month.withColumn("hi", last).where(F.month("m") <= F.month("hi"))
+    in_year = lambda back: F.year("m") == F.year("hi") - back
+    spent, prior = (F.sum(F.when(in_year(n), F.col("a"))) for n in (0, 1))
+    out = by_month.where(in_year(0) | in_year(1)).groupBy("category").agg(F.round(F.coalesce(spent, F.lit(0)), 2).alias("spent"), F.round(F.coalesce(prior, F.lit(0)) * F.lit("1.05").cast("decimal(3,2)"), 2).alias("before"))
+    given = F.create_map(*[F.lit(x) for k, v in (budgets or {}).items() for x in (k, float(v))]) if budgets else F.create_map().cast("map<string,double>")
+    set_for = F.try_element_at(given, F.col("category"))
+    budget = F.coalesce(F.when(set_for != 0, set_for), F.col("before").cast("double"))
+    return out.select(
+        "category", F.col("spent").cast("double").alias("spent"), budget.alias("budget"), F.when(budget != 0, F.round(F.col("spent").cast("double") / budget, 4)).alias("consumption"),
+        F.when(set_for.isNotNull(), "configured").otherwise("prior year +5%").alias("budget_source"),
+    )
+
+
+def annual_budget(months: DataFrame, budgets: dict[str, float] | None = None) -> DataFrame:
+    """One row: the configured total, else the last twelve months' expenses as a year plus 5 %."""
+    if budgets:
+        return months.sparkSession.createDataFrame([(round(sum(budgets.values()), 2), "configured")], "budget double, source string")
+    recent = months.orderBy(F.desc("start")).limit(12)
+    n = F.count(F.lit(1))
+    return recent.agg(F.when(n > 0, F.round(F.sum("expenses").cast("double") * 12 / n * 1.05, 2)).alias("budget"), F.when(n > 0, "last 12 months + 5%").otherwise("none").alias("source"))
+
+
+PAYROLL_WORDS = ("salar", "payroll", "wage")
+
+
+def payroll_profile(txn: DataFrame) -> DataFrame:
+    """One row: payroll's share of expenses over the last three months, and payroll a month."""
+    paid = F.lower(F.coalesce("category", F.lit(""))).rlike("|".join(PAYROLL_WORDS))
+    by_month = txn.where("date IS NOT NULL").groupBy(F.trunc("date", "month").alias("m")).agg(
+        F.sum(F.when(F.col("kind") == "expense", F.col("amount"))).alias("total"), F.sum(F.when((F.col("kind") == "expense") & paid, F.col("amount"))).alias("payroll")
+    )
+    recent = by_month.withColumn("hi", F.max("m").over(Window.partitionBy())).where(F.col("m") > F.add_months("hi", -3))
+    payroll, total = F.coalesce(F.sum("payroll"), F.lit(0)).cast("double"), F.sum("total").cast("double")
+    n_months = F.greatest(F.lit(1), F.least(F.lit(3), F.months_between(F.max("hi"), F.max("lo")).cast("int") + 1))
+    lo = by_month.agg(F.min("m").alias("lo"))
+    return recent.crossJoin(F.broadcast(lo)).agg(F.when(total != 0, F.round(payroll / total, 4)).otherwise(0.0).alias("share"), F.round(payroll / n_months, 2).alias("monthly"))  # one row
