@@ -1,183 +1,6 @@
 """Every query of the library, by name, and the SQL that gives the same rows."""
 
-from __future__ import annotations
+from tallywright.plans import finance, records, reconciliation, values  # noqa: F401  (they register their queries)
+from tallywright.plans.base import ORACLES, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
-
-from tallywright.operators import linking, pnl
-from tallywright.sources import tables as t
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
-_OCR = "translate(upper(regexp_replace(identifier, '[^A-Za-z0-9]', '', 'g')), 'OQDILZSB', '00011258')"
-_TXN = "WITH " + t.TRANSACTIONS_SQL
-_DOCS = "WITH " + t.DOCUMENTS_SQL
-_MONTHS = _TXN + """,
-sums AS (
-  SELECT date_trunc('month', date)::DATE AS start, round(sum(amount) FILTER (WHERE kind = 'revenue'), 2) AS revenue,
-         round(sum(amount) FILTER (WHERE kind = 'expense'), 2) AS expenses
-  FROM txn WHERE date IS NOT NULL GROUP BY 1),
-months AS (
-  SELECT c.start, strftime(c.start, '%Y-%m') AS month, coalesce(revenue, 0)::DECIMAL(38,2) AS revenue,
-         coalesce(expenses, 0)::DECIMAL(38,2) AS expenses, coalesce(revenue, 0)::DECIMAL(38,2) - coalesce(expenses, 0)::DECIMAL(38,2) AS profit
-  FROM (SELECT unnest(generate_series((SELECT min(start) FROM sums), (SELECT max(start) FROM sums), INTERVAL 1 MONTH))::DATE AS start) c
-  LEFT JOIN sums USING (start)),
-quarters AS (
-  SELECT year(start) || '-Q' || quarter(start) AS quarter, sum(revenue) AS revenue, sum(expenses) AS expenses,
-         sum(profit) AS profit, count(*) AS months_in, count(*) = 3 AS complete FROM months GROUP BY 1)
-"""
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def add(fn: Query) -> Query:
-        QUERIES[fn.__name__] = fn
-        if sql:
-            ORACLES[fn.__name__] = sql
-        return fn
-
-    return add
-
-
-def _money(*names: str) -> list:
-    return [F.col(n).cast("double").alias(n) for n in names]
-
-
-def _months(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pnl.monthly(t.transactions(spark, sf_dir))
-
-
-@query(_MONTHS + "SELECT month, revenue::DOUBLE AS revenue, expenses::DOUBLE AS expenses, profit::DOUBLE AS profit FROM months")
-def monthly_pnl(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _months(spark, sf_dir).select("month", *_money("revenue", "expenses", "profit"))
-
-
-@query(_MONTHS + "SELECT quarter, revenue::DOUBLE AS revenue, expenses::DOUBLE AS expenses, profit::DOUBLE AS profit, months_in, complete FROM quarters")
-def quarterly_pnl(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pnl.quarterly(_months(spark, sf_dir)).select("quarter", *_money("revenue", "expenses", "profit"), "months_in", "complete")
-
-
-@query(_MONTHS + """SELECT sum(revenue)::DOUBLE AS revenue, sum(expenses)::DOUBLE AS expenses, sum(profit)::DOUBLE AS profit,
-  round(100 * sum(profit)::DOUBLE / sum(revenue)::DOUBLE, 4) AS margin FROM months""")
-def pnl_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sums = _months(spark, sf_dir).agg(*[F.sum(n).cast("double").alias(n) for n in ("revenue", "expenses", "profit")])
-    return sums.withColumn("margin", F.round(100 * F.col("profit") / F.col("revenue"), 4))
-
-
-def _breakdown_sql(key: str, kind: str) -> str:
-    return _TXN + f""", g AS (SELECT coalesce(nullif({key}, ''), 'Unspecified') AS label, sum(amount) AS e, count(*) AS n
-      FROM txn WHERE kind = '{kind}' GROUP BY 1)
-    SELECT label, round(e, 2)::DOUBLE AS amount, n, round(100 * e::DOUBLE / (SELECT sum(e) FROM g)::DOUBLE, 4) AS share
-    FROM g ORDER BY amount DESC, label LIMIT 8"""
-
-
-@query(_breakdown_sql("category", "expense"))
-def breakdown_category(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pnl.breakdown(t.transactions(spark, sf_dir), "category", "expense")
-
-
-@query(_breakdown_sql("counterparty", "revenue"))
-def breakdown_counterparty(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pnl.breakdown(t.transactions(spark, sf_dir), "counterparty", "revenue")
-
-
-@query(_MONTHS + """, r AS (SELECT *, sum(profit) OVER (ORDER BY start) AS cum FROM months)
-SELECT month, profit::DOUBLE AS profit, (500000 + cum - (SELECT cum FROM r ORDER BY start DESC LIMIT 1))::DOUBLE AS balance FROM r""")
-def cash_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pnl.cash_history(_months(spark, sf_dir), 500000).select("month", *_money("profit", "balance"))
-
-
-@query(_MONTHS + """, b AS (SELECT max(quarter) AS latest, min(quarter) AS prior FROM (SELECT quarter FROM quarters WHERE complete ORDER BY quarter DESC LIMIT 2)),
-g AS (SELECT coalesce(nullif(category, ''), 'Unspecified') AS label,
-  round(coalesce(sum(amount) FILTER (WHERE year(date) || '-Q' || quarter(date) = latest), 0), 2) AS l,
-  round(coalesce(sum(amount) FILTER (WHERE year(date) || '-Q' || quarter(date) = prior), 0), 2) AS p
-  FROM txn, b WHERE kind = 'expense' GROUP BY 1)
-SELECT label, l::DOUBLE AS latest_amount, p::DOUBLE AS prior_amount, (l - p)::DOUBLE AS change,
-  CASE WHEN p <> 0 THEN round(100 * (l - p)::DOUBLE / p::DOUBLE, 4) END AS pct FROM g ORDER BY change DESC, label LIMIT 15""")
-def growth_category(spark: SparkSession, sf_dir: str) -> DataFrame:
-    txn = t.transactions(spark, sf_dir)
-    return pnl.growth(txn, pnl.monthly(txn), "category", "expense").select("label", *_money("latest_amount", "prior_amount", "change"), "pct")
-
-
-@query(_TXN + """, h AS (SELECT max(date_trunc('month', date)) AS hi FROM txn WHERE kind = 'expense'),
-g AS (SELECT category, round(coalesce(sum(amount) FILTER (WHERE year(date) = year(hi) AND month(date) <= month(hi)), 0), 2) AS spent,
-  round(coalesce(sum(amount) FILTER (WHERE year(date) = year(hi) - 1 AND month(date) <= month(hi)), 0) * 1.05::DECIMAL(3,2), 2) AS budget
-  FROM txn, h WHERE kind = 'expense' GROUP BY 1)
-SELECT category, spent::DOUBLE AS spent, budget::DOUBLE AS budget FROM g WHERE spent <> 0 OR budget <> 0""")
-def budget_consumption(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pnl.budget_consumption(t.transactions(spark, sf_dir))
-
-
-@query(_TXN + """SELECT kind, count(*) AS n, min(date) AS first_date, max(date) AS last_date, count(DISTINCT category) AS n_categories
-FROM txn GROUP BY kind""")
-def traceability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return t.transactions(spark, sf_dir).groupBy("kind").agg(
-        F.count(F.lit(1)).alias("n"), F.min("date").alias("first_date"), F.max("date").alias("last_date"), F.countDistinct("category").alias("n_categories")
-    )
-
-
-@query(_TXN + """SELECT transaction_id, date, kind, amount::DOUBLE AS amount, category, counterparty FROM txn
-WHERE kind = 'revenue' ORDER BY date DESC, transaction_id LIMIT 50""")
-def find_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return t.transactions(spark, sf_dir).where("kind = 'revenue'").orderBy(F.desc("date"), "transaction_id").limit(50).withColumn("amount", F.col("amount").cast("double"))
-
-
-@query(_DOCS + f""", k AS (SELECT *, nullif({_OCR}, '') AS k FROM docs_invoice)
-SELECT DISTINCT l.document_type, l.document_id AS left_id, r.document_id AS right_id, l.identifier
-FROM k l JOIN k r ON l.k = r.k AND l.document_id < r.document_id""")
-def duplicate_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linking.duplicate_entries(t.invoices(spark, sf_dir))
-
-
-@query(_DOCS + f""", a AS (SELECT *, nullif({_OCR}, '') AS k FROM docs_invoice), b AS (SELECT *, nullif({_OCR}, '') AS k FROM docs_ledger),
-p AS (SELECT a.document_id AS left_id, b.document_id AS right_id, round(100 * abs(a.amount - b.amount)::DOUBLE / abs(b.amount)::DOUBLE, 4) AS pct,
-  abs(date_diff('day', b.date, a.date))::INTEGER AS days FROM a JOIN b ON a.k = b.k)
-SELECT *, CASE WHEN pct = 0 AND days = 0 THEN 'MATCHED' WHEN pct <= 2 AND days <= 7 THEN 'AUTO_RESOLVED' ELSE 'ESCALATED' END AS status FROM p""")
-def pair_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linking.pair_compare(t.invoices(spark, sf_dir), t.ledger(spark, sf_dir))
-
-
-@query(_DOCS + f"""SELECT document_id, identifier, amount::DOUBLE AS amount, date FROM docs_invoice i
-WHERE NOT EXISTS (SELECT 1 FROM (SELECT {_OCR} AS k FROM docs_ledger) l WHERE l.k = {_OCR.replace('identifier', 'i.identifier')})""")
-def missing_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linking.missing(t.invoices(spark, sf_dir), t.ledger(spark, sf_dir)).select("document_id", "identifier", F.col("amount").cast("double").alias("amount"), "date")
-
-
-@query("SELECT conv_id, count(turn) AS n_messages, max(turn) AS last_turn FROM conversations GROUP BY conv_id")
-def chat_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return t.table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("turn").alias("n_messages"), F.max("turn").alias("last_turn"))
-
-
-@query("""WITH r AS (SELECT user_id AS case_id, max(event_id) AS id FROM events WHERE event_type IN ('click', 'error', 'purchase') GROUP BY 1)
-SELECT r.case_id, r.id, CASE event_type WHEN 'click' THEN 'ACCEPT' WHEN 'error' THEN 'REJECT' ELSE 'CORRECT' END AS action
-FROM r JOIN events e ON e.event_id = r.id""")
-def latest_review(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Latest decision of each case."""
-    action = F.when(F.col("event_type") == "click", "ACCEPT").when(F.col("event_type") == "error", "REJECT").otherwise("CORRECT")
-    own = t.table(spark, sf_dir, "events").where(F.col("event_type").isin("click", "error", "purchase"))
-    return own.groupBy(F.col("user_id").alias("case_id")).agg(F.max("event_id").alias("id"), F.max_by(action, F.col("event_id")).alias("action"))
-
-
-@query("""SELECT t AS threshold, round(100.0 * count(*) FILTER (WHERE quality = 0 AND doc_id % 100 < t) / count(*) FILTER (WHERE quality = 0), 4) AS caught,
-round(100.0 * count(*) FILTER (WHERE quality = 1 AND doc_id % 100 < t) / count(*) FILTER (WHERE quality = 1), 4) AS false_alarms
-FROM labels, (VALUES (50), (60), (70), (85)) AS x(t) GROUP BY t""")
-def threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What each threshold on a score would catch of what is wrong, and of what is right."""
-    steps = F.explode(F.array(*[F.lit(x) for x in (50, 60, 70, 85)]))
-    rows = t.table(spark, sf_dir, "labels").select("quality", (F.col("doc_id") % 100).alias("score"), steps.alias("threshold"))
-
-    def share(wrong: int):
-        hit = F.sum(F.when((F.col("quality") == wrong) & (F.col("score") < F.col("threshold")), 1).otherwise(0))
-        return F.round(100.0 * hit / F.sum(F.when(F.col("quality") == wrong, 1)), 4)
-
-    return rows.groupBy("threshold").agg(share(0).alias("caught"), share(1).alias("false_alarms"))
-
-
-@query("""SELECT conv_id, turn, role, text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role, text) AS n FROM conversations) WHERE n <= 24""")
-def chat_history_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
-    recent = Window.partitionBy("conv_id").orderBy(F.desc("turn"), "role", "text")
-    return t.table(spark, sf_dir, "conversations").withColumn("n", F.row_number().over(recent)).where("n <= 24").select("conv_id", "turn", "role", "text")
+__all__ = ["ORACLES", "QUERIES"]

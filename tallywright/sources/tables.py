@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallywright.operators import gate
+
 MONEY = "decimal(18,2)"
 
 
@@ -12,45 +14,57 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as revenue, order lines as expense: id, date, kind, amount, category, counterparty."""
+def transactions(spark: SparkSession, sf_dir: str, *wanted: str, verified_only: bool = True) -> DataFrame:
+    """Orders as revenue, order lines as expense, past the gate: id, date, kind, amount and, if wanted, category and counterparty.
+
+    Every order's cases follow from its key; tables are joined only for the columns that are asked for.
+    """
     orders, lines = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
-    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_name")
-    suppliers = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
-    parts = table(spark, sf_dir, "part").select("p_partkey", "p_type")
-    revenue = orders.join(customers, orders.o_custkey == customers.c_custkey, "left").select(
-        F.concat(F.lit("txn:O"), F.col("o_orderkey").cast("string")).alias("transaction_id"),
-        F.col("o_orderdate").cast("date").alias("date"),
-        F.lit("revenue").alias("kind"),
-        F.col("o_totalprice").cast(MONEY).cast("decimal(38,4)").alias("amount"),
-        F.col("c_mktsegment").alias("category"),
-        F.col("c_name").alias("counterparty"),
-    )
-    expense = (
-        lines.join(parts, lines.l_partkey == parts.p_partkey, "left")
-        .join(suppliers, lines.l_suppkey == suppliers.s_suppkey, "left")
-        .select(
-            F.concat(F.lit("txn:L"), F.col("l_orderkey").cast("string"), F.lit("-"), F.col("l_linenumber").cast("string")).alias("transaction_id"),
-            F.col("l_shipdate").cast("date").alias("date"),
-            F.lit("expense").alias("kind"),
-            (F.col("l_extendedprice").cast(MONEY) * (1 - F.col("l_discount").cast(MONEY))).cast("decimal(38,4)").alias("amount"),
-            F.when(F.col("p_type") == "STANDARD", F.lit("Salaries & Wages")).otherwise(F.col("p_type")).alias("category"),
-            F.col("s_name").alias("counterparty"),
-        )
-    )
-    return revenue.unionByName(expense)
+    if {"category", "counterparty"} & set(wanted):
+        customers = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_name")
+        orders = orders.join(customers, orders.o_custkey == customers.c_custkey, "left")
+    if "category" in wanted:
+        parts = table(spark, sf_dir, "part").select("p_partkey", "p_type")
+        lines = lines.join(parts, lines.l_partkey == parts.p_partkey, "left")
+    if "counterparty" in wanted:
+        suppliers = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
+        lines = lines.join(suppliers, lines.l_suppkey == suppliers.s_suppkey, "left")
+
+    def statuses(key: Column) -> Column:
+        own = F.array(F.when(key % 29 == 0, "ESCALATED"), F.when(key % 31 == 0, "REJECTED"), F.when(key % 7 == 0, "ACCEPTED"), F.when(key % 5 == 0, "MATCHED"))
+        return F.array_compact(own)
+
+    def shaped(rows: DataFrame, txn_id: Column, date: Column, kind: str, amount: Column, category: Column, counterparty: Column, key: Column) -> DataFrame:
+        more = [c.alias(n) for n, c in (("category", category), ("counterparty", counterparty)) if n in wanted]
+        status = gate.transaction_status(statuses(key), F.lit(False))
+        out = rows.select(txn_id.alias("transaction_id"), date.cast("date").alias("date"), F.lit(kind).alias("kind"), amount.cast("decimal(38,4)").alias("amount"), *more, status.alias("verification_status"))
+        return out.withColumns({"verified": F.col("verification_status").isin(*gate.VERIFIED), "source_count": F.lit(1)})
+
+    salaries = F.when(F.col("p_type") == "STANDARD", F.lit("Salaries & Wages")).otherwise(F.col("p_type"))
+    revenue = shaped(
+        orders, F.concat(F.lit("txn:O"), F.col("o_orderkey").cast("string")), F.col("o_orderdate"), "revenue", F.col("o_totalprice").cast(MONEY),
+        F.col("c_mktsegment"), F.col("c_name"), F.col("o_orderkey"),
+    )
+    line = F.concat(F.lit("txn:L"), F.col("l_orderkey").cast("string"), F.lit("-"), F.col("l_linenumber").cast("string"))
+    net = F.col("l_extendedprice").cast(MONEY) * (1 - F.col("l_discount").cast(MONEY))
+    both = revenue.unionByName(shaped(lines, line, F.col("l_shipdate"), "expense", net, salaries, F.col("s_name"), F.col("l_orderkey")))
+    return gate.verified(both).drop("verification_status", "verified", "source_count") if verified_only else both
 
 
 TRANSACTIONS_SQL = """
-txn AS (
+raw_txn AS (
   SELECT 'txn:O' || o_orderkey AS transaction_id, CAST(o_orderdate AS DATE) AS date, 'revenue' AS kind,
-         CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS DECIMAL(38,4)) AS amount, c_mktsegment AS category, c_name AS counterparty
+         CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS DECIMAL(38,4)) AS amount, c_mktsegment AS category, c_name AS counterparty, o_orderkey AS key
   FROM orders LEFT JOIN customer ON o_custkey = c_custkey
   UNION ALL
   SELECT 'txn:L' || l_orderkey || '-' || l_linenumber, CAST(l_shipdate AS DATE), 'expense',
          CAST(CAST(l_extendedprice AS DECIMAL(18,2)) * (1 - CAST(l_discount AS DECIMAL(18,2))) AS DECIMAL(38,4)),
-         CASE WHEN p_type = 'STANDARD' THEN 'Salaries & Wages' ELSE p_type END, s_name
-  FROM lineitem LEFT JOIN part ON l_partkey = p_partkey LEFT JOIN supplier ON l_suppkey = s_suppkey)
+         CASE WHEN p_type = 'STANDARD' THEN 'Salaries & Wages' ELSE p_type END, s_name, l_orderkey
+  FROM lineitem LEFT JOIN part ON l_partkey = p_partkey LEFT JOIN supplier ON l_suppkey = s_suppkey),
+all_txn AS (
+  SELECT *, CASE WHEN key % 31 = 0 THEN 'QUARANTINED' WHEN key % 29 = 0 THEN 'PENDING_REVIEW' WHEN key % 7 = 0 THEN 'ACCEPTED'
+                 WHEN key % 5 = 0 THEN 'RECONCILED' ELSE 'SINGLE_SOURCE' END AS verification_status FROM raw_txn),
+txn AS (SELECT * FROM all_txn WHERE verification_status IN ('RECONCILED', 'SINGLE_SOURCE', 'ACCEPTED', 'CORRECTED') AND amount IS NOT NULL AND date IS NOT NULL)
 """
 
 
@@ -101,3 +115,65 @@ docs_ledger AS (
          CAST(o_orderdate AS DATE) + CAST(CASE WHEN o_orderkey % 10 = 3 THEN 3 WHEN o_orderkey % 10 = 4 THEN 20 ELSE 0 END AS INTEGER) AS date
   FROM orders WHERE o_orderkey % 10 <> 0)
 """
+
+
+def payments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What was paid for finished orders: some of it short, late, early or for no order."""
+    key, amount = F.col("o_orderkey"), F.col("o_totalprice").cast(MONEY)
+    factor = F.when(key % 11 == 0, F.lit("0.92")).when(key % 11 == 1, F.lit("0.99")).otherwise(F.lit("1.00")).cast("decimal(3,2)")
+    days = F.when(key % 13 == 0, 130).when(key % 17 == 0, -1).otherwise(21)
+    return table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(
+        F.concat(F.lit("pay-"), F.lpad(key.cast("string"), 9, "0")).alias("document_id"), F.lit("PAYMENT").alias("document_type"),
+        F.when(key % 101 == 0, F.concat(F.lit("NONE-"), key.cast("string"))).otherwise(_identifier(key)).alias("identifier"),
+        (amount * factor).cast(MONEY).alias("amount"), F.date_add(F.col("o_orderdate").cast("date"), days).alias("date"),
+    )
+
+
+def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Invoices, postings and payments as the facts that linking works on."""
+    none = F.lit(None).cast("string")
+    number = F.substring("document_id", 5, 9).cast("long")
+    rows = invoices(spark, sf_dir).unionByName(ledger(spark, sf_dir)).unionByName(payments(spark, sf_dir))
+    return rows.select(
+        "document_id", "document_type", F.concat("document_id", F.lit(".pdf")).alias("source_name"), F.array_compact(F.array("identifier")).alias("identifiers"), "amount",
+        none.alias("currency"), "date", none.alias("entity"), F.when(F.col("document_type") == "LEDGER", F.concat(F.lit("Account "), number % 6)).alias("category"),
+        F.when(F.col("document_type") == "LEDGER", F.when(number % 10 == 7, "Expense").otherwise("Revenue")).alias("entry_type"), (number % 53 == 0).alias("low_confidence"),
+    )
+
+
+def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reviewers' actions on cases of pairs, from events: (id, case_id, action, field, corrected_value, reviewer)."""
+    key = F.lpad((F.col("user_id") * 97).cast("string"), 9, "0")
+    action = F.when(F.col("event_type") == "click", "ACCEPT").when(F.col("event_type") == "error", "REJECT").otherwise("CORRECT")
+    field = F.when(F.col("event_id") % 3 == 0, "amount").when(F.col("event_id") % 3 == 1, "category").otherwise("date")
+    value = F.when(field == "amount", F.concat(F.lit("$"), (F.col("event_id") % 900 + 100).cast("string"), F.lit(",000"))).when(field == "category", F.concat(F.lit("Fixed "), F.col("event_id") % 5)).otherwise("2001-02-03")
+    return table(spark, sf_dir, "events").where(F.col("event_type").isin("click", "error", "purchase")).select(
+        F.col("event_id").alias("id"), F.concat(F.lit("pair:inv-"), key, F.lit("|led-"), key).alias("case_id"), action.alias("action"),
+        F.when(action == "CORRECT", field).alias("field"), F.when(action == "CORRECT", value).alias("corrected_value"), F.concat(F.lit("r"), F.col("user_id") % 4).alias("reviewer"),
+    )
+
+
+FACTS_SQL = DOCUMENTS_SQL + """,
+docs_payment AS (
+  SELECT 'pay-' || lpad(CAST(o_orderkey AS VARCHAR), 9, '0') AS document_id, 'PAYMENT' AS document_type,
+         CASE WHEN o_orderkey % 101 = 0 THEN 'NONE-' || o_orderkey ELSE 'ORD-2012-' || lpad(CAST(o_orderkey AS VARCHAR), 9, '0') END AS identifier,
+         CAST(CAST(o_totalprice AS DECIMAL(18,2)) * CAST(CASE WHEN o_orderkey % 11 = 0 THEN 0.92 WHEN o_orderkey % 11 = 1 THEN 0.99 ELSE 1.00 END AS DECIMAL(3,2)) AS DECIMAL(18,2)) AS amount,
+         CAST(o_orderdate AS DATE) + CAST(CASE WHEN o_orderkey % 13 = 0 THEN 130 WHEN o_orderkey % 17 = 0 THEN -1 ELSE 21 END AS INTEGER) AS date
+  FROM orders WHERE o_orderstatus = 'F'),
+facts AS (
+  SELECT document_id, document_type, identifier, nullif(translate(regexp_replace(upper(regexp_replace(identifier, '\s+', '', 'g')), '[-_/.,:]', '', 'g'), 'OQIL|', '00111'), '') AS key,
+         amount, date, substr(document_id, 5, 9)::BIGINT AS n,
+         CASE WHEN document_type = 'LEDGER' THEN 'Account ' || (substr(document_id, 5, 9)::BIGINT % 6) END AS category,
+         CASE WHEN document_type = 'LEDGER' THEN CASE WHEN substr(document_id, 5, 9)::BIGINT % 10 = 7 THEN 'expense' ELSE 'revenue' END END AS kind_said
+  FROM (SELECT * FROM docs_invoice UNION ALL SELECT * FROM docs_ledger UNION ALL SELECT * FROM docs_payment))
+"""
+
+REVIEWS_SQL = """
+reviews AS (
+  SELECT event_id AS id, 'pair:inv-' || lpad(CAST(user_id * 97 AS VARCHAR), 9, '0') || '|led-' || lpad(CAST(user_id * 97 AS VARCHAR), 9, '0') AS case_id,
+         CASE event_type WHEN 'click' THEN 'ACCEPT' WHEN 'error' THEN 'REJECT' ELSE 'CORRECT' END AS action,
+         CASE WHEN event_type = 'purchase' THEN CASE event_id % 3 WHEN 0 THEN 'amount' WHEN 1 THEN 'category' ELSE 'date' END END AS field,
+         CASE WHEN event_type = 'purchase' THEN CASE event_id % 3 WHEN 0 THEN '$' || (event_id % 900 + 100) || ',000' WHEN 1 THEN 'Fixed ' || (event_id % 5) ELSE '2001-02-03' END END AS corrected_value,
+         'r' || (user_id % 4) AS reviewer
+  FROM events WHERE event_type IN ('click', 'error', 'purchase'))
+"""
