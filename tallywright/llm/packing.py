@@ -7,8 +7,7 @@ id matrix row (little-endian, padded with ``pad``), cumulative segment lengths
 and position resets.  Nothing is shuffled: a row belongs to (part, lot, row),
 which follow from the split alone, so a task that is run again writes the same.
 
-Defined results: a null or empty text has no tokens and gets one segment of
-length 0 in no row, so it is only counted; texts longer than a row become pieces
+Defined results: a null or empty text has no tokens and is in no row; texts longer than a row become pieces
 of at most ``length`` tokens, numbered from 0; repeated rows are packed each; a
 null id is carried as null; other columns are ignored.
 """
@@ -19,7 +18,7 @@ import base64
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,10 +28,10 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: how this vocabulary cuts a text into words.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 LENGTH, LOT, PAD = 2048, 4096, 50256
-MAX_RUN = 100_000  # code points given to the tokeniser at once
+RUN = 100_000  # code points given to the tokeniser at once, or about
 
 PACKED = (
-    "part int, lot long, row long, ids binary, n_tokens long, cu_seqlens array<int>, positions array<int>, doc_ids array<long>, pieces array<int>"
+    "part int, lot long, row long, ids binary, n_tokens long, cu_seqlens array<int>, positions array<int>, doc_ids array<{id}>, pieces array<int>"
 )
 
 
@@ -90,61 +89,75 @@ def pack(sizes: list[int], length: int) -> list[list[int]]:
 
 
 def runs(text: str, limit: int) -> Iterator[str]:
-    """Parts of at most about ``limit`` code points, cut before a blank after a letter where there is one."""
+    """Parts of about ``limit`` code points, cut only where words always end.
+
+    That is before white space after anything else, and between a letter and a
+    digit; a part without such a place goes on to the next one.
+    """
     at = 0
     while len(text) - at > limit:
-        end = text.rfind(" ", at + 1, at + limit)
-        while end > at and not text[end - 1].isalpha():
-            end = text.rfind(" ", at + 1, end)
-        end = end if end > at else at + limit
+        end = at + limit
+        while end < len(text) and not (text[end].isspace() and not text[end - 1].isspace()):
+            end += 1
         yield text[at:end]
         at = end
-    yield text[at:]
+    if at < len(text):
+        yield text[at:]
 
 
 def packed(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY,
     pattern: str = PATTERN, length: int = LENGTH, lot: int = LOT, pad: int = PAD,
 ) -> DataFrame:
-    """Packed rows with the columns of ``PACKED``."""
+    """Packed rows with the columns of ``PACKED``; ``doc_ids`` are of the id column's type."""
     with open(vocabulary, "rb") as file:  # a file of the driver; tasks get its ranks
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
     kind = "<u2" if max(len(ranks), pad) < 1 << 16 else "<u4"
+    own = docs.select(F.spark_partition_id().alias("part"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    schema = PACKED.format(id=own.schema["id"].dataType.simpleString())
+    names = [c.split()[0] for c in schema.split(", ")]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import tiktoken
 
         encoder = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=shared.value, special_tokens={})
-        number, waiting = 0, []
-
-        def flush(part: int) -> pd.DataFrame:
-            out = []
-            for row, own in enumerate(pack([len(w[2]) for w in waiting], length)):
-                ids = np.full(length, pad, dtype=kind)
-                ends = np.cumsum([0] + [len(waiting[i][2]) for i in own])
-                for i, start in zip(own, ends):
-                    ids[start : start + len(waiting[i][2])] = waiting[i][2]
-                places = np.concatenate([np.arange(len(waiting[i][2])) for i in own]).astype(np.int32)
-                out.append((part, number, row, ids.tobytes(), int(ends[-1]), ends.astype(np.int32), places, [waiting[i][0] for i in own], [waiting[i][1] for i in own]))
-            return pd.DataFrame(out, columns=[c.split()[0] for c in PACKED.split(", ")])
-
-        part = 0
+        number, waiting, part, id_type = 0, [], 0, None
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            rows = pack([len(w[2]) for w in waiting], length)
+            for at in range(0, len(rows), 256):
+                out: list[list] = [[] for _ in names]
+                for row, members in enumerate(rows[at : at + 256], at):
+                    ids = np.full(length, pad, dtype=kind)
+                    ends = np.cumsum([0] + [len(waiting[i][2]) for i in members]).astype(np.int32)
+                    for i, start in zip(members, ends):
+                        ids[start : start + len(waiting[i][2])] = waiting[i][2]
+                    places = np.concatenate([np.arange(len(waiting[i][2]), dtype=np.int32) for i in members])
+                    made = (part, number, row, ids.tobytes(), int(ends[-1]), ends, places, [waiting[i][0] for i in members], [waiting[i][1] for i in members])
+                    for column, value in zip(out, made):
+                        column.append(value)
+                i32, i64 = pa.int32(), pa.int64()
+                types = (i32, i64, i64, pa.binary(), i64, pa.list_(i32), pa.list_(i32), pa.list_(id_type), pa.list_(i32))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names)
+
         for batch in batches:
-            for part, doc, text in zip(batch["part"], batch["id"], batch["text"]):
-                if not isinstance(text, str) or not text:
+            id_type = batch.schema.field("id").type
+            for i in range(batch.num_rows):
+                text = batch.column(2)[i].as_py()
+                if not text:
                     continue
-                ids = np.concatenate([np.array(encoder.encode_ordinary(r), dtype=kind) for r in runs(text, MAX_RUN)])
+                part, doc = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
+                ids = np.concatenate([np.array(encoder.encode_ordinary(r), dtype=kind) for r in runs(text, RUN)])
                 for n, at in enumerate(range(0, len(ids), length)):
-                    waiting.append((None if doc is None or pd.isna(doc) else int(doc), n, ids[at : at + length]))
+                    waiting.append((doc, n, ids[at : at + length]))
                     if len(waiting) == lot:
-                        yield flush(part)
+                        yield from flush()
                         number, waiting = number + 1, []
         if waiting:
-            yield flush(part)
+            yield from flush()
 
-    own = docs.select(F.spark_partition_id().alias("part"), F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
-    return own.mapInPandas(run, PACKED)
+    return own.mapInArrow(run, schema)
 
 
 def write(rows: DataFrame, path: str) -> None:

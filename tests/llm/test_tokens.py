@@ -137,3 +137,33 @@ def test_packing(spark):
     for doc, text in texts:
         own = [i for key in sorted((k for k in found if k[0] == doc), key=lambda k: k[1]) for i in found[key]]
         assert own == (enc.encode_ordinary(text) if text else [])
+
+
+def encoder():
+    import base64
+
+    import tiktoken
+
+    with open(packing.VOCABULARY, "rb") as file:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
+    return tiktoken.Encoding("own", pat_str=packing.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+@pytest.mark.parametrize("text", ["1234 567, " * 60, "don't  stop\n\n  now 12ab " * 40, "abcdefg" * 200, "   \t x" * 100, "é1 " * 200])
+def test_ids_are_those_of_the_whole_text(text):
+    enc = encoder()
+    for limit in (7, 50, 333):
+        assert [i for r in packing.runs(text, limit) for i in enc.encode_ordinary(r)] == enc.encode_ordinary(text)
+
+
+def test_packing_long_texts_and_other_ids(spark, tmp_path):
+    long = "1234 567, " * 12_000
+    docs = spark.createDataFrame([("a", long), ("b", "one"), (None, "two"), ("b", "one"), ("c", "")], "doc_id string, text string")
+    packing.write(packing.packed(docs, length=64), str(tmp_path / "rows"))
+    found = {}
+    for r in spark.read.parquet(str(tmp_path / "rows")).collect():
+        ids = np.frombuffer(r.ids, dtype="<u2")
+        for doc, piece, a, b in zip(r.doc_ids, r.pieces, r.cu_seqlens, r.cu_seqlens[1:]):
+            found.setdefault((doc, piece), []).append(ids[a:b].tolist())
+    assert [i for n in range(len([k for k in found if k[0] == "a"])) for i in found["a", n][0]] == encoder().encode_ordinary(long)
+    assert len(found["b", 0]) == 2 and len(found[None, 0]) == 1 and ("c", 0) not in found
