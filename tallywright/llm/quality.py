@@ -7,13 +7,14 @@ labels, and a linear scorer on hashed byte trigrams is trained on them.
 
 * EM needs only how often each pattern of votes occurs: at most 3**7 counts
   reach the driver, over all documents.
-* The scorer is fitted on a bounded sample, ``fit_docs`` documents or so chosen
-  by a hash of their text, whose features have at most ``2**bits`` entries each.
+* The scorer is fitted on a bounded sample, about ``fit_docs`` and at most twice as
+  many different texts chosen by a hash, whose features have at most ``2**bits``
+  entries each.
 * Texts are read whole, in windows of bytes that bound a task's memory; nothing
   is shuffled but the pattern counts.
 
 Defined results: a null or empty text gets no votes, its posterior is the share
-of good documents and its score the scorer's bias; where there are no documents
+of good documents, its score 0 and ``keep`` false; where there are no documents
 the scorer is 0.5 throughout; repeated rows are each judged and each counts;
 other columns pass through, and the added ones replace columns of their names.
 """
@@ -25,11 +26,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallywright.llm.common import spread, table
+from tallywright.llm.common import fresh, spread, table
 
 # All but the last detect one kind of junk each and never vote good; the last judges any text and overlaps them.
 LABELLERS = ("symbols", "capitals", "repeats", "cells", "shouts", "sentences", "plain_words")
@@ -52,9 +54,10 @@ _PLACE = np.random.default_rng(8).integers(1, 1 << 62, size=256, dtype=np.int64)
 
 
 def byte_runs(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(bytes, row of each byte, rows) of the texts, about WINDOW bytes at a time.
+    """(bytes, row of each byte, counted) of the texts, about WINDOW bytes at a time.
 
-    A text longer than that comes in several windows, cut at any byte.
+    A longer text comes in several windows, cut after white space.  Each of them begins
+    with the last word of the one before, which is not counted again.
     """
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -66,9 +69,20 @@ def byte_runs(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.nda
     while at < end:
         row = int(np.searchsorted(starts, at, side="right")) - 1
         last = int(np.searchsorted(starts, at + WINDOW, side="right")) - 1
-        stop = int(starts[last]) if last > row else min(at + WINDOW, int(starts[row + 1]))
-        cuts = np.clip(starts[row : max(last, row + 1) + 1], at, stop)
-        yield raw[at:stop], np.repeat(np.arange(row, row + len(cuts) - 1), np.diff(cuts)), starts
+        first, stop = at, int(starts[last])
+        if last <= row:  # a part of one text
+            own_end = int(starts[row + 1])
+            stop = min(at + WINDOW, own_end)
+            while stop < own_end and _CLASS[raw[stop - 1]] != _SPACE:
+                stop += 1
+        if at > starts[row]:  # the last word before, whatever white space follows it
+            first = at - 1
+            while first > starts[row] and _CLASS[raw[first]] == _SPACE:
+                first -= 1
+            while first > starts[row] and _CLASS[raw[first - 1]] != _SPACE:
+                first -= 1
+        cuts = np.clip(starts[row : max(last, row + 1) + 1], first, stop)
+        yield raw[first:stop], np.repeat(np.arange(row, row + len(cuts) - 1), np.diff(cuts)), np.arange(first, stop) >= at
         at = stop
 
 
@@ -76,29 +90,29 @@ def votes(column: pa.Array) -> np.ndarray:
     """votes[document, labeller], from counts over each whole text."""
     n = len(column)
     kinds, words, same, closed, lone, plain = np.zeros((n, 8)), *np.zeros((5, n))
-    for raw, row, _ in byte_runs(column):
+    for raw, row, counted in byte_runs(column):
         kind = _CLASS[raw]
-        kinds += np.bincount(row * 8 + kind, minlength=n * 8).reshape(n, 8)
+        kinds += np.bincount((row * 8 + kind)[counted], minlength=n * 8).reshape(n, 8)
         inside = kind != _SPACE
         edge = np.concatenate(([True], row[1:] != row[:-1]))
         starts = np.flatnonzero(inside & (edge | np.concatenate(([True], ~inside[:-1]))))
         if not len(starts):
             continue
         tail = inside & np.concatenate((edge[1:] | ~inside[1:], [True]))
-        ends = np.flatnonzero(tail)
+        ends, new = np.flatnonzero(tail), counted[starts]
         mixed = np.where(inside, _MIX[raw], 0)
         place = np.arange(len(raw)) - np.repeat(np.concatenate(([0], starts)), np.diff(np.concatenate(([0], starts, [len(raw)]))))
         hashed = np.add.reduceat(mixed * _PLACE[place & 255], starts)
         of = row[starts]
-        words += np.bincount(of, minlength=n)
+        words += np.bincount(of[new], minlength=n)
         again = np.concatenate(([False], (hashed[1:] == hashed[:-1]) & (of[1:] == of[:-1])))
-        same += np.bincount(of[again], minlength=n)
+        same += np.bincount(of[again & new], minlength=n)
         last = kind[ends]
-        closed += np.bincount(row[ends[(last == _CLOSE) | (last == _SHOUT)]], minlength=n)
+        closed += np.bincount(row[ends[((last == _CLOSE) | (last == _SHOUT)) & new]], minlength=n)
         odd = (kind == _SYMBOL) | (kind == _SHOUT) | (kind == _DIGIT) | (kind == _UPPER)
         odd[starts] &= kind[starts] != _UPPER
-        plain += np.bincount(of[(np.add.reduceat(odd.astype(np.int64), starts) == 0) & ~again], minlength=n)
-        lone += np.bincount(of[(starts == ends) & (kind[starts] == _SYMBOL)], minlength=n)
+        plain += np.bincount(of[(np.add.reduceat(odd.astype(np.int64), starts) == 0) & ~again & new], minlength=n)
+        lone += np.bincount(of[(starts == ends) & (kind[starts] == _SYMBOL) & new], minlength=n)
     solid = np.maximum(kinds.sum(axis=1) - kinds[:, _SPACE], 1)
     cased, w = kinds[:, _LOWER] + kinds[:, _UPPER], np.maximum(words, 1)
 
@@ -152,14 +166,14 @@ def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: i
     return model
 
 
-def trigrams(raw: np.ndarray, row: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+def trigrams(raw: np.ndarray, row: np.ndarray, counted: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashed slots of a window's byte trigrams and the row of each."""
     if len(raw) < 3:
         return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
     wide = raw.astype(np.int64)
     packed = (wide[:-2] << 16) | (wide[1:-1] << 8) | wide[2:]
     slots = ((packed * 2654435761) & 0xFFFFFFFF) >> (32 - bits)
-    whole = row[2:] == row[:-2]
+    whole = (row[2:] == row[:-2]) & counted[2:]  # each where its last byte counts
     return slots[whole], row[2:][whole]
 
 
@@ -172,8 +186,8 @@ class Scorer:
     def score(self, column: pa.Array) -> np.ndarray:
         n = len(column)
         total, size = np.zeros(n), np.zeros(n)
-        for raw, row, _ in byte_runs(column):
-            slots, of = trigrams(raw, row, self.bits)
+        for raw, row, counted in byte_runs(column):
+            slots, of = trigrams(raw, row, counted, self.bits)
             total += np.bincount(of, self.weights[slots], minlength=n)
             size += np.bincount(of, minlength=n)
         z = self.bias + SCALE * total / (size + CALM)
@@ -224,8 +238,8 @@ def train(docs: DataFrame, text_col: str = "text", fit_docs: int = FIT_DOCS, bit
             for i in range(batch.num_rows):
                 own = batch.column(0).slice(i, 1)
                 held = np.zeros(1 << bits)
-                for raw, row, _ in byte_runs(own):
-                    held += np.bincount(trigrams(raw, row, bits)[0], minlength=len(held))
+                for raw, row, counted in byte_runs(own):
+                    held += np.bincount(trigrams(raw, row, counted, bits)[0], minlength=len(held))
                 some = np.flatnonzero(held)
                 cast = int((votes(own) @ POWERS)[0])
                 yield pa.RecordBatch.from_arrays(
@@ -233,25 +247,34 @@ def train(docs: DataFrame, text_col: str = "text", fit_docs: int = FIT_DOCS, bit
                     ["pattern", "slots", "shares"],
                 )
 
-    got = sorted((r["pattern"], bytes(r["slots"]), bytes(r["shares"])) for r in sample.mapInArrow(features, "pattern long, slots binary, shares binary").collect())
+    # Repeated texts count once, which bounds what reaches the driver whatever is repeated.
+    rows = sample.mapInArrow(features, "pattern long, slots binary, shares binary").where(F.length("slots") > 0).distinct()
+    rows = rows.orderBy(F.xxhash64("slots", "shares"), "pattern").limit(2 * fit_docs)
+    got = sorted((r["pattern"], bytes(r["slots"]), bytes(r["shares"])) for r in rows.collect())
     soft = labels.posterior(np.array([p for p, _, _ in got], dtype=np.int64)[:, None] // POWERS % 3) if got else np.empty(0)
     return labels, fit([(np.frombuffer(s, np.int32), np.frombuffer(v, np.float32)) for _, s, v in got], soft, bits)
 
 
 def judge(docs: DataFrame, labels: LabelModel, scorer: Scorer, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """``docs`` with votes (good, bad), weak-label posterior, the scorer's score and ``keep``."""
-    added = [("n_good", T.LongType()), ("n_bad", T.LongType()), ("posterior", T.DoubleType()), ("score", T.DoubleType()), ("keep", T.BooleanType())]
-    kept = [c for c in docs.columns if c not in dict(added)]
-    schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField(*x) for x in added])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            text = batch.column(len(kept))
+    """``docs`` with votes (good, bad), weak-label posterior, the scorer's score and ``keep``; only texts go to Python."""
+    added = T.StructType().add("n_good", T.LongType()).add("n_bad", T.LongType()).add("posterior", T.DoubleType()).add("score", T.DoubleType()).add("keep", T.BooleanType())
+
+    @F.arrow_udf(added)
+    def judged(texts: pa.Array) -> pa.Array:
+        parts = []
+        for at in range(0, max(1, len(texts)), 256):
+            text = texts.slice(at, 256)
             cast, score = votes(text), scorer.score(text)
-            new = [(cast == GOOD).sum(axis=1), (cast == BAD).sum(axis=1), labels.posterior(cast), score, score >= threshold]
-            yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(kept))] + [pa.array(x) for x in new], names=schema.names)
-
-    return docs.select(*[docs[c] for c in kept], docs[text_col].alias("_text")).mapInArrow(run, schema)
+            some = np.array([bool(x) for x in pc.greater(pc.fill_null(pc.binary_length(text), 0), 0).to_pylist()], dtype=bool)
+            score = np.where(some, score, 0.0)
+            new = [(cast == GOOD).sum(axis=1), (cast == BAD).sum(axis=1), labels.posterior(cast), score, (score >= threshold) & some]
+            parts.append(pa.StructArray.from_arrays([pa.array(x) for x in new], added.names))
+        return pa.concat_arrays(parts)
+
+    (found,) = fresh(docs.columns, "found")
+    kept = [c for c in docs.columns if c not in added.names]
+    rows = docs.withColumn(found, judged(docs[text_col].cast("string")))
+    return rows.select(*kept, *[F.col(found)[n].alias(n) for n in added.names])
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
