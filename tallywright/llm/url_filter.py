@@ -18,16 +18,16 @@ read in full; repeated rows are each judged; other columns pass through, and
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallywright.llm.common import table
+from tallywright.llm.common import fresh, table
 
 #: (rule, verdict): a host, a slash and how the path goes on.
 RULES = (
@@ -38,41 +38,30 @@ RULES = (
     ("org/es/", "block"),
 )
 
-#: The small labelled table: (url, blocked).
-LABELLED = (
-    ("http://www.casino-win.example.com/en/12", 1),
-    ("https://casino-win.example.net/fr/870.html", 1),
-    ("https://m.best-casino.example.org/play/3", 1),
-    ("http://blog.cheap-pills.example.com/de/44", 1),
-    ("https://cheap-pills.example.org/en/9?utm_source=feed", 1),
-    ("http://cheap-meds-pills.example.net/buy/77", 1),
-    ("https://spam-farm.example.net/en/728", 1),
-    ("https://www.spam-farm.example.org/es/31#top", 1),
-    ("http://m.link-spam.example.com/fr/6/", 1),
-    ("http://free-bets.example.com/en/501", 1),
-    ("https://blog.free-bets.example.net/de/90.html", 1),
-    ("https://sports-bets.example.org/free/2", 1),
-    ("http://ads-track.example.net/en/33", 1),
-    ("https://www.ads-track.example.com/fr/402?page=2", 1),
-    ("https://track-ads.example.org/click/18", 1),
-    ("http://win-free-money.example.com/offer/1", 1),
-    ("https://www.library.example.com/en/12", 0),
-    ("http://therin.example.net/fr/870.html", 0),
-    ("https://m.garden.example.org/en/3", 0),
-    ("http://blog.thther.example.com/de/44", 0),
-    ("https://tionble.example.org/en/9?utm_source=feed", 0),
-    ("http://history.example.net/de/77", 0),
-    ("https://ththon.example.net/en/728", 0),
-    ("https://www.tiontion.example.org/es/31#top", 0),
-    ("http://m.weather.example.com/fr/6/", 0),
-    ("http://thering.example.com/en/501", 0),
-    ("https://blog.kitchen.example.net/de/90.html", 0),
-    ("https://school.example.org/es/2", 0),
-    ("http://thered.example.net/en/33", 0),
-    ("https://www.ththan.example.com/fr/402?page=2", 0),
-    ("https://museum.example.org/en/18", 0),
-    ("http://science-news.example.com/en/1", 0),
-)
+#: Words of junk and of other hosts, and what goes with them; the default labelled table is made of them.
+JUNK = ("casino", "poker", "slots", "jackpot", "bets", "pills", "pharma", "loans", "spam", "clicks", "adult", "webcam", "ads", "popup", "replica", "coupons")
+JUNK_TAILS = ("online", "best", "zone", "deals", "now", "world")
+CLEAN = (
+    "library", "garden", "history", "weather", "kitchen", "school", "museum", "science", "news", "city", "music", "travel", "recipes", "health", "nature", "river", "theatre", "letters",
+    "maths", "archive", "hiking", "birds", "poetry", "trains", "ceramics", "village", "harbour", "physics", "cinema", "bakery", "forest", "chess",
+)
+CLEAN_TAILS = ("notes", "club", "house", "weekly")
+SYLLABLES = ("lor", "mis", "tan", "quel", "bre", "dov", "ren", "sil")
+
+
+def labelled_urls() -> list[tuple[str, int]]:
+    """(url, blocked): hosts made of the words above, with subdomains, endings and paths that say nothing."""
+    junk = [f"{w}-{t}" if n % 2 else f"{t}-{w}" for n, w in enumerate(JUNK) for t in JUNK_TAILS]
+    clean = [f"{w}-{t}" if n % 2 else f"{t}-{w}" for n, w in enumerate(CLEAN) for t in CLEAN_TAILS] + list(CLEAN)
+    clean += [a + b + c for a in SYLLABLES for b in SYLLABLES[::3] for c in SYLLABLES[1::3]]
+    out = []
+    for n, (name, blocked) in enumerate([(x, 1) for x in junk] + [(x, 0) for x in clean]):
+        sub, end = ("", "www.", "m.", "blog.")[n % 4], (".com", ".org", ".net", ".info")[n // 3 % 4]
+        path = (f"/en/{n * 7}", f"/de/{n}.html", f"/fr/{n}?page=2", f"/es/{n * 3}/#top", "/")[n % 5]
+        out.append((f"{'https' if n % 2 else 'http'}://{sub}{name}{end}{path}", blocked))
+    return out
+
+
 MAX_LABELLED = 10_000
 
 
@@ -131,10 +120,11 @@ class UrlModel:
 
 
 def train(
-    labelled: Sequence[tuple[str | None, int]] = LABELLED, bits: int = 16, sizes: tuple[int, ...] = (3, 4, 5),
+    labelled: Sequence[tuple[str | None, int]] | None = None, bits: int = 16, sizes: tuple[int, ...] = (3, 4, 5),
     steps: int = 300, rate: float = 1.0, l2: float = 1e-3, max_labelled: int = MAX_LABELLED,
 ) -> UrlModel:
-    """Full-batch gradient descent; a table of one class or none gives that class or 0.5."""
+    """Full-batch gradient descent on (url, blocked), by default ``labelled_urls``; a table of one class or none gives that class or 0.5."""
+    labelled = labelled_urls() if labelled is None else labelled
     rows = [(u, y) for u, y in labelled if y is not None]
     if len(rows) > max_labelled:
         raise ValueError(f"the labelled table has over {max_labelled} rows")
@@ -159,26 +149,26 @@ def judge(
     pages: DataFrame, url_col: str = "url", rules: Iterable[tuple[str, str]] = RULES,
     model: UrlModel | None = None, threshold: float = 0.5,
 ) -> DataFrame:
-    """``pages`` with host, path, rule, verdict (allow or block) and the model's score."""
+    """``pages`` with host, path, rule, verdict (allow or block) and the model's score; only URLs go to Python."""
     found, model = Rules(rules), model or train()
-    added = T.StructType(
-        [T.StructField(n, T.StringType()) for n in ("host", "path", "rule", "verdict")] + [T.StructField("score", T.DoubleType())]
-    )
+    added = T.StructType([T.StructField(n, T.StringType()) for n in ("host", "path", "rule", "verdict")] + [T.StructField("score", T.DoubleType())])
+
+    @F.arrow_udf(added)
+    def judged(urls: pa.Array) -> pa.Array:
+        out: list[list] = [[] for _ in added.names]
+        for i in range(len(urls)):
+            host, path = parts(urls[i].as_py())
+            rule, verdict = found.fit(host, path)
+            score = model.score(host, path)
+            for column, value in zip(out, (host, path, rule, verdict or ("block" if score >= threshold else "allow"), score)):
+                column.append(value)
+        kinds = [pa.string()] * 4 + [pa.float64()]
+        return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], added.names)
+
+    (name,) = fresh(pages.columns, "judged")
     kept = [c for c in pages.columns if c not in added.names]
-    schema = T.StructType([pages.schema[c] for c in kept] + added.fields)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for url in batch["_url"]:
-                host, path = parts(url if isinstance(url, str) else None)
-                rule, verdict = found.fit(host, path)
-                score = model.score(host, path)
-                out.append((host, path, rule, verdict or ("block" if score >= threshold else "allow"), score))
-            judged = pd.DataFrame(out, columns=added.names, index=batch.index)
-            yield pd.concat([batch[kept], judged], axis=1)
-
-    return pages.select(*[pages[c] for c in kept], pages[url_col].alias("_url")).mapInPandas(run, schema)
+    rows = pages.withColumn(name, judged(pages[url_col].cast("string")))
+    return rows.select(*kept, *[F.col(name)[n].alias(n) for n in added.names])
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
