@@ -28,25 +28,26 @@ and ``ids`` replace columns of those names.
 
 from __future__ import annotations
 
+import re
 from array import array
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
-from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallywright.llm.common import fresh, spread, stored, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 LITERAL = "\ud800"  # stands for a mark in the text itself; no valid text has it
-GIANT, CHUNK, UNKNOWN = 32_768, 16_384, -100_000
+GIANT, CHUNK, UNKNOWN = 32_768, 8_192, -100_000
 GROUP = 256  # parts whose matrices are combined at once; as many groups again hold any text that fits a row
-KEPT = 2_000_000  # ids of words that a task remembers
+KEPT = 200_000  # words whose ids a task remembers, about 300 bytes each
 NEVER = -(1 << 60)
 
 
@@ -61,8 +62,10 @@ class Pieces:
     bytes_from: int  # id of byte 0
     longest: int
     starts: dict[str, int]  # scores of pieces; what only begins one has none worth taking, a lone code point ``UNKNOWN``
-    seen: dict[str, tuple[int, Sequence[int]]] = field(default_factory=dict)
-    held: int = 0
+    blob: np.ndarray  # the pieces' bytes, and where those of each id begin and how many they are
+    begins: np.ndarray
+    sizes: np.ndarray
+    seen: dict[str, tuple[int, bytes]] = field(default_factory=dict)
 
     @staticmethod
     def load(path: str) -> Pieces:
@@ -78,7 +81,12 @@ class Pieces:
         if any(MARK in p.lstrip(MARK) for p in scores):
             raise ValueError("a piece holds a mark after other characters")
         starts = {p[:n]: UNKNOWN if n == 1 else 2 * NEVER for p in scores for n in range(1, len(p))} | scores
-        return Pieces(ids, scores, model.piece_to_id("<0x00>"), max(map(len, scores)), starts)
+        first = model.piece_to_id("<0x00>")
+        raw = {i: p.replace(MARK, " ").encode("utf-8") for p, i in ids.items()} | {first + b: bytes([b]) for b in range(256)}
+        held = [raw.get(i, b"") for i in range(model.get_piece_size())]
+        sizes = np.array([len(h) for h in held], dtype=np.int64)
+        blob = np.frombuffer(b"".join(held), dtype=np.uint8)
+        return Pieces(ids, scores, first, max(map(len, scores)), starts, blob, np.cumsum(sizes) - sizes, sizes)
 
     def forward(self, text: str, start: list[int], stop: int) -> tuple[list[int], list[int]]:
         """Best scores and last piece lengths at every place up to ``stop`` + longest - 1.
@@ -106,8 +114,8 @@ class Pieces:
                 score = score_of(text[i:j])
         return best, back
 
-    def trace(self, text: str, back: list[int], end: int) -> list[int]:
-        """Ids of the path to ``end``, from the place where nothing leads further back."""
+    def trace(self, text: str, back: list[int], end: int) -> bytes:
+        """Ids (32 bits each) of the path to ``end``, from the place where nothing leads further back."""
         out: list[int] = []
         while back[end]:
             piece = text[end - back[end] : end]
@@ -117,22 +125,30 @@ class Pieces:
                 raw = piece.replace(MARK, " ").replace(LITERAL, MARK).encode("utf-8")
                 out += [self.bytes_from + b for b in reversed(raw)]
             end -= back[end]
-        return out[::-1]
+        return array("i", out[::-1]).tobytes()
 
-    def word(self, text: str) -> tuple[int, Sequence[int]]:
+    def word(self, text: str) -> tuple[int, bytes]:
         """Score and ids of a text that pieces neither enter nor leave."""
         found = self.seen.get(text)
         if found is None:
             best, back = self.forward(text, [0], len(text))
             found = best[len(text)], self.trace(text, back, len(text))
             if len(text) <= 64:
-                self.held += 16 + len(found[1])
-                if self.held > KEPT:
+                if len(self.seen) >= KEPT:
                     self.seen.clear()
-                    self.held = 0
-                self.seen[text] = found[0], array("i", found[1])
+                self.seen[text] = found
         return found
 
+    def text_of(self, ids: np.ndarray) -> str:
+        """What ids stand for, gathered from the pieces' bytes at once."""
+        sizes = self.sizes[ids]
+        places = np.repeat(self.begins[ids] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+        return self.blob[places].tobytes().decode("utf-8")
+
+
+#: A run of marks and what follows it, or what comes before the first.
+WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
+
 
 def cuts(text: str, stop: int) -> list[int]:
     """Places after the first and before ``stop`` where a run of marks begins."""
@@ -250,78 +266,66 @@ def boundary_states(matrices: list[Matrix], enter: int = 0, leave: int = 0) -> l
     return states[::-1]
 
 
-def chunk_ids(pieces: Pieces, text: str, stop: int, enter: int, leave: int) -> list[int]:
+def chunk_ids(pieces: Pieces, text: str, stop: int, enter: int, leave: int) -> np.ndarray:
     """Ids of the pieces that begin in the chunk, given its two states."""
     end = stop + leave
     at = [a for a in cuts(text, stop) if a >= enter]
     if not at:
         _, back = pieces.forward(text, [NEVER] * enter + [0], stop)
-        return pieces.trace(text, back, end)
-    out = list(pieces.word(text[enter : at[0]])[1]) if at[0] > enter else []
-    for a, b in zip(at, at[1:]):
-        out += pieces.word(text[a:b])[1]
+        return np.frombuffer(pieces.trace(text, back, end), dtype=np.int32)
+    out = [pieces.word(text[a:b])[1] for a, b in zip([enter] + at, at) if b > a]
     tail = text[at[-1] :]
     _, back = pieces.forward(tail, [0], stop - at[-1])
-    return out + pieces.trace(tail, back, end - at[-1])
-
-
-def encode_text(pieces: Pieces, text: str | None) -> list[int]:
-    text = marked(text or "")
-    return chunk_ids(pieces, text, len(text), 0, 0) if text else []
-
+    return np.frombuffer(b"".join(out) + pieces.trace(tail, back, end - at[-1]), dtype=np.int32)
 
-def encode_scan(pieces: Pieces, text: str, chunk: int) -> list[int]:
-    """The same ids by way of the chunks."""
-    text = marked(text)
-    parts = [(text[a : a + chunk + pieces.longest - 1], min(chunk, len(text) - a)) for a in range(0, len(text), chunk)]
-    if not parts:
-        return []
-    states = boundary_states([chunk_matrix(pieces, *p) for p in parts])
-    return [i for p, a, b in zip(parts, states, states[1:]) for i in chunk_ids(pieces, *p, a, b)]
 
+def encode_text(pieces: Pieces, text: str | None) -> np.ndarray:
+    word = pieces.word
+    return np.frombuffer(b"".join([word(w)[1] for w in WORD.findall(marked(text or ""))]), dtype=np.int32)
 
-def raw_pieces(pieces: Pieces) -> dict[int, bytes]:
-    """What each id stands for, as bytes."""
-    found = {i: p.replace(MARK, " ").encode("utf-8") for p, i in pieces.ids.items()}
-    return found | {pieces.bytes_from + b: bytes([b]) for b in range(256)}
 
-
-def decode_ids(raw: dict[int, bytes], ids: Iterable[int]) -> str:
-    return b"".join(map(raw.__getitem__, ids)).decode("utf-8")
-
-
-def _ints(ids: list[list[int]]) -> pa.Array:
-    """Lists of ids as one Arrow column, without a Python number each."""
+def _ints(ids: list[np.ndarray]) -> pa.Array:
+    """Lists of ids as one Arrow column."""
     offsets = np.zeros(len(ids) + 1, dtype=np.int32)
     np.cumsum([len(i) for i in ids], out=offsets[1:])
-    flat = np.fromiter(chain.from_iterable(ids), dtype=np.int32, count=int(offsets[-1]))
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.empty(0, dtype=np.int32), *ids])))
 
 
-def _slices(column: pa.Array, rows: int = 64) -> Iterator[list]:
-    for at in range(0, len(column), rows):
-        yield column.slice(at, rows).to_pylist()
+def _slices(batches: Iterable[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """Few rows at a time, so that what is made of them stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
-def encode(docs: DataFrame, text_col: str = "text", model: str = MODEL, giant: int = GIANT, chunk: int = CHUNK, group: int = GROUP) -> DataFrame:
+def encode(docs: DataFrame, text_col: str = "text", model: str = MODEL, giant: int = GIANT, chunk: int = CHUNK, group: int = GROUP, decoded: str | None = None) -> DataFrame:
     """``docs`` with ``part`` and ``ids``: one row for a text, or for each chunk of a giant one, in order of ``part``.
 
     The text column holds what a row's ids stand for: the parts of a giant text,
-    cut between pieces, follow each other without gap or overlap.
+    cut between pieces, follow each other without gap or overlap.  ``decoded`` names
+    one more column, for what the ids decode to, made in the same pass.
     """
     spark = docs.sparkSession
     pieces = Pieces.load(model)
     shared, width = spark.sparkContext.broadcast(pieces), pieces.longest
-    docs = docs.drop("ids", "part")
-    key, of, window, enter, leave, made = fresh(docs.columns + ["part", "ids"], "key", "of", "window", "enter", "leave", "made")
+    docs = docs.drop("ids", "part", *([decoded] if decoded else []))
+    key, of, window, enter, leave = fresh(docs.columns + ["part", "ids"], "key", "of", "window", "enter", "leave")
     long_text = F.coalesce(F.length(text_col) > giant, F.lit(False))
 
-    @F.arrow_udf("array<int>")
-    def whole_ids(texts: pa.Array) -> pa.Array:
-        return pa.concat_arrays([_ints([encode_text(shared.value, t) for t in own]) for own in _slices(texts)] or [_ints([])])
+    columns, at = docs.columns, docs.columns.index(text_col)
+    more = [T.StructField(decoded, T.StringType())] if decoded else []
+    schema = T.StructType([*docs.schema.fields, T.StructField("part", T.IntegerType()), T.StructField("ids", T.ArrayType(T.IntegerType())), *more])
 
-    columns = docs.columns
-    whole = docs.where(~long_text).select(*columns, F.lit(0).alias("part"), whole_ids(docs[text_col].cast("string")).alias("ids"))
+    def with_ids(kept: list[pa.Array], part: pa.Array, ids: list[np.ndarray]) -> pa.RecordBatch:
+        said = [pa.array([shared.value.text_of(i) for i in ids], pa.string())] if decoded else []
+        return pa.RecordBatch.from_arrays([*kept, part, _ints(ids), *said], schema.names)
+
+    def whole_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for own in _slices(batches, 256):
+            ids = [encode_text(shared.value, t) for t in own.column(at).to_pylist()]
+            yield with_ids(own.columns, pa.array(np.zeros(len(ids), dtype=np.int32)), ids)
+
+    whole = docs.where(~long_text).mapInArrow(whole_texts, schema)
 
     # A chunk and what its last piece may hang over by.
     cut_at = F.sequence(F.lit(0), F.ceil(F.length(text_col) / chunk).cast("int") - 1)
@@ -329,11 +333,9 @@ def encode(docs: DataFrame, text_col: str = "text", model: str = MODEL, giant: i
     many = many.withColumn(window, F.col(text_col).substr(F.col("part") * chunk + 1, F.lit(chunk + width - 1)))
 
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                own = batch.slice(at, 64)
-                packed = [chunk_matrix(shared.value, marked(t), min(chunk, len(t))).pack() for t in own.column(2).to_pylist()]
-                yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array(packed, pa.binary())], ["key", "part", "m"])
+        for own in _slices(batches, 64):
+            packed = [chunk_matrix(shared.value, marked(t), min(chunk, len(t))).pack() for t in own.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array(packed, pa.binary())], ["key", "part", "m"])
 
     def unpacked(rows: pd.DataFrame) -> list[Matrix]:
         return [Matrix.unpack(m, width) for m in rows["m"]]
@@ -360,29 +362,30 @@ def encode(docs: DataFrame, text_col: str = "text", model: str = MODEL, giant: i
     known = within.groupBy("key", "of").applyInPandas(states, found)
     known = known.select(F.col("key").alias(key), F.col("part").alias(of), F.col("enter").alias(enter), F.col("leave").alias(leave))
 
-    @F.arrow_udf("text string, ids array<int>")
-    def traced(windows: pa.Array, first: pa.Array, last: pa.Array) -> pa.Array:
-        texts, ids = [], []
-        for i in range(len(windows)):
-            own, a, b = windows[i].as_py(), first[i].as_py(), last[i].as_py()
-            stop = min(chunk, len(own))
-            texts.append(own[a : stop + b])
-            ids.append(chunk_ids(shared.value, marked(own), stop, a, b))
-        return pa.StructArray.from_arrays([pa.array(texts, pa.string()), _ints(ids)], ["text", "ids"])
+    def traced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = len(columns)
+        for own in _slices(batches, 64):
+            texts, ids = [], []
+            for part, first, last in zip(*(own.column(n + i).to_pylist() for i in (1, 2, 3))):
+                stop = min(chunk, len(part))
+                texts.append(part[first : stop + last])
+                ids.append(chunk_ids(shared.value, marked(part), stop, first, last))
+            kept = [pa.array(texts, pa.string()) if i == at else own.column(i) for i in range(n)]
+            yield with_ids(kept, own.column(n), ids)
 
-    parts = many.join(known, (many[key] == known[key]) & (many["part"] == known[of])).withColumn(made, traced(window, enter, leave))
-    parts = parts.select(*[F.col(made)["text"].alias(c) if c == text_col else docs[c] for c in columns], "part", F.col(made)["ids"].alias("ids"))
-    return whole.unionByName(parts)
+    # The whole text stays behind: a chunk's row holds its own window.
+    named = [F.lit("").alias(c) if c == text_col else docs[c] for c in columns]
+    parts = many.join(known, (many[key] == known[key]) & (many["part"] == known[of])).select(*named, "part", window, enter, leave)
+    return whole.unionByName(parts.mapInArrow(traced, schema))
 
 
 def decode(encoded: DataFrame, model: str = MODEL, into: str = "decoded") -> DataFrame:
     """Adds the text of each row's ids; those of one text's parts, in order of ``part``, make the whole."""
-    pieces = Pieces.load(model)
-    shared = encoded.sparkSession.sparkContext.broadcast(raw_pieces(pieces))
+    shared = encoded.sparkSession.sparkContext.broadcast(Pieces.load(model))
 
     @F.arrow_udf("string")
     def texts(ids: pa.Array) -> pa.Array:
-        return pa.concat_arrays([pa.array([decode_ids(shared.value, i or []) for i in own], pa.string()) for own in _slices(ids)] or [pa.array([], pa.string())])
+        return pa.array([shared.value.text_of(np.array(i.as_py() or [], dtype=np.int32)) for i in ids], pa.string())
 
     # An expression of the JVM between two functions of Python keeps the ids from being made once for each.
     return encoded.withColumn(into, texts(F.coalesce("ids", F.array().cast("array<int>"))))
@@ -395,7 +398,7 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     and of repeated rows each gets its own.
     """
     named = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(F.length(text_col) > GIANT, F.lit(False)).alias("giant"), F.xxhash64(text_col).alias("of"))
-    coded = decode(encode(named))
+    coded = encode(named, decoded="decoded")
     part = F.struct(
         "part", F.size("ids").cast("long").alias("n"), F.sha2(F.array_join("ids", ","), 256).alias("ids"),
         F.octet_length("decoded").cast("long").alias("bytes"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("same"),
