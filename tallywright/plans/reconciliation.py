@@ -114,7 +114,7 @@ def _small(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with names and mostly no identifiers, some of them close to several others."""
     parts = t.table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_retailprice")
     key, none = F.col("p_partkey"), F.lit(None).cast("string")
-    price = (F.col("p_retailprice").cast("decimal(18,2)")).cast("decimal(18,2)")
+    price = (F.col("p_retailprice").cast("decimal(18,2)") * (1 + key % 97)).cast("decimal(18,2)")
 
     def docs(prefix: str, kind: str, factor: str, name, days: int) -> DataFrame:
         return parts.select(
@@ -130,9 +130,9 @@ def _small(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _SMALL = """WITH d AS (
-  SELECT 'inv-' || lpad(p_partkey::VARCHAR, 5, '0') AS id, 'INVOICE' AS type, p_partkey AS k, p_name AS name, (p_retailprice::DECIMAL(18,2))::DECIMAL(18,2) AS amount, 0 AS days FROM part
-  UNION ALL SELECT 'po-' || lpad(p_partkey::VARCHAR, 5, '0'), 'PURCHASE_ORDER', p_partkey, p_name || 's', (p_retailprice::DECIMAL(18,2) * 1.015::DECIMAL(5,3))::DECIMAL(18,2), 40 FROM part
-  UNION ALL SELECT 'pay-' || lpad(p_partkey::VARCHAR, 5, '0'), 'PAYMENT', p_partkey, p_name, (p_retailprice::DECIMAL(18,2) * 0.995::DECIMAL(5,3))::DECIMAL(18,2), 3 FROM part),
+  SELECT 'inv-' || lpad(p_partkey::VARCHAR, 5, '0') AS id, 'INVOICE' AS type, p_partkey AS k, p_name AS name, (p_retailprice::DECIMAL(18,2) * (1 + p_partkey % 97))::DECIMAL(18,2) AS amount, 0 AS days FROM part
+  UNION ALL SELECT 'po-' || lpad(p_partkey::VARCHAR, 5, '0'), 'PURCHASE_ORDER', p_partkey, p_name || 's', ((p_retailprice::DECIMAL(18,2) * (1 + p_partkey % 97))::DECIMAL(18,2) * 1.015::DECIMAL(5,3))::DECIMAL(18,2), 40 FROM part
+  UNION ALL SELECT 'pay-' || lpad(p_partkey::VARCHAR, 5, '0'), 'PAYMENT', p_partkey, p_name, ((p_retailprice::DECIMAL(18,2) * (1 + p_partkey % 97))::DECIMAL(18,2) * 0.995::DECIMAL(5,3))::DECIMAL(18,2), 3 FROM part),
 x AS (SELECT *, CASE WHEN k % 10 = 0 THEN k END AS ref, CASE WHEN k % 7 = 0 THEN 'USD' WHEN k % 11 = 0 THEN 'EUR' END AS cur, (DATE '2000-01-01' + (k % 60 + days)::INTEGER) AS date FROM d),
 q AS (SELECT least(i.id, p.id) AS left_id, greatest(i.id, p.id) AS right_id, 'INVOICE_' || p.type AS relationship, coalesce(i.ref = p.ref, false) AS idm, i.name AS a, p.name AS b, abs(i.date - p.date) AS dd,
    (i.cur IS NULL OR p.cur IS NULL OR i.cur = p.cur) AND abs(i.amount - p.amount)::DOUBLE / greatest(abs(i.amount), abs(p.amount), 1)::DOUBLE * 100 <= 2 AS am FROM x i JOIN x p ON i.type = 'INVOICE' AND p.type <> 'INVOICE'

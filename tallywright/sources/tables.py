@@ -153,7 +153,7 @@ def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-FACTS_SQL = DOCUMENTS_SQL + """,
+FACTS_SQL = DOCUMENTS_SQL + r""",
 docs_payment AS (
   SELECT 'pay-' || lpad(CAST(o_orderkey AS VARCHAR), 9, '0') AS document_id, 'PAYMENT' AS document_type,
          CASE WHEN o_orderkey % 101 = 0 THEN 'NONE-' || o_orderkey ELSE 'ORD-2012-' || lpad(CAST(o_orderkey AS VARCHAR), 9, '0') END AS identifier,
