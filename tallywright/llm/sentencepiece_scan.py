@@ -7,9 +7,10 @@ best scores from state to state; matrices combine associatively under (max, +),
 which fixes every boundary's state, and then each chunk is traced back by itself.
 
 Blanks become a mark that a piece can only begin with, so every path is cut where
-a run of marks begins: between those places best segmentations are independent,
-and kept for words met before.  The matrix of a chunk with such a place is a
-column plus a row.
+a run of marks begins; and also between a word's letters and what is no letter,
+if no piece of the vocabulary crosses there, which loading looks up.  Between such
+places best segmentations are independent, and kept for stretches met before.  The
+matrix of a chunk with a run of marks in it is a column plus a row.
 
 * Documents of up to ``GIANT`` code points are one chunk in one task, where they
   lie.  Longer ones are exploded into chunks over all tasks; only matrices meet,
@@ -30,8 +31,9 @@ from __future__ import annotations
 
 import re
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
+from hashlib import sha256
 
 import numpy as np
 import pandas as pd
@@ -47,14 +49,49 @@ MARK = "▁"
 LITERAL = "\ud800"  # stands for a mark in the text itself; no valid text has it
 GIANT, CHUNK, UNKNOWN = 32_768, 8_192, -100_000
 GROUP = 256  # parts whose matrices are combined at once; as many groups again hold any text that fits a row
-KEPT = 200_000  # words whose ids a task remembers, about 300 bytes each
+KEPT = 200_000  # stretches whose ids a task remembers, about 200 bytes each
 NEVER = -(1 << 60)
+#: A run of marks and what follows it, or what comes before the first.
+WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
+
+
+def stretches_of(pieces: Iterable[str]) -> re.Pattern:
+    """A pattern of stretches that no piece crosses: words as above, cut between letters or digits and others.
+
+    A character of a word that some piece joins to one of no word counts as the latter.
+    """
+    pairs = {p[i : i + 2] for p in pieces for i in range(len(p) - 1)} | {"_"}
+    pairs = {p for p in pairs if MARK not in p}
+    loose = {c for p in pairs for c in p if c == "_" or not re.match(r"\w", c)}
+    while more := {c for p in pairs if loose.intersection(p) for c in p} - loose:
+        loose |= more
+    odd = re.escape("".join(sorted(c for c in loose if re.match(r"\w", c))))
+    return re.compile(rf"{MARK}*[^\W{odd}]+|{MARK}*(?:[^\w{MARK}]|[{odd}])+|{MARK}+")
 
 
 def marked(text: str) -> str:
     return text.replace(MARK, LITERAL).replace(" ", MARK)
 
 
+class Seen(dict):
+    """Ids (32 bits each) of stretches that pieces neither enter nor leave, found when first asked for."""
+
+    def __init__(self, pieces: Pieces) -> None:
+        self.pieces = pieces
+
+    def __missing__(self, text: str) -> bytes:
+        _, back = self.pieces.forward(text, [0], len(text))
+        found = self.pieces.trace(text, back, len(text))
+        if len(text) <= 64:
+            if len(self) >= KEPT:
+                self.clear()
+            self[text] = found
+        return found
+
+    def __reduce__(self) -> tuple:
+        return Seen, (self.pieces,)
+
+
 @dataclass
 class Pieces:
     ids: dict[str, int]
@@ -65,7 +102,12 @@ class Pieces:
     blob: np.ndarray  # the pieces' bytes, and where those of each id begin and how many they are
     begins: np.ndarray
     sizes: np.ndarray
-    seen: dict[str, tuple[int, bytes]] = field(default_factory=dict)
+    costs: np.ndarray  # scores by id; a code point's bytes cost ``UNKNOWN`` together
+    stretches: re.Pattern
+    seen: Seen = field(init=False)
+
+    def __post_init__(self) -> None:
+        self.seen = Seen(self)
 
     @staticmethod
     def load(path: str) -> Pieces:
@@ -86,7 +128,10 @@ class Pieces:
         held = [raw.get(i, b"") for i in range(model.get_piece_size())]
         sizes = np.array([len(h) for h in held], dtype=np.int64)
         blob = np.frombuffer(b"".join(held), dtype=np.uint8)
-        return Pieces(ids, scores, first, max(map(len, scores)), starts, blob, np.cumsum(sizes) - sizes, sizes)
+        costs = np.zeros(len(sizes), dtype=np.int64)
+        costs[[*ids.values()]] = [*scores.values()]
+        costs[[first + b for b in range(256) if not 0x80 <= b < 0xC0]] = UNKNOWN
+        return Pieces(ids, scores, first, max(map(len, scores)), starts, blob, np.cumsum(sizes) - sizes, sizes, costs, stretches_of(scores))
 
     def forward(self, text: str, start: list[int], stop: int) -> tuple[list[int], list[int]]:
         """Best scores and last piece lengths at every place up to ``stop`` + longest - 1.
@@ -127,17 +172,9 @@ class Pieces:
             end -= back[end]
         return array("i", out[::-1]).tobytes()
 
-    def word(self, text: str) -> tuple[int, bytes]:
-        """Score and ids of a text that pieces neither enter nor leave."""
-        found = self.seen.get(text)
-        if found is None:
-            best, back = self.forward(text, [0], len(text))
-            found = best[len(text)], self.trace(text, back, len(text))
-            if len(text) <= 64:
-                if len(self.seen) >= KEPT:
-                    self.seen.clear()
-                self.seen[text] = found
-        return found
+    def whole(self, text: str) -> bytes:
+        """Ids of a text that pieces neither enter nor leave."""
+        return b"".join(map(self.seen.__getitem__, self.stretches.findall(text)))
 
     def text_of(self, ids: np.ndarray) -> str:
         """What ids stand for, gathered from the pieces' bytes at once."""
@@ -146,10 +183,6 @@ class Pieces:
         return self.blob[places].tobytes().decode("utf-8")
 
 
-#: A run of marks and what follows it, or what comes before the first.
-WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
-
-
 def cuts(text: str, stop: int) -> list[int]:
     """Places after the first and before ``stop`` where a run of marks begins."""
     out, at = [], text.find(MARK, 1, stop)
@@ -203,7 +236,7 @@ def chunk_matrix(pieces: Pieces, text: str, stop: int) -> Matrix:
                 order[seen, j] = ranks_of([tuple(ends(runs[i][1], stop + j)) for i in seen])
         return Matrix(score, order)
     # Every path goes through the first cut: what follows it is the same for all rows.
-    middle = sum(pieces.word(text[a:b])[0] for a, b in zip(at, at[1:]))
+    middle = int(pieces.costs[np.frombuffer(pieces.whole(text[at[0] : at[-1]]), dtype=np.int32)].sum())
     best, _ = pieces.forward(text[at[-1] :], [0], stop - at[-1])
     tail = best[stop - at[-1] :][:width]
     exits = np.array(tail + [NEVER] * (width - len(tail)), dtype=np.int64)
@@ -273,15 +306,13 @@ def chunk_ids(pieces: Pieces, text: str, stop: int, enter: int, leave: int) -> n
     if not at:
         _, back = pieces.forward(text, [NEVER] * enter + [0], stop)
         return np.frombuffer(pieces.trace(text, back, end), dtype=np.int32)
-    out = [pieces.word(text[a:b])[1] for a, b in zip([enter] + at, at) if b > a]
-    tail = text[at[-1] :]
+    first, tail = text[enter : at[-1]], text[at[-1] :]
     _, back = pieces.forward(tail, [0], stop - at[-1])
-    return np.frombuffer(b"".join(out) + pieces.trace(tail, back, end - at[-1]), dtype=np.int32)
+    return np.frombuffer(pieces.whole(first) + pieces.trace(tail, back, end - at[-1]), dtype=np.int32)
 
 
 def encode_text(pieces: Pieces, text: str | None) -> np.ndarray:
-    word = pieces.word
-    return np.frombuffer(b"".join([word(w)[1] for w in WORD.findall(marked(text or ""))]), dtype=np.int32)
+    return np.frombuffer(pieces.whole(marked(text or "")), dtype=np.int32)
 
 
 def _ints(ids: list[np.ndarray]) -> pa.Array:
@@ -305,25 +336,34 @@ def encode(docs: DataFrame, text_col: str = "text", model: str = MODEL, giant: i
     cut between pieces, follow each other without gap or overlap.  ``decoded`` names
     one more column, for what the ids decode to, made in the same pass.
     """
+    made = [T.StructField("ids", T.ArrayType(T.IntegerType()))] + ([T.StructField(decoded, T.StringType())] if decoded else [])
+
+    def columns(pieces: Pieces, texts: list[str | None], ids: list[np.ndarray]) -> list[pa.Array]:
+        return [_ints(ids)] + ([pa.array([pieces.text_of(i) for i in ids], pa.string())] if decoded else [])
+
+    return _encoded(docs, text_col, model, giant, chunk, group, made, columns)
+
+
+def _encoded(docs: DataFrame, text_col: str, model: str, giant: int, chunk: int, group: int, made: list[T.StructField], columns_of: Callable[..., list[pa.Array]]) -> DataFrame:
+    """``docs`` with ``part`` and the columns that ``columns_of`` makes of the pieces, the texts and their ids."""
     spark = docs.sparkSession
     pieces = Pieces.load(model)
     shared, width = spark.sparkContext.broadcast(pieces), pieces.longest
-    docs = docs.drop("ids", "part", *([decoded] if decoded else []))
-    key, of, window, enter, leave = fresh(docs.columns + ["part", "ids"], "key", "of", "window", "enter", "leave")
+    docs = docs.drop("part", *(m.name for m in made))
+    key, of, window, enter, leave = fresh(docs.columns + ["part", *(m.name for m in made)], "key", "of", "window", "enter", "leave")
     long_text = F.coalesce(F.length(text_col) > giant, F.lit(False))
 
     columns, at = docs.columns, docs.columns.index(text_col)
-    more = [T.StructField(decoded, T.StringType())] if decoded else []
-    schema = T.StructType([*docs.schema.fields, T.StructField("part", T.IntegerType()), T.StructField("ids", T.ArrayType(T.IntegerType())), *more])
+    schema = T.StructType([*docs.schema.fields, T.StructField("part", T.IntegerType()), *made])
 
-    def with_ids(kept: list[pa.Array], part: pa.Array, ids: list[np.ndarray]) -> pa.RecordBatch:
-        said = [pa.array([shared.value.text_of(i) for i in ids], pa.string())] if decoded else []
-        return pa.RecordBatch.from_arrays([*kept, part, _ints(ids), *said], schema.names)
+    def with_ids(kept: list[pa.Array], part: pa.Array, texts: list[str | None], ids: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*kept, part, *columns_of(shared.value, texts, ids)], schema.names)
 
     def whole_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for own in _slices(batches, 256):
-            ids = [encode_text(shared.value, t) for t in own.column(at).to_pylist()]
-            yield with_ids(own.columns, pa.array(np.zeros(len(ids), dtype=np.int32)), ids)
+            texts = own.column(at).to_pylist()
+            ids = [encode_text(shared.value, t) for t in texts]
+            yield with_ids(own.columns, pa.array(np.zeros(len(ids), dtype=np.int32)), texts, ids)
 
     whole = docs.where(~long_text).mapInArrow(whole_texts, schema)
 
@@ -371,7 +411,7 @@ def encode(docs: DataFrame, text_col: str = "text", model: str = MODEL, giant: i
                 texts.append(part[first : stop + last])
                 ids.append(chunk_ids(shared.value, marked(part), stop, first, last))
             kept = [pa.array(texts, pa.string()) if i == at else own.column(i) for i in range(n)]
-            yield with_ids(kept, own.column(n), ids)
+            yield with_ids(kept, own.column(n), texts, ids)
 
     # The whole text stays behind: a chunk's row holds its own window.
     named = [F.lit("").alias(c) if c == text_col else docs[c] for c in columns]
@@ -391,19 +431,33 @@ def decode(encoded: DataFrame, model: str = MODEL, into: str = "decoded") -> Dat
     return encoded.withColumn(into, texts(F.coalesce("ids", F.array().cast("array<int>"))))
 
 
+#: What ``digests`` says of a part, made where its ids are, which are many more bytes.
+DIGEST = [
+    T.StructField("n", T.LongType()), T.StructField("sha", T.StringType()),
+    T.StructField("bytes", T.LongType()), T.StructField("same", T.BooleanType()),
+]
+
+
+def _digest(pieces: Pieces, texts: list[str | None], ids: list[np.ndarray]) -> list[pa.Array]:
+    said = [pieces.text_of(i) for i in ids]
+    return [
+        pa.array([len(i) for i in ids], pa.int64()),
+        pa.array([sha256(i.astype("<i4").tobytes()).hexdigest() for i in ids], pa.string()),
+        pa.array([len(d.encode("utf-8")) for d in said], pa.int64()),
+        pa.array([d == (t or "") for d, t in zip(said, texts)], pa.bool_()),
+    ]
+
+
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of ``docs``: numbers of ids, parts and bytes, a digest of the ids and whether they decode to the text.
 
-    Texts of one part are judged where they lie; only parts of giant ones meet,
-    and of repeated rows each gets its own.
+    The digest is of the parts' digests, those of the ids as 32-bit numbers, low
+    byte first.  Texts of one part are judged where they lie; only parts of giant
+    ones meet, and of repeated rows each gets its own.
     """
     named = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(F.length(text_col) > GIANT, F.lit(False)).alias("giant"), F.xxhash64(text_col).alias("of"))
-    coded = encode(named, decoded="decoded")
-    part = F.struct(
-        "part", F.size("ids").cast("long").alias("n"), F.sha2(F.array_join("ids", ","), 256).alias("ids"),
-        F.octet_length("decoded").cast("long").alias("bytes"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("same"),
-    )
-    coded = coded.select("id", "of", "giant", part.alias("p"))
+    coded = _encoded(named, "text", MODEL, GIANT, CHUNK, GROUP, DIGEST, _digest)
+    coded = coded.select("id", "of", "giant", F.struct("part", *(d.name for d in DIGEST)).alias("p"))
     met = coded.where("giant").groupBy("id", "of").agg(F.sort_array(F.collect_set("p")).alias("ps"), F.sum((F.col("p.part") == 0).cast("int")).alias("rows"))
     # A row for each repeat.
     met = met.withColumn("repeat", F.explode(F.sequence(F.lit(1), F.col("rows")))).select("id", "ps")
@@ -413,7 +467,7 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         return F.aggregate("ps", F.lit(0).cast("long"), lambda a, p: a + p[name])
 
     return rows.select(
-        F.col("id").alias(id_col), total("n").alias("n_tokens"), F.size("ps").alias("n_parts"), F.sha2(F.array_join(F.col("ps.ids"), ","), 256).alias("ids_sha256"),
+        F.col("id").alias(id_col), total("n").alias("n_tokens"), F.size("ps").alias("n_parts"), F.sha2(F.array_join(F.col("ps.sha"), ","), 256).alias("ids_sha256"),
         total("bytes").alias("n_bytes"), F.forall("ps", lambda p: p["same"]).alias("round_trip"),
     )
 
