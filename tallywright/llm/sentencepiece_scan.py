@@ -49,7 +49,7 @@ MARK = "▁"
 LITERAL = "\ud800"  # stands for a mark in the text itself; no valid text has it
 GIANT, CHUNK, UNKNOWN = 32_768, 8_192, -100_000
 GROUP = 256  # parts whose matrices are combined at once; as many groups again hold any text that fits a row
-KEPT = 200_000  # stretches whose ids a task remembers, about 200 bytes each
+KEPT = 400_000  # stretches whose ids a task remembers, about 250 bytes each
 NEVER = -(1 << 60)
 #: A run of marks and what follows it, or what comes before the first.
 WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
@@ -74,16 +74,23 @@ def marked(text: str) -> str:
 
 
 class Seen(dict):
-    """Ids (32 bits each) of stretches that pieces neither enter nor leave, found when first asked for."""
+    """Ids (32 bits each) of stretches that pieces neither enter nor leave, found when first asked for.
+
+    Half of what is kept is new; when it is full it becomes the older half, from
+    which what is asked for again is taken over, and the rest is forgotten.
+    """
 
     def __init__(self, pieces: Pieces) -> None:
-        self.pieces = pieces
+        self.pieces, self.older = pieces, {}
 
     def __missing__(self, text: str) -> bytes:
-        _, back = self.pieces.forward(text, [0], len(text))
-        found = self.pieces.trace(text, back, len(text))
+        found = self.older.get(text)
+        if found is None:
+            _, back = self.pieces.forward(text, [0], len(text))
+            found = self.pieces.trace(text, back, len(text))
         if len(text) <= 64:
-            if len(self) >= KEPT:
+            if len(self) >= KEPT // 2:
+                self.older = dict(self)
                 self.clear()
             self[text] = found
         return found
@@ -98,7 +105,7 @@ class Pieces:
     scores: dict[str, int]
     bytes_from: int  # id of byte 0
     longest: int
-    starts: dict[str, int]  # scores of pieces; what only begins one has none worth taking, a lone code point ``UNKNOWN``
+    trie: dict[str, tuple[int, dict]]  # by code point: score of what ends here, none worth taking if it only begins pieces, and how it goes on
     blob: np.ndarray  # the pieces' bytes, and where those of each id begin and how many they are
     begins: np.ndarray
     sizes: np.ndarray
@@ -122,7 +129,12 @@ class Pieces:
         scores = {p: s if s > -1_000_000 else last for p, s in scores.items()}
         if any(MARK in p.lstrip(MARK) for p in scores):
             raise ValueError("a piece holds a mark after other characters")
-        starts = {p[:n]: UNKNOWN if n == 1 else 2 * NEVER for p in scores for n in range(1, len(p))} | scores
+        trie: dict[str, tuple[int, dict]] = {}
+        for piece, own in scores.items():
+            below = trie
+            for c in piece[:-1]:
+                below = below.setdefault(c, (UNKNOWN if below is trie else 2 * NEVER, {}))[1]
+            below[piece[-1]] = own, below.get(piece[-1], (0, {}))[1]
         first = model.piece_to_id("<0x00>")
         raw = {i: p.replace(MARK, " ").encode("utf-8") for p, i in ids.items()} | {first + b: bytes([b]) for b in range(256)}
         held = [raw.get(i, b"") for i in range(model.get_piece_size())]
@@ -131,7 +143,7 @@ class Pieces:
         costs = np.zeros(len(sizes), dtype=np.int64)
         costs[[*ids.values()]] = [*scores.values()]
         costs[[first + b for b in range(256) if not 0x80 <= b < 0xC0]] = UNKNOWN
-        return Pieces(ids, scores, first, max(map(len, scores)), starts, blob, np.cumsum(sizes) - sizes, sizes, costs, stretches_of(scores))
+        return Pieces(ids, scores, first, max(map(len, scores)), trie, blob, np.cumsum(sizes) - sizes, sizes, costs, stretches_of(scores))
 
     def forward(self, text: str, start: list[int], stop: int) -> tuple[list[int], list[int]]:
         """Best scores and last piece lengths at every place up to ``stop`` + longest - 1.
@@ -142,21 +154,21 @@ class Pieces:
         end = min(len(text), stop + self.longest - 1)
         best, back = [NEVER] * (end + 1), [0] * (end + 1)
         best[: len(start)] = start[: end + 1]
-        score_of = self.starts.get
+        trie, longest, unknown = self.trie, self.longest, (UNKNOWN, {})
         for i in range(stop):
             base = best[i]
             if base <= NEVER:
                 continue
-            j = i + 1
-            score = score_of(text[i], UNKNOWN)
-            while score is not None:
-                score += base
-                if score > best[j]:
-                    best[j], back[j] = score, j - i
-                j += 1
-                if j > end:
+            j, (score, below) = i + 1, trie.get(text[i], unknown)
+            if base + score > best[j]:
+                best[j], back[j] = base + score, 1
+            for c in text[j : min(end, i + longest)]:
+                if c not in below:
                     break
-                score = score_of(text[i:j])
+                score, below = below[c]
+                j += 1
+                if base + score > best[j]:
+                    best[j], back[j] = base + score, j - i
         return best, back
 
     def trace(self, text: str, back: list[int], end: int) -> bytes:
