@@ -353,11 +353,12 @@ def encode(docs: DataFrame, text_col: str = "text", model: str = MODEL, giant: i
     def columns(pieces: Pieces, texts: list[str | None], ids: list[np.ndarray]) -> list[pa.Array]:
         return [_ints(ids)] + ([pa.array([pieces.text_of(i) for i in ids], pa.string())] if decoded else [])
 
-    return _encoded(docs, text_col, model, giant, chunk, group, made, columns)
+    whole, parts = _encoded(docs, text_col, model, giant, chunk, group, made, columns)
+    return whole.unionByName(parts)
 
 
-def _encoded(docs: DataFrame, text_col: str, model: str, giant: int, chunk: int, group: int, made: list[T.StructField], columns_of: Callable[..., list[pa.Array]]) -> DataFrame:
-    """``docs`` with ``part`` and the columns that ``columns_of`` makes of the pieces, the texts and their ids."""
+def _encoded(docs: DataFrame, text_col: str, model: str, giant: int, chunk: int, group: int, made: list[T.StructField], columns_of: Callable[..., list[pa.Array]]) -> tuple[DataFrame, DataFrame]:
+    """``docs`` with ``part`` and the columns that ``columns_of`` makes of the pieces, the texts and their ids: whole texts, and parts of giant ones."""
     spark = docs.sparkSession
     pieces = Pieces.load(model)
     shared, width = spark.sparkContext.broadcast(pieces), pieces.longest
@@ -428,7 +429,7 @@ def _encoded(docs: DataFrame, text_col: str, model: str, giant: int, chunk: int,
     # The whole text stays behind: a chunk's row holds its own window.
     named = [F.lit("").alias(c) if c == text_col else docs[c] for c in columns]
     parts = many.join(known, (many[key] == known[key]) & (many["part"] == known[of])).select(*named, "part", window, enter, leave)
-    return whole.unionByName(parts.mapInArrow(traced, schema))
+    return whole, parts.mapInArrow(traced, schema)
 
 
 def decode(encoded: DataFrame, model: str = MODEL, into: str = "decoded") -> DataFrame:
@@ -467,13 +468,14 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     byte first.  Texts of one part are judged where they lie; only parts of giant
     ones meet, and of repeated rows each gets its own.
     """
-    named = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(F.length(text_col) > GIANT, F.lit(False)).alias("giant"), F.xxhash64(text_col).alias("of"))
+    named = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("of"))
     coded = _encoded(named, "text", MODEL, GIANT, CHUNK, GROUP, DIGEST, _digest)
-    coded = coded.select("id", "of", "giant", F.struct("part", *(d.name for d in DIGEST)).alias("p"))
-    met = coded.where("giant").groupBy("id", "of").agg(F.sort_array(F.collect_set("p")).alias("ps"), F.sum((F.col("p.part") == 0).cast("int")).alias("rows"))
+    # Two frames, not a filter over both, which would encode every text once for each side.
+    whole, parts = (c.select("id", "of", F.struct("part", *(d.name for d in DIGEST)).alias("p")) for c in coded)
+    met = parts.groupBy("id", "of").agg(F.sort_array(F.collect_set("p")).alias("ps"), F.sum((F.col("p.part") == 0).cast("int")).alias("rows"))
     # A row for each repeat.
     met = met.withColumn("repeat", F.explode(F.sequence(F.lit(1), F.col("rows")))).select("id", "ps")
-    rows = coded.where("NOT giant").select("id", F.array("p").alias("ps")).unionByName(met)
+    rows = whole.select("id", F.array("p").alias("ps")).unionByName(met)
 
     def total(name: str) -> Column:
         return F.aggregate("ps", F.lit(0).cast("long"), lambda a, p: a + p[name])
