@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tallywright.llm.decontaminate import op3_decontamination
+from tallywright.llm.exact_dedup import OP12_SQL, op12_exact_dedup
 from tallywright.llm.language_id import op9_language_id
 from tallywright.llm.line_dedup import OP10_SQL, op10_line_dedup
 from tallywright.llm.ngram_join import op7_ngram_join
@@ -28,9 +29,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_language_id": op9_language_id,
     "op10_line_dedup": op10_line_dedup,
+    "op12_exact_dedup": op12_exact_dedup,
 }
 
 ORACLES: dict[str, str] = {
     "op2_exact_topk": OP2_SQL,
     "op10_line_dedup": OP10_SQL,
+    "op12_exact_dedup": OP12_SQL,
 }
