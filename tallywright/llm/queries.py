@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tallywright.llm.decontaminate import op3_decontamination
+from tallywright.llm.divergence import OP13_SQL, op13_source_divergence
 from tallywright.llm.exact_dedup import OP12_SQL, op12_exact_dedup
 from tallywright.llm.language_id import op9_language_id
 from tallywright.llm.line_dedup import OP10_SQL, op10_line_dedup
@@ -30,10 +31,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_language_id": op9_language_id,
     "op10_line_dedup": op10_line_dedup,
     "op12_exact_dedup": op12_exact_dedup,
+    "op13_source_divergence": op13_source_divergence,
 }
 
 ORACLES: dict[str, str] = {
     "op2_exact_topk": OP2_SQL,
     "op10_line_dedup": OP10_SQL,
     "op12_exact_dedup": OP12_SQL,
+    "op13_source_divergence": OP13_SQL,
 }
