@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from tallywright.llm.common import spread, stored, table
 
-MIN_DOCS, TOP, PIECE, BLOCK = 30, 50, 8 << 20, 250_000
+MIN_DOCS, TOP, PIECE, BLOCK = 30, 50, 8 << 20, 25_000
 
 #: Term bytes are letters of ASCII, made small, and all of 0x80 and above; 0 is anything else.
 FOLD = np.zeros(256, dtype=np.uint8)
