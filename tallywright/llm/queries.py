@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tallywright.llm.alignment import op11_tokenizer_alignment
 from tallywright.llm.decontaminate import op3_decontamination
 from tallywright.llm.divergence import OP13_SQL, op13_source_divergence
 from tallywright.llm.exact_dedup import OP12_SQL, op12_exact_dedup
@@ -30,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_language_id": op9_language_id,
     "op10_line_dedup": op10_line_dedup,
+    "op11_tokenizer_alignment": op11_tokenizer_alignment,
     "op12_exact_dedup": op12_exact_dedup,
     "op13_source_divergence": op13_source_divergence,
 }
