@@ -2,12 +2,19 @@
 
 A document is a row of facts: document_id, document_type, source_name,
 identifiers (array), amount, currency, date, entity, category, entry_type,
-low_confidence.  No step compares all documents with all: pairs come from equal
-identifier keys, equal amount buckets or equal date buckets.
+low_confidence.  Links are judged by all values that a document has: ``names``
+(as ``normalize.entity`` leaves them), ``amounts`` (amount, currency) and
+``dates``, arrays in order of position; facts without those columns have the one
+name, amount and date of their own.
+
+No step compares all documents with all: pairs come from equal identifier keys,
+equal names in a bucket of like amounts, or a grid of amounts and dates, where a
+bound of the names' likeness is tested before two names are ever scored.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -15,10 +22,14 @@ from pyspark.sql import functions as F
 
 from tallywright.functions import compare, normalize, similarity
 
+# Fixed values.
 PARTNERS = ("PURCHASE_ORDER", "PAYMENT", "LEDGER")
 EXPENSE_WORDS = ("expense", "cost", "debit", "payable")
 REVENUE_WORDS = ("revenue", "income", "credit", "sale", "receivable")
 
+#: Amounts within two percent lie in the same or in neighbouring powers of this.
+LIKE_AMOUNTS = 1 / 0.98
+
 
 @dataclass(frozen=True)
 class LinkingConfig:
@@ -40,6 +51,12 @@ class LinkingConfig:
         if self.entity_weight + self.date_weight >= self.ambiguous or self.amount_tolerance > 2:
             # Pairs that blocking by identifier or by amount and entity would miss could then count.
             raise ValueError("entity and date alone must stay under the ambiguous threshold, and amounts within 2 percent")
+        if self.amount_weight + self.date_weight >= self.ambiguous:
+            raise ValueError("amount and date alone must stay under the ambiguous threshold")
+
+    def least_name_score(self, date_score: Column) -> Column:
+        """What two names must reach for a pair with like amounts and without a common identifier."""
+        return (self.ambiguous - self.amount_weight - self.date_weight * date_score) / self.entity_weight
 
 
 def keys(facts: DataFrame) -> DataFrame:
@@ -68,47 +85,129 @@ def _ordered(a: Column, b: Column) -> list[Column]:
     return [F.least(a, b).alias("left_id"), F.greatest(a, b).alias("right_id")]
 
 
-def candidates(facts: DataFrame) -> DataFrame:
+def evidence_values(facts: DataFrame) -> DataFrame:
+    """(document_id, document_type, keys, names, amounts, dates): what links are judged by."""
+
+    def values(name: str, flag: Column, value: Column) -> Column:
+        return F.col(name) if name in facts.columns else F.when(flag, F.array(value)).otherwise(F.filter(F.array(value), lambda _: F.lit(False)))
+
+    amount, name, day = F.col("amount"), F.col("entity"), F.col("date")
+    return facts.select(
+        "document_id", "document_type", F.array_compact(F.transform("identifiers", normalize.match_key)).alias("keys"),
+        F.filter(values("names", name.isNotNull(), name), lambda n: ~normalize.missing(n)).alias("names"),
+        values("amounts", amount.isNotNull(), F.struct(amount.alias("amount"), F.col("currency").alias("currency"))).alias("amounts"),
+        values("dates", day.isNotNull(), day).alias("dates"),
+    )
+
+
+def _bucket(amount: Column, base: float) -> Column:
+    return F.floor(F.log(F.greatest(F.abs(amount), F.lit(1)).cast("double")) / math.log(base))
+
+
+def _around(bucket: str) -> Column:
+    return F.explode(F.array(F.col(bucket) - 1, F.col(bucket), F.col(bucket) + 1))
+
+
+def _like(x: str, y: str, tolerance: float) -> Column:
+    """Amounts within the tolerance, of one currency or an unknown one; a hair wider than ``link_evidence`` judges."""
+    near = F.abs(F.col(f"{x}.amount") - F.col(f"{y}.amount")).cast("double") <= (
+        F.greatest(F.abs(f"{x}.amount"), F.abs(f"{y}.amount"), F.lit(1)).cast("double") * (tolerance / 100 + 1e-9)
+    )
+    return near & F.coalesce(F.col(f"{x}.currency") == F.col(f"{y}.currency"), F.lit(True))
+
+
+def candidates(facts: DataFrame, config: LinkingConfig = LinkingConfig()) -> DataFrame:
     """(left_id, right_id): every pair of an invoice and a partner that can reach a threshold.
 
-    Without a common identifier that takes amounts within 2 percent and names, so
-    other pairs meet in neighbouring buckets of the amounts' logarithm.
+    Without a common identifier that takes like amounts and names.  Equal names meet by
+    name and amount.  Others need dates within the window, and names the more alike the
+    further the dates lie apart: they meet in cells of amount and date, and go on if a
+    bound of their likeness reaches what their dates leave to the names.
     """
-    own = keys(facts)
-    invoice = own.where("document_type = 'INVOICE'").select(F.col("document_id").alias("a"), "key")
-    partner = own.where(F.col("document_type").isin(*PARTNERS)).select(F.col("document_id").alias("b"), "key")
-    by_key = invoice.join(partner, "key").select(*_ordered(F.col("a"), F.col("b")))
-    priced = facts.where("entity IS NOT NULL AND amount IS NOT NULL").withColumn(
-        "bucket", F.floor(F.log(F.greatest(F.abs("amount"), F.lit(1)).cast("double")) / F.log(F.lit(1 / 0.98))).cast("long")
+    values = evidence_values(facts)
+    keyed = values.select("document_id", "document_type", F.explode("keys").alias("key"))
+    named = values.select("document_id", "document_type", F.explode("names").alias("name"), F.col("amounts"), "dates")
+    priced = named.select("*", F.explode("amounts").alias("x")).drop("amounts").withColumn("bucket", _bucket(F.col("x.amount"), LIKE_AMOUNTS))
+    dated = priced.select("*", F.explode("dates").alias("day")).drop("dates").withColumn("cell", F.floor(F.unix_date("day") / config.date_window))
+    dated = dated.withColumn("traits", similarity.name_traits(F.col("name")))
+
+    def sides(rows: DataFrame, *near: str) -> tuple[DataFrame, DataFrame]:
+        """Invoices, also in neighbouring buckets, and partners; the columns that both have named apart."""
+        invoice = rows.where("document_type = 'INVOICE'").drop("document_type", "dates").withColumnRenamed("document_id", "a")
+        for name in near:
+            invoice = invoice.withColumn(name, _around(name))
+        partner = rows.where(F.col("document_type").isin(*PARTNERS)).drop("document_type", "dates").withColumnRenamed("document_id", "b")
+        for name, other in (("x", "y"), ("day", "due"), ("traits", "other")):
+            partner = partner.withColumnRenamed(name, other)
+        return invoice, partner
+
+    invoice, partner = sides(keyed)
+    by_key = invoice.join(partner, "key")
+    invoice, partner = sides(priced, "bucket")
+    by_name = invoice.join(partner, ["name", "bucket"]).where(_like("x", "y", config.amount_tolerance))
+    invoice, partner = sides(dated.drop("name"), "bucket", "cell")
+    days = F.abs(F.datediff("day", "due"))
+    needed = config.least_name_score(1 - days / config.date_window) - similarity.ROUNDING
+    by_cell = invoice.join(partner, ["bucket", "cell"]).where(
+        _like("x", "y", config.amount_tolerance) & (days < config.date_window) & (similarity.most_alike(F.col("traits"), F.col("other")) >= needed)
     )
-    invoice = priced.where("document_type = 'INVOICE'").select(F.col("document_id").alias("a"), F.col("amount").alias("x"), F.explode(F.array(F.col("bucket") - 1, "bucket", F.col("bucket") + 1)).alias("bucket"))
-    partner = priced.where(F.col("document_type").isin(*PARTNERS)).select(F.col("document_id").alias("b"), F.col("amount").alias("y"), "bucket")
-    near = F.abs(F.col("x") - F.col("y")) <= F.greatest(F.abs("x"), F.abs("y"), F.lit(1)) * 0.0200001
-    by_amount = invoice.join(partner, "bucket").where(near).select(*_ordered(F.col("a"), F.col("b")))
-    return by_key.union(by_amount).distinct()
-
-
-def link_evidence(facts: DataFrame, config: LinkingConfig = LinkingConfig(), with_entities: bool = True) -> DataFrame:
-    """Evidence, score and status of every candidate pair that is at least ambiguous."""
-    both = sides(candidates(facts), facts)
-    shared = F.arrays_overlap(*[F.transform(F.col(f"{s}.identifiers"), normalize.match_key) for s in "lr"])
-    difference = F.abs(F.col("l.amount") - F.col("r.amount")).cast("double")
-    percent = difference / F.greatest(F.abs("l.amount"), F.abs("r.amount"), F.lit(1)).cast("double") * 100
-    compatible = F.col("l.currency").isNull() | F.col("r.currency").isNull() | (F.col("l.currency") == F.col("r.currency"))
-    known = F.col("l.amount").isNotNull() & F.col("r.amount").isNotNull()
-    if with_entities:  # names are scored once for each distinct pair
-        names = both.select(F.col("l.entity").alias("x"), F.col("r.entity").alias("y")).where("x IS NOT NULL AND y IS NOT NULL").distinct()
-        names = names.withColumn("e", similarity.resolve(F.col("x"), F.col("y")))
-        both = both.join(names, (F.col("l.entity") == F.col("x")) & (F.col("r.entity") == F.col("y")), "left")
-        entity_score, entity_match = F.col("e.score"), F.coalesce(F.col("e.status") == "RESOLVED", F.lit(False))
-    else:
-        entity_score, entity_match = F.lit(None).cast("double"), F.lit(False)
-    days = F.abs(F.datediff("l.date", "r.date"))
-    relationship = F.concat(F.lit("INVOICE_"), F.when(F.col("l.document_type") == "INVOICE", F.col("r.document_type")).otherwise(F.col("l.document_type")))
+    met = [rows.select(*_ordered(F.col("a"), F.col("b"))) for rows in (by_key, by_name, by_cell)]
+    return met[0].union(met[1]).union(met[2]).distinct()
+
+
+def resolved_names(pairs: DataFrame) -> DataFrame:
+    """(x, y, e): each different pair of names scored once."""
+    return pairs.select("x", "y").distinct().withColumn("e", similarity.resolve(F.col("x"), F.col("y")))
+
+
+def _best_names(both: DataFrame) -> DataFrame:
+    """(left_id, right_id, score, match): of all pairs of names that of the best score, the first of equals."""
+    each = both.select("left_id", "right_id", F.posexplode("l.names").alias("i", "x"), "r.names")
+    each = each.select("left_id", "right_id", "i", "x", F.posexplode("names").alias("j", "y"))
+    scored = each.join(resolved_names(each), ["x", "y"])
+    order = F.struct(F.col("e.score").alias("score"), (-F.col("i")).alias("i"), (-F.col("j")).alias("j"))
+    best = scored.groupBy("left_id", "right_id").agg(F.max_by("e", order).alias("e"))
+    return best.select("left_id", "right_id", F.col("e.score").alias("entity_score"), (F.col("e.status") == "RESOLVED").alias("resolved"))
+
+
+def _amount_evidence() -> Column:
+    """Of the pairs of amounts in compatible currencies the one of the least percentage, the first of equals."""
+
+    def against(x: Column, i: Column) -> Column:
+        def one(y: Column, j: Column) -> Column:
+            difference = F.abs(x["amount"] - y["amount"]).cast("double")
+            percent = difference / F.greatest(F.abs(x["amount"]), F.abs(y["amount"]), F.lit(1)).cast("double") * 100
+            compatible = F.coalesce(x["currency"] == y["currency"], F.lit(True))
+            return F.when(compatible, F.struct(percent.alias("percent"), i.alias("i"), j.alias("j"), difference.alias("difference")))
+
+        return F.transform("r.amounts", one)
+
+    return F.array_min(F.flatten(F.transform("l.amounts", against)))
+
+
+def _days_apart() -> Column:
+    return F.array_min(F.flatten(F.transform("l.dates", lambda x: F.transform("r.dates", lambda y: F.abs(F.datediff(x, y))))))
+
+
+def link_evidence(facts: DataFrame, config: LinkingConfig = LinkingConfig()) -> DataFrame:
+    """Evidence, score and status of every candidate pair that is at least ambiguous.
+
+    Of several identifiers, names, amounts and dates the best pair counts, each by itself.
+    The score is judged as it is and given to three places.
+    """
+    both = sides(candidates(facts, config), evidence_values(facts))
+    named = both.where((F.size("l.names") > 0) & (F.size("r.names") > 0))
+    both = both.join(_best_names(named), ["left_id", "right_id"], "left")
+    invoice_left = F.col("l.document_type") == "INVOICE"
+    relationship = F.concat(F.lit("INVOICE_"), F.when(invoice_left, F.col("r.document_type")).otherwise(F.col("l.document_type")))
+    both = both.withColumns({"amounts": _amount_evidence(), "days": _days_apart()})
+    known = (F.size("l.amounts") > 0) & (F.size("r.amounts") > 0)
     rows = both.select(
-        "left_id", "right_id", relationship.alias("relationship"), F.coalesce(shared, F.lit(False)).alias("identifier_match"), entity_match.alias("entity_match"),
-        entity_score.alias("entity_score"), days.alias("days"), F.when(known & compatible, difference).alias("amount_difference"), F.when(known & compatible, percent).alias("amount_percent"),
-        F.when(known, compatible & (percent <= config.amount_tolerance)).alias("amount_compatible"),
+        "left_id", "right_id", relationship.alias("relationship"),
+        F.coalesce(F.arrays_overlap("l.keys", "r.keys"), F.lit(False)).alias("identifier_match"),
+        F.coalesce("resolved", F.lit(False)).alias("entity_match"), "entity_score", "days",
+        F.col("amounts.difference").alias("amount_difference"), F.col("amounts.percent").alias("amount_percent"),
+        F.when(known, F.coalesce(F.col("amounts.percent") <= config.amount_tolerance, F.lit(False))).alias("amount_compatible"),
     )
     score = (
         config.identifier_weight * F.col("identifier_match").cast("int") + config.entity_weight * F.coalesce("entity_score", F.lit(0.0))
@@ -116,7 +215,7 @@ def link_evidence(facts: DataFrame, config: LinkingConfig = LinkingConfig(), wit
         + config.date_weight * F.coalesce(F.greatest(F.lit(0.0), 1 - F.col("days") / config.date_window), F.lit(0.0))
     )
     status = F.when(score >= config.linked, "LINKED").when(score >= config.ambiguous, "AMBIGUOUS")
-    return rows.withColumn("status", status).where("status IS NOT NULL").withColumn("score", F.round(score, 6))
+    return rows.withColumn("status", status).where("status IS NOT NULL").withColumn("score", F.round(score, 3))
 
 
 def competition(links: DataFrame) -> DataFrame:
@@ -134,16 +233,23 @@ def entry_kind(entry_type: Column) -> Column:
 def unreferenced(facts: DataFrame, links: DataFrame, window: float = 0.25, days: int = compare.DATE_TOLERANCE) -> DataFrame:
     """(left_id, right_id): invoices and revenue postings without identifiers that are each other's only candidate.
 
-    They meet in date buckets of ``days``; documents that have a link to a ledger or an ambiguous one are left out.
+    They meet in cells of ``days`` and of amounts by which ``window`` reaches one cell on.  Documents that have a
+    link to a ledger are left out, and invoices, not postings, that have an ambiguous one.
     """
-    ledger = links.where("relationship = 'INVOICE_LEDGER' AND status = 'LINKED' OR status = 'AMBIGUOUS'")
-    taken = ledger.select(F.explode(F.array("left_id", "right_id")).alias("document_id")).distinct()
-    own = facts.where("amount IS NOT NULL AND date IS NOT NULL").join(taken, "document_id", "left_anti").withColumn("bucket", F.floor(F.unix_date("date") / days))
-    invoice = own.where("document_type = 'INVOICE'").select(F.col("document_id").alias("a"), F.col("amount").alias("x"), F.col("date").alias("d"), F.explode(F.array(F.col("bucket") - 1, "bucket", F.col("bucket") + 1)).alias("bucket"))
-    posting = own.where((F.col("document_type") == "LEDGER") & (F.size("identifiers") == 0) & (F.coalesce(entry_kind(F.col("entry_type")), F.lit("revenue")) == "revenue"))
-    posting = posting.select(F.col("document_id").alias("b"), F.col("amount").alias("y"), F.col("date").alias("e"), "bucket")
-    close = (F.abs(F.datediff("d", "e")) <= days) & (F.abs(F.col("x") - F.col("y")).cast("double") / F.greatest(F.abs("x"), F.lit(1)).cast("double") <= window)
-    met = invoice.join(posting, "bucket").where(close).select("a", "b")
+    ends = F.explode(F.array("left_id", "right_id")).alias("document_id")
+    paired = links.where("relationship = 'INVOICE_LEDGER' AND status = 'LINKED'").select(ends)
+    contested = links.where("status = 'AMBIGUOUS'").select(ends).join(facts.where("document_type = 'INVOICE'").select("document_id"), "document_id", "left_semi")
+    own = facts.where("amount IS NOT NULL AND date IS NOT NULL").join(paired.union(contested).distinct(), "document_id", "left_anti")
+    # A hair wider than the window, for amounts at its edge.
+    reach = max(1 + window, 1 / (1 - window))
+    own = own.withColumns({"week": F.floor(F.unix_date("date") / days), "cell": _bucket(F.col("amount"), reach * (1 + 1e-9))})
+    kind = F.coalesce(entry_kind(F.col("entry_type")), F.lit("revenue"))
+    invoice = own.where("document_type = 'INVOICE'").select(F.col("document_id").alias("a"), F.col("amount").alias("x"), F.col("date").alias("d"), "week", "cell")
+    invoice = invoice.withColumn("week", _around("week")).withColumn("cell", _around("cell"))
+    posting = own.where((F.col("document_type") == "LEDGER") & (F.size("identifiers") == 0) & (kind == "revenue"))
+    posting = posting.select(F.col("document_id").alias("b"), F.col("amount").alias("y"), F.col("date").alias("e"), "week", "cell")
+    share = F.abs(F.col("x") - F.col("y")).cast("double") / F.greatest(F.abs("x"), F.lit(1)).cast("double")
+    met = invoice.join(posting, ["week", "cell"]).where((F.abs(F.datediff("d", "e")) <= days) & (share <= window)).select("a", "b")
     count = F.count(F.lit(1))
     alone = met.withColumn("n", count.over(Window.partitionBy("a"))).withColumn("m", count.over(Window.partitionBy("b"))).where("n = 1 AND m = 1")
     return alone.select(*_ordered(F.col("a"), F.col("b")))

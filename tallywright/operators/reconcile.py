@@ -20,9 +20,10 @@ AMOUNT_ROLES = {
     "UNKNOWN": ("TRANSACTION_TOTAL", "AMOUNT_PAID", "ORDER_TOTAL", "BALANCE_DUE"),
 }
 IDENTIFIER_ROLES, ENTITY_ROLES = ("INVOICE_ID", "ORDER_ID", "PAYMENT_ID", "DOCUMENT_ID"), ("CUSTOMER", "VENDOR")
+LINKED_AMOUNTS = ("TRANSACTION_TOTAL", "ORDER_TOTAL", "AMOUNT_PAID", "BALANCE_DUE", "SUBTOTAL")
 CATEGORY_LABELS = ("category", "account", "expense category", "revenue category")
 ENTRY_LABELS = ("entry type", "type", "transaction type", "direction")
-KEY_FIELD_THRESHOLD = 0.60
+KEY_FIELD_THRESHOLD, LOW_CONFIDENCE = 0.60, 0.85
 
 
 class Run(NamedTuple):
@@ -32,58 +33,84 @@ class Run(NamedTuple):
 
 
 def document_facts(fields: DataFrame) -> DataFrame:
-    """One row a document from its fields (document_id, document_type, pos, label, raw, role, number, date, string, confidence).
+    """One row a document from its fields (document_id, document_type, pos, label, raw, role, number, date, string, confidence, currency).
 
     Of several fields the first by the type's order of roles, then by position, counts; of category
-    and entry type the last.  A document whose key fields were read with little confidence is flagged.
+    and entry type the last.  ``names``, ``amounts`` and ``dates`` hold all of them, for linking.  A
+    document whose key fields were read with little confidence is flagged, and ``weak_fields`` names them.
     """
+    if "currency" not in fields.columns:
+        fields = fields.withColumn("currency", F.lit(None).cast("string"))
     rank = F.lit(None).cast("int")
     for kind, roles in AMOUNT_ROLES.items():
         place = F.array_position(F.array(*[F.lit(r) for r in roles]), F.col("role"))
         rank = F.when((F.col("document_type") == kind) & (place > 0), place.cast("int")).otherwise(rank)
     first = F.struct(F.lit(0).alias("rank"), "pos")
 
-    def when(flag: Column, value: Column, order: Column) -> Column:
-        return F.min_by(value, F.when(flag & value.isNotNull(), order))
+    def when(flag: Column, value: Column, order: Column, known: Column | None = None) -> Column:
+        return F.min_by(value, F.when(flag & (value if known is None else known).isNotNull(), order))
+
+    def every(flag: Column, value: Column) -> Column:
+        """Values in order of position."""
+        held = F.array_sort(F.collect_list(F.when(flag, F.struct("pos", value.alias("value")))))
+        return F.transform(held, lambda h: h["value"])
 
     by_amount = F.struct(rank.alias("rank"), "pos")
-    is_id, is_date = F.col("role").isin(*IDENTIFIER_ROLES), F.col("role") == "DOCUMENT_DATE"
-    by_entity = F.struct(F.when(F.col("role") == "CUSTOMER", 0).otherwise(1).alias("rank"), "pos")
+    role, number = F.col("role"), F.col("number")
+    is_id, is_date, is_name = role.isin(*IDENTIFIER_ROLES), role == "DOCUMENT_DATE", role.isin(*ENTITY_ROLES)
+    by_entity = F.struct(F.when(role == "CUSTOMER", 0).otherwise(1).alias("rank"), "pos")
     key_id = F.struct("pos", "label", "confidence")
     last = lambda labels: F.max_by("raw", F.when(F.col("label").isin(*labels) & F.col("raw").isNotNull() & (F.col("raw") != ""), F.col("pos")))
+    string, day, currency = F.col("string"), F.col("date"), F.col("currency")
     grouped = fields.groupBy("document_id", "document_type").agg(
-        F.array_sort(F.collect_set(F.when(is_id, F.col("string")))).alias("identifiers"),
-        F.abs(when(rank.isNotNull(), F.col("number"), by_amount)).alias("amount"),
-        when(is_date, F.col("date"), first).alias("date"),
-        when(F.col("role").isin(*ENTITY_ROLES), F.col("string"), by_entity).alias("entity"),
+        F.array_sort(F.collect_set(F.when(is_id, string))).alias("identifiers"),
+        F.abs(when(rank.isNotNull(), number, by_amount)).alias("amount"),
+        F.coalesce(when(rank.isNotNull(), currency, by_amount, known=number), when(role == "CURRENCY", string, first)).alias("currency"),
+        when(is_date, day, first).alias("date"),
+        when(is_name, string, by_entity).alias("entity"), when(is_name, F.col("raw"), by_entity, known=string).alias("entity_raw"),
+        every(is_name & string.isNotNull(), string).alias("names"),
+        every(role.isin(*LINKED_AMOUNTS) & number.isNotNull(), F.struct(number.alias("amount"), "currency")).alias("amounts"),
+        every(is_date & day.isNotNull(), day).alias("dates"),
         last(CATEGORY_LABELS).alias("category"), last(ENTRY_LABELS).alias("entry_type"),
-        F.min_by(key_id, F.when(rank.isNotNull() & F.col("number").isNotNull(), by_amount)).alias("a"),
-        F.min_by(key_id, F.when(is_date & F.col("date").isNotNull(), first)).alias("d"),
-        F.collect_list(F.when(is_id & F.col("string").isNotNull(), key_id)).alias("i"),
+        F.min_by(key_id, F.when(rank.isNotNull() & number.isNotNull(), by_amount)).alias("a"),
+        F.min_by(key_id, F.when(is_date & day.isNotNull(), first)).alias("d"),
+        F.array_sort(F.collect_list(F.when(is_id & string.isNotNull(), key_id))).alias("i"),
     )
     scored = F.filter(F.concat(F.array("a", "d"), "i"), lambda k: k["confidence"].isNotNull())
-    weak = F.transform(F.filter(scored, lambda k: k["confidence"] < KEY_FIELD_THRESHOLD), lambda k: k["label"])
+    weak = F.filter(scored, lambda k: k["confidence"] < KEY_FIELD_THRESHOLD)
     return grouped.select(
-        "document_id", "document_type", "identifiers", "amount", "date", "entity", "category", "entry_type", F.array_sort(weak).alias("weak_fields"),
+        "document_id", "document_type", "identifiers", "amount", "currency", "date", "entity", "entity_raw", "names", "amounts", "dates",
+        "category", "entry_type", F.transform(weak, lambda k: F.struct(k["label"].alias("label"), k["confidence"].alias("confidence"))).alias("weak_fields"),
         F.when(F.size(scored) > 0, F.size(weak) > 0).alias("low_confidence"),
     )
 
 
 def compare_pairs(pairs: DataFrame, facts: DataFrame) -> DataFrame:
-    """``pairs`` with ``results`` (amount, date), the worst ``status`` and the ``discrepancy_types``."""
-    both = linking.sides(pairs, facts)
+    """``pairs`` with ``results`` (amount, date, and names where both have one), the worst ``status`` and the ``discrepancy_types``.
+
+    Names are compared as normalised, each two of them once, and shown as they were read.
+    """
+    raw = "entity_raw" if "entity_raw" in facts.columns else "entity"
+    wanted = facts.select("document_id", "document_type", "source_name", "amount", "date", "entity", F.col(raw).alias("entity_raw"))
+    both = linking.sides(pairs, wanted)
+    names = both.select(F.col("l.entity").alias("x"), F.col("r.entity").alias("y")).where("x IS NOT NULL AND y IS NOT NULL")
+    scored = linking.resolved_names(names)
+    both = both.join(scored, (F.col("l.entity") == F.col("x")) & (F.col("r.entity") == F.col("y")), "left")
     amount = compare.numeric(F.col("l.amount"), F.col("r.amount"), mismatch="numerical_mismatch")
     dates = compare.dates(F.col("l.date"), F.col("r.date"), F.col("l.document_type"), F.col("r.document_type"))
 
-    def row(field: str, left: Column, right: Column, result: Column) -> Column:
+    def row(field: str, left: Column, right: Column, result: Column, score: Column) -> Column:
         parts = [result[n].alias(n) for n in ("status", "difference", "percent", "discrepancy_type")]
-        return F.struct(F.lit(field).alias("field"), left.alias("left_value"), right.alias("right_value"), *parts)
-
-    results = F.array(
-        row("amount", compare.money(F.col("l.amount")), compare.money(F.col("r.amount")), amount),
-        row("date", F.col("l.date").cast("string"), F.col("r.date").cast("string"), dates),
-    )
-    out = both.select(*pairs.columns, F.col("l.document_type").alias("left_type"), F.col("r.document_type").alias("right_type"), results.alias("results"))
+        return F.struct(F.lit(field).alias("field"), left.alias("left_value"), right.alias("right_value"), *parts, score.cast("double").alias("score"))
+
+    none = F.lit(None)
+    results = F.array_compact(F.array(
+        row("amount", compare.money(F.col("l.amount")), compare.money(F.col("r.amount")), amount, none),
+        row("date", F.col("l.date").cast("string"), F.col("r.date").cast("string"), dates, none),
+        F.when(F.col("e").isNotNull(), row("entity", F.col("l.entity_raw"), F.col("r.entity_raw"), compare.entities(F.col("e")), F.col("e.score"))),
+    ))
+    shown = [F.col(f"{side}.{name}").alias(f"{full}_{short}") for side, full in (("l", "left"), ("r", "right")) for name, short in (("document_type", "type"), ("source_name", "source"))]
+    out = both.select(*pairs.columns, *shown, results.alias("results"))
     kinds = F.array_compact(F.transform("results", lambda r: r["discrepancy_type"]))
     return out.withColumn("worst", compare.worst(F.transform("results", lambda r: r["status"]))).withColumn("kinds", F.array_sort(F.array_distinct(kinds)))
 
@@ -92,25 +119,50 @@ def pair_cases(compared: DataFrame) -> DataFrame:
     """A case a pair; duplicates are always for a reviewer."""
     twice = F.col("relationship") == "DUPLICATE"
     kinds = F.when(twice, F.array_sort(F.array_union(F.array(F.lit("duplicate_entry")), "kinds"))).otherwise(F.col("kinds"))
+    copies = F.concat(
+        F.lit("Two "), F.lower(F.replace("left_type", F.lit("_"), F.lit(" "))),
+        F.lit("s carry the same identifier. Confirm whether this is a re-issue, a correction or a double entry."),
+    )
     return compared.select(
         F.concat(F.lit("pair:"), "left_id", F.lit("|"), "right_id").alias("case_id"), F.when(twice, "duplicate_entry").otherwise("document_pair").alias("case_type"),
-        F.when(twice, "ESCALATED").otherwise(F.col("worst")).alias("status"), F.array("left_id", "right_id").alias("document_ids"), "relationship", kinds.alias("discrepancy_types"),
-        F.when(twice, F.concat(F.lit("Two "), F.lower(F.replace("left_type", F.lit("_"), F.lit(" "))), F.lit("s carry the same identifier. Confirm whether this is a re-issue, a correction or a double entry.")))
-        .otherwise(compare.explain(F.col("results"))).alias("explanation"),
+        F.when(twice, "ESCALATED").otherwise(F.col("worst")).alias("status"), F.array("left_id", "right_id").alias("document_ids"),
+        F.array("left_source", "right_source").alias("sources"), F.array("left_type", "right_type").alias("types"),
+        "relationship", kinds.alias("discrepancy_types"), F.when(twice, copies).otherwise(compare.explain(F.col("results"))).alias("explanation"),
     )
 
 
 def folded(cases: DataFrame) -> DataFrame:
-    """(duplicate_id, case_id, explanation): mismatches that only repeat a duplicate, whose other copy agrees with the same partner."""
-    pair = cases.select("case_id", "status", "explanation", "relationship", F.col("document_ids")[0].alias("a"), F.col("document_ids")[1].alias("b"))
-    twice = pair.where("relationship = 'DUPLICATE'").select(F.col("case_id").alias("duplicate_id"), F.col("a").alias("x"), F.col("b").alias("y"))
-    twice = twice.select("duplicate_id", F.explode(F.array(F.struct("x", "y"), F.struct(F.col("y").alias("x"), F.col("x").alias("y")))).alias("p")).select("duplicate_id", "p.x", "p.y")
-    others = pair.where("relationship <> 'DUPLICATE'")
-    ends = others.select("case_id", "status", "explanation", F.col("a").alias("doc"), F.col("b").alias("other"))
-    ends = ends.unionByName(others.select("case_id", "status", "explanation", F.col("b").alias("doc"), F.col("a").alias("other")))
-    agrees = ends.where(F.col("status").isin("MATCHED", "AUTO_RESOLVED")).select(F.col("doc").alias("x"), "other")
-    disagrees = ends.where("status = 'ESCALATED'").select(F.col("doc").alias("y"), "other", "case_id", "explanation")
-    return twice.join(agrees, "x").join(disagrees, ["y", "other"]).select("duplicate_id", "case_id", "explanation").distinct()
+    """(duplicate_id, case_id, explanation, note): mismatches that only repeat a duplicate, whose other copy agrees with the same partner.
+
+    ``note`` is what the duplicate's case says of it.
+    """
+    def end(k: int) -> list[Column]:
+        return [F.col(c)[k].alias(n) for c, n in (("document_ids", "doc"), ("sources", "source"))] + [F.col(c)[1 - k].alias(n) for c, n in (("document_ids", "other"), ("types", "other_type"))]
+
+    twice, others = cases.where("relationship = 'DUPLICATE'"), cases.where("relationship <> 'DUPLICATE'")
+    copies = [twice.select(F.col("case_id").alias("duplicate_id"), F.col("document_ids")[k].alias("x"), F.col("document_ids")[1 - k].alias("y")) for k in (0, 1)]
+    ends = others.select("case_id", "status", "explanation", *end(0)).unionByName(others.select("case_id", "status", "explanation", *end(1)))
+    agrees = ends.where(F.col("status").isin("MATCHED", "AUTO_RESOLVED")).select(F.col("doc").alias("x"), "other", "other_type", F.col("source").alias("agreeing"))
+    disagrees = ends.where("status = 'ESCALATED'").select(F.col("doc").alias("y"), "other", "case_id", "explanation", "source")
+    note = F.concat(
+        F.lit("The "), F.lower("other_type"), F.lit(" entry agrees with "), "agreeing", F.lit("; "), "source", F.lit(" differs ("), "explanation", F.lit(")")
+    )
+    met = copies[0].unionByName(copies[1]).join(agrees, "x").join(disagrees, ["y", "other"])
+    return met.select("duplicate_id", "case_id", "explanation", note.alias("note")).distinct()
+
+
+def booked_notes(facts: DataFrame, cases: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(case_id, notes): for an invoice that is not booked but has a booked copy, its first duplicate case says which copy is."""
+    booked = booked_documents(facts, pairs)
+    twice = cases.where("relationship = 'DUPLICATE'").select("case_id", "document_ids")
+    ends = [twice.select("case_id", "document_ids", F.col("document_ids")[k].alias("document_id"), F.col("document_ids")[1 - k].alias("copy")) for k in (0, 1)]
+    invoices = facts.where("document_type = 'INVOICE'").select("document_id").join(booked, "document_id", "left_anti")
+    both = ends[0].unionByName(ends[1]).join(invoices, "document_id", "left_semi")
+    with_booked = both.join(booked.withColumnRenamed("document_id", "copy"), "copy", "left_semi").groupBy("document_id").agg(F.min("copy").alias("copy"))
+    first = both.groupBy("document_id").agg(F.min(F.struct("document_ids", "case_id"))["case_id"].alias("case_id")).join(with_booked, "document_id")
+    named = first.join(facts.select(F.col("document_id").alias("copy"), "source_name"), "copy")
+    note = F.struct("document_id", F.concat(F.lit("Only "), "source_name", F.lit(" is booked in the ledger.")).alias("note"))
+    return named.groupBy("case_id").agg(F.transform(F.array_sort(F.collect_list(note)), lambda n: n["note"]).alias("booked"))
 
 
 def missing_cases(facts: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -143,19 +195,35 @@ def booked_documents(facts: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def extraction_cases(facts: DataFrame) -> DataFrame:
-    """Documents read with little confidence or without an amount or a date."""
+    """Documents read with little confidence or without an amount or a date.
+
+    Where facts have ``weak_fields`` (label, confidence) the case names them, else the document's ``confidence``, else neither.
+    """
     lacks = F.array_compact(F.array(F.when(F.col("amount").isNull(), "amount"), F.when(F.col("date").isNull(), "date")))
     low = F.coalesce(F.col("low_confidence"), F.lit(False))
     rows = facts.withColumn("lacks", lacks).where((F.col("document_type") != "UNKNOWN") & (low | (F.size("lacks") > 0)))
-    said = F.array_compact(F.array(F.when(low, "Extraction confidence is below the review threshold."), F.when(F.size("lacks") > 0, F.concat(F.lit("Could not read: "), F.array_join("lacks", ", "), F.lit(".")))))
+    reason = F.lit("Extraction confidence is below the review threshold.")
+    if "confidence" in facts.columns:
+        share = F.format_string("%.1f%%", F.col("confidence") * 100)
+        said = F.concat(F.lit("Extraction confidence "), share, F.lit(f" is below the {LOW_CONFIDENCE:.0%} review threshold."))
+        reason = F.coalesce(said, reason)
+    if "weak_fields" in facts.columns:
+        weak = F.transform("weak_fields", lambda w: F.format_string("%s (%.0f%%)", w["label"], w["confidence"] * 100))
+        text = f" — below the {KEY_FIELD_THRESHOLD:.0%} key-field review threshold."
+        named = F.concat(F.lit("Read with low OCR confidence: "), F.array_join(weak, ", "), F.lit(text))
+        reason = F.when(F.size("weak_fields") > 0, named).otherwise(reason)
+    unread = F.when(F.size("lacks") > 0, F.concat(F.lit("Could not read: "), F.array_join("lacks", ", "), F.lit(".")))
+    kind = F.lit("low_confidence_extraction")
     return rows.select(
-        F.concat(F.lit("doc:"), "document_id", F.lit(":extraction")).alias("case_id"), F.lit("low_confidence_extraction").alias("case_type"), F.lit("ESCALATED").alias("status"),
-        F.array("document_id").alias("document_ids"), F.lit(None).cast("string").alias("relationship"), F.array(F.lit("low_confidence_extraction")).alias("discrepancy_types"), F.array_join(said, " ").alias("explanation"),
+        F.concat(F.lit("doc:"), "document_id", F.lit(":extraction")).alias("case_id"), kind.alias("case_type"), F.lit("ESCALATED").alias("status"),
+        F.array("document_id").alias("document_ids"), F.lit(None).cast("string").alias("relationship"), F.array(kind).alias("discrepancy_types"),
+        F.array_join(F.array_compact(F.array(F.when(low, reason), unread)), " ").alias("explanation"),
     )
 
 
 def collapse(facts: DataFrame, roots: DataFrame, cases: DataFrame) -> DataFrame:
-    """A transaction a component: amounts and dates of its primary document, first category and name in that order."""
+    """A transaction a component: amount, currency and date of its primary document, first category and name, as it was read, in that order."""
+    raw = "entity_raw" if "entity_raw" in facts.columns else "entity"
     of_case = cases.select("case_id", F.col("document_ids")[0].alias("id")).join(roots, "id").groupBy("root").agg(F.array_sort(F.collect_set("case_id")).alias("case_ids"))
     rank = F.array_position(F.array(*[F.lit(t) for t in PRIMARY]), F.col("document_type"))
     order = F.struct(rank.alias("rank"), F.col("amount").isNull().alias("none"), "document_id")
@@ -165,41 +233,52 @@ def collapse(facts: DataFrame, roots: DataFrame, cases: DataFrame) -> DataFrame:
     def first(name: str) -> Column:
         return F.min_by(name, F.when(F.col(name).isNotNull() & (F.col(name) != ""), F.col("order")))
 
-    top = F.min_by(F.struct("document_id", "document_type", "amount", "date"), "order")
+    top = F.min_by(F.struct("document_id", "document_type", "amount", "date", "currency"), "order")
     grouped = own.groupBy("root").agg(
         F.array_sort(F.collect_set("document_id")).alias("document_ids"), F.array_sort(F.collect_set("document_type")).alias("document_types"), top.alias("p"),
-        F.min_by(kind, F.when(kind.isNotNull(), F.col("document_id"))).alias("said"), first("category").alias("category"), first("entity").alias("counterparty"),
+        F.min_by(kind, F.when(kind.isNotNull(), F.col("document_id"))).alias("said"), first("category").alias("category"), first(raw).alias("counterparty"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("identifiers")))).alias("identifiers"), F.count(F.lit(1)).alias("source_count"),
     )
     only_orders = (F.size("document_types") == 1) & (F.col("document_types")[0] == "PURCHASE_ORDER")
+    default = F.when(F.col("p.document_type") == "INVOICE", "Sales").otherwise("Uncategorised")
     return grouped.join(of_case, "root", "left").select(
         F.concat(F.lit("txn:"), "root").alias("transaction_id"), "document_ids", "document_types", F.col("p.document_id").alias("primary_document_id"),
-        F.coalesce("said", F.when(only_orders, "expense").otherwise("revenue")).alias("kind"),
-        F.coalesce("category", F.when(F.col("p.document_type") == "INVOICE", "Sales").otherwise("Uncategorised")).alias("category"), "counterparty", "identifiers",
-        F.col("p.date").alias("date"), F.col("p.amount").alias("amount"), F.coalesce("case_ids", F.array().cast("array<string>")).alias("case_ids"), "source_count",
+        F.coalesce("said", F.when(only_orders, "expense").otherwise("revenue")).alias("kind"), F.coalesce("category", default).alias("category"),
+        "counterparty", "identifiers", F.col("p.date").alias("date"), F.col("p.amount").alias("amount"), F.col("p.currency").alias("currency"),
+        F.coalesce("case_ids", F.array().cast("array<string>")).alias("case_ids"), "source_count",
     )
 
 
-def find_links(facts: DataFrame, config: linking.LinkingConfig = linking.LinkingConfig(), with_entities: bool = True) -> DataFrame:
+def find_links(facts: DataFrame, config: linking.LinkingConfig = linking.LinkingConfig()) -> DataFrame:
     """(left_id, right_id, relationship, status, confidence) of all three kinds of links."""
     columns = ["left_id", "right_id", "relationship", "status", "confidence"]
-    twice = linking.duplicates(facts).withColumns({"relationship": F.lit("DUPLICATE"), "status": F.lit("LINKED"), "confidence": F.lit(1.0)}).select(columns)
-    scored = cut(linking.link_evidence(facts, config, with_entities).withColumnRenamed("score", "confidence").select(columns))
-    alone = linking.unreferenced(facts, scored).withColumns({"relationship": F.lit("INVOICE_LEDGER"), "status": F.lit("LINKED"), "confidence": F.lit(0.55)}).select(columns)
-    return twice.unionByName(scored).unionByName(alone.select(columns))
 
+    def linked(rows: DataFrame, relationship: str, confidence: float) -> DataFrame:
+        return rows.withColumns({"relationship": F.lit(relationship), "status": F.lit("LINKED"), "confidence": F.lit(confidence)}).select(columns)
+
+    scored = cut(linking.link_evidence(facts, config).withColumnRenamed("score", "confidence").select(columns))
+    alone = linked(linking.unreferenced(facts, scored), "INVOICE_LEDGER", 0.55)
+    return linked(linking.duplicates(facts), "DUPLICATE", 1.0).unionByName(scored).unionByName(alone)
 
-def run(facts: DataFrame, config: linking.LinkingConfig = linking.LinkingConfig(), with_entities: bool = True) -> Run:
+
+def run(facts: DataFrame, config: linking.LinkingConfig = linking.LinkingConfig()) -> Run:
     """The whole run; links are cut once, and everything else starts from them."""
-    links = cut(find_links(facts, config, with_entities))
+    links = cut(find_links(facts, config))
     pairs = links.where("status = 'LINKED'").select("left_id", "right_id", "relationship")
     cases = cut(pair_cases(compare_pairs(pairs, facts)))
     symptoms = folded(cases)
-    related = symptoms.groupBy(F.col("duplicate_id").alias("case_id")).agg(F.array_sort(F.collect_set(F.col("case_id"))).alias("related"))
-    kept = cases.join(symptoms.select("case_id"), "case_id", "left_anti").join(related, "case_id", "left")
+    told = symptoms.groupBy(F.col("duplicate_id").alias("case_id")).agg(
+        F.array_sort(F.collect_set(F.col("case_id"))).alias("related"),
+        F.transform(F.array_sort(F.collect_set(F.struct(F.col("case_id").alias("id"), "note"))), lambda n: n["note"]).alias("notes"),
+    )
+    kept = cases.join(symptoms.select("case_id"), "case_id", "left_anti").join(told, "case_id", "left").join(booked_notes(facts, cases, pairs), "case_id", "left")
+    none = F.array().cast("array<string>")
+    words = F.concat(F.array("explanation"), F.coalesce("notes", none), F.coalesce("booked", none))
+    kept = kept.withColumn("explanation", F.array_join(words, " ")).drop("notes", "booked", "sources", "types")
     unsure = links.where("status = 'AMBIGUOUS'").select(
-        F.concat(F.lit("link:"), "left_id", F.lit("|"), "right_id").alias("case_id"), F.lit("ambiguous_link").alias("case_type"), F.lit("ESCALATED").alias("status"), F.array("left_id", "right_id").alias("document_ids"),
-        "relationship", F.array(F.lit("ambiguous_link")).alias("discrepancy_types"), F.lit("These documents partly agree but the evidence is not strong enough to link them automatically.").alias("explanation"),
+        F.concat(F.lit("link:"), "left_id", F.lit("|"), "right_id").alias("case_id"), F.lit("ambiguous_link").alias("case_type"), F.lit("ESCALATED").alias("status"),
+        F.array("left_id", "right_id").alias("document_ids"), "relationship", F.array(F.lit("ambiguous_link")).alias("discrepancy_types"),
+        F.lit("These documents partly agree but the evidence is not strong enough to link them automatically.").alias("explanation"),
     )
     rest = unsure.unionByName(missing_cases(facts, pairs)).unionByName(extraction_cases(facts))
     cases = kept.unionByName(rest.withColumn("related", F.lit(None).cast("array<string>")))

@@ -16,23 +16,61 @@ from tallywright.plans.base import doubles, query
 from tallywright.sources import tables as t
 
 _FACTS = "WITH RECURSIVE " + t.FACTS_SQL
-_LINKS = _FACTS + """,
-dup AS (SELECT l.document_id AS left_id, r.document_id AS right_id, 'DUPLICATE' AS rel FROM facts l JOIN facts r ON l.document_type = r.document_type AND l.key = r.key AND l.document_id < r.document_id),
-refs AS (SELECT least(i.document_id, p.document_id) AS left_id, greatest(i.document_id, p.document_id) AS right_id, 'INVOICE_' || p.document_type AS rel
-          FROM facts i JOIN facts p ON i.document_type = 'INVOICE' AND p.document_type IN ('LEDGER', 'PAYMENT') AND i.key = p.key),
+_NAME_SCORE = """CASE WHEN {a} = {b} THEN 1.0 ELSE round(greatest(jaro_winkler_similarity({a}, {b}),
+  jaro_winkler_similarity(array_to_string(list_sort(string_split({a}, ' ')), ' '), array_to_string(list_sort(string_split({b}, ' ')), ' '))), 3) END"""
+_COVERAGE = """(len(list_filter(string_split({a}, ' '), lambda x: len(list_filter(string_split({b}, ' '), lambda y: jaro_winkler_similarity(x, y) >= 0.9)) > 0))
+  + len(list_filter(string_split({b}, ' '), lambda y: len(list_filter(string_split({a}, ' '), lambda x: jaro_winkler_similarity(x, y) >= 0.9)) > 0)))::DOUBLE
+  / (len(string_split({a}, ' ')) + len(string_split({b}, ' ')))"""
+
+_LINKS = _FACTS + f""",
+dup AS (
+  SELECT l.document_id AS left_id, r.document_id AS right_id, 'DUPLICATE' AS rel
+  FROM facts l JOIN facts r ON l.document_type = r.document_type AND l.key = r.key AND l.document_id < r.document_id),
+pool AS (
+  SELECT i.document_id AS a, p.document_id AS b FROM facts i JOIN facts p ON i.key = p.key
+  WHERE i.document_type = 'INVOICE' AND p.document_type IN ('LEDGER', 'PAYMENT')
+  UNION
+  SELECT i.document_id, p.document_id
+  FROM (SELECT * FROM facts WHERE document_type = 'INVOICE') i JOIN (SELECT * FROM facts WHERE document_type IN ('LEDGER', 'PAYMENT')) p
+    ON p.amount >= i.amount * 0.97 AND p.amount <= i.amount * 1.03
+  WHERE i.entity IS NOT NULL AND p.entity IS NOT NULL AND (i.entity = p.entity OR abs(i.date - p.date) < 90)),
+seen_both AS (
+  SELECT a AS left_id, b AS right_id, 'INVOICE_' || p.document_type AS rel, coalesce(i.key = p.key, false) AS idm, abs(i.date - p.date) AS days,
+         i.currency IS NULL OR p.currency IS NULL OR i.currency = p.currency AS same_money,
+         abs(i.amount - p.amount)::DOUBLE / greatest(abs(i.amount), abs(p.amount), 1)::DOUBLE * 100 AS p, {_NAME_SCORE.format(a="i.entity", b="p.entity")} AS es
+  FROM pool JOIN facts i ON i.document_id = a JOIN facts p ON p.document_id = b),
+scored AS (
+  SELECT *, 0.6::DOUBLE * idm::INT + 0.2::DOUBLE * coalesce(es, 0.0::DOUBLE) + 0.15::DOUBLE * (same_money AND p <= 2)::INT
+            + 0.05::DOUBLE * coalesce(greatest(0.0::DOUBLE, 1 - days::DOUBLE / 90), 0.0::DOUBLE) AS score FROM seen_both),
+refs AS (SELECT * FROM scored WHERE score >= 0.38),
+unsure AS (SELECT * FROM scored WHERE score >= 0.35 AND score < 0.38),
 taken AS (SELECT left_id AS id FROM refs WHERE rel = 'INVOICE_LEDGER' UNION SELECT right_id FROM refs WHERE rel = 'INVOICE_LEDGER'),
-near AS (SELECT i.document_id AS a, p.document_id AS b FROM facts i JOIN facts p ON i.document_type = 'INVOICE' AND p.document_type = 'LEDGER' AND p.identifier IS NULL AND p.kind_said = 'revenue'
-          AND p.date BETWEEN i.date - 7 AND i.date + 7 AND abs(i.amount - p.amount)::DOUBLE / greatest(abs(i.amount), 1)::DOUBLE <= 0.25
-          WHERE i.document_id NOT IN (SELECT id FROM taken) AND p.document_id NOT IN (SELECT id FROM taken)),
-alone AS (SELECT least(a, b) AS left_id, greatest(a, b) AS right_id, 'INVOICE_LEDGER' AS rel FROM (SELECT *, count(*) OVER (PARTITION BY a) AS n, count(*) OVER (PARTITION BY b) AS m FROM near) WHERE n = 1 AND m = 1),
-pairs AS (SELECT * FROM dup UNION ALL SELECT * FROM refs UNION ALL SELECT * FROM alone),
-lr AS (SELECT p.*, l.document_type AS lt, r.document_type AS rt, l.amount AS la, r.amount AS ra, l.date AS ld, r.date AS rd FROM pairs p JOIN facts l ON l.document_id = left_id JOIN facts r ON r.document_id = right_id),
-cmp AS (SELECT *, round(abs(la - ra)::DOUBLE / (CASE WHEN ra <> 0 THEN abs(ra) WHEN la <> 0 THEN abs(la) ELSE 1 END)::DOUBLE * 100, 2) AS pct, (rd - ld) AS days, ('INVOICE' IN (lt, rt) AND 'PAYMENT' IN (lt, rt)) AS paid, CASE WHEN lt = 'INVOICE' THEN rd - ld ELSE ld - rd END AS lag FROM lr),
-judged AS (SELECT *, CASE WHEN pct = 0 THEN 'MATCHED' WHEN pct <= 2 THEN 'AUTO_RESOLVED' ELSE 'ESCALATED' END AS ast,
-  CASE WHEN days = 0 THEN 'MATCHED' WHEN paid AND lag BETWEEN 0 AND 120 THEN 'MATCHED' WHEN paid THEN 'ESCALATED' WHEN abs(days) <= 7 THEN 'AUTO_RESOLVED' ELSE 'ESCALATED' END AS dst FROM cmp),
-kinds AS (SELECT *, CASE ast WHEN 'AUTO_RESOLVED' THEN 'rounding_variance' WHEN 'ESCALATED' THEN 'numerical_mismatch' END AS ak,
-  CASE WHEN dst = 'AUTO_RESOLVED' THEN 'date_variance' WHEN dst = 'ESCALATED' AND paid THEN 'payment_date_out_of_terms' WHEN dst = 'ESCALATED' THEN 'date_mismatch' END AS dk,
-  CASE WHEN 'ESCALATED' IN (ast, dst) THEN 'ESCALATED' WHEN 'AUTO_RESOLVED' IN (ast, dst) THEN 'AUTO_RESOLVED' ELSE 'MATCHED' END AS worst FROM judged)
+near AS (
+  SELECT i.document_id AS a, p.document_id AS b
+  FROM facts i JOIN facts p ON i.document_type = 'INVOICE' AND p.document_type = 'LEDGER' AND p.identifier IS NULL AND p.kind_said = 'revenue'
+    AND p.date BETWEEN i.date - 7 AND i.date + 7 AND abs(i.amount - p.amount)::DOUBLE / greatest(abs(i.amount), 1)::DOUBLE <= 0.25
+  WHERE i.document_id NOT IN (SELECT id FROM taken) AND p.document_id NOT IN (SELECT id FROM taken) AND i.document_id NOT IN (SELECT left_id FROM unsure)),
+alone AS (
+  SELECT least(a, b) AS left_id, greatest(a, b) AS right_id, 'INVOICE_LEDGER' AS rel
+  FROM (SELECT *, count(*) OVER (PARTITION BY a) AS n, count(*) OVER (PARTITION BY b) AS m FROM near) WHERE n = 1 AND m = 1),
+pairs AS (SELECT * FROM dup UNION ALL SELECT left_id, right_id, rel FROM refs UNION ALL SELECT * FROM alone),
+lr AS (
+  SELECT p.*, l.document_type AS lt, r.document_type AS rt, l.amount AS la, r.amount AS ra, l.date AS ld, r.date AS rd,
+         l.entity AS le, r.entity AS re, l.entity_raw AS lraw, r.entity_raw AS rraw
+  FROM pairs p JOIN facts l ON l.document_id = left_id JOIN facts r ON r.document_id = right_id),
+cmp AS (
+  SELECT *, round(abs(la - ra)::DOUBLE / (CASE WHEN ra <> 0 THEN abs(ra) WHEN la <> 0 THEN abs(la) ELSE 1 END)::DOUBLE * 100, 2) AS pct, (rd - ld) AS days,
+         ('INVOICE' IN (lt, rt) AND 'PAYMENT' IN (lt, rt)) AS paid, CASE WHEN lt = 'INVOICE' THEN rd - ld ELSE ld - rd END AS lag,
+         {_NAME_SCORE.format(a="le", b="re")} AS es, CASE WHEN le = re THEN 1.0 ELSE {_COVERAGE.format(a="le", b="re")} END AS cover FROM lr),
+judged AS (
+  SELECT *, CASE WHEN pct = 0 THEN 'MATCHED' WHEN pct <= 2 THEN 'AUTO_RESOLVED' ELSE 'ESCALATED' END AS ast,
+         CASE WHEN days = 0 THEN 'MATCHED' WHEN paid AND lag BETWEEN 0 AND 120 THEN 'MATCHED' WHEN paid THEN 'ESCALATED' WHEN abs(days) <= 7 THEN 'AUTO_RESOLVED' ELSE 'ESCALATED' END AS dst,
+         CASE WHEN le IS NULL OR re IS NULL THEN NULL WHEN le = re OR es >= 0.9 AND cover = 1 THEN 'MATCHED' ELSE 'ESCALATED' END AS est FROM cmp),
+kinds AS (
+  SELECT *, CASE ast WHEN 'AUTO_RESOLVED' THEN 'rounding_variance' WHEN 'ESCALATED' THEN 'numerical_mismatch' END AS ak,
+         CASE WHEN dst = 'AUTO_RESOLVED' THEN 'date_variance' WHEN dst = 'ESCALATED' AND paid THEN 'payment_date_out_of_terms' WHEN dst = 'ESCALATED' THEN 'date_mismatch' END AS dk,
+         CASE WHEN est = 'ESCALATED' AND es >= 0.7 AND cover > 0.5 THEN 'entity_alias' WHEN est = 'ESCALATED' THEN 'entity_mismatch' END AS ek,
+         CASE WHEN 'ESCALATED' IN (ast, dst, coalesce(est, '')) THEN 'ESCALATED' WHEN 'AUTO_RESOLVED' IN (ast, dst) THEN 'AUTO_RESOLVED' ELSE 'MATCHED' END AS worst FROM judged)
 """
 
 
@@ -41,21 +79,37 @@ def _money(x: str) -> str:
 
 
 _CASES = _LINKS + f""",
-said AS (SELECT *, nullif(trim(concat_ws(' ', CASE ast WHEN 'AUTO_RESOLVED' THEN 'Amounts differ by ' || {_money('pct')} || '% — within tolerance, auto-resolved.'
-    WHEN 'ESCALATED' THEN 'Amounts differ by ' || {_money('pct')} || '% (' || {_money('la')} || ' vs ' || {_money('ra')} || '), beyond tolerance.' END,
-    CASE WHEN dst <> 'MATCHED' THEN 'Dates differ by ' || abs(days) || ' days.' END)), '') AS words FROM kinds),
-pair_cases AS (SELECT 'pair:' || left_id || '|' || right_id AS case_id, CASE WHEN rel = 'DUPLICATE' THEN 'duplicate_entry' ELSE 'document_pair' END AS case_type,
-    CASE WHEN rel = 'DUPLICATE' THEN 'ESCALATED' ELSE worst END AS status, left_id, right_id, rel,
-    list_sort(list_filter(CASE WHEN rel = 'DUPLICATE' THEN ['duplicate_entry', ak, dk] ELSE [ak, dk] END, lambda x: x IS NOT NULL)) AS types,
+said AS (
+  SELECT *, nullif(trim(concat_ws(' ', CASE ast WHEN 'AUTO_RESOLVED' THEN 'Amounts differ by ' || {_money('pct')} || '% — within tolerance, auto-resolved.'
+      WHEN 'ESCALATED' THEN 'Amounts differ by ' || {_money('pct')} || '% (' || {_money('la')} || ' vs ' || {_money('ra')} || '), beyond tolerance.' END,
+    CASE WHEN dst <> 'MATCHED' THEN 'Dates differ by ' || abs(days) || ' days.' END,
+    CASE WHEN est <> 'MATCHED' THEN 'Counterparty names differ (' || lraw || ' vs ' || rraw || ').' END)), '') AS words FROM kinds),
+pair_cases AS (
+  SELECT 'pair:' || left_id || '|' || right_id AS case_id, CASE WHEN rel = 'DUPLICATE' THEN 'duplicate_entry' ELSE 'document_pair' END AS case_type,
+    CASE WHEN rel = 'DUPLICATE' THEN 'ESCALATED' ELSE worst END AS status, left_id, right_id, lt, rt, rel,
+    list_sort(list_filter(CASE WHEN rel = 'DUPLICATE' THEN ['duplicate_entry', ak, dk, ek] ELSE [ak, dk, ek] END, lambda x: x IS NOT NULL)) AS types,
     CASE WHEN rel = 'DUPLICATE' THEN 'Two ' || lower(lt) || 's carry the same identifier. Confirm whether this is a re-issue, a correction or a double entry.' ELSE coalesce(words, 'All compared fields agree.') END AS explanation FROM said),
 both_ways AS (SELECT left_id AS x, right_id AS y, case_id FROM pair_cases WHERE rel = 'DUPLICATE' UNION ALL SELECT right_id, left_id, case_id FROM pair_cases WHERE rel = 'DUPLICATE'),
-ends AS (SELECT left_id AS doc, right_id AS other, case_id, status FROM pair_cases WHERE rel <> 'DUPLICATE' UNION ALL SELECT right_id, left_id, case_id, status FROM pair_cases WHERE rel <> 'DUPLICATE'),
-folded AS (SELECT DISTINCT d.case_id AS duplicate_id, b.case_id FROM both_ways d JOIN ends a ON a.doc = d.x AND a.status IN ('MATCHED', 'AUTO_RESOLVED') JOIN ends b ON b.doc = d.y AND b.other = a.other AND b.status = 'ESCALATED'),
+ends AS (
+  SELECT left_id AS doc, right_id AS other, rt AS other_type, case_id, status, explanation FROM pair_cases WHERE rel <> 'DUPLICATE'
+  UNION ALL SELECT right_id, left_id, lt, case_id, status, explanation FROM pair_cases WHERE rel <> 'DUPLICATE'),
+folded AS (
+  SELECT DISTINCT d.case_id AS duplicate_id, b.case_id,
+    'The ' || lower(a.other_type) || ' entry agrees with ' || a.doc || '.pdf; ' || b.doc || '.pdf differs (' || b.explanation || ')' AS note
+  FROM both_ways d JOIN ends a ON a.doc = d.x AND a.status IN ('MATCHED', 'AUTO_RESOLVED') JOIN ends b ON b.doc = d.y AND b.other = a.other AND b.status = 'ESCALATED'),
 booked AS (SELECT unnest([left_id, right_id]) AS id FROM lr WHERE 'LEDGER' IN (lt, rt)),
 copies AS (SELECT x AS id FROM both_ways WHERE y IN (SELECT id FROM booked)),
+told AS (
+  SELECT first_case AS case_id, string_agg('Only ' || copy || '.pdf is booked in the ledger.', ' ' ORDER BY x) AS note
+  FROM (SELECT x, arg_min(case_id, [x, y].list_sort()) AS first_case, min(y) FILTER (WHERE y IN (SELECT id FROM booked)) AS copy FROM both_ways
+        WHERE x LIKE 'inv-%' AND x NOT IN (SELECT id FROM booked) GROUP BY x) WHERE copy IS NOT NULL GROUP BY first_case),
 missing AS (SELECT 'doc:' || document_id || ':missing-ledger' AS case_id, document_id FROM facts WHERE document_type = 'INVOICE' AND document_id NOT IN (SELECT id FROM booked) AND document_id NOT IN (SELECT id FROM copies)
   UNION ALL SELECT 'doc:' || document_id || ':missing-invoice', document_id FROM facts WHERE document_type = 'PAYMENT' AND document_id NOT IN (SELECT unnest([left_id, right_id]) FROM pairs)),
-cases AS (SELECT case_id, case_type, status, left_id AS doc, [left_id, right_id] AS docs, types, explanation FROM pair_cases WHERE case_id NOT IN (SELECT case_id FROM folded)
+cases AS (
+  SELECT case_id, case_type, status, left_id AS doc, [left_id, right_id] AS docs, types,
+    concat_ws(' ', explanation, (SELECT string_agg(note, ' ' ORDER BY f.case_id) FROM folded f WHERE f.duplicate_id = c.case_id), (SELECT note FROM told t WHERE t.case_id = c.case_id)) AS explanation
+  FROM pair_cases c WHERE case_id NOT IN (SELECT case_id FROM folded)
+  UNION ALL SELECT 'link:' || left_id || '|' || right_id, 'ambiguous_link', 'ESCALATED', left_id, [left_id, right_id], ['ambiguous_link'], 'These documents partly agree but the evidence is not strong enough to link them automatically.' FROM unsure
   UNION ALL SELECT case_id, 'missing_document', 'MISSING', document_id, [document_id], ['missing_document'], CASE WHEN case_id LIKE '%ledger' THEN 'This invoice has no matching entry in the general ledger — it may not have been booked.' ELSE 'This payment does not match any invoice on file.' END FROM missing
   UNION ALL SELECT 'doc:' || document_id || ':extraction', 'low_confidence_extraction', 'ESCALATED', document_id, [document_id], ['low_confidence_extraction'], 'Extraction confidence is below the review threshold.' FROM facts WHERE n % 53 = 0),
 edges AS (SELECT left_id AS a, right_id AS b FROM pairs UNION ALL SELECT right_id, left_id FROM pairs),
@@ -65,6 +119,7 @@ ordered AS (SELECT f.*, root, row_number() OVER (PARTITION BY root ORDER BY list
 of_case AS (SELECT root, list(case_id ORDER BY case_id) AS case_ids FROM cases JOIN roots ON id = doc GROUP BY root),
 transactions AS (SELECT 'txn:' || o.root AS transaction_id, list(document_id ORDER BY document_id) AS document_ids, list_sort(list_distinct(list(document_type))) AS document_types, min(document_id) FILTER (WHERE k = 1) AS primary_document_id,
    coalesce(arg_min(kind_said, document_id) FILTER (WHERE kind_said IS NOT NULL), 'revenue') AS kind, coalesce(arg_min(category, k) FILTER (WHERE category IS NOT NULL), CASE WHEN any_value(document_type) FILTER (WHERE k = 1) = 'INVOICE' THEN 'Sales' ELSE 'Uncategorised' END) AS category,
+   arg_min(entity_raw, k) FILTER (WHERE entity_raw IS NOT NULL) AS counterparty, any_value(currency) FILTER (WHERE k = 1) AS currency,
    any_value(date) FILTER (WHERE k = 1) AS date, any_value(amount) FILTER (WHERE k = 1) AS amount, count(*) AS source_count, coalesce(any_value(case_ids), []) AS case_ids
    FROM ordered o LEFT JOIN of_case c ON c.root = o.root GROUP BY o.root),
 """ + t.REVIEWS_SQL.strip() + """,
@@ -84,7 +139,7 @@ gated AS (SELECT t.* EXCLUDE (amount, category, date), coalesce(a.amount, t.amou
 @lru_cache(maxsize=4)
 def _cached(app: str, sf_dir: str, spark: SparkSession) -> tuple[DataFrame, reconcile.Run, DataFrame, DataFrame]:
     facts = t.facts(spark, sf_dir)
-    made = reconcile.run(facts, with_entities=False)
+    made = reconcile.run(facts)
     made = reconcile.Run(made.links, cut(made.cases), cut(made.transactions))
     reviews = t.reviews(spark, sf_dir)
     return facts, made, reviews, cut(gate.with_status(made.transactions, made.cases, reviews))
@@ -103,11 +158,11 @@ def duplicate_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linking.duplicates(t.facts(spark, sf_dir)).select("left_id", "right_id", *_joined("shared"))
 
 
-@query(_LINKS + """, e AS (SELECT left_id, right_id, rel AS relationship, abs(days) AS days, abs(la - ra)::DOUBLE / greatest(abs(la), abs(ra), 1)::DOUBLE * 100 AS p FROM cmp JOIN refs USING (left_id, right_id, rel))
-SELECT left_id, right_id, relationship, true AS identifier_match, days::INTEGER AS days, round(p, 4) AS amount_percent, p <= 2 AS amount_compatible, round(0.6 + 0.15 * (p <= 2)::INT + 0.05 * greatest(0, 1 - days / 90), 6) AS score, 'LINKED' AS status FROM e""")
+@query(_LINKS + """SELECT left_id, right_id, rel AS relationship, idm AS identifier_match, round(es, 3) AS entity_score, days::INTEGER AS days, CASE WHEN same_money THEN round(p, 4) END AS amount_percent,
+same_money AND p <= 2 AS amount_compatible, round(score, 3) AS score, CASE WHEN score >= 0.38 THEN 'LINKED' ELSE 'AMBIGUOUS' END AS status FROM scored WHERE score >= 0.35""")
 def link_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = linking.link_evidence(t.facts(spark, sf_dir), with_entities=False)
-    return got.select("left_id", "right_id", "relationship", "identifier_match", "days", F.round("amount_percent", 4).alias("amount_percent"), "amount_compatible", "score", "status")
+    got = linking.link_evidence(t.facts(spark, sf_dir))
+    return got.select("left_id", "right_id", "relationship", "identifier_match", "entity_score", "days", F.round("amount_percent", 4).alias("amount_percent"), "amount_compatible", "score", "status")
 
 
 def _small(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,7 +194,7 @@ q AS (SELECT least(i.id, p.id) AS left_id, greatest(i.id, p.id) AS right_id, 'IN
    WHERE i.ref = p.ref OR abs(i.amount - p.amount)::DOUBLE / greatest(abs(i.amount), abs(p.amount), 1)::DOUBLE * 100 <= 2),
 n AS (SELECT *, CASE WHEN a = b THEN 1.0 ELSE round(greatest(jaro_winkler_similarity(a, b), jaro_winkler_similarity(array_to_string(list_sort(string_split(a, ' ')), ' '), array_to_string(list_sort(string_split(b, ' ')), ' '))), 3) END AS es FROM q),
 s AS (SELECT *, 0.6::DOUBLE * idm::INT + 0.2::DOUBLE * es + 0.15::DOUBLE * am::INT + 0.05::DOUBLE * greatest(0.0::DOUBLE, 1 - dd::DOUBLE / 90) AS score FROM n),
-l AS (SELECT left_id, right_id, relationship, es, round(score, 6) AS score, CASE WHEN score >= 0.38 THEN 'LINKED' WHEN score >= 0.35 THEN 'AMBIGUOUS' END AS status FROM s WHERE score >= 0.35)
+l AS (SELECT left_id, right_id, relationship, es, round(score, 3) AS score, CASE WHEN score >= 0.38 THEN 'LINKED' WHEN score >= 0.35 THEN 'AMBIGUOUS' END AS status FROM s WHERE score >= 0.35)
 """
 
 
@@ -157,11 +212,12 @@ def link_competition(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_LINKS + "SELECT left_id, right_id FROM alone")
 def reference_free_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     facts = t.facts(spark, sf_dir)
-    return linking.unreferenced(facts, linking.link_evidence(facts, with_entities=False))
+    return linking.unreferenced(facts, linking.link_evidence(facts))
 
 
 @query(_LINKS + """SELECT left_id, right_id, 'amount' AS field, ast AS status, abs(la - ra)::DOUBLE AS difference, pct AS percent, ak AS discrepancy_type FROM kinds
-UNION ALL SELECT left_id, right_id, 'date', dst, days::DOUBLE, NULL, dk FROM kinds""")
+UNION ALL SELECT left_id, right_id, 'date', dst, days::DOUBLE, NULL, dk FROM kinds
+UNION ALL SELECT left_id, right_id, 'entity', est, NULL, NULL, ek FROM kinds WHERE est IS NOT NULL""")
 def pair_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each compared field of each pair."""
     facts, made, _, _ = _run(spark, sf_dir)
@@ -213,11 +269,11 @@ def reconciliation_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _run(spark, sf_dir)[1].cases.select("case_id", "case_type", "status", *_joined("document_ids", "discrepancy_types"), "explanation", "transaction_id")
 
 
-@query(_CASES + """SELECT transaction_id, array_to_string(document_ids, ',') AS document_ids, array_to_string(document_types, ',') AS document_types, primary_document_id, kind, category, date, amount::DOUBLE AS amount,
+@query(_CASES + """SELECT transaction_id, array_to_string(document_ids, ',') AS document_ids, array_to_string(document_types, ',') AS document_types, primary_document_id, kind, category, counterparty, currency, date, amount::DOUBLE AS amount,
 array_to_string(case_ids, ',') AS case_ids, source_count FROM transactions""")
 def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = _run(spark, sf_dir)[1].transactions
-    return got.select("transaction_id", *_joined("document_ids", "document_types"), "primary_document_id", "kind", "category", "date", *doubles("amount"), *_joined("case_ids"), "source_count")
+    return got.select("transaction_id", *_joined("document_ids", "document_types"), "primary_document_id", "kind", "category", "counterparty", "currency", "date", *doubles("amount"), *_joined("case_ids"), "source_count")
 
 
 @query(_CASES + """SELECT 'documents' AS name, count(*) AS value FROM facts UNION ALL SELECT 'links', count(*) FROM pairs UNION ALL SELECT 'transactions', count(*) FROM transactions UNION ALL SELECT 'cases', count(*) FROM cases
@@ -336,7 +392,8 @@ def _fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT 'd' || o_orderkey AS document_id, 'O' || o_orderkey AS identifiers, abs(o_totalprice) AS amount, CAST(o_orderdate AS DATE) AS date, lower(o_orderpriority) AS entity,
 CASE WHEN o_orderkey % 5 = 0 THEN 'Rent' WHEN o_orderkey % 3 = 0 THEN 'Travel' END AS category, CASE WHEN o_orderkey % 4 <> 0 AND o_orderkey % 10 < 6 THEN 'total' ELSE '' END AS weak_fields, o_orderkey % 4 <> 0 AND o_orderkey % 10 < 6 AS low_confidence FROM orders""")
 def document_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reconcile.document_facts(_fields(spark, sf_dir)).select("document_id", *_joined("identifiers"), "amount", "date", "entity", "category", *_joined("weak_fields"), "low_confidence")
+    got = reconcile.document_facts(_fields(spark, sf_dir)).withColumn("weak_fields", F.transform("weak_fields", lambda w: w["label"]))
+    return got.select("document_id", *_joined("identifiers"), "amount", "date", "entity", "category", *_joined("weak_fields"), "low_confidence")
 
 
 @query("""WITH f AS (SELECT 'd' || o_orderkey AS document_id, unnest(range(0, 7)) AS pos, unnest(['balance due', 'total', 'category', 'invoice date', 'order id', 'account', 'bill to']) AS label FROM orders)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallywright.functions import normalize
 from tallywright.operators import gate
 
 MONEY = "decimal(18,2)"
@@ -72,30 +73,43 @@ def _identifier(key: Column) -> Column:
     return F.concat(F.lit("ORD-2012-"), F.lpad(key.cast("string"), 9, "0"))
 
 
+def _names() -> tuple[Column, Column]:
+    """Two words of letters that a customer's key gives."""
+    letters = F.translate(F.md5(F.col("o_custkey").cast("string")), "0123456789", "ghijklmnop")
+    return F.substring(letters, 1, 8), F.substring(letters, 9, 6)
+
+
 def invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One invoice an order, and a second copy for half as much again where the key is a multiple of 97."""
     orders = table(spark, sf_dir, "orders").where("o_orderkey IS NOT NULL")
     key, amount = F.col("o_orderkey"), F.col("o_totalprice").cast(MONEY)
     number = F.lpad(key.cast("string"), 9, "0")
+    first, last = _names()
     copies = F.when(key % 97 == 0, F.array(F.lit(""), F.lit("b"))).otherwise(F.array(F.lit("")))
     return orders.select("*", F.explode(copies).alias("copy")).select(
         F.concat(F.lit("inv-"), number, F.col("copy")).alias("document_id"), F.lit("INVOICE").alias("document_type"),
         _identifier(key).alias("identifier"),
         F.when(F.col("copy") == "b", (amount * F.lit(1.5).cast("decimal(3,1)"))).otherwise(amount).cast(MONEY).alias("amount"),
         F.col("o_orderdate").cast("date").alias("date"),
+        F.concat(F.upper(first), F.lit(" "), F.upper(last), F.lit(" Incorporated")).alias("entity_raw"), F.when(key % 37 == 0, "EUR").otherwise("USD").alias("currency"),
     )
 
 
 def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Postings: every tenth order has none, and others differ in amount, date or identifier."""
+    """Postings: every tenth order has none, and others differ in amount, date, name or identifier."""
     key, amount = F.col("o_orderkey"), F.col("o_totalprice").cast(MONEY)
     kind, date, name = key % 10, F.col("o_orderdate").cast("date"), _identifier(key)
     factor = F.when(kind == 1, F.lit("1.045")).when(kind == 2, F.lit("1.010")).otherwise(F.lit("1.000")).cast("decimal(5,3)")
-    return table(spark, sf_dir, "orders").where(key % 10 != 0).select(
+    orders = table(spark, sf_dir, "orders").where(key % 10 != 0)
+    first, last = _names()
+    base = F.concat(F.initcap(first), F.lit(" "), F.initcap(last))
+    raw = F.when(key % 7 == 3, F.lit(None)).when(key % 19 == 0, "Zebra Limited").when(key % 23 == 0, base).otherwise(F.concat(base, F.lit(", Corp.")))
+    return orders.select(
         F.concat(F.lit("led-"), F.lpad(key.cast("string"), 9, "0")).alias("document_id"), F.lit("LEDGER").alias("document_type"),
         F.when(kind == 5, F.lit(None).cast("string")).when(kind == 6, F.regexp_replace(name, "-0", "-O")).otherwise(name).alias("identifier"),
         (amount * factor).cast(MONEY).alias("amount"),
         F.date_add(date, F.when(kind == 3, 3).when(kind == 4, 20).otherwise(0)).alias("date"),
+        raw.alias("entity_raw"), F.when(key % 5 == 0, "USD").alias("currency"),
     )
 
 
@@ -122,21 +136,23 @@ def payments(spark: SparkSession, sf_dir: str) -> DataFrame:
     key, amount = F.col("o_orderkey"), F.col("o_totalprice").cast(MONEY)
     factor = F.when(key % 11 == 0, F.lit("0.92")).when(key % 11 == 1, F.lit("0.99")).otherwise(F.lit("1.00")).cast("decimal(3,2)")
     days = F.when(key % 13 == 0, 130).when(key % 17 == 0, -1).otherwise(21)
-    return table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(
+    orders = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'")
+    first, last = _names()
+    return orders.select(
         F.concat(F.lit("pay-"), F.lpad(key.cast("string"), 9, "0")).alias("document_id"), F.lit("PAYMENT").alias("document_type"),
         F.when(key % 101 == 0, F.concat(F.lit("NONE-"), key.cast("string"))).otherwise(_identifier(key)).alias("identifier"),
         (amount * factor).cast(MONEY).alias("amount"), F.date_add(F.col("o_orderdate").cast("date"), days).alias("date"),
+        F.concat(last, F.lit(" "), first, F.lit(" corp")).alias("entity_raw"), F.lit(None).cast("string").alias("currency"),
     )
 
 
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Invoices, postings and payments as the facts that linking works on."""
-    none = F.lit(None).cast("string")
     number = F.substring("document_id", 5, 9).cast("long")
     rows = invoices(spark, sf_dir).unionByName(ledger(spark, sf_dir)).unionByName(payments(spark, sf_dir))
     return rows.select(
         "document_id", "document_type", F.concat("document_id", F.lit(".pdf")).alias("source_name"), F.array_compact(F.array("identifier")).alias("identifiers"), "amount",
-        none.alias("currency"), "date", none.alias("entity"), F.when(F.col("document_type") == "LEDGER", F.concat(F.lit("Account "), number % 6)).alias("category"),
+        "currency", "date", normalize.entity(F.col("entity_raw")).alias("entity"), "entity_raw", F.when(F.col("document_type") == "LEDGER", F.concat(F.lit("Account "), number % 6)).alias("category"),
         F.when(F.col("document_type") == "LEDGER", F.when(number % 10 == 7, "Expense").otherwise("Revenue")).alias("entry_type"), (number % 53 == 0).alias("low_confidence"),
     )
 
@@ -160,12 +176,22 @@ docs_payment AS (
          CAST(CAST(o_totalprice AS DECIMAL(18,2)) * CAST(CASE WHEN o_orderkey % 11 = 0 THEN 0.92 WHEN o_orderkey % 11 = 1 THEN 0.99 ELSE 1.00 END AS DECIMAL(3,2)) AS DECIMAL(18,2)) AS amount,
          CAST(o_orderdate AS DATE) + CAST(CASE WHEN o_orderkey % 13 = 0 THEN 130 WHEN o_orderkey % 17 = 0 THEN -1 ELSE 21 END AS INTEGER) AS date
   FROM orders WHERE o_orderstatus = 'F'),
+named AS (
+  SELECT d.*, substr(document_id, 5, 9)::BIGINT AS n, substr(m, 1, 8) AS first, substr(m, 9, 6) AS last
+  FROM (SELECT * FROM docs_invoice UNION ALL SELECT * FROM docs_ledger UNION ALL SELECT * FROM docs_payment) d
+  JOIN (SELECT o_orderkey, translate(md5(o_custkey::VARCHAR), '0123456789', 'ghijklmnop') AS m FROM orders) ON o_orderkey = substr(document_id, 5, 9)::BIGINT),
 facts AS (
   SELECT document_id, document_type, identifier, nullif(translate(regexp_replace(upper(regexp_replace(identifier, '\s+', '', 'g')), '[-_/.,:]', '', 'g'), 'OQIL|', '00111'), '') AS key,
-         amount, date, substr(document_id, 5, 9)::BIGINT AS n,
-         CASE WHEN document_type = 'LEDGER' THEN 'Account ' || (substr(document_id, 5, 9)::BIGINT % 6) END AS category,
-         CASE WHEN document_type = 'LEDGER' THEN CASE WHEN substr(document_id, 5, 9)::BIGINT % 10 = 7 THEN 'expense' ELSE 'revenue' END END AS kind_said
-  FROM (SELECT * FROM docs_invoice UNION ALL SELECT * FROM docs_ledger UNION ALL SELECT * FROM docs_payment))
+         amount, date, n,
+         CASE document_type WHEN 'INVOICE' THEN first || ' ' || last || ' corp' WHEN 'PAYMENT' THEN last || ' ' || first || ' corp'
+              ELSE CASE WHEN n % 7 = 3 THEN NULL WHEN n % 19 = 0 THEN 'zebra limited' WHEN n % 23 = 0 THEN first || ' ' || last ELSE first || ' ' || last || ' corp' END END AS entity,
+         CASE document_type WHEN 'INVOICE' THEN upper(first) || ' ' || upper(last) || ' Incorporated' WHEN 'PAYMENT' THEN last || ' ' || first || ' corp'
+              ELSE CASE WHEN n % 7 = 3 THEN NULL WHEN n % 19 = 0 THEN 'Zebra Limited'
+                        ELSE upper(first[1]) || first[2:] || ' ' || upper(last[1]) || last[2:] || CASE WHEN n % 23 = 0 THEN '' ELSE ', Corp.' END END END AS entity_raw,
+         CASE WHEN document_type = 'INVOICE' THEN CASE WHEN n % 37 = 0 THEN 'EUR' ELSE 'USD' END WHEN document_type = 'LEDGER' AND n % 5 = 0 THEN 'USD' END AS currency,
+         CASE WHEN document_type = 'LEDGER' THEN 'Account ' || (n % 6) END AS category,
+         CASE WHEN document_type = 'LEDGER' THEN CASE WHEN n % 10 = 7 THEN 'expense' ELSE 'revenue' END END AS kind_said
+  FROM named)
 """
 
 REVIEWS_SQL = """

@@ -42,8 +42,21 @@ def test_csv(spark, tmp_path):
 
 
 def test_chunks(spark):
-    assert retrieval.split_units(["aaaa", "bbbb", "cccc"], 9, 4) == ["aaaa\nbbbb", "bbbb\ncccc"]
-    assert retrieval.split_units(["x" * 20, "y"], 9, 4) == ["x" * 20, "y"] and retrieval.split_units([], 9, 4) == []
+    # (units, limit, overlap) and the chunks by hand
+    cases = [
+        (["aaaa", "bbbb", "cccc"], 9, 4, ["aaaa\nbbbb", "bbbb\ncccc"]),
+        (["x" * 20, "y"], 9, 4, ["x" * 20, "y"]), ([], 9, 4, []), (None, 9, 4, []), (["", "a", None, "b"], 9, 4, ["a\nb"]),
+        (["aa", "bb", "cc", "dd"], 8, 5, ["aa\nbb\ncc", "bb\ncc\ndd"]),  # two units and a break are five
+        (["aa", "bb", "cc", "dd"], 8, 4, ["aa\nbb\ncc", "cc\ndd"]),
+        (["aaaa", "bbbb", "cccc"], 9, 0, ["aaaa\nbbbb", "cccc"]),
+        (["aaaaaaa", "bbb", "ccc", "d"], 7, 2, ["aaaaaaa", "bbb", "ccc\nd"]),  # the break before bbb counts: 1 + 3 + 1 + 3 = 8
+        (["aaaaaaa", "bbb", "ccc", "d"], 8, 2, ["aaaaaaa", "bbb\nccc", "d"]),
+        (["aaa", "bbbbbbbbbbbb", "c"], 6, 3, ["aaa", "aaa\nbbbbbbbbbbbb", "c"]),  # what a chunk opens with it holds, however long
+        (["é" * 4, "日" * 4, "c"], 9, 4, ["é" * 4 + "\n" + "日" * 4, "日" * 4 + "\nc"]),
+    ]
+    for given, limit, overlap, want in cases:
+        one = spark.createDataFrame([("d", given)], "document_id string, units array<string>")
+        assert [r.chunk_text for r in retrieval.chunk_documents(one, limit, overlap).orderBy("index").collect()] == want
     rows = spark.createDataFrame([("d", ["aaaa", "bbbb", "cccc"]), ("e", None)], "document_id string, units array<string>")
     got = retrieval.chunk_documents(rows, 9, 4).orderBy("index").collect()
     assert [r.chunk_text for r in got] == ["aaaa\nbbbb", "bbbb\ncccc"] and got[0].chunk_id.startswith("d:chunk-0000-")
@@ -51,6 +64,15 @@ def test_chunks(spark):
     assert fields.select(retrieval.field_units(F.col("fields"), ("invoice", "total"))).first()[0] == ["Total: 5", "Alpha: a", "Note: z"]
 
 
+def test_chunks_of_a_long_document(spark):
+    import time
+
+    units = spark.range(1).select(F.lit("d").alias("document_id"), F.transform(F.sequence(F.lit(1), F.lit(32_000)), lambda i: F.concat(F.lit("line "), i)).alias("units"))
+    start = time.time()
+    got = retrieval.chunk_documents(units).agg(F.count("*").alias("n"), F.max(F.length("chunk_text")).alias("most")).first()
+    assert got.n > 250 and got.most <= 1200 and time.time() - start < 20
+
+
 def test_embed_asks_once_for_a_text(spark):
     texts = spark.createDataFrame([(1, "a"), (2, "a"), (3, "bb"), (4, None), (5, " ")], "i int, text string")
     got = {r.i: r.embedding for r in retrieval.embed(texts, lambda batch: [[float(len(t))] for t in batch]).collect()}
