@@ -78,15 +78,18 @@ def dedup_lines(
         met = placed.withColumn("salt", F.pmod(F.xxhash64("doc", "at"), F.lit(SALTS)).cast("int")).join(counted.select("*", salts), ["a", "b", "salt"])
     lost = met.where(~F.col("doc").eqNullSafe(F.col("last"))).groupBy("doc", "of").agg(F.collect_set("at").alias("lost"))
 
-    doc, of, gone = fresh(docs.columns + ["n_lines", "n_dropped"], "doc", "of", "lost")
+    doc, of, gone, split, stay = fresh(docs.columns + ["n_lines", "n_dropped"], "doc", "of", "lost", "lines", "stay")
     lost = lost.select(F.col("doc").alias(doc), F.col("of").alias(of), F.col("lost").alias(gone))
-    lines = F.split(text, "\n")
-    here = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone))
-    kept = F.when(F.col(gone).isNull(), text).otherwise(F.array_join(F.transform(here, lambda at: F.get(lines, at)), "\n"))
-    n_lines = F.size(lines).cast("long")
-    n_kept = F.when(F.col(gone).isNull(), n_lines).otherwise(F.size(here).cast("long"))
     joined = docs.join(lost, docs[id_col].eqNullSafe(F.col(doc)) & (F.xxhash64(text) == F.col(of)), "left")
-    rest = [kept.alias(c) if c == text_col else docs[c] for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    # Lines and the places that stay are columns, each made once a row: a document is put together in proportion to its lines.
+    named = [docs[c] for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    joined = joined.select(*named, F.col(gone), F.split(text, "\n").alias(split))
+    here = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col(gone))
+    joined = joined.withColumn(stay, F.when(F.col(gone).isNotNull(), here))
+    kept = F.when(F.col(stay).isNull(), text).otherwise(F.array_join(F.transform(stay, lambda at: F.get(F.col(split), at)), "\n"))
+    n_lines = F.size(split).cast("long")
+    n_kept = F.coalesce(F.size(stay).cast("long"), n_lines)
+    rest = [kept.alias(c) if c == text_col else F.col(c) for c in docs.columns if c not in ("n_lines", "n_dropped")]
     return joined.select(*rest, n_lines.alias("n_lines"), (n_lines - n_kept).alias("n_dropped"))
 
 

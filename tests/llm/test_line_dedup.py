@@ -5,6 +5,7 @@ import random
 import duckdb
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from tallywright.llm import line_dedup as ld
 
@@ -48,3 +49,17 @@ def test_null_ids_and_empty(spark):
     out = ld.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(((r.doc_id, r.n_dropped) for r in out), key=str) == sorted([(None, 1), (None, 1), (1, 1), (2, 1), (3, 1), (4, 0), (4, 0)], key=str)
     assert ld.dedup_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_a_document_of_many_lines(spark):
+    import time
+
+    common = "a line of over forty characters that many documents hold"
+    start = None
+    for n in (8_000, 64_000):
+        long = spark.range(1).select(F.lit(0).cast("long").alias("doc_id"), F.array_join(F.concat(F.array(F.lit(common)), F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.concat(F.lit("own line "), i))), "\n").alias("text"))
+        short = spark.range(1, 7).select(F.col("id").alias("doc_id"), F.lit(common).alias("text"))
+        start = time.time()
+        row = ld.dedup_lines(long.unionByName(short)).where("doc_id = 0").first()
+        assert (row.n_lines, row.n_dropped) == (n + 1, 1) and row.text.startswith("own line 1\n") and row.text.endswith(f"own line {n}")
+    assert time.time() - start < 30
