@@ -2,6 +2,12 @@
 
 Every stage sees all rows its predecessor kept.  The last stage adds ``n_tokens``
 and a digest of the ids; all others return the columns of ``documents``.
+
+Defined results of every stage: rows are judged each by itself, whatever other rows
+have their id, but for line dedup, where rows of one id are one document; a null id is
+carried; a null or empty text has no language and goes with the first stage, and where a
+later stage meets one it stays; an empty table gives an empty one; columns that a stage
+makes for itself give way to the caller's of the same name.
 """
 
 from __future__ import annotations
@@ -9,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywright.llm.common import spread, stored, table
+from tallywright.llm.common import fresh, spread, stored, table
 from tallywright.llm.decontaminate import clean_documents
 from tallywright.llm.language_id import UNKNOWN, identify, learned_from
 from tallywright.llm.line_dedup import dedup_lines
@@ -31,10 +37,22 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group the document of the smallest id stays."""
-    classes = join_classes(docs.select("doc_id", "text"))
-    gone = classes.where("class_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Of each group of like texts one row stays: of the smallest id, null after all others, and of its rows any one.
+
+    Rows are told apart by id and text, so a row goes for its own text and not for that
+    of another row of its id; rows alike in both are copies too, of which one stays.
+    """
+    name, of = fresh(docs.columns, "row_key", "of")
+    said = F.concat(F.coalesce(F.concat(F.lit("="), F.col("doc_id").cast("string")), F.lit("-")), F.lit("\n"), F.coalesce(F.concat(F.lit("="), "text"), F.lit("-")))
+    keyed = docs.withColumn(name, F.md5(said))
+    rows = stored(keyed.groupBy(F.col(name).alias("key")).agg(F.first("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("rows")), "rows")
+    classes = join_classes(keyed.select(F.col(name).alias("doc_id"), "text")).select(F.col("doc_id").alias("key"), "class_id").distinct()
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key"))
+    kept = rows.join(classes, "key").groupBy("class_id").agg(best.alias("best")).select(F.col("best.key").alias(of))
+    kept = stored(rows.join(kept, rows["key"] == kept[of], "left_semi"), "kept")
+    once, again = kept.where("rows = 1").select(F.col("key").alias(name)), kept.where("rows > 1").select(F.col("key").alias(name))
+    one = keyed.join(again, name, "left_semi").dropDuplicates([name])
+    return keyed.join(once, name, "left_semi").unionByName(one).select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
