@@ -135,4 +135,4 @@ def label_similarity(left: Column, right: Column, stop_words: tuple[str, ...] =
     a, b = (F.array_except(F.array_distinct(F.split(x, " ")), stop) for x in (left, right))
     overlap = F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))
     some = (left != "") & (right != "") & (F.size(a) > 0) & (F.size(b) > 0)
-    return F.when(some, F.round(F.greatest(overlap, sequence_ratio(left, right) * 0.75), 3)).otherwise(F.lit(0.0))
+    return F.when(some, F.bround(F.greatest(overlap, sequence_ratio(left, right) * 0.75), 3)).otherwise(F.lit(0.0))
