@@ -153,3 +153,22 @@ def nearby(fields: DataFrame, reach: int = 2) -> DataFrame:
     before = F.collect_list("label").over(order.rowsBetween(-reach, -1))
     after = F.collect_list("label").over(order.rowsBetween(1, reach))
     return fields.withColumn("nearby", F.concat(before, after))
+
+
+def data_sources(transactions: DataFrame, documents: DataFrame, demo_folder: str = "") -> DataFrame:
+    """(name, value): transactions by type of document, documents from the demo folder and uploaded ones, and what to say of them.
+
+    ``documents`` has document_id and source_path; a document without a path is an uploaded one.
+    """
+    kinds = transactions.select(F.explode("document_types").alias("kind")).groupBy(F.concat(F.lit("type:"), "kind").alias("name")).agg(F.count(F.lit(1)).cast("string").alias("value"))
+    held = transactions.select(F.explode("document_ids").alias("document_id")).join(documents.select("document_id", "source_path"), "document_id", "left")
+    demo = F.coalesce(F.col("source_path").contains(demo_folder), F.lit(False)) if demo_folder else F.lit(False)
+    counted = held.agg(F.coalesce(F.sum(demo.cast("long")), F.lit(0)).alias("demo"), F.coalesce(F.sum((~demo).cast("long")), F.lit(0)).alias("uploaded"))
+    note = (
+        F.when((F.col("demo") > 0) & (F.col("uploaded") == 0), "Built from the generated demo company (synthetic ledger and payments, real sample invoices).")
+        .when(F.col("demo") > 0, "Includes generated demo documents.").otherwise("Built from uploaded documents.")
+    )
+    only = ((F.col("demo") > 0) & (F.col("uploaded") == 0)).cast("string")
+    said = [("demo_documents", F.col("demo").cast("string")), ("uploaded_documents", F.col("uploaded").cast("string")), ("is_demo", only), ("note", note)]
+    rows = counted.select(F.explode(F.array(*[F.struct(F.lit(n).alias("name"), v.alias("value")) for n, v in said])).alias("r")).select("r.*")
+    return kinds.unionByName(rows)

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import csv
+import datetime as dt
 import io
+import re
 import xml.etree.ElementTree as ET
 import zipfile
 from collections.abc import Iterator
+from itertools import zip_longest
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,18 +19,24 @@ SUFFIXES = (".pdf", ".png", ".jpg", ".jpeg", ".tif", ".tiff", ".csv", ".xlsx", "
 LOW_CONFIDENCE, KEY_FIELD, LARGEST = 0.85, 0.60, 50 << 20
 _SHEET = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+# Built-in number formats that show a day.
+DATE_FORMATS = (14, 15, 16, 17, 22)
 FIELDS = "array<struct<field_id:string,label:string,value:string,confidence:double>>"
 
 
-def files(spark: SparkSession, path: str) -> DataFrame:
-    """(path, name, suffix, length, content, error): supported files below a path; what is too large has an error and no content."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+def supported(found: DataFrame) -> DataFrame:
+    """(path, name, suffix, length, content, error) of binary files of a supported kind; what is too large has an error and no content."""
     name = F.element_at(F.split("path", "/"), -1)
     rows = found.withColumn("name", name).withColumn("suffix", F.lower(F.regexp_extract("name", r"\.[^.]+$", 0))).where(F.col("suffix").isin(*SUFFIXES))
     large = F.col("length") > LARGEST
     return rows.select("path", "name", "suffix", "length", F.when(~large, F.col("content")).alias("content"), F.when(large, "larger than 50 MB").alias("error"))
 
 
+def files(spark: SparkSession, path: str) -> DataFrame:
+    """Supported files below a path."""
+    return supported(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path))
+
+
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
     """A sheet as strings: trimmed headers and cells, empty ones null, columns without a header left out."""
     raw = spark.read.csv(path, header=True, inferSchema=False, multiLine=True, encoding="UTF-8", escape='"')
@@ -61,13 +71,38 @@ def build(documents: DataFrame) -> DataFrame:
     return scored.withColumn("low_confidence", F.col("extraction_confidence") < LOW_CONFIDENCE).withColumn("low_confidence_fields", weak)
 
 
+def _date_styles(book: zipfile.ZipFile) -> list[bool]:
+    """For each cell style whether it shows a day."""
+    if "xl/styles.xml" not in book.namelist():
+        return []
+    root = ET.fromstring(book.read("xl/styles.xml"))
+    own = {int(f.get("numFmtId", 0)): f.get("formatCode", "") for f in root.iter(f"{_SHEET}numFmt")}
+    bare = {i: re.sub(r'"[^"]*"|\\[[^\\]]*\\]|\\\\.', "", code).lower() for i, code in own.items()}
+    shown = {i for i, code in bare.items() if "y" in code or "d" in code} | set(DATE_FORMATS)
+    styles = root.find(f"{_SHEET}cellXfs")
+    return [int(x.get("numFmtId", 0)) in shown for x in styles] if styles is not None else []
+
+
+def _day(serial: str, from_1904: bool) -> str:
+    """A day's number as ISO text, with the time if there is one; serial numbers count a 29th of February 1900 that never was."""
+    number = float(serial)
+    start = dt.datetime(1904, 1, 1) if from_1904 else dt.datetime(1899, 12, 30 if number >= 60 else 31)
+    moment = start + dt.timedelta(days=number)
+    rounded = moment + dt.timedelta(microseconds=500_000)
+    moment = rounded.replace(microsecond=0)
+    return moment.date().isoformat() if moment.time() == dt.time() else moment.isoformat(sep=" ")
+
+
 def xlsx_rows(content: bytes) -> list[dict[str, str | None]]:
-    """The first sheet's rows by header; rows without any value are skipped."""
+    """The first sheet's rows by header; rows without any value are skipped, and days are given as such."""
     with zipfile.ZipFile(io.BytesIO(content)) as book:
         names = book.namelist()
         shared = []
         if "xl/sharedStrings.xml" in names:
             shared = ["".join(t.text or "" for t in item.iter(f"{_SHEET}t")) for item in ET.fromstring(book.read("xl/sharedStrings.xml"))]
+        days = _date_styles(book)
+        settings = ET.fromstring(book.read("xl/workbook.xml")).find(f"{_SHEET}workbookPr") if "xl/workbook.xml" in names else None
+        from_1904 = settings is not None and settings.get("date1904") in ("1", "true")
         sheet = min(n for n in names if n.startswith("xl/worksheets/sheet"))
         table = []
         for row in ET.fromstring(book.read(sheet)).iter(f"{_SHEET}row"):
@@ -76,15 +111,26 @@ def xlsx_rows(content: bytes) -> list[dict[str, str | None]]:
                 column = 0
                 for letter in filter(str.isalpha, cell.get("r", "A")):
                     column = column * 26 + ord(letter) - 64
-                value = cell.find(f"{_SHEET}v")
-                text = "".join(t.text or "" for t in cell.iter(f"{_SHEET}t")) if cell.get("t") == "inlineStr" else value.text if value is not None else None
-                cells[column] = shared[int(text)] if cell.get("t") == "s" and text is not None else text
+                value, kind, style = cell.find(f"{_SHEET}v"), cell.get("t", "n"), int(cell.get("s", 0))
+                text = "".join(t.text or "" for t in cell.iter(f"{_SHEET}t")) if kind == "inlineStr" else value.text if value is not None else None
+                if kind == "s" and text is not None:
+                    text = shared[int(text)]
+                elif kind == "n" and text is not None and style < len(days) and days[style]:
+                    text = _day(text, from_1904)
+                cells[column] = text
             table.append(cells)
     heads = {c: (v or "").strip() for c, v in table[0].items()} if table else {}
     clean = lambda v: (v.strip() or None) if v is not None else None
     return [{h: clean(cells.get(c)) for c, h in heads.items() if h} for cells in table[1:] if any(v is not None for v in cells.values())]
 
 
+def csv_rows(content: bytes) -> list[dict[str, str | None]]:
+    """A file's rows by header, trimmed, blank cells null; columns without a header are left out, and rows without any cell."""
+    rows = list(csv.reader(io.StringIO(content.decode("utf-8-sig"), newline="")))
+    heads = [h.strip() for h in rows[0]] if rows else []
+    return [{h: (c.strip() or None) for h, c in zip_longest(heads, row[: len(heads)], fillvalue="") if h} for row in rows[1:] if row]
+
+
 def docx_text(content: bytes) -> str:
     """Paragraphs, then table rows with cells two blanks apart."""
     with zipfile.ZipFile(io.BytesIO(content)) as doc:
@@ -95,6 +141,9 @@ def docx_text(content: bytes) -> str:
     return "\n".join(lines)
 
 
+SHEETS = {".csv": csv_rows, ".xlsx": xlsx_rows}
+
+
 def ingest(found: DataFrame) -> DataFrame:
     """(document_id, source_name, fields, text, error) of sheets and texts: a document a row or file, and a row for each file that fails."""
 
@@ -105,8 +154,8 @@ def ingest(found: DataFrame) -> DataFrame:
                 try:
                     if error:
                         raise ValueError(error)
-                    if suffix == ".xlsx":
-                        for n, row in enumerate(xlsx_rows(bytes(content)), 1):
+                    if suffix in SHEETS:
+                        for n, row in enumerate(SHEETS[suffix](bytes(content)), 1):
                             fields = [(f"field-{i}", h, v, 1.0) for i, (h, v) in enumerate(row.items(), 1)]
                             out.append((f"{stem}-row-{n:04d}", name, fields, None, None))
                     elif suffix == ".docx":

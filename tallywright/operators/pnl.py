@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallywright.operators import gate
+
 
 def _sum(kind: str) -> Column:
     return F.round(F.sum(F.when(F.col("kind") == kind, F.col("amount"))), 2)
@@ -118,3 +122,36 @@ def payroll_profile(txn: DataFrame) -> DataFrame:
     n_months = F.greatest(F.lit(1), F.least(F.lit(3), F.months_between(F.max("hi"), F.max("lo")).cast("int") + 1))
     lo = by_month.agg(F.min("m").alias("lo"))
     return recent.crossJoin(F.broadcast(lo)).agg(F.when(total != 0, F.round(payroll / total, 4)).otherwise(0.0).alias("share"), F.round(payroll / n_months, 2).alias("monthly"))  # one row
+
+
+def totals(txn: DataFrame) -> DataFrame:
+    """One row: revenue, expense, profit and margin, the months' rounded sums added."""
+    sums = monthly(txn).agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("decimal(38,2)").alias(n) for c, n in (("revenue", "revenue"), ("expenses", "expense"))])
+    profit = F.col("revenue") - F.col("expense")
+    margin = F.when(F.col("revenue") != 0, F.round(profit.cast("double") / F.col("revenue").cast("double"), 4))
+    return sums.withColumns({"profit": profit.cast("decimal(38,2)"), "margin": margin})
+
+
+def overview(every: DataFrame, budgets: dict[str, float] | None = None) -> DataFrame:
+    """(section, label, measure, value): totals, months, quarters, breakdowns, budgets and what all is built from.
+
+    ``every`` has all transactions with ``verified`` and ``verification_status``; numbers are of verified ones.
+    """
+    good = gate.verified(every)
+    months = monthly(good)
+
+    def long(rows: DataFrame, section: str, label: Column, measures: list[str]) -> DataFrame:
+        each = F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).cast("double").alias("value")) for m in measures]))
+        return rows.select(F.lit(section).alias("section"), label.cast("string").alias("label"), each.alias("m")).select("section", "label", "m.measure", "m.value")
+
+    none, money = F.lit(None), ["revenue", "expenses", "profit"]
+    parts = [
+        long(totals(good), "totals", none, ["revenue", "expense", "profit", "margin"]), long(months, "monthly", F.col("month"), money),
+        long(quarterly(months), "quarterly", F.col("quarter"), [*money, "months_in"]),
+        *(long(breakdown(good, key, kind, top), section, F.col("label"), ["amount", "n"]) for section, key, kind, top in (
+            ("revenue_by_category", "category", "revenue", 8), ("expense_by_category", "category", "expense", 8), ("top_counterparties", "counterparty", "expense", 6), ("expense_by_counterparty", "counterparty", "expense", 12),
+        )),
+        long(budget_consumption(good, budgets or {}), "budget", F.col("category"), ["spent", "budget", "consumption"]),
+        long(gate.traceability(every), "traceability", none, ["verified_records", "total_records", "source_documents"]),
+    ]
+    return reduce(DataFrame.unionByName, parts)

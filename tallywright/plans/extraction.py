@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallywright.operators import extraction, mapping, reconcile
+from tallywright.operators.components import cut
 from tallywright.plans.base import query
 from tallywright.sources import tables as t
 
@@ -63,7 +64,8 @@ _ROLES = """roles(label, role, semantic_type, method, confidence) AS (VALUES
 
 def _mapped(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = _texts(spark, sf_dir)
-    fields = extraction.extract(texts).select("document_id", "pos", F.col("label").alias("raw_label"), F.col("value").alias("raw"), "confidence")
+    # Read three times: for documents' types, for different labels and for the fields themselves.
+    fields = cut(extraction.extract(texts).select("document_id", "pos", F.col("label").alias("raw_label"), F.col("value").alias("raw"), "confidence"))
     return mapping.map_fields(fields.join(mapping.typed_documents(fields, texts), "document_id"))
 
 

@@ -137,14 +137,8 @@ round(100.0 * count(*) FILTER (WHERE quality = 1 AND doc_id % 100 < t) / count(*
 FROM labels, (VALUES (50), (60), (70), (85)) AS x(t) GROUP BY t""")
 def threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each threshold on a score would catch of what is wrong, and of what is right."""
-    steps = F.explode(F.array(*[F.lit(x) for x in (50, 60, 70, 85)]))
-    rows = t.table(spark, sf_dir, "labels").select("quality", (F.col("doc_id") % 100).alias("score"), steps.alias("threshold"))
-
-    def share(wrong: int):
-        hit = F.sum(F.when((F.col("quality") == wrong) & (F.col("score") < F.col("threshold")), 1).otherwise(0))
-        return F.round(100.0 * hit / F.sum(F.when(F.col("quality") == wrong, 1)), 4)
-
-    return rows.groupBy("threshold").agg(share(0).alias("caught"), share(1).alias("false_alarms"))
+    samples = t.table(spark, sf_dir, "labels").select((F.col("quality") == 1).alias("correct"), (F.col("doc_id") % 100).alias("score"))
+    return evaluate.threshold_sweep(samples, [50, 60, 70, 85])
 
 
 @query("""SELECT conv_id, turn, role, text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role, text) AS n FROM conversations) WHERE n <= 24""")

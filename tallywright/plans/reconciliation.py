@@ -78,7 +78,7 @@ def _money(x: str) -> str:
     return f"regexp_replace(printf('%.2f', {x}::DOUBLE), '(\\.\\d)0$', '\\1')"
 
 
-_CASES = _LINKS + f""",
+CASES_SQL = _LINKS + f""",
 said AS (
   SELECT *, nullif(trim(concat_ws(' ', CASE ast WHEN 'AUTO_RESOLVED' THEN 'Amounts differ by ' || {_money('pct')} || '% — within tolerance, auto-resolved.'
       WHEN 'ESCALATED' THEN 'Amounts differ by ' || {_money('pct')} || '% (' || {_money('la')} || ' vs ' || {_money('ra')} || '), beyond tolerance.' END,
@@ -145,7 +145,7 @@ def _cached(app: str, sf_dir: str, spark: SparkSession) -> tuple[DataFrame, reco
     return facts, made, reviews, cut(gate.with_status(made.transactions, made.cases, reviews))
 
 
-def _run(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, reconcile.Run, DataFrame, DataFrame]:
+def run_of(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, reconcile.Run, DataFrame, DataFrame]:
     return _cached(spark.sparkContext.applicationId, sf_dir, spark)
 
 
@@ -220,7 +220,7 @@ UNION ALL SELECT left_id, right_id, 'date', dst, days::DOUBLE, NULL, dk FROM kin
 UNION ALL SELECT left_id, right_id, 'entity', est, NULL, NULL, ek FROM kinds WHERE est IS NOT NULL""")
 def pair_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each compared field of each pair."""
-    facts, made, _, _ = _run(spark, sf_dir)
+    facts, made, _, _ = run_of(spark, sf_dir)
     pairs = made.links.where("status = 'LINKED'").select("left_id", "right_id", "relationship")
     rows = reconcile.compare_pairs(pairs, facts).select("left_id", "right_id", F.explode("results").alias("r"))
     return rows.select("left_id", "right_id", "r.field", "r.status", "r.difference", "r.percent", "r.discrepancy_type")
@@ -228,34 +228,34 @@ def pair_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_LINKS + "SELECT left_id, right_id, worst AS status FROM kinds")
 def worst_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    facts, made, _, _ = _run(spark, sf_dir)
+    facts, made, _, _ = run_of(spark, sf_dir)
     pairs = made.links.where("status = 'LINKED'").select("left_id", "right_id", "relationship")
     return reconcile.compare_pairs(pairs, facts).select("left_id", "right_id", F.col("worst").alias("status"))
 
 
-@query(_CASES + "SELECT duplicate_id, case_id FROM folded")
+@query(CASES_SQL + "SELECT duplicate_id, case_id FROM folded")
 def fold_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    facts, made, _, _ = _run(spark, sf_dir)
+    facts, made, _, _ = run_of(spark, sf_dir)
     pairs = made.links.where("status = 'LINKED'").select("left_id", "right_id", "relationship")
     return reconcile.folded(reconcile.pair_cases(reconcile.compare_pairs(pairs, facts))).select("duplicate_id", "case_id")
 
 
-@query(_CASES + "SELECT id, root FROM roots")
+@query(CASES_SQL + "SELECT id, root FROM roots")
 def transaction_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    facts, made, _, _ = _run(spark, sf_dir)
+    facts, made, _, _ = run_of(spark, sf_dir)
     return components(facts.select(F.col("document_id").alias("id")), made.links.where("status = 'LINKED'"))
 
 
-@query(_CASES + "SELECT case_id, document_id FROM missing")
+@query(CASES_SQL + "SELECT case_id, document_id FROM missing")
 def missing_counterparts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    facts, made, _, _ = _run(spark, sf_dir)
+    facts, made, _, _ = run_of(spark, sf_dir)
     return reconcile.missing_cases(facts, made.links.where("status = 'LINKED'")).select("case_id", F.col("document_ids")[0].alias("document_id"))
 
 
-@query(_CASES + "SELECT DISTINCT id AS document_id FROM copies WHERE id NOT IN (SELECT id FROM booked) AND id LIKE 'inv-%'")
+@query(CASES_SQL + "SELECT DISTINCT id AS document_id FROM copies WHERE id NOT IN (SELECT id FROM booked) AND id LIKE 'inv-%'")
 def copies_of_booked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Invoices that no posting is linked to although one is to their copy."""
-    facts, made, _, _ = _run(spark, sf_dir)
+    facts, made, _, _ = run_of(spark, sf_dir)
     pairs = made.links.where("status = 'LINKED'")
     booked = reconcile.booked_documents(facts, pairs)
     twice = pairs.where("relationship = 'DUPLICATE'")
@@ -264,80 +264,80 @@ def copies_of_booked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unbooked.where("document_id LIKE 'inv-%'").select("document_id").distinct()
 
 
-@query(_CASES + "SELECT case_id, case_type, status, array_to_string(docs, ',') AS document_ids, array_to_string(types, ',') AS discrepancy_types, explanation, 'txn:' || root AS transaction_id FROM cases JOIN roots ON id = doc")
+@query(CASES_SQL + "SELECT case_id, case_type, status, array_to_string(docs, ',') AS document_ids, array_to_string(types, ',') AS discrepancy_types, explanation, 'txn:' || root AS transaction_id FROM cases JOIN roots ON id = doc")
 def reconciliation_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _run(spark, sf_dir)[1].cases.select("case_id", "case_type", "status", *_joined("document_ids", "discrepancy_types"), "explanation", "transaction_id")
+    return run_of(spark, sf_dir)[1].cases.select("case_id", "case_type", "status", *_joined("document_ids", "discrepancy_types"), "explanation", "transaction_id")
 
 
-@query(_CASES + """SELECT transaction_id, array_to_string(document_ids, ',') AS document_ids, array_to_string(document_types, ',') AS document_types, primary_document_id, kind, category, counterparty, currency, date, amount::DOUBLE AS amount,
+@query(CASES_SQL + """SELECT transaction_id, array_to_string(document_ids, ',') AS document_ids, array_to_string(document_types, ',') AS document_types, primary_document_id, kind, category, counterparty, currency, date, amount::DOUBLE AS amount,
 array_to_string(case_ids, ',') AS case_ids, source_count FROM transactions""")
 def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = _run(spark, sf_dir)[1].transactions
+    got = run_of(spark, sf_dir)[1].transactions
     return got.select("transaction_id", *_joined("document_ids", "document_types"), "primary_document_id", "kind", "category", "counterparty", "currency", "date", *doubles("amount"), *_joined("case_ids"), "source_count")
 
 
-@query(_CASES + """SELECT 'documents' AS name, count(*) AS value FROM facts UNION ALL SELECT 'links', count(*) FROM pairs UNION ALL SELECT 'transactions', count(*) FROM transactions UNION ALL SELECT 'cases', count(*) FROM cases
+@query(CASES_SQL + """SELECT 'documents' AS name, count(*) AS value FROM facts UNION ALL SELECT 'links', count(*) FROM pairs UNION ALL SELECT 'transactions', count(*) FROM transactions UNION ALL SELECT 'cases', count(*) FROM cases
 UNION ALL SELECT 'status:' || status, count(*) FROM cases GROUP BY 1 UNION ALL SELECT 'type:' || document_type, count(*) FROM facts GROUP BY 1""")
 def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    facts, made, _, _ = _run(spark, sf_dir)
+    facts, made, _, _ = run_of(spark, sf_dir)
     return reconcile.summary(facts, made)
 
 
-@query(_CASES + "SELECT transaction_id, amount, category, date, n_corrections::INTEGER AS n_corrections FROM gated WHERE n_corrections > 0")
+@query(CASES_SQL + "SELECT transaction_id, amount, category, date, n_corrections::INTEGER AS n_corrections FROM gated WHERE n_corrections > 0")
 def applied_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, made, reviews, _ = _run(spark, sf_dir)
+    _, made, reviews, _ = run_of(spark, sf_dir)
     got = gate.apply_corrections(made.transactions, reviews).where("n_corrections > 0")
     return got.select("transaction_id", *doubles("amount"), "category", "date", F.col("n_corrections").cast("int").alias("n_corrections"))
 
 
-@query(_CASES + "SELECT transaction_id, verification_status FROM gated")
+@query(CASES_SQL + "SELECT transaction_id, verification_status FROM gated")
 def gate_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _run(spark, sf_dir)[3].select("transaction_id", "verification_status")
+    return run_of(spark, sf_dir)[3].select("transaction_id", "verification_status")
 
 
-@query(_CASES + "SELECT transaction_id, kind, category, date, amount, verification_status FROM gated WHERE verification_status IN ('RECONCILED', 'SINGLE_SOURCE', 'ACCEPTED', 'CORRECTED') AND amount IS NOT NULL AND date IS NOT NULL")
+@query(CASES_SQL + "SELECT transaction_id, kind, category, date, amount, verification_status FROM gated WHERE verification_status IN ('RECONCILED', 'SINGLE_SOURCE', 'ACCEPTED', 'CORRECTED') AND amount IS NOT NULL AND date IS NOT NULL")
 def verified_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gate.verified(_run(spark, sf_dir)[3]).select("transaction_id", "kind", "category", "date", *doubles("amount"), "verification_status")
+    return gate.verified(run_of(spark, sf_dir)[3]).select("transaction_id", "kind", "category", "date", *doubles("amount"), "verification_status")
 
 
-@query(_CASES + "SELECT case_id, now AS status, status AS computed_status FROM seen WHERE now IN ('ESCALATED', 'MISSING', 'AMBIGUOUS') ORDER BY CASE now WHEN 'ESCALATED' THEN 0 WHEN 'MISSING' THEN 1 ELSE 2 END, case_id")
+@query(CASES_SQL + "SELECT case_id, now AS status, status AS computed_status FROM seen WHERE now IN ('ESCALATED', 'MISSING', 'AMBIGUOUS') ORDER BY CASE now WHEN 'ESCALATED' THEN 0 WHEN 'MISSING' THEN 1 ELSE 2 END, case_id")
 def case_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, made, reviews, _ = _run(spark, sf_dir)
+    _, made, reviews, _ = run_of(spark, sf_dir)
     return gate.case_queue(gate.reviewed_cases(made.cases, reviews), "open").select("case_id", "status", "computed_status")
 
 
-@query(_CASES + "SELECT case_id, now AS status FROM seen WHERE now IN ('ACCEPTED', 'REJECTED', 'CORRECTED')")
+@query(CASES_SQL + "SELECT case_id, now AS status FROM seen WHERE now IN ('ACCEPTED', 'REJECTED', 'CORRECTED')")
 def reviewed_case_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, made, reviews, _ = _run(spark, sf_dir)
+    _, made, reviews, _ = run_of(spark, sf_dir)
     return gate.case_queue(gate.reviewed_cases(made.cases, reviews), "reviewed").select("case_id", "status")
 
 
-@query(_CASES + "SELECT unnest(types) AS discrepancy_type, count(*) AS n FROM seen WHERE now IN ('ESCALATED', 'MISSING', 'AMBIGUOUS') GROUP BY 1")
+@query(CASES_SQL + "SELECT unnest(types) AS discrepancy_type, count(*) AS n FROM seen WHERE now IN ('ESCALATED', 'MISSING', 'AMBIGUOUS') GROUP BY 1")
 def review_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, made, reviews, _ = _run(spark, sf_dir)
+    _, made, reviews, _ = run_of(spark, sf_dir)
     return gate.review_queue(gate.reviewed_cases(made.cases, reviews))
 
 
-@query(_CASES + """, e AS (SELECT unnest(docs) AS d, (now IN ('ESCALATED', 'MISSING', 'AMBIGUOUS', 'ACCEPTED', 'REJECTED', 'CORRECTED'))::INT AS h FROM seen
+@query(CASES_SQL + """, e AS (SELECT unnest(docs) AS d, (now IN ('ESCALATED', 'MISSING', 'AMBIGUOUS', 'ACCEPTED', 'REJECTED', 'CORRECTED'))::INT AS h FROM seen
   UNION ALL SELECT unnest(document_ids), 0 FROM transactions WHERE list_has_any(document_types, ['INVOICE', 'PAYMENT', 'PURCHASE_ORDER']) OR len(document_ids) > 1),
 p AS (SELECT d, max(h) AS h FROM e GROUP BY d)
 SELECT count(*) AS needing, sum(h)::BIGINT AS human, (count(*) - sum(h))::BIGINT AS cleared, round(1 - sum(h)::DOUBLE / count(*), 4) AS reduction, round(1 - sum(h)::DOUBLE / count(*), 4) >= 0.6 AS meets_target FROM p""")
 def review_efficiency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, made, reviews, _ = _run(spark, sf_dir)
+    _, made, reviews, _ = run_of(spark, sf_dir)
     return gate.review_efficiency(gate.reviewed_cases(made.cases, reviews), made.transactions)
 
 
-@query(_CASES + "SELECT f.document_id, f.document_type, g.transaction_id, g.kind, g.verification_status, g.amount FROM facts f LEFT JOIN (SELECT unnest(document_ids) AS document_id, * EXCLUDE (document_ids) FROM gated) g USING (document_id)")
+@query(CASES_SQL + "SELECT f.document_id, f.document_type, g.transaction_id, g.kind, g.verification_status, g.amount FROM facts f LEFT JOIN (SELECT unnest(document_ids) AS document_id, * EXCLUDE (document_ids) FROM gated) g USING (document_id)")
 def documents_with_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    facts, _, _, gated = _run(spark, sf_dir)
+    facts, _, _, gated = run_of(spark, sf_dir)
     return gate.documents_with_status(facts.select("document_id", "document_type"), gated).select("document_id", "document_type", "transaction_id", "kind", "verification_status", *doubles("amount"))
 
 
-@query(_CASES + """SELECT s.case_id, s.now AS status, (SELECT count(*) FROM reviews r WHERE r.case_id = s.case_id) AS n_reviews, (SELECT string_agg(f.document_id || ':' || f.document_type, ',' ORDER BY f.document_id) FROM facts f WHERE list_contains(s.docs, f.document_id)) AS documents
+@query(CASES_SQL + """SELECT s.case_id, s.now AS status, (SELECT count(*) FROM reviews r WHERE r.case_id = s.case_id) AS n_reviews, (SELECT string_agg(f.document_id || ':' || f.document_type, ',' ORDER BY f.document_id) FROM facts f WHERE list_contains(s.docs, f.document_id)) AS documents
 FROM seen s WHERE s.case_id IN (SELECT case_id FROM reviews)""")
 def case_details(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reviewed cases with their documents and how often they were reviewed."""
-    facts, made, reviews, _ = _run(spark, sf_dir)
+    facts, made, reviews, _ = run_of(spark, sf_dir)
     counted = reviews.groupBy("case_id").agg(F.count(F.lit(1)).alias("n_reviews"))
     cases = gate.reviewed_cases(made.cases, reviews).join(counted, "case_id")
     docs = cases.select("case_id", F.explode("document_ids").alias("document_id")).join(facts.select("document_id", "document_type"), "document_id")
@@ -345,12 +345,12 @@ def case_details(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cases.join(listed, "case_id").select("case_id", "status", "n_reviews", "documents")
 
 
-@query(_CASES + """SELECT (SELECT count(*) FROM facts) AS documents, (SELECT count(*) FROM transactions) AS transactions, count(*) FILTER (WHERE v) AS verified, round(count(*) FILTER (WHERE v)::DOUBLE / count(*), 4) AS verified_rate,
+@query(CASES_SQL + """SELECT (SELECT count(*) FROM facts) AS documents, (SELECT count(*) FROM transactions) AS transactions, count(*) FILTER (WHERE v) AS verified, round(count(*) FILTER (WHERE v)::DOUBLE / count(*), 4) AS verified_rate,
 round(count(*) FILTER (WHERE verification_status IN ('RECONCILED', 'SINGLE_SOURCE'))::DOUBLE / count(*), 4) AS auto_verified_rate, (SELECT count(*) FROM seen WHERE now IN ('ESCALATED', 'MISSING', 'AMBIGUOUS')) AS open_cases,
 (SELECT count(*) FROM seen WHERE now IN ('ACCEPTED', 'REJECTED', 'CORRECTED')) AS reviewed_cases, (SELECT count(*) FROM cases) AS total_cases, (SELECT count(*) FROM facts WHERE n % 53 = 0) AS low_confidence
 FROM (SELECT *, verification_status IN ('RECONCILED', 'SINGLE_SOURCE', 'ACCEPTED', 'CORRECTED') AS v FROM gated)""")
 def workspace_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    facts, made, reviews, gated = _run(spark, sf_dir)
+    facts, made, reviews, gated = run_of(spark, sf_dir)
     total, n = F.count(F.lit(1)), lambda flag: F.coalesce(F.sum(flag.cast("long")), F.lit(0))
     auto = n(F.col("verification_status").isin("RECONCILED", "SINGLE_SOURCE"))
     rate = lambda x: F.when(total > 0, F.round(x / total, 4))
@@ -359,15 +359,15 @@ def workspace_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facts.agg(total.alias("documents"), n(F.col("low_confidence")).alias("low_confidence")).crossJoin(records).crossJoin(seen)  # one row each
 
 
-@query(_CASES + "SELECT category, count(*) AS n FROM gated WHERE category <> '' GROUP BY category ORDER BY n DESC, category LIMIT 12")
+@query(CASES_SQL + "SELECT category, count(*) AS n FROM gated WHERE category <> '' GROUP BY category ORDER BY n DESC, category LIMIT 12")
 def top_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _run(spark, sf_dir)[3].where("category <> ''").groupBy("category").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "category").limit(12)
+    return run_of(spark, sf_dir)[3].where("category <> ''").groupBy("category").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "category").limit(12)
 
 
-@query(_CASES + "SELECT unnest(document_types) AS document_type, count(*) AS n, sum(amount) > 0 AS some FROM gated WHERE verification_status = 'RECONCILED' GROUP BY 1")
+@query(CASES_SQL + "SELECT unnest(document_types) AS document_type, count(*) AS n, sum(amount) > 0 AS some FROM gated WHERE verification_status = 'RECONCILED' GROUP BY 1")
 def data_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which kinds of documents reconciled transactions came from."""
-    own = _run(spark, sf_dir)[3].where("verification_status = 'RECONCILED'").select(F.explode("document_types").alias("document_type"), "amount")
+    own = run_of(spark, sf_dir)[3].where("verification_status = 'RECONCILED'").select(F.explode("document_types").alias("document_type"), "amount")
     return own.groupBy("document_type").agg(F.count(F.lit(1)).alias("n"), (F.sum("amount") > 0).alias("some"))
 
 

@@ -77,3 +77,46 @@ def test_embed_asks_once_for_a_text(spark):
     texts = spark.createDataFrame([(1, "a"), (2, "a"), (3, "bb"), (4, None), (5, " ")], "i int, text string")
     got = {r.i: r.embedding for r in retrieval.embed(texts, lambda batch: [[float(len(t))] for t in batch]).collect()}
     assert got == {1: [1.0], 2: [1.0], 3: [2.0], 4: None, 5: None}
+
+
+def test_csv_and_days_in_sheets(spark, tmp_path):
+    (tmp_path / "a.csv").write_bytes("﻿Name , Amount,\n x ,  ,z\n\n\"a\nb\",7\n".encode())
+    (tmp_path / "bad.csv").write_bytes(b"\xff\xfe\x00")
+    styles = '<styleSheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><numFmts><numFmt numFmtId="164" formatCode="dd\\-mmm\\-yyyy"/><numFmt numFmtId="165" formatCode="0.00&quot;days&quot;"/></numFmts><cellXfs><xf numFmtId="0"/><xf numFmtId="14"/><xf numFmtId="164"/><xf numFmtId="165"/><xf numFmtId="22"/></cellXfs></styleSheet>'
+    cells = '<row r="1">' + "".join(f'<c r="{c}1" t="inlineStr"><is><t>{c}</t></is></c>' for c in "ABCDE") + "</row>"
+    cells += '<row r="2"><c r="A2"><v>43831</v></c><c r="B2" s="1"><v>43831</v></c><c r="C2" s="2"><v>59</v></c><c r="D2" s="3"><v>2.5</v></c><c r="E2" s="4"><v>43831.75</v></c></row>'
+    with zipfile.ZipFile(tmp_path / "days.xlsx", "w") as book:
+        book.writestr("xl/worksheets/sheet1.xml", SHEET.format(cells))
+        book.writestr("xl/styles.xml", styles)
+    rows = {r.document_id or r.source_name: r for r in ingest.ingest(ingest.files(spark, str(tmp_path))).collect()}
+    assert [(f.label, f.value) for f in rows["a-row-0001"].fields] == [("Name", "x"), ("Amount", None)] and [f.value for f in rows["a-row-0002"].fields] == ["a\nb", "7"]
+    assert rows["bad.csv"].error.startswith("UnicodeDecodeError")
+    assert [f.value for f in rows["days-row-0001"].fields] == ["43831", "2020-01-01", "1900-02-28", "2.5", "2020-01-01 18:00:00"]
+
+
+def test_landing_folder(spark, tmp_path):
+    from tallywright.operators.versions import Store
+    from tallywright.streaming import landing
+
+    folder = tmp_path / "in"
+    folder.mkdir()
+    tables, progress = Store(spark, f"file://{tmp_path}/tables"), f"{tmp_path}/progress"
+
+    def run():
+        query = landing.land(spark, str(folder), tables, "documents", progress, files_a_batch=1)
+        query.awaitTermination(60)
+        assert query.exception() is None
+        return {r.document_id: (r.fields[0].value if r.fields else None, r.error, r.batch) for r in tables.table("documents").collect()}
+
+    (folder / "a.csv").write_text("Total\n1\n2\n")
+    (folder / "b.xlsx").write_bytes(b"no zip")
+    first = run()
+    assert {k: v[0] for k, v in first.items()} == {"a-row-0001": "1", "a-row-0002": "2", "error:b.xlsx": None} and first["error:b.xlsx"][1].startswith("BadZipFile")
+    before = tables.versions("documents")
+    assert run() == first and tables.versions("documents") == before  # nothing new
+    (folder / "c").mkdir()
+    (folder / "c" / "a.csv").write_text("Total\n9\n")
+    later = run()
+    assert later["a-row-0001"][0] == "9" and later["a-row-0002"] == first["a-row-0002"] and later["a-row-0001"][2] > first["a-row-0001"][2]
+    again = tables.table("documents").drop("batch")
+    assert landing.merge_batch(tables, "documents", again, later["a-row-0001"][2]) is False  # a batch that is run once more
