@@ -49,6 +49,7 @@ MARK = "▁"
 LITERAL = "\ud800"  # stands for a mark in the text itself; no valid text has it
 GIANT, CHUNK, UNKNOWN = 32_768, 8_192, -100_000
 GROUP = 256  # parts whose matrices are combined at once; as many groups again hold any text that fits a row
+WIDE = 64  # chunks that are cut from a text together
 KEPT = 400_000  # stretches whose ids a task remembers, about 250 bytes each
 NEVER = -(1 << 60)
 #: A run of marks and what follows it, or what comes before the first.
@@ -380,10 +381,15 @@ def _encoded(docs: DataFrame, text_col: str, model: str, giant: int, chunk: int,
 
     whole = docs.where(~long_text).mapInArrow(whole_texts, schema)
 
-    # A chunk and what its last piece may hang over by.
-    cut_at = F.sequence(F.lit(0), F.ceil(F.length(text_col) / chunk).cast("int") - 1)
-    many = docs.where(long_text).withColumn(key, F.sha2(text_col, 256)).withColumn("part", F.explode(cut_at))
-    many = many.withColumn(window, F.col(text_col).substr(F.col("part") * chunk + 1, F.lit(chunk + width - 1)))
+    # A chunk and what its last piece may hang over by.  Finding a place in a text means going there from its
+    # start, so texts are cut into wide pieces first and those into chunks.
+    wide, length = WIDE * chunk, F.length(text_col)
+    piece, below, held = fresh(docs.columns + ["part", key, of, window, enter, leave, *(m.name for m in made)], "piece", "below", "held")
+    many = docs.where(long_text).withColumn(key, F.sha2(text_col, 256)).withColumn(piece, F.explode(F.sequence(F.lit(0), F.ceil(length / wide).cast("int") - 1)))
+    many = many.withColumn(held, F.col(text_col).substr(F.col(piece) * wide + 1, F.lit(wide + width - 1)))
+    chunks = F.ceil(F.least(F.lit(wide), length - F.col(piece) * wide) / chunk).cast("int")
+    many = many.withColumn(below, F.explode(F.sequence(F.lit(0), chunks - 1))).withColumn("part", F.col(piece) * WIDE + F.col(below))
+    many = many.withColumn(window, F.col(held).substr(F.col(below) * chunk + 1, F.lit(chunk + width - 1))).drop(piece, below, held)
 
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for own in _slices(batches, 64):
