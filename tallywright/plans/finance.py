@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallywright.operators import evaluate, forecast, gate, pnl
+from tallywright.operators import evaluate, forecast, gate, pnl, scenario
 from tallywright.plans.base import doubles, query
 from tallywright.sources import tables as t
 
@@ -311,3 +311,28 @@ def field_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     want = orders.select(F.col("o_orderkey").alias("id"), F.lit("F").alias("status"), (F.col("o_orderkey") % 5 + 1).cast("string").alias("priority"))
     got = orders.select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), F.substring("o_orderpriority", 1, 1).alias("priority"))
     return evaluate.field_accuracy(got, want, "id", ["status", "priority"])
+
+
+_LEVERS = ("volume_change_pct", "pricing_adjustment_pct", "price_elasticity", "headcount_change", "vendor_consolidation_pct", "other_cost_change_pct")
+_DESK_SQL = """WITH e AS (SELECT user_id AS session, event_id AS seq, event_id % 11 = 0 AS reset, event_id % 8 AS lever, ((event_id * 7) % 901 / 10.0 - 45)::DOUBLE AS v FROM events),
+c AS (SELECT session, seq, sum(reset::INT) OVER (PARTITION BY session ORDER BY seq) AS resets, v, CASE WHEN lever = 6 THEN CASE WHEN trunc(v) <= 4 THEN 3 WHEN trunc(v) <= 9 THEN 6 ELSE 12 END END AS horizon,
+  """ + ",\n  ".join(
+    f"CASE WHEN lever = {i} THEN {'round_even' if n == 'headcount_change' else ''}({'greatest(%d, least(%d, v)), 0' % lim if n == 'headcount_change' else 'round_even(greatest(%d, least(%d, v)), 2)' % lim}) END AS {n}"
+    for i, (n, lim) in enumerate(scenario.LEVER_LIMITS.items())
+) + ",\n  nullif(concat_ws(';', " + ", ".join(
+    f"CASE WHEN lever = {i} AND (v < {low} OR v > {high}) THEN '{n} ' || regexp_replace(round(v, 4)::VARCHAR, '\\.0$', '') || ' capped to ' || CASE WHEN v < {low} THEN {low} ELSE {high} END END"
+    for i, (n, (low, high)) in enumerate(scenario.LEVER_LIMITS.items())
+) + "), '') AS capped FROM e)\n"
+
+
+@query(_DESK_SQL + "SELECT session, seq, coalesce(last_value(horizon IGNORE NULLS) OVER (PARTITION BY session ORDER BY seq), 6)::INTEGER AS horizon, " + ", ".join(
+    f"coalesce(last_value({n} IGNORE NULLS) OVER (PARTITION BY session, resets ORDER BY seq), {0.5 if n == 'price_elasticity' else 0})::{'INTEGER' if n == 'headcount_change' else 'DOUBLE'} AS {n}" for n in _LEVERS
+) + ", coalesce(capped, '') AS capped FROM c")
+def scenario_desk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every user's events as changes of levers, and the scenario that stands after each."""
+    key = F.col("event_id")
+    value = ((key * 7) % 901 / F.lit(10.0) - 45).cast("double")
+    named = [F.when(key % 8 == i, value).alias(n) for i, n in enumerate(_LEVERS)]
+    changes = t.table(spark, sf_dir, "events").select(F.col("user_id").alias("session"), key.alias("seq"), (key % 11 == 0).alias("reset"), F.when(key % 8 == 6, value).alias("horizon"), *named)
+    states = scenario.desk(changes)
+    return states.select("session", "seq", "horizon", *_LEVERS, F.array_join("capped", ";").alias("capped"))
