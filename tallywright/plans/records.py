@@ -249,3 +249,26 @@ SELECT document_id, mean AS extraction_confidence, mean < 0.85 AS low_confidence
 def built_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents from fields without ids or confidences, and what is to be checked in them."""
     return _built(spark, sf_dir).select("document_id", *doubles("extraction_confidence"), "low_confidence", F.array_join("low_confidence_fields", ",").alias("weak"))
+
+
+@query("""SELECT 'd' || p_partkey AS document_id, string_agg(unit, '|' ORDER BY n) AS units FROM (SELECT p_partkey, unnest(range(0, 8)) AS n, unnest([
+  'Document type: invoice. Document ID: d' || p_partkey || '.', 'Invoice number: P-' || p_partkey, 'Total due: ' || p_size,
+  CASE WHEN p_partkey % 3 > 0 THEN 'Terms: ' || CASE WHEN p_partkey % 3 = 1 THEN 'Days: 30; Note text: pay, soon' ELSE 'a, b' END END,
+  'Line items:', 'Line item 1: Item name: ' || p_name || '; Qty: ' || (p_partkey % 5), 'Line item 2: Kind: ' || p_type, CASE WHEN p_partkey % 2 = 0 THEN 'Extracted text: about ' || p_brand END]) AS unit FROM part)
+WHERE unit IS NOT NULL GROUP BY p_partkey""")
+def document_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is said of documents with nested values and tables, before it is cut into chunks."""
+    key = F.col("p_partkey")
+    terms = F.when(key % 3 == 1, F.lit('{"note_text":["pay",null,"soon"],"days":30,"none":{}}')).when(key % 3 == 2, F.lit('["a","b",""]')).otherwise(F.lit("null"))
+    text = lambda c: F.to_json(F.struct(c.alias("x")))
+    quoted = lambda c: F.substring(text(c), F.lit(6), F.length(text(c)) - 6)
+    field = lambda label, value: F.struct(F.lit(label).alias("label"), F.parse_json(value).alias("value"))
+    first = F.concat(F.lit("["), quoted(F.col("p_name")), F.lit(","), (key % 5).cast("string"), F.lit("]"))
+    second = F.concat(F.lit('{"kind":'), quoted(F.col("p_type")), F.lit(',"empty":""}'))
+    table = F.struct(F.array(F.lit("item_name"), F.lit("QTY")).alias("headers"), F.array(F.parse_json(first), F.parse_json(second), F.parse_json(F.lit("[]"))).alias("rows"))
+    documents = t.table(spark, sf_dir, "part").select(
+        F.concat(F.lit("d"), key.cast("string")).alias("document_id"), F.lit("INVOICE").alias("document_type"),
+        F.array(field("terms", terms), field("total__due", F.col("p_size").cast("string")), field("Invoice_NUMBER", F.concat(F.lit('"P-'), key.cast("string"), F.lit('"'))), field(" ", F.lit("1"))).alias("fields"),
+        F.array(table).alias("tables"), F.when(key % 2 == 0, F.concat(F.lit("about "), "p_brand")).alias("text"),
+    )
+    return retrieval.document_units(documents).select("document_id", F.array_join("units", "|").alias("units"))

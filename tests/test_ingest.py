@@ -64,6 +64,15 @@ def test_chunks(spark):
     assert fields.select(retrieval.field_units(F.col("fields"), ("invoice", "total"))).first()[0] == ["Total: 5", "Alpha: a", "Note: z"]
 
 
+def test_nested_values(spark):
+    cases = {
+        '{"b":1,"a_x":{"y_Z":[1,2.5,null,"z"],"e":{}},"t":true,"n":null}': "A x: Y z: 1, 2.5, z; B: 1; T: true", "[]": None, "{}": None, '""': None, "null": None, '"s"': "s", "[[1,[2]],3]": "1, 2, 3", "7": "7", '[{"k":"v"},""]': "K: v",
+    }
+    rows = spark.createDataFrame([(i, j) for i, j in enumerate(cases)], "i int, j string").orderBy("i")
+    assert [r[0] for r in rows.select(retrieval.display_value(F.parse_json("j"))).collect()] == list(cases.values())
+    assert rows.where("i = 6").select(retrieval.display_value(F.parse_json("j"), 1)).first()[0] == "[1,[2]], 3"
+
+
 def test_chunks_of_a_long_document(spark):
     import time
 
