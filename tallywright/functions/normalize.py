@@ -17,6 +17,7 @@ CURRENCY_NAMES = {
 }
 CURRENCY_SYMBOLS = {"₹": "INR", "€": "EUR", "£": "GBP"}
 CURRENCY_CODE = r"(?i)\b(usd|inr|eur|gbp)\b"
+MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
 NUMBER = r"[-+]?\d[\d\s,.]*"
 OCR_LETTERS, OCR_DIGITS = "OQIL|", "00111"
 KEY_SEPARATORS = r"[-_/.,:]"
@@ -103,23 +104,32 @@ def amount(value: Column, context: Column | None = None) -> Column:
     )
 
 
+def _month(name: Column) -> Column:
+    """A month's number by its English name or the first three letters of it."""
+    known = {k: i for i, m in enumerate(MONTHS, 1) for k in (m, m[:3])}
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in known.items() for x in pair]), name)
+
+
 def date(value: Column) -> Column:
-    """A struct of value and status; day and month must be told apart by one of them being over 12."""
-    own = F.regexp_replace(strip(value), r"\s+", " ")
-    parts = [F.regexp_extract(own, r"^(\d{1,2})[/-](\d{1,2})[/-](\d{4})$", n).try_cast("int") for n in (1, 2, 3)]
-    first, second, year = parts
+    """A struct of value and status; day and month must be told apart by one of them being over 12.
+
+    Patterns decide what a text is and make it year, month, day, which one cast reads: nothing fails on the way.
+    """
+    own = F.lower(F.regexp_replace(strip(value), r"\s+", " "))
+    slashed = [F.regexp_extract(own, r"^(\d{1,2})[/-](\d{1,2})[/-](\d{4})$", n).try_cast("int") for n in (1, 2, 3)]
+    first, second, year = slashed
     ordered = F.when(first > 12, F.concat_ws("-", year, second, first)).when(second > 12, F.concat_ws("-", year, first, second))
-    named = F.initcap(own)
-    parsed = F.coalesce(
-        F.when(own.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"), F.try_to_date(own, "yyyy-M-d")),
-        F.when(named.rlike(r"^[A-Z][a-z]{2} \d{1,2} \d{4}$"), F.try_to_date(named, "MMM d yyyy")),
-        F.when(named.rlike(r"^[A-Z][a-z]{2,} \d{1,2} \d{4}$"), F.try_to_date(named, "MMMM d yyyy")),
-        F.when(named.rlike(r"^\d{1,2} [A-Z][a-z]{2} \d{4}$"), F.try_to_date(named, "d MMM yyyy")),
-        F.when(named.rlike(r"^\d{1,2} [A-Z][a-z]{2,} \d{4}$"), F.try_to_date(named, "d MMMM yyyy")),
-        F.try_to_date(ordered, "yyyy-M-d"),
-    )
-    status = F.when(missing(value), "missing").when(parsed.isNull(), "invalid").otherwise("success")
-    return F.struct(F.when(status == "success", parsed).alias("value"), status.alias("status"))
+    month_first, day_first = r"^([a-z]{3,}) (\d{1,2}) (\d{4})$", r"^(\d{1,2}) ([a-z]{3,}) (\d{4})$"
+    part = lambda pattern, n: F.regexp_extract(own, pattern, n)
+    text = (
+        F.when(own.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"), own).when(own.rlike(r"^\d{1,2}[/-]"), ordered)
+        .when(own.rlike(month_first), F.concat(part(month_first, 3), F.lit("-"), _month(part(month_first, 1)), F.lit("-"), part(month_first, 2)))
+        .when(own.rlike(day_first), F.concat(part(day_first, 3), F.lit("-"), _month(part(day_first, 2)), F.lit("-"), part(day_first, 1)))
+    )
+    read = F.transform(F.array(text.try_cast("date")), lambda day: F.struct(
+        F.when(~missing(value), day).alias("value"), F.when(missing(value), "missing").when(day.isNull(), "invalid").otherwise("success").alias("status")
+    ))
+    return F.get(read, F.lit(0))
 
 
 def value(raw: Column, semantic_type: Column, context: Column | None = None) -> Column:
