@@ -131,15 +131,21 @@ def candidates(facts: DataFrame, config: LinkingConfig = LinkingConfig()) -> Dat
     dated = priced.select("*", F.explode("dates").alias("day")).drop("dates").withColumn("cell", F.floor(F.unix_date("day") / config.date_window))
     dated = dated.withColumn("traits", similarity.name_traits(F.col("name")))
 
+    parts = int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
     def sides(rows: DataFrame, *near: str) -> tuple[DataFrame, DataFrame]:
-        """Invoices, also in neighbouring buckets, and partners; the columns that both have named apart."""
+        """Invoices, also in neighbouring buckets, and partners; the columns that both have named apart.
+
+        Few rows make many pairs, so they are dealt over all tasks, which their own size would not call for.
+        """
         invoice = rows.where("document_type = 'INVOICE'").drop("document_type", "dates").withColumnRenamed("document_id", "a")
         for name in near:
             invoice = invoice.withColumn(name, _around(name))
         partner = rows.where(F.col("document_type").isin(*PARTNERS)).drop("document_type", "dates").withColumnRenamed("document_id", "b")
         for name, other in (("x", "y"), ("day", "due"), ("traits", "other")):
             partner = partner.withColumnRenamed(name, other)
-        return invoice, partner
+        met_by = [c for c in ("key", "name", *near) if c in rows.columns]
+        return invoice.repartition(parts, *met_by), partner.repartition(parts, *met_by)
 
     invoice, partner = sides(keyed)
     by_key = invoice.join(partner, "key")
