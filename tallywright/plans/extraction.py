@@ -66,7 +66,8 @@ def _mapped(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = _texts(spark, sf_dir)
     # Read three times: for documents' types, for different labels and for the fields themselves.
     fields = cut(extraction.extract(texts).select("document_id", "pos", F.col("label").alias("raw_label"), F.col("value").alias("raw"), "confidence"))
-    return mapping.map_fields(fields.join(mapping.typed_documents(fields, texts), "document_id"))
+    # What is cut keeps the estimate of the small file it came from, so that documents' types would be sent to the driver to be broadcast.
+    return mapping.map_fields(fields.join(mapping.typed_documents(fields, texts).hint("merge"), "document_id"))
 
 
 @query(_FIELDS + f", {_ROLES} SELECT document_id, pos, 'INVOICE' AS document_type, label AS raw_label, role, semantic_type, method AS mapping_method, r.confidence::DOUBLE AS sure FROM fields JOIN roles r USING (label)")

@@ -69,3 +69,12 @@ def test_document_types(spark):
     texts = spark.createDataFrame([("d", "\n Some\nPayment Advice\nx\nInvoice"), ("f", "a\nb\nc\ninvoice")], "document_id string, text string")
     got = {r.document_id: r.document_type for r in mapping.typed_documents(fields, texts).collect()}
     assert got == {"a": "PAYMENT", "b": "LEDGER", "c": "PAYMENT", "d": "PAYMENT", "e": "INVOICE", "f": "UNKNOWN"}
+
+
+def test_types_of_documents_are_not_broadcast(spark):
+    """They are as many as the documents, whatever a plan takes them for."""
+    from tallywright.plans import extraction as plans
+
+    for query in (plans.mapped_fields, plans.extracted_facts):
+        plan = query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin [document_id" in plan and "BroadcastHashJoin [document_id" not in plan
