@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tallywright.functions import similarity
-from tallywright.operators import linking, reconcile
+from tallywright.operators import gate, linking, reconcile
 
 
 def _texts(n):
@@ -97,3 +97,40 @@ def test_a_run_makes_only_what_is_asked_for(spark):
     found = {r.case_id for r in run.found.collect()}
     assert found and not {"roots", "groups"} & set(vars(run))
     assert {r.case_id for r in run.cases.collect()} == found == {c for r in run.transactions.collect() for c in r.case_ids}
+
+
+def test_some_unsure_links_tell_which_documents_have_one(spark, monkeypatch):
+    """Without all unsure links: all linked pairs, all pairs of the documents named, and for every other document one at each end where it has any."""
+    facts, rows = _facts(spark, 900)
+    number = F.substring("document_id", 2, 4).cast("int")
+    facts = facts.withColumn("identifiers", F.when(number % 9 == 0, F.array(F.concat(F.lit("K"), number.cast("string")))).otherwise(F.col("identifiers")))
+    every = {(r.left_id, r.right_id): (r.status, r.score) for r in linking.link_evidence(facts).collect()}
+    named = {f"d{k:04d}" for k in range(0, 900, 50)}
+    full = spark.createDataFrame([(n,) for n in sorted(named)], "document_id string")
+    for tested, scored in ((linking.TESTED, linking.SCORED), (500, 2000)):
+        monkeypatch.setattr(linking, "TESTED", tested)
+        monkeypatch.setattr(linking, "SCORED", scored)
+        few = {(r.left_id, r.right_id): (r.status, r.score) for r in linking.link_evidence(facts, full=full).collect()}
+        assert len(few) < len(every) and few.items() <= every.items()
+        assert {p for p, s in every.items() if s[0] == "LINKED" or named & set(p)} <= few.keys()
+        for end in (0, 1):
+            assert {p[end] for p, s in every.items() if s[0] == "AMBIGUOUS"} == {p[end] for p, s in few.items() if s[0] == "AMBIGUOUS"}
+
+
+def test_statuses_do_not_need_all_unsure_links(spark):
+    facts, _ = _facts(spark, 300)
+    cases = [r.case_id for r in reconcile.run(facts).found.where("case_type = 'ambiguous_link'").orderBy("case_id").collect()]
+    kinds = "id long, case_id string, action string, field string, corrected_value string"
+    reviews = [(k, c, ("ACCEPT", "REJECT", "CORRECT")[k % 3], "category", "Fixed") for k, c in enumerate([*cases[::7], "link:a|b|c", "link:a", "pair:x|y"])]
+    reviews = spark.createDataFrame(reviews, kinds)
+    assert {r.document_id for r in reconcile.reviewed_documents(reviews).collect()} == {d for c in cases[::7] for d in c[5:].split("|")} | {"a", "b|c", "a|b", "c"}
+    run, whole = reconcile.run(facts, actions=reviews), reconcile.run(facts)
+
+    def status(groups, cases):
+        return sorted((r.transaction_id, r.verification_status, r.category, r.n_corrections) for r in gate.with_status(groups, cases, reviews).collect())
+
+    assert status(run.groups, run.told) == status(whole.groups, whole.cases) and "links" not in vars(run)
+    reviewed = [sorted((r.case_id, r.status) for r in gate.case_queue(gate.reviewed_cases(c, reviews), "reviewed").collect()) for c in (run.telling, whole.found)]
+    assert reviewed[0] == reviewed[1] and len(reviewed[0]) == len(cases[::7])
+    share = [gate.review_efficiency(gate.reviewed_cases(c, reviews), whole.groups).collect() for c in (run.telling, whole.found)]
+    assert share[0] == share[1] and run.telling.count() < whole.found.count()
