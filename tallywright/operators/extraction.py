@@ -93,8 +93,8 @@ def with_fields(rows: DataFrame, text_col: str, into: str) -> DataFrame:
     Each step is a column of its own, so that a pattern runs once for each piece of a line; rows stay where they are.
     """
     kept = list(rows.columns)
-    steps = ["lines", "segments", "words", "known", "guessed", "tails", "heads"]
-    lines, segments, words, known, guessed, tails, heads = (f"__{s}" for s in steps)
+    steps = ["lines", "segments", "words", "known", "tails", "folded", "heads"]
+    lines, segments, words, known, tails, folded, heads = (f"__{s}" for s in steps)
     numbered = r"^#\s*\S+$"
 
     def each(name: str, fn: Callable[[Column], Column]) -> Column:
@@ -106,12 +106,21 @@ def with_fields(rows: DataFrame, text_col: str, into: str) -> DataFrame:
     rows = rows.withColumn(segments, each(lines, split))
     rows = rows.withColumn(words, each(segments, lambda s: F.when(F.size(s) == 1, F.split(s[0], r"\s+")).otherwise(F.array().cast("array<string>"))))
 
-    def found(pattern: str) -> Column:
-        return each(segments, lambda s: F.when(F.size(s) > 1, F.transform(s, lambda x: F.regexp_extract(F.rtrim(x), pattern, 0))).otherwise(F.array().cast("array<string>")))
-
-    rows = rows.withColumns({known: found(_KNOWN_TAIL), guessed: found(_GUESSED_TAIL)})
-    rows = rows.withColumn(tails, F.zip_with(known, guessed, lambda k, g: F.zip_with(k, g, lambda x, y: F.when(x != "", x).otherwise(y))))
-    rows = rows.withColumn(heads, each(words, lambda w: F.array(*[F.btrim(_folded(_head(w, size)), F.lit(_MARKS)) for size in (1, 2, 3)])))
+    def tail(x: Column, pattern: str) -> Column:
+        return F.regexp_extract(F.rtrim(x), pattern, 0)
+
+    def known_tails(s: Column) -> Column:
+        """Of a line's last piece nothing is a label, so no pattern runs over it."""
+        own = F.transform(s, lambda x, i: F.when(i < F.size(s) - 1, tail(x, _KNOWN_TAIL)))
+        return F.when(F.size(s) > 1, own).otherwise(F.array().cast("array<string>"))
+
+    rows = rows.withColumn(known, each(segments, known_tails))
+    guess = lambda x, k: F.when(k == "", tail(x, _GUESSED_TAIL)).otherwise(k)
+    rows = rows.withColumn(tails, F.zip_with(segments, known, lambda s, k: F.zip_with(s, k, guess)))
+    # A line's first words are folded at once; lines with colons have no words.
+    first = F.transform(words, lambda w: F.when(F.size(w) > 0, F.split(_folded(_head(w, 3)), " ")))
+    rows = rows.withColumn(folded, first)
+    rows = rows.withColumn(heads, each(folded, lambda w: F.when(w.isNotNull(), F.array(*[F.btrim(_head(w, size), F.lit(_MARKS)) for size in (1, 2, 3)]))))
 
     def line(own: Column, i: Column) -> Column:
         one, mine = F.get(words, i), F.get(lines, i)

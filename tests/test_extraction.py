@@ -78,3 +78,12 @@ def test_types_of_documents_are_not_broadcast(spark):
     for query in (plans.mapped_fields, plans.extracted_facts):
         plan = query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin [document_id" in plan and "BroadcastHashJoin [document_id" not in plan
+
+
+def test_patterns_and_folding_run_only_where_they_can_count(spark):
+    """A line's first words are folded once, not once for each length, and the last piece of a line is no label's place."""
+    texts = spark.createDataFrame([("d", "ORDER 1D ; ΟΔΟΣ 7\nDate: paid Total\nTotal Amount ΑΣ\nVat : 1, Tax: 2 Total\nINVOICE")], "document_id string, text string")
+    got = extraction.with_fields(texts, "text", "fields")
+    rows = [(f["label"], f["value"]) for r in got.collect() for f in r["fields"]]
+    assert rows == [("ORDER 1D", "ΟΔΟΣ 7"), ("Date", "paid Total"), ("Total Amount", "ΑΣ"), ("Vat", "1"), ("Tax", "2 Total")]
+    assert got._jdf.queryExecution().analyzed().toString().count("lower(") <= 4  # one of the words and one of each value
