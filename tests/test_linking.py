@@ -59,6 +59,22 @@ def test_only_pairs_that_can_count_leave_the_grid(spark, monkeypatch):
     assert {(r.left_id, r.right_id) for r in linked} == want and all(r.score >= 0.35 for r in linked)
 
 
+def test_an_invoice_goes_to_the_cells_of_its_partners_and_to_few_others(spark):
+    rows = spark.range(3000).select((F.pow(F.lit(1.0071), F.col("id").cast("double")) * F.when(F.col("id") % 2 == 0, -0.5).otherwise(0.5)).alias("x"))
+    for share in (0.02, -0.02):
+        partner = F.col("x") * (1 + share) if share < 0 else F.col("x") / (1 - share)
+        got = rows.select(linking._bands(partner)[0].alias("band"), linking._bands(F.col("x"))[1].alias("bands")).collect()
+        assert all(r.band in r.bands for r in got)
+    assert sum(len(r.bands) for r in got) < 1.4 * len(got)
+
+
+def test_equal_names_are_resolved_without_a_score(spark):
+    rows = spark.createDataFrame([("acme corp", "acme corp"), ("acme corp", "corp acme"), ("acme corp", "zebra"), ("acme corp", None)], "x string, y string")
+    got = [tuple(r["e"]) for r in rows.select(similarity.resolve(F.col("x"), F.col("y")).alias("e")).collect()]
+    assert got[0] == ("RESOLVED", 1.0, "exact_normalized") and got[1] == ("RESOLVED", 1.0, "fuzzy") and got[2][0] == got[3][0] == "UNRESOLVED"
+    assert [tuple(r["e"]) for r in rows.limit(1).select(similarity._scored(F.col("x"), F.col("y")).alias("e")).collect()] == [(1.0, 1.0)]
+
+
 def test_best_of_several_names(spark):
     rows = spark.createDataFrame([(["b corp", "acme corp"], ["acme corp", "acme corps"]), (["acme corp"], []), ([], None), (["zebra"], ["acme corp"])], "x array<string>, y array<string>")
     got = [tuple(r["e"]) for r in rows.select(similarity.best_of(F.col("x"), F.col("y")).alias("e")).collect()]
