@@ -136,10 +136,12 @@ def map_fields(fields: DataFrame, config: MappingConfig = MappingConfig(), score
 
     Unresolved fields stay, without a role.
     """
-    own = fields.withColumn("label", normalize.label(F.col("raw_label")))
-    known = label_roles(own, config, scorer)
-    said = known.select("label", "document_type", "role", "semantic_type", F.col("method").alias("mapping_method"), F.col("confidence").alias("mapping_confidence"), "candidates")
-    mapped = own.join(said, ["label", "document_type"])
+    # A label is normalised once for all fields that have it; no label is one too.
+    spelt = fields.select(F.col("raw_label").alias("spelt"), F.col("document_type").alias("of_type")).distinct().withColumn("label", normalize.label(F.col("spelt")))
+    known = label_roles(spelt.select("label", F.col("of_type").alias("document_type")), config, scorer)
+    said = known.select("label", F.col("document_type").alias("of_type"), "role", "semantic_type", F.col("method").alias("mapping_method"), F.col("confidence").alias("mapping_confidence"), "candidates")
+    said = spelt.join(said, ["label", "of_type"])
+    mapped = fields.join(said, F.col("raw_label").eqNullSafe(F.col("spelt")) & (F.col("document_type") == F.col("of_type"))).drop("spelt", "of_type")
     if resolver is None:
         return mapped.drop("candidates")
     asked = mapped.withColumn("nearby", nearby_fields(mapped)).where("mapping_method = 'UNRESOLVED' AND size(candidates) > 0")
@@ -174,14 +176,14 @@ def typed_documents(fields: DataFrame, texts: DataFrame | None = None) -> DataFr
         seen = seen.join(texts.select("document_id", heading.alias("heading")), "document_id", "full")
     else:
         seen = seen.withColumn("heading", F.lit(""))
-    blank = lambda c: F.coalesce(c, F.lit(""))
-    return seen.select("document_id", normalize.document_type(blank("explicit"), blank("stated"), blank("labels"), blank("heading")).alias("document_type"))
+    parts = ("explicit", "stated", "labels", "heading")
+    seen = seen.select("document_id", *(normalize.label(F.coalesce(c, F.lit(""))).alias(c) for c in parts))
+    return seen.select("document_id", normalize.type_of(*(F.col(c) for c in parts)).alias("document_type"))
 
 
 def normalized_fields(mapped: DataFrame) -> DataFrame:
     """Mapped fields with number, date, string, currency and status of their values, as ``reconcile.document_facts`` reads them."""
-    value = normalize.value(F.col("raw"), F.col("semantic_type"))
-    held = mapped.withColumn("normal", F.when(F.col("role").isNotNull(), value))
+    held = normalize.with_value(mapped, "raw", "semantic_type", F.col("role").isNotNull())
     return held.select(*mapped.columns, *(F.col(f"normal.{n}").alias(n) for n in ("number", "date", "string", "currency", "status")))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallywright.operators import extraction, mapping, reconcile
-from tallywright.operators.components import cut
+from tallywright.operators.components import kept
 from tallywright.plans.base import query
 from tallywright.sources import tables as t
 
@@ -65,9 +65,9 @@ _ROLES = """roles(label, role, semantic_type, method, confidence) AS (VALUES
 def _mapped(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = _texts(spark, sf_dir)
     # Read three times: for documents' types, for different labels and for the fields themselves.
-    fields = cut(extraction.extract(texts).select("document_id", "pos", F.col("label").alias("raw_label"), F.col("value").alias("raw"), "confidence"))
-    # What is cut keeps the estimate of the small file it came from, so that documents' types would be sent to the driver to be broadcast.
-    return mapping.map_fields(fields.join(mapping.typed_documents(fields, texts).hint("merge"), "document_id"))
+    fields = kept(extraction.extract(texts).select("document_id", "pos", F.col("label").alias("raw_label"), F.col("value").alias("raw"), "confidence"))
+    # Types are as many as documents, which are not for the driver to broadcast, whatever their files' size.
+    return mapping.map_fields(fields.join(kept(mapping.typed_documents(fields, texts)).hint("merge"), "document_id"))
 
 
 @query(_FIELDS + f", {_ROLES} SELECT document_id, pos, 'INVOICE' AS document_type, label AS raw_label, role, semantic_type, method AS mapping_method, r.confidence::DOUBLE AS sure FROM fields JOIN roles r USING (label)")

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallywright.functions import compare, normalize, similarity
+from tallywright.operators import mapping
 
 
 def evaluate(spark, values, fn, kind="string"):
@@ -69,3 +70,19 @@ def test_entities(spark):
     got = [r["e"]["status"] for r in rows.select(similarity.resolve(F.col("l"), F.col("r")).alias("e")).collect()]
     assert got == ["RESOLVED", "UNRESOLVED", "AMBIGUOUS", "RESOLVED", "UNRESOLVED", "RESOLVED"]
     assert round(similarity.jaro_winkler("dwayne", "duane"), 2) == 0.84 and round(similarity.jaro_winkler("abc technologies", "xyz technologies"), 4) == 0.8237
+
+
+def test_values_by_steps_are_those_of_one_expression(spark):
+    raws = ["$1,234.50", " 1.234,50 ", "1,234", "1.2.3", "n/a", "", None, "abc", "2012-03-06", "Mar  06 2012", "06/03/2012", "25/03/2012", "Acme, Incorporated", "usd", "€5 net", "ORD 1"]
+    kinds = ["amount", "UNIT_PRICE", "QUANTITY", "DATE", "ENTITY", "IDENTIFIER", "CURRENCY", "TEXT", "ADDRESS", "OTHER", None]
+    rows = spark.createDataFrame([(r, k, known) for r in raws for k in kinds for known in (True, False)], "raw string, kind string, known boolean")
+    want = F.when(F.col("known"), normalize.value(F.col("raw"), F.col("kind")))
+    both = normalize.with_value(rows, "raw", "kind", F.col("known")).withColumn("want", want)
+    assert both.columns == ["raw", "kind", "known", "normal", "want"]
+    assert both.where(~F.col("normal").eqNullSafe(F.col("want"))).collect() == [] and both.where("normal.number = 1234.5").count() > 0
+
+
+def test_fields_without_a_label_are_mapped_too(spark):
+    fields = spark.createDataFrame([("d", "INVOICE", 0, None, "1"), ("d", "INVOICE", 1, "Total", "2"), ("d", "INVOICE", 2, "T0tal", "3")], "document_id string, document_type string, pos int, raw_label string, raw string")
+    got = {r.pos: (r.label, r.role) for r in mapping.map_fields(fields).collect()}
+    assert got == {0: ("", None), 1: ("total", "TRANSACTION_TOTAL"), 2: ("total", "TRANSACTION_TOTAL")}
