@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallywright.functions import normalize, similarity
+from tallywright.operators.components import kept
 
 # Labels whose meaning is plain.
 RULES = {
@@ -42,6 +43,9 @@ BARE_AMOUNTS = ("TRANSACTION_TOTAL", "ORDER_TOTAL", "AMOUNT_PAID", "BALANCE_DUE"
 STOP_WORDS = ("a", "an", "the", "of", "for", "to", "in", "on")
 IN_CONTEXT, PREFERRED, OTHER = 0.12, 0.80, 0.58
 
+#: Most different labels of types that are sent to every task; more are merged with their fields.
+SENT = 1 << 16
+
 # Labels by what an older reader of documents takes them for.
 CONCEPTS = {
     "vendor": ("company", "from", "seller", "supplier", "vendor"), "identifier": ("id", "invoice", "invoice no", "invoice number", "order id", "reference"),
@@ -137,13 +141,15 @@ def map_fields(fields: DataFrame, config: MappingConfig = MappingConfig(), score
     Unresolved fields stay, without a role.
     """
     # A label is normalised once for all fields that have it; no label is one too.
-    spelt = fields.select(F.col("raw_label").alias("spelt"), F.col("document_type").alias("of_type")).distinct().withColumn("label", normalize.label(F.col("spelt")))
+    spelt = kept(fields.select(F.col("raw_label").alias("spelt"), F.col("document_type").alias("of_type")).distinct()).withColumn("label", normalize.label(F.col("spelt")))
     known = label_roles(spelt.select("label", F.col("of_type").alias("document_type")), config, scorer)
     said = known.select("label", F.col("document_type").alias("of_type"), "role", "semantic_type", F.col("method").alias("mapping_method"), F.col("confidence").alias("mapping_confidence"), "candidates")
-    said = spelt.join(said, ["label", "of_type"])
+    # Counted first: fields exploded from few bytes look small to the planner, and then they would go through the driver instead.
+    said = kept(spelt.join((said.drop("candidates") if resolver is None else said).hint("merge"), ["label", "of_type"]))
+    said = said.hint("broadcast" if said.count() <= SENT else "merge")
     mapped = fields.join(said, F.col("raw_label").eqNullSafe(F.col("spelt")) & (F.col("document_type") == F.col("of_type"))).drop("spelt", "of_type")
     if resolver is None:
-        return mapped.drop("candidates")
+        return mapped
     asked = mapped.withColumn("nearby", nearby_fields(mapped)).where("mapping_method = 'UNRESOLVED' AND size(candidates) > 0")
     asked = asked.select("document_id", "pos", "raw_label", "raw", "document_type", "nearby", F.slice("candidates", 1, config.asked).alias("candidates"))
     chosen = resolver(asked).select("document_id", "pos", F.col("role").alias("chosen"))

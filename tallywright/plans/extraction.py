@@ -107,7 +107,8 @@ def label_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels of every part's document by likeness and context; what each should give was worked out by hand."""
     kinds = F.array(*[F.lit(x) for x in ("INVOICE", "PURCHASE_ORDER", "PAYMENT", "UNKNOWN")])
     key = F.col("p_partkey")
-    fields = t.table(spark, sf_dir, "part").select(key.alias("document_id"), F.get(kinds, (key % 4).cast("int")).alias("document_type"), F.posexplode(F.array(*[F.lit(x) for x in _LABELS])).alias("pos", "raw_label"))
+    parts = t.dealt(t.table(spark, sf_dir, "part").select("p_partkey"))
+    fields = parts.select(key.alias("document_id"), F.get(kinds, (key % 4).cast("int")).alias("document_type"), F.posexplode(F.array(*[F.lit(x) for x in _LABELS])).alias("pos", "raw_label"))
     mapped = mapping.map_fields(fields.withColumn("raw", F.lit("1")))
     said = F.concat_ws(" ", F.coalesce("role", F.lit("-")), "mapping_method", F.col("mapping_confidence").cast("string"))
     return mapped.select("document_id", "raw_label", said.alias("result"))

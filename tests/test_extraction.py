@@ -87,3 +87,17 @@ def test_patterns_and_folding_run_only_where_they_can_count(spark):
     rows = [(f["label"], f["value"]) for r in got.collect() for f in r["fields"]]
     assert rows == [("ORDER 1D", "ΟΔΟΣ 7"), ("Date", "paid Total"), ("Total Amount", "ΑΣ"), ("Vat", "1"), ("Tax", "2 Total")]
     assert got._jdf.queryExecution().analyzed().toString().count("lower(") <= 4  # one of the words and one of each value
+
+
+def test_fields_are_never_broadcast(spark, monkeypatch, tmp_path):
+    """Fields exploded from few bytes look small, but are as many as documents' labels; only different labels go through the driver, and only if few."""
+    spark.range(300).select(F.col("id").alias("document_id")).write.parquet(str(tmp_path / "documents"))
+    fields = spark.read.parquet(str(tmp_path / "documents")).select("document_id", F.lit("INVOICE").alias("document_type"), F.posexplode(F.array(*[F.lit(x) for x in ("Total", "Vendor", "Other")])).alias("pos", "raw_label"))
+    said = []
+    for sent in (mapping.SENT, 0):
+        monkeypatch.setattr(mapping, "SENT", sent)
+        mapped = mapping.map_fields(fields.withColumn("raw", F.lit("1")))
+        said.append(sorted(tuple(r) for r in mapped.select("document_id", "pos", "role", "mapping_method").collect()))
+        plan = mapped._jdf.queryExecution().sparkPlan().toString()
+        assert ("BuildRight" in plan if sent else "BroadcastHashJoin" not in plan) and "BuildLeft" not in plan
+    assert len(said[0]) == 900 and said[0] == said[1] and {r[2] for r in said[0]} == {"TRANSACTION_TOTAL", "VENDOR", None}
