@@ -4,10 +4,11 @@ import random
 from datetime import date, timedelta
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tallywright.functions import similarity
-from tallywright.operators import gate, linking, reconcile
+from tallywright.operators import components, gate, linking, reconcile
 
 
 def _texts(n):
@@ -150,3 +151,70 @@ def test_statuses_do_not_need_all_unsure_links(spark):
     assert reviewed[0] == reviewed[1] and len(reviewed[0]) == len(cases[::7])
     share = [gate.review_efficiency(gate.reviewed_cases(c, reviews), whole.groups).collect() for c in (run.telling, whole.found)]
     assert share[0] == share[1] and run.telling.count() < whole.found.count()
+
+
+def _cell_sides(n, seed):
+    draw = random.Random(seed)
+
+    def side(own, kind):
+        rows = []
+        for k in range(n):
+            name = "".join(draw.choice("abcd") for _ in range(4)) + " " + "".join(draw.choice("abcd") for _ in range(3)) + draw.choice([" corp", "", " of a longer name"])
+            rows.append({own: f"{draw.choice('ab')}{kind}{k}", "name": name, "amount": draw.randrange(9500, 10500) / 10, "currency": draw.choice(["USD", "EUR", None]), "day": draw.randrange(37), "key": f"K{k}" if k % 9 == 0 else None, "full": k % 50 == 0})
+        return pa.Table.from_pylist(rows)
+
+    left, right = side("a", "i"), side("b", "l").append_column("kind", pa.array(["LEDGER"] * n))
+    return [t.append_column(c, t["amount"]) for t, c in ((left, "x"), (right, "y"))]
+
+
+def test_sifted_cells_lose_no_link_and_score_few_names(monkeypatch):
+    config, scored = linking.LinkingConfig(), []
+    own = similarity.Scorer.name_scores
+    monkeypatch.setattr(similarity.Scorer, "name_scores", lambda self, x, y, least=None: scored.append(len(x)) or own(self, x, y, least))
+    left, right = _cell_sides(900, 3)
+
+    def found(kernel, sides):
+        scored.clear()
+        rows = kernel(*sides, config).to_pylist()
+        total = [0.15 + 0.2 * r["entity_score"] + 0.05 * (1 - r["days"] / 90) for r in rows]
+        pairs = [(r["a"], r["b"]) for r in rows]
+        assert len(pairs) == len(set(pairs))
+        return {p for p, s in zip(pairs, total) if s >= 0.38}, {p for p, s in zip(pairs, total) if s < 0.38}, sum(scored)
+
+    every = found(linking._alike, [t.drop_columns("full") for t in (left, right)])
+    few = found(linking._firm, (left, right))
+    assert few[0] == every[0] and len(every[0]) > 50 and few[1] < every[1] and few[2] < every[2] / 3
+    for end, side in enumerate((left, right)):
+        met, served = ({p[end] for p in of[1]} for of in (every, few))
+        assert served <= met and len(served) > 0.9 * len(met)
+        # What is lacking is found by testing all pairs of the documents that lack it.
+    lacks = [t.append_column("lacks", pa.array([3 * (k % 7 == 0) for k in range(t.num_rows)])) for t in (left, right)]
+    rest = found(linking._lacking, lacks)
+    asked = [{r[c] for k, r in enumerate(t.to_pylist()) if k % 7 == 0} for t, c in ((left, "a"), (right, "b"))]
+    full = [set(t.filter(t["full"])[c].to_pylist()) for t, c in ((left, "a"), (right, "b"))]
+    assert rest[1] <= every[1] and {p for p in every[1] if p[0] in full[0] or p[1] in full[1]} <= rest[1]
+    for end in (0, 1):
+        assert {p[end] for p in every[1]} & asked[end] == {p[end] for p in rest[1]} & asked[end]
+
+
+def test_letters_in_common_are_never_undercounted():
+    texts = [t for t in _texts(200) if len(t) <= similarity.WORD]
+    sieve, every = similarity.Sieve(texts), np.arange(len(texts))
+    least = [[sum(min(a.count(c), b.count(c)) for c in set(a)) for b in texts] for a in texts]
+    assert (sieve.common(every, every) >= np.array(least)).all() and sieve.whole and not similarity.Sieve([*texts, "a" * 65]).whole
+
+
+def test_components_that_are_done_leave_the_rounds(spark, monkeypatch):
+    draw = random.Random(4)
+    path = [(f"p{k:02d}", f"p{k + 1:02d}") for k in range(40)]
+    edges = path + [(f"s{k}a", f"s{k}b") for k in range(60)] + [(f"r{draw.randrange(40):02d}", f"r{draw.randrange(40):02d}") for _ in range(35)] + [("x", "x")]
+    root = {n: n for e in edges for n in e} | {"alone": "alone"}
+    for _ in root:
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    sizes, cut = [], components.cut
+    monkeypatch.setattr(components, "cut", lambda df: sizes.append(df.count()) or cut(df) if "far" in df.columns else cut(df))
+    nodes = spark.createDataFrame([(n,) for n in root], "id string")
+    got = components.components(nodes, spark.createDataFrame(edges, "left_id string, right_id string"))
+    assert {r.id: r.root for r in got.collect()} == root and got.count() == len(root)
+    assert sizes[0] > 2 * 100 and min(sizes[1:]) <= 80 and len(sizes) < 16  # pairs are settled at once, and the path in few rounds
